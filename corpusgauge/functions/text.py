@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_WS_RANGES = (
+WS_RANGES = (
     r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
-WS = f"[{_WS_RANGES}]"
-NOT_WS = f"[^{_WS_RANGES}]"
+WS = f"[{WS_RANGES}]"
+NOT_WS = f"[^{WS_RANGES}]"
 # whitespace that does not end a line
 WS_INLINE = r"[\t\x{0b}-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 WORD = r"[\p{L}\p{N}_]"

@@ -18,6 +18,7 @@ from corpusgauge.functions.text import (
     NOT_WS,
     RIGHT_EDGE,
     WS,
+    WS_RANGES,
     count_all,
     find_all,
     settled,
@@ -45,26 +46,22 @@ _BLOCK = rf"(?dm)\A((?s:.*?))(?:{NEXT_HEADING}((?s:.*)))?\z"
 IMAGE = r"(?d)!\[.*?\]\(.*?\)"
 HTML_IMAGE = r"(?i)<img [^>]*>"
 HTML_IMAGE_SRC = r"(?id)<img [^>]*src=['\"].*?['\"][^>]*>"
-BLOCK_EQUATIONS = [r"(?s)\$\$.*?\$\$", r"(?s)\\\[.*?\\\]", r"(?ds)\\begin\{[^\n]*?\}.*?\\end\{.*?\}"]
+BLOCK_EQUATIONS = [r"(?s)\$\$.*?\$\$", r"(?s)\\\[.*?\\\]", r"(?s)\\begin\{.*?\}.*?\\end\{.*?\}"]
 INLINE_EQUATION = r"(?d)(?<!\$)\$(?!\$)(.+?)(?<!\$)\$(?!\$)"
 # one run of pipe lines; it is a table when a separator row follows its head
 PIPE_RUN = r"\|[^\n]*+(?:\n\|[^\n]*+)*+"
-SEPARATOR_ROW = rf"\n\|(?:{WS}|[\-:|])+\|"
+SEPARATOR_ROW = rf"\n\|[{WS_RANGES}\-:|]+\|"
 HTML_TABLE = r"(?is)<table.*?</table>"
 
 SENTENCE_END = rf"\.(?={WS}+[A-Z]|\n|[A-Z])"
 COUNTED_SENTENCE_END = rf"[.!?\n]+(?:{WS}|\z)"
 
 
-def content_and_refs(md: Column) -> tuple[Column, Column, Column]:
-    """(tier, main content, reference block) of a markdown column.
-
-    Tiers: 1 a heading "References", 2 a heading that mentions a reference,
-    3 a line that starts with ``[n]``, 4 the last word "references" or
-    "bibliography", 5 no references.  In tiers 1, 2 and 4 the list ends at the
-    next heading and the main content goes on after that heading's first word.
-    """
-    tier = (
+def reference_tier(md: Column) -> Column:
+    """1 a heading "References", 2 a heading that mentions a reference, 3 a line
+    that starts with ``[n]``, 4 a last word "references" or "bibliography",
+    5 no references."""
+    return (
         F.when(md.rlike(f"(?dim){EXACT_HEADING}"), 1)
         .when(md.rlike(f"(?dim){LOOSE_HEADING}"), 2)
         .when(md.rlike(f"(?dm){NUMBERED_LINE}"), 3)
@@ -72,28 +69,32 @@ def content_and_refs(md: Column) -> tuple[Column, Column, Column]:
         .otherwise(5)
     )
 
-    def part(group: int) -> Column:
-        return (
-            F.when(tier == 1, F.regexp_extract(md, _EXACT, group))
-            .when(tier == 2, F.regexp_extract(md, _LOOSE, group))
-            .when(tier == 3, F.regexp_extract(md, _NUMBERED, group))
-            .when(tier == 4, F.regexp_extract(md, _LAST_WORD, group))
-            .otherwise(md if group == 1 else F.lit(""))
-        )
 
-    return tier, part(1), part(2)
+def _part(md: Column, tier: Column, group: int) -> Column:
+    return (
+        F.when(tier == 1, F.regexp_extract(md, _EXACT, group))
+        .when(tier == 2, F.regexp_extract(md, _LOOSE, group))
+        .when(tier == 3, F.regexp_extract(md, _NUMBERED, group))
+        .when(tier == 4, F.regexp_extract(md, _LAST_WORD, group))
+        .otherwise(md if group == 1 else F.lit(""))
+    )
 
 
 def split_content_refs(
     docs: DataFrame, text: str = "md", keys: Sequence[str] = DOC_KEYS
 ) -> DataFrame:
-    """``main_content``, ``ref_block`` and ``tier`` of every document."""
+    """``main_content``, ``ref_block`` and ``tier`` of every document.
+
+    In tiers 1, 2 and 4 the list ends at the next heading and the main
+    content goes on after that heading's first word.
+    """
     keys = list(keys)
-    tier, before, after = content_and_refs(F.col(text))
-    cut = settled(docs, keys, tier=tier, before=before, after=after)
-    bounded = F.col("tier").isin(1, 2, 4)
+    md, tier = F.col(text), F.col("tier")
+    tiered = settled(docs, [*keys, text], tier=reference_tier(md))
+    cut = settled(tiered, [*keys, "tier"], before=_part(md, tier, 1), after=_part(md, tier, 2))
+    bounded = tier.isin(1, 2, 4)
     block = F.when(bounded, F.regexp_extract("after", _BLOCK, 1)).otherwise(F.col("after"))
-    tail = F.when(bounded, F.regexp_extract("after", _BLOCK, 2))
+    tail = F.regexp_extract("after", _BLOCK, 2)
     main = F.when(
         bounded, F.concat(strip(F.col("before")), F.lit("\n"), strip(tail))
     ).otherwise(strip(F.col("before")))
@@ -167,17 +168,12 @@ def md_features(docs: DataFrame, text: str = "md", keys: Sequence[str] = DOC_KEY
     )
     equations = sum((count_all(md, p) for p in BLOCK_EQUATIONS), count_all(md, INLINE_EQUATION))
     tables = F.size(F.filter(find_all(md, PIPE_RUN), lambda t: t.rlike(SEPARATOR_ROW))) + count_all(md, HTML_TABLE)
-    tier, before, after = content_and_refs(md)
-    cut = settled(
-        docs, keys, images=images, equations=equations, tables=tables, tier=tier, before=before, after=after
+    counted = settled(
+        docs, [*keys, text], images=images, equations=equations, tables=tables
     )
-    bounded = F.col("tier").isin(1, 2, 4)
-    main = F.when(
-        bounded,
-        F.concat(strip(F.col("before")), F.lit("\n"), strip(F.regexp_extract("after", _BLOCK, 2))),
-    ).otherwise(F.col("before"))
+    main = split_content_refs(counted, text, [*keys, "images", "equations", "tables"])
     counted = settled(
-        cut, [*keys, "images", "equations", "tables"], sentences=sentence_count(main)
+        main, [*keys, "images", "equations", "tables"], sentences=sentence_count(F.col("main_content"))
     )
     densities = [
         F.when(F.col("sentences") > 0, half_up(F.col(c) / F.col("sentences"), 6)).alias(f"{c.capitalize()}_density")

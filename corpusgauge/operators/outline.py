@@ -53,7 +53,7 @@ def outline_needs_refine(outline: DataFrame, keys: Sequence[str] = DOC_KEYS) ->
 def _ancestors(keys: Sequence[str], levels: int):
     """Per level, the last node of that level before the current row."""
     before = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    node = F.struct("pos", "title", "level")
+    node = F.struct(F.col("pos").cast("int").alias("pos"), "title", F.col("level").cast("int").alias("level"))
     return {
         lvl: F.max(F.when(F.col("level") == lvl, node)).over(before) for lvl in range(1, levels + 1)
     }

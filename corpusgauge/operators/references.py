@@ -13,7 +13,6 @@ from corpusgauge.functions.text import (
     RIGHT_EDGE,
     WS,
     lines,
-    non_empty,
     settled,
     strip,
     stripped_parts,
@@ -42,9 +41,9 @@ def author_year_key(entry: Column) -> Column:
         names, lambda n: F.btrim(F.element_at(F.split(n, f"{WS}+"), -1), F.lit("."))
     )
     who = (
-        F.when(F.size(surnames) >= 3, F.concat(surnames[0], F.lit(" et al.")))
-        .when(F.size(surnames) == 2, F.concat(surnames[0], F.lit(" and "), surnames[1]))
-        .when(F.size(surnames) == 1, surnames[0])
+        F.when(F.size(surnames) >= 3, F.concat(F.get(surnames, F.lit(0)), F.lit(" et al.")))
+        .when(F.size(surnames) == 2, F.concat(F.get(surnames, F.lit(0)), F.lit(" and "), F.get(surnames, F.lit(1))))
+        .when(F.size(surnames) == 1, F.get(surnames, F.lit(0)))
         .otherwise(F.lit("Unknown"))
     )
     return strip(F.btrim(F.concat(who, F.lit(", "), year), F.lit("[]")))

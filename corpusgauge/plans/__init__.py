@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["rollup_queries", "metric_queries"]
+MODULES = ["rollup_queries", "metric_queries", "text_queries"]
 
 
 def load():

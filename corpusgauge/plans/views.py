@@ -136,10 +136,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_views(sql: str, *names: str) -> str:
     """``sql`` for DuckDB, with the named views in front as CTEs."""
-    ctes = [f"{n} AS ({VIEWS[n].strip()})" for n in names]
+    ctes = ", ".join(f"{n} AS ({VIEWS[n].strip()})" for n in names)
     body = sql.strip()
-    if body.upper().startswith("WITH RECURSIVE "):
-        return "WITH RECURSIVE " + ", ".join(ctes) + ", " + body[len("WITH RECURSIVE "):]
-    if body.upper().startswith("WITH "):
-        return "WITH " + ", ".join(ctes) + ", " + body[len("WITH "):]
-    return "WITH " + ", ".join(ctes) + " " + body
+    for head in ("WITH RECURSIVE", "WITH"):
+        if body.startswith(head):
+            return f"{head} {ctes}, {body[len(head):]}"
+    return f"WITH {ctes} {body}"
