@@ -9,20 +9,33 @@ SPLITS = 16
 
 
 def spread_join(
-    rows: DataFrame, per_key: DataFrame, keys: list[str], how: str = "left", splits: int = SPLITS
+    rows: DataFrame,
+    per_key: DataFrame,
+    keys: list[str],
+    how: str = "left",
+    splits: int = SPLITS,
+    spread_by: list[str] | None = None,
 ) -> DataFrame:
     """Equi-join where one key may hold a third of ``rows``.
 
     ``per_key`` holds at most one row per key and is repeated ``splits``
-    times; each row of ``rows`` picks one repeat by a hash of its own values,
-    so the rows of a hot key go to ``splits`` tasks.  When ``per_key`` turns
+    times; each row of ``rows`` picks one repeat by a hash of its own values (of
+    ``spread_by``, when the others are long), so the rows of a hot key go to ``splits`` tasks.  When ``per_key`` turns
     out small, adaptive execution still replaces the join by a broadcast, on
     its measured size.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"cannot spread a {how} join")
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(splits)).cast("int")
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by or rows.columns]), F.lit(splits)).cast("int")
     salted = rows.withColumn("_split", salt)
     repeats = F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))
     copies = per_key.withColumn("_split", repeats)
     return salted.join(copies, [*keys, "_split"], how).drop("_split")
+
+
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast when a count finds at most ``rows`` short rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["rollup_queries", "metric_queries", "text_queries"]
+MODULES = [
+    "rollup_queries", "metric_queries", "text_queries", "judging_queries", "curation_queries", "io_queries",
+]
 
 
 def load():
