@@ -81,23 +81,40 @@ def citation_spans(sentences: DataFrame, keys: Sequence[str] = DOC_KEYS) -> Data
     ).withColumn("kind", kind)
 
 
+def _disjoint(intervals: Column) -> Column:
+    """Sorted intervals with overlapping ones merged."""
+    none = F.array().cast("array<struct<low:bigint,high:bigint>>")
+
+    def add(done: Column, i: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        wider = F.struct(last["low"].alias("low"), F.greatest(last["high"], i["high"]).alias("high"))
+        return F.when(
+            F.coalesce(i["low"] <= last["high"], F.lit(False)),
+            F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(wider)),
+        ).otherwise(F.concat(done, F.array(i)))
+
+    return F.aggregate(F.array_sort(intervals), none, add)
+
+
 def numeric_citations(
     sentences: DataFrame, keys: Sequence[str] = DOC_KEYS, strict: bool = False, block: int = 1000
 ) -> DataFrame:
     """Distinct cited numbers per sentence.
 
-    A range is written out ``block`` numbers at a time, so a mistyped
-    ``[1]-[999999999]`` never becomes one huge array.
+    Overlapping ranges are merged in the row, so no number comes twice and
+    nothing is exchanged.  A range is written out ``block`` numbers at a time,
+    so a mistyped ``[1]-[999999999]`` never becomes one huge array.
     """
     keys = [*keys, "sent_no"]
-    intervals = sentences.select(
-        *keys, F.explode(F.array_distinct(number_intervals(F.col("sentence"), strict))).alias("i")
+    citing = settled(
+        sentences.filter(F.contains("sentence", F.lit("["))), keys,
+        found=number_intervals(F.col("sentence"), strict),
     )
-    blocks = intervals.select(
-        *keys, F.col("i.high").alias("high"), F.explode(F.sequence("i.low", "i.high", F.lit(block))).alias("low")
+    blocks = citing.select(*keys, F.inline(_disjoint(F.col("found")))).select(
+        *keys, "high", F.explode(F.sequence("low", "high", F.lit(block))).alias("start")
     )
-    last = F.least(F.col("high"), F.col("low") + block - 1)
-    return blocks.select(*keys, F.explode(F.sequence("low", last)).alias("ref_no")).distinct()
+    last = F.least(F.col("high"), F.col("start") + block - 1)
+    return blocks.select(*keys, F.explode(F.sequence("start", last)).alias("ref_no"))
 
 
 def _lookup(refs: Column, key: Column) -> Column:
@@ -145,7 +162,7 @@ def _with_references(contents: DataFrame, keys: list[str], **extra: Column) -> D
     return settled(unique, [*names, "refs"], numbered=numbered)
 
 
-def _cited(sentence: Column, strict: bool) -> Column:
+def _cited(sent_no: Column, sentence: Column, strict: bool) -> Column:
     """What a sentence cites: number intervals, then keys in order."""
     names = F.zip_with(
         find_all(sentence, NAME_THEN_YEAR, 1),
@@ -159,6 +176,7 @@ def _cited(sentence: Column, strict: bool) -> Column:
     keys = F.flatten(F.transform(spans, lambda s: stripped_parts(F.split(F.btrim(s, F.lit("[]")), ";"))))
     plain = F.transform(keys, lambda k: F.struct(k.alias("key"), k.alias("other")))
     return F.struct(
+        sent_no.alias("sent_no"),
         sentence.alias("sentence"),
         number_intervals(sentence, strict).alias("numbers"),
         F.concat(names, plain).alias("keys"),
@@ -190,18 +208,30 @@ def _resolved(cited: Column, refs: Column, numbered: Column) -> Column:
 
 def _direct(contents: DataFrame, keys: list[str], strict: bool, *carry: str) -> DataFrame:
     """One row per document with ``hits``: (sent_no, sentence, refs) found."""
-    split = F.transform(sentence_array(F.col("main_content")), square_brackets)
-    with_refs = _with_references(contents, keys, split=split, **{c: F.col(c) for c in carry})
+    with_refs = _with_references(
+        contents, keys, split=sentence_array(F.col("main_content")), **{c: F.col(c) for c in carry}
+    )
     kept = [*keys, *carry, "refs", "numbered"]
-    cited = settled(with_refs, kept, cited=F.transform("split", lambda s: _cited(s, strict)))
+    # a sentence without any bracket cites nothing here
+    citing = F.filter(
+        F.transform("split", lambda s, i: F.struct(i.alias("sent_no"), s.alias("sentence"))),
+        lambda s: F.contains(s["sentence"], F.lit("[")) | F.contains(s["sentence"], F.lit("(")),
+    )
+    squared = settled(
+        with_refs, kept,
+        squared=F.transform(
+            citing,
+            lambda s: F.struct(s["sent_no"].alias("sent_no"), square_brackets(s["sentence"]).alias("sentence")),
+        ),
+    )
+    cited = settled(
+        squared, kept, cited=F.transform("squared", lambda s: _cited(s["sent_no"], s["sentence"], strict))
+    )
     hits = F.transform(
-        "cited",
-        lambda c, i: F.struct(
-            i.alias("sent_no"), c["sentence"].alias("sentence"),
-            F.when(
-                (F.size(c["numbers"]) > 0) | (F.size(c["keys"]) > 0),
-                _resolved(c, F.col("refs"), F.col("numbered")),
-            ).otherwise(F.array().cast("array<string>")).alias("references"),
+        F.filter("cited", lambda c: (F.size(c["numbers"]) > 0) | (F.size(c["keys"]) > 0)),
+        lambda c: F.struct(
+            c["sent_no"].alias("sent_no"), c["sentence"].alias("sentence"),
+            _resolved(c, F.col("refs"), F.col("numbered")).alias("references"),
         ),
     )
     return settled(cited, kept, hits=F.filter(hits, lambda h: F.size(h["references"]) > 0))

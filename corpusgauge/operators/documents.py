@@ -34,13 +34,7 @@ NUMBERED_LINE = r"^\[\d+\]"
 REFERENCE_WORD = rf"{LEFT_EDGE}(?:bibliography|references?){RIGHT_EDGE}"
 NEXT_HEADING = rf"^#{{1,6}}{WS}+{NOT_WS}+"
 
-# Each pattern takes the whole text apart: group 1 before the mark, group 2
-# from it on.  Lazy heads find the first mark, the greedy one the last.
-_EXACT = rf"(?dim)\A((?s:.*?)){EXACT_HEADING}((?s:.*))\z"
-_LOOSE = rf"(?dim)\A((?s:.*?)){LOOSE_HEADING}((?s:.*))\z"
-_NUMBERED = rf"(?dm)\A((?s:.*?))({NUMBERED_LINE}(?s:.*))\z"
 _LAST_WORD = rf"(?is)\A(.*){REFERENCE_WORD}(.*)\z"
-_BLOCK = rf"(?dm)\A((?s:.*?))(?:{NEXT_HEADING}((?s:.*)))?\z"
 
 # Markdown and LaTeX features.
 IMAGE = r"(?d)!\[.*?\]\(.*?\)"
@@ -70,13 +64,16 @@ def reference_tier(md: Column) -> Column:
     )
 
 
-def _part(md: Column, tier: Column, group: int) -> Column:
+def _around(md: Column, tier: Column) -> Column:
+    """[text before the mark, text from it on]; splitting once finds both."""
     return (
-        F.when(tier == 1, F.regexp_extract(md, _EXACT, group))
-        .when(tier == 2, F.regexp_extract(md, _LOOSE, group))
-        .when(tier == 3, F.regexp_extract(md, _NUMBERED, group))
-        .when(tier == 4, F.regexp_extract(md, _LAST_WORD, group))
-        .otherwise(md if group == 1 else F.lit(""))
+        F.when(tier == 1, F.split(md, f"(?dim){EXACT_HEADING}", 2))
+        .when(tier == 2, F.split(md, f"(?dim){LOOSE_HEADING}", 2))
+        # an empty match at the very start would not split
+        .when(md.rlike(rf"\A{NUMBERED_LINE[1:]}") & (tier == 3), F.array(F.lit(""), md))
+        .when(tier == 3, F.split(md, f"(?dm)(?={NUMBERED_LINE})", 2))
+        .when(tier == 4, F.array(F.regexp_extract(md, _LAST_WORD, 1), F.regexp_extract(md, _LAST_WORD, 2)))
+        .otherwise(F.array(md, F.lit("")))
     )
 
 
@@ -89,16 +86,18 @@ def split_content_refs(
     content goes on after that heading's first word.
     """
     keys = list(keys)
-    md, tier = F.col(text), F.col("tier")
-    tiered = settled(docs, [*keys, text], tier=reference_tier(md))
-    cut = settled(tiered, [*keys, "tier"], before=_part(md, tier, 1), after=_part(md, tier, 2))
+    tier = F.col("tier")
+    tiered = settled(docs, [*keys, text], tier=reference_tier(F.col(text)))
+    cut = settled(tiered, [*keys, "tier"], around=_around(F.col(text), tier))
+    before, after = F.get("around", F.lit(0)), F.get("around", F.lit(1))
     bounded = tier.isin(1, 2, 4)
-    block = F.when(bounded, F.regexp_extract("after", _BLOCK, 1)).otherwise(F.col("after"))
-    tail = F.regexp_extract("after", _BLOCK, 2)
-    main = F.when(
-        bounded, F.concat(strip(F.col("before")), F.lit("\n"), strip(tail))
-    ).otherwise(strip(F.col("before")))
-    return cut.select(*keys, "tier", main.alias("main_content"), strip(block).alias("ref_block"))
+    listed = F.when(bounded, F.split(after, f"(?dm){NEXT_HEADING}", 2)).otherwise(F.array(after))
+    parts = settled(cut, [*keys, "tier"], head=strip(before), listed=listed)
+    tail = strip(F.coalesce(F.get("listed", F.lit(1)), F.lit("")))
+    main = F.when(bounded, F.concat("head", F.lit("\n"), tail)).otherwise(F.col("head"))
+    return parts.select(
+        *keys, "tier", main.alias("main_content"), strip(F.get("listed", F.lit(0))).alias("ref_block")
+    )
 
 
 def sections_by_hash(

@@ -89,14 +89,13 @@ def word_frequency(
     by = list(by)
     stops = stop_words() if stops is None else list(stops)
     word = F.col("word")
+    # cheap tests before counting, patterns once per distinct word after it
     tokens = texts.select(*by, F.explode(plain_words(F.col(text))).alias("word")).filter(
-        (F.length(word) >= 3)
-        & word.rlike(r"\A[\p{L}\p{N}]+\z")
-        & ~word.rlike(r"\p{Nd}")
-        & word.rlike("[aeiouy]")
-        & ~word.isin(stops)
+        (F.length(word) >= 3) & ~word.isin(stops)
+    )
+    counts = tokens.groupBy(*by, "word").agg(F.count("*").alias("count")).filter(
+        word.rlike(r"\A[\p{L}\p{N}]+\z") & ~word.rlike(r"\p{Nd}") & word.rlike("[aeiouy]")
     )
-    counts = tokens.groupBy(*by, "word").agg(F.count("*").alias("count"))
     if dictionary is not None:
         terms = word.isin(TECHNICAL_TERMS)
         known = dictionary.select(F.col("word").alias("entry")).distinct()

@@ -86,9 +86,9 @@ def _held(t, above: int = 495):
     return papers.select("category", "arxiv_id").distinct()
 
 
-@register("top_cited", ("v_papers",), _top_cited_oracle([c for c in Q.CATEGORY_PARTS if c in ("cs", "stat", "math", "econ")], 120))
+@register("top_cited", ("v_papers",), _top_cited_oracle([c for c in Q.CATEGORY_PARTS if c in ("cs", "stat", "math", "econ")], 400))
 def top_cited(t):
-    out = Q.top_cited(t.v_papers, NOW, num=120, held=_held(t))
+    out = Q.top_cited(t.v_papers, NOW, num=400, held=_held(t))
     return out.select("category", "arxiv_id", "title", "citation_count", "rank")
 
 
@@ -98,12 +98,12 @@ held AS (SELECT DISTINCT category, arxiv_id FROM p WHERE citation_count > 495),
 have AS (SELECT category, count(*) AS n FROM held GROUP BY category),
 new AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY citation_count DESC, arxiv_id) AS rank FROM one o
  WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.category = o.category AND h.arxiv_id = o.arxiv_id))
-SELECT n.category, arxiv_id, citation_count, rank FROM new n LEFT JOIN have h ON n.category = h.category WHERE rank <= 100 - coalesce(h.n, 0)""")
+SELECT n.category, arxiv_id, citation_count, rank FROM new n LEFT JOIN have h ON n.category = h.category WHERE rank <= 400 - coalesce(h.n, 0)""")
 def existing_exclude(t):
     candidates = Q.category_rollup(t.v_papers).groupBy("category", "arxiv_id").agg(
         F.max("citation_count").alias("citation_count")
     )
-    return Q.existing_exclude(candidates, _held(t), num=100)
+    return Q.existing_exclude(candidates, _held(t), num=400)
 
 
 _CLUSTERS = """

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusgauge.session import widened
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -122,8 +124,13 @@ SELECT category, topic, system, facet,
 """
 
 
+# long texts that are parsed row by row
+TEXT_TABLES = ("documents", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return widened(df) if name in TEXT_TABLES else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -57,3 +57,14 @@ def written_once(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(checkpoint_root(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def widened(df: DataFrame) -> DataFrame:
+    """``df`` on as many tasks as there are cores when its files give fewer.
+
+    Parsers work within a row and keep the partitioning of their input, so a
+    corpus in a single small file would run on a single core.  A corpus with
+    at least as many splits as cores is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
