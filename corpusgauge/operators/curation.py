@@ -3,7 +3,6 @@ r"""Choosing papers: title filter, time windows, citations, clusters."""
 from __future__ import annotations
 
 import datetime as dt
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -54,15 +53,18 @@ WINDOW_DAYS = 365
 MAX_WINDOWS = 10
 
 
-def _any_of(phrases: Sequence[str]) -> str:
-    return "|".join(re.escape(p) for p in phrases)
+def _any_of(text: Column, phrases: Sequence[str]) -> Column:
+    out = F.lit(False)
+    for phrase in phrases:
+        out = out | F.contains(text, F.lit(phrase))
+    return out
 
 
 def survey_title_filter(papers: DataFrame) -> DataFrame:
     """Papers that look like surveys by title or summary."""
     title, summary = F.lower("title"), F.lower("summary")
-    good = _any_of(GOOD_PHRASES)
-    return papers.filter(~title.rlike(_any_of(BAD_PHRASES)) & (title.rlike(good) | summary.rlike(good)))
+    wanted = _any_of(title, GOOD_PHRASES) | _any_of(summary, GOOD_PHRASES)
+    return papers.filter(~_any_of(title, BAD_PHRASES) & wanted)
 
 
 def coarse_category(fine: Column) -> Column:

@@ -104,12 +104,11 @@ def ref_batches(
 def ref_number_runs(refs: DataFrame, keys: Sequence[str] = DOC_KEYS) -> DataFrame:
     """Unbroken runs of reference numbers; the one from 1 is marked."""
     keys = list(keys)
-    numbers = (
-        refs.filter(F.col("ref_id").rlike(r"\A[0-9]{1,9}\z"))
-        .select(*keys, F.col("ref_id").cast("int").alias("n"))
-        .distinct()
+    numbers = refs.filter(F.col("ref_id").rlike(r"\A[0-9]{1,9}\z")).select(
+        *keys, F.col("ref_id").cast("int").alias("n")
     )
-    island = F.col("n") - F.row_number().over(Window.partitionBy(*keys).orderBy("n"))
+    # equal numbers share a rank, and the groups below keep the exchange of the window
+    island = F.col("n") - F.dense_rank().over(Window.partitionBy(*keys).orderBy("n"))
     return (
         numbers.withColumn("island", island)
         .groupBy(*keys, "island")

@@ -23,15 +23,31 @@ BLOCK = 2048
 SLACK = 1e-9
 
 
-def _numbered(items: DataFrame, group: list[str], ids: list[str], name: str, size: int) -> DataFrame:
-    """Items with the block each belongs to, blocks of about ``size``.
+def _block_counts(queries: DataFrame, stored: DataFrame, group: list[str], size: int) -> DataFrame:
+    """Blocks of about ``size`` per group on either side, groups that have both."""
+    rows = queries.select(*group, F.lit(1).alias("q"), F.lit(0).alias("s")).unionByName(
+        stored.select(*group, F.lit(0).alias("q"), F.lit(1).alias("s"))
+    )
+    counts = rows.groupBy(*group).agg(F.sum("q").alias("q"), F.sum("s").alias("s"))
+    return counts.filter("q > 0 AND s > 0").select(
+        *group,
+        F.ceil(F.col("q") / size).cast("int").alias("q_blocks"),
+        F.ceil(F.col("s") / size).cast("int").alias("s_blocks"),
+    )
+
 
-    The block follows from the item's own id, so a repeated task rebuilds it.
+def _placed(items: DataFrame, counts: DataFrame, group: list[str], ids: list[str], own: str, other: str) -> DataFrame:
+    """Items with the block they belong to, once per block of the other side.
+
+    The block follows from the item's own id, so a repeated task rebuilds it,
+    and a pair of blocks has a key, and so a task, of its own.
     """
-    counts = items.groupBy(*group).agg(F.ceil(F.count("*") / size).cast("int").alias(f"{name}_blocks"))
     counted = spread_join(items, counts, group, "inner", spread_by=ids)
-    block = F.pmod(F.xxhash64(*[F.col(c) for c in ids]), F.col(f"{name}_blocks")).cast("int")
-    return counted.withColumn(f"{name}_block", block)
+    block = F.pmod(F.xxhash64(*[F.col(c) for c in ids]), F.col(f"{own}_blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1))
+    return counted.select(*items.columns, block.alias(f"{own}_block"), F.col(f"{other}_blocks")).withColumn(
+        f"{other}_block", every
+    ).drop(f"{other}_blocks")
 
 
 def _distances(rows: np.ndarray, one: np.ndarray, metric: str) -> np.ndarray:
@@ -80,26 +96,16 @@ def knn_query(
     if metric not in ("l2sq", "cosine"):
         raise ValueError(f"unknown metric {metric}")
     group, ids = list(group), list(ids)
-    q = _numbered(queries.select(*group, *ids, "embedding"), group, ids, "q", block)
+    counts = _block_counts(queries, stored, group, block)
     # fresh names: the stored items are often a part of the queries
+    s_group = [f"s_{c}" for c in group]
     fresh = stored.select(
         *[F.col(c).alias(f"s_{c}") for c in group],
         F.col("item_no").cast("bigint").alias("near_id"), F.col("embedding").alias("s_embedding"),
     )
-    s_group = [f"s_{c}" for c in group]
-    s = _numbered(fresh, s_group, ["near_id"], "s", block)
-    # every block goes out once per block of the other side, so that a pair of
-    # blocks has a key, and a task, of its own
-    q_sizes = q.select(*[F.col(c).alias(f"s_{c}") for c in group], "q_blocks").distinct()
-    s_sizes = s.select(*[F.col(f"s_{c}").alias(c) for c in group], "s_blocks").distinct()
-
-    def every(n: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-
-    left = spread_join(q.drop("q_blocks"), s_sizes, group, "inner", spread_by=ids)
-    right = spread_join(s.drop("s_blocks"), q_sizes, s_group, "inner", spread_by=["near_id"])
-    left = left.withColumn("s_block", every("s_blocks")).drop("s_blocks")
-    right = right.withColumn("q_block", every("q_blocks")).drop("q_blocks")
+    s_counts = counts.select(*[F.col(c).alias(f"s_{c}") for c in group], "q_blocks", "s_blocks")
+    left = _placed(queries.select(*group, *ids, "embedding"), counts, group, ids, "q", "s")
+    right = _placed(fresh, s_counts, s_group, ["near_id"], "s", "q")
 
     named = [f for f in queries.schema.fields if f.name in [*group, *ids]]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named)

@@ -97,10 +97,8 @@ def word_frequency(
         word.rlike(r"\A[\p{L}\p{N}]+\z") & ~word.rlike(r"\p{Nd}") & word.rlike("[aeiouy]")
     )
     if dictionary is not None:
-        terms = word.isin(TECHNICAL_TERMS)
         known = dictionary.select(F.col("word").alias("entry")).distinct()
-        counts = counts.filter(terms).unionByName(
-            counts.filter(~terms).join(known, F.col("word") == F.col("entry"), "left_semi")
-        )
+        listed = counts.join(known, F.col("word") == F.col("entry"), "left")
+        counts = listed.filter(F.col("entry").isNotNull() | word.isin(TECHNICAL_TERMS)).drop("entry")
     order = Window.partitionBy(*by).orderBy(F.col("count").desc(), F.col("word"))
     return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)

@@ -52,11 +52,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def written_once(df: DataFrame) -> DataFrame:
-    """``df`` behind a reliable checkpoint: read many times, survives executors."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_root(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """``df`` as a table in the shared folder: computed once, read many times.
+
+    The files outlive the executors that wrote them, and their sizes and
+    columns are known to the plans that read them.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def widened(df: DataFrame) -> DataFrame:
