@@ -61,10 +61,14 @@ def _any_of(text: Column, phrases: Sequence[str]) -> Column:
 
 
 def survey_title_filter(papers: DataFrame) -> DataFrame:
-    """Papers that look like surveys by title or summary."""
-    title, summary = F.lower("title"), F.lower("summary")
-    wanted = _any_of(title, GOOD_PHRASES) | _any_of(summary, GOOD_PHRASES)
-    return papers.filter(~_any_of(title, BAD_PHRASES) & wanted)
+    """Papers that look like surveys by title or summary.
+
+    The one-element arrays give the lower-case text a name, so it is made
+    once per row and not once per phrase.
+    """
+    good = F.exists(F.array(F.lower("title"), F.lower("summary")), lambda t: _any_of(t, GOOD_PHRASES))
+    bad = F.exists(F.array(F.lower("title")), lambda t: _any_of(t, BAD_PHRASES))
+    return papers.filter(~bad & good)
 
 
 def coarse_category(fine: Column) -> Column:
@@ -172,13 +176,24 @@ def top_cited(
                 taken = taken | F.coalesce(F.col(f"w{m}") <= reach[m], F.lit(False))
         return F.when(~taken, F.col(f"w{n}"))
 
-    for n in ranks.values():
-        has = F.count_if(F.coalesce(F.col(f"h{n}"), F.lit(False)))
-        per_window = [F.count_if(free(n) <= w) for w in range(max_windows)]
-        have, *counts = seen.agg(has, *per_window).first()
-        needs.append(max(num - have, 0))
-        enough = [w for w, c in enumerate(counts) if c >= needs[n]]
-        reach.append(-1 if needs[n] == 0 else (enough[0] if enough else max_windows - 1))
+    have = {}
+    if held is not None:
+        per_category = held.groupBy("category").agg(F.count_distinct("arxiv_id").alias("n"))
+        have = {r.category: r.n for r in per_category.filter(F.col("category").isin(list(order))).collect()}
+    for c, n in ranks.items():
+        needs.append(max(num - have.get(c, 0), 0))
+        if needs[n] == 0:
+            reach.append(-1)
+            continue
+        # at most one row per window comes back
+        sizes = {r.w: r.n for r in seen.groupBy(free(n).alias("w")).agg(F.count("*").alias("n")).collect()}
+        total, far = 0, max_windows - 1
+        for w in range(max_windows):
+            total += sizes.get(w, 0)
+            if total >= needs[n]:
+                far = w
+                break
+        reach.append(far)
 
     owned = F.array(
         *[

@@ -302,22 +302,57 @@ loose AS (SELECT {K}, generate_subscripts(s, 1) - 1 AS sent_no, unnest(s) AS sen
 """
 
 
-@register("cite_fallback_numbers")
+# a letter after a number marks it as standing alone; twice, as neighbours share a character
+_MARK = "ꙮ"
+_ALONE = r"(^|[^0-9])([0-9]{1,3})($|[^\p{L}\p{N}_])"
+_BARE = rf"[0-9]{{1,3}}{_MARK}(?:{WS}*[–-]{WS}*[0-9]{{1,3}}{_MARK})?"
+BARE = rf"""
+nohit AS (SELECT l.* FROM loose l WHERE NOT EXISTS (SELECT 1 FROM cited c WHERE c.category = l.category AND c.topic = l.topic AND c.system = l.system)),
+tok AS (SELECT {K}, sent_no, generate_subscripts(ts, 1) AS i, unnest(ts) AS t FROM (SELECT {K}, sent_no,
+  regexp_extract_all(regexp_replace(regexp_replace(sentence, '{_ALONE}', '\1\2{_MARK}\3', 'g'), '{_ALONE}', '\1\2{_MARK}\3', 'g'), '{_BARE}') AS ts FROM nohit) x),
+ends AS (SELECT {K}, sent_no, i, cast(regexp_extract(t, '^([0-9]+)', 1) AS bigint) AS low, cast(regexp_extract(t, '([0-9]+){_MARK}$', 1) AS bigint) AS high FROM tok),
+bare_iv AS (SELECT {K}, sent_no, i, 0 AS j, low, high FROM ends WHERE low <= high
+ UNION ALL SELECT {K}, sent_no, i, 0, low, low FROM ends WHERE low > high UNION ALL SELECT {K}, sent_no, i, 1, high, high FROM ends WHERE low > high),
+kept AS (SELECT * FROM bare_iv t WHERE low < high OR NOT EXISTS (SELECT 1 FROM bare_iv r WHERE r.category = t.category AND r.topic = t.topic AND r.system = t.system
+  AND r.sent_no = t.sent_no AND r.low < r.high AND t.low BETWEEN r.low AND r.high)),
+folded AS (SELECT {K}, list_reduce(list_concat([[cast(0 AS bigint)]], list([low, high, cast(sent_no AS bigint)] ORDER BY sent_no, i, j)),
+  lambda a, x: CASE WHEN x[2] <= a[1] + 1 THEN list_concat([greatest(a[1], x[2])], list_concat(a[2:], x)) ELSE a END) AS f FROM kept GROUP BY {K}),
+accepted AS (SELECT {K}, n, f[3 * n + 2] AS low, f[3 * n + 3] AS high, f[3 * n + 4] AS sent_no FROM (SELECT {K}, f, unnest(range((len(f) - 1) // 3)) AS n FROM folded) x),
+bare_hits AS (SELECT a.category, a.topic, a.system, a.sent_no, l.ref_id, l.ref_text, min(a.n * 10000 + cast(l.ref_id AS bigint)) AS o FROM accepted a
+ JOIN lookup l ON l.category = a.category AND l.topic = a.topic AND l.system = a.system AND regexp_full_match(l.ref_id, '0|[1-9]\d{{0,17}}') AND try_cast(l.ref_id AS bigint) BETWEEN a.low AND a.high
+ WHERE l.ref_text <> '' GROUP BY ALL),
+by_bare AS (SELECT h.category, h.topic, h.system, l.sent_no, l.sentence, string_agg('[' || ref_id || '] ' || ref_text, ';' ORDER BY o) AS refs FROM bare_hits h JOIN loose l USING (category, topic, system, sent_no) GROUP BY ALL)
+"""
+_ALL_PARTS = f"{PARTS}, {SENTENCES}, {ENTRIES}, {LOOKUP}, {RESOLVED}, {LOOSE}, {BARE}"
+
+
+@register("cite_fallback_numbers", ("v_docs",), f"WITH {_ALL_PARTS} SELECT {K}, sent_no, sentence, refs AS references FROM by_bare")
 def cite_fallback_numbers(t):
     out = C.cite_fallback_numbers(_contents(t))
     return out.withColumn("references", F.array_join("references", ";"))
 
 
+_SURNAME_HIT = r"regexp_matches(r.ref_id, '^\[?[A-Z]') AND r.ref_text <> '' AND contains(l.sentence, regexp_extract(r.ref_id, '^\[?([A-Z][A-Za-z\-]*)', 1))"
+
+
 @register("cite_fallback_surnames", ("v_docs",), f"""WITH {PARTS}, {SENTENCES}, {ENTRIES}, {LOOKUP}, {LOOSE}
 SELECT l.category, l.topic, l.system, l.sent_no, l.sentence, string_agg(r.ref_id || ' ' || r.ref_text, ';' ORDER BY r.ref_at) AS references_text
 FROM loose l JOIN lookup r ON r.category = l.category AND r.topic = l.topic AND r.system = l.system
-WHERE regexp_matches(r.ref_id, '^\\[?[A-Z]') AND r.ref_text <> '' AND contains(l.sentence, regexp_extract(r.ref_id, '^\\[?([A-Z][A-Za-z\\-]*)', 1))
+WHERE {_SURNAME_HIT}
 GROUP BY l.category, l.topic, l.system, l.sent_no, l.sentence""")
 def cite_fallback_surnames(t):
     out = C.cite_fallback_surnames(_contents(t))
     return out.select("category", "topic", "system", "sent_no", "sentence", F.array_join("references", ";").alias("references_text"))
 
 
-@register("citations")
+_NOT_IN = "NOT EXISTS (SELECT 1 FROM {0} c WHERE c.category = l.category AND c.topic = l.topic AND c.system = l.system)".format
+
+
+@register("citations", ("v_docs",), f"""WITH {_ALL_PARTS}
+SELECT {K}, 1 AS stage, sent_no, sentence, refs AS references FROM cited
+UNION ALL SELECT {K}, 2, sent_no, sentence, refs FROM by_bare
+UNION ALL SELECT l.category, l.topic, l.system, 3, l.sent_no, l.sentence, string_agg(r.ref_id || ' ' || r.ref_text, ';' ORDER BY r.ref_at)
+FROM loose l JOIN lookup r ON r.category = l.category AND r.topic = l.topic AND r.system = l.system
+WHERE {_SURNAME_HIT} AND {_NOT_IN('cited')} AND {_NOT_IN('by_bare')} GROUP BY ALL""")
 def citations(t):
     return C.citations(_contents(t)).withColumn("references", F.array_join("references", ";"))
