@@ -108,12 +108,13 @@ def papers_in_window(papers: DataFrame, start: dt.datetime, end: dt.datetime) ->
 
 
 def _once(papers: DataFrame, keys: list[str], *first: Column) -> DataFrame:
-    """One row per key: by ``first``, then newest, then lowest title."""
+    """One row per key: by ``first``, then newest, lowest title, lowest other values."""
     rest = [c for c in papers.columns if c not in keys]
     # min/max over a struct is partially aggregated, so copies of one id fold early
     rank = F.struct(
         *[c.alias(f"_f{n}") for n, c in enumerate(first)],
         (-F.unix_micros(F.col("published").cast("timestamp"))).alias("_age"), F.col("title").alias("_title"),
+        F.struct(*rest).alias("_rest"),
     )
     best = papers.groupBy(*keys).agg(F.min_by(F.struct(*rest), rank).alias("p"))
     return best.select(*keys, "p.*")

@@ -115,6 +115,11 @@ def _wide(long: DataFrame, group: Sequence[str], metrics: Sequence[str]) -> Data
     return long.groupBy(*group).agg(*cells)
 
 
+def results_table(scores: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
+    """One row per result file, a column per metric: the table written as CSV."""
+    return _wide(scores, ["topic", "system", "model", "category"], metrics)
+
+
 def leaderboard(adjusted: DataFrame, baseline: str = BASELINE) -> DataFrame:
     """Three rows per system and model: plain, balanced and perfect.
 

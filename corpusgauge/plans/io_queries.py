@@ -12,6 +12,7 @@ from corpusgauge.operators import rollup as R
 from corpusgauge.plans.registry import half_up_sql as hu
 from corpusgauge.plans.registry import register
 from corpusgauge.plans.text_queries import trim_sql
+from corpusgauge.schema import METRICS
 from corpusgauge.session import scratch_path
 from corpusgauge.sources import corpus as S
 from corpusgauge.sources import sinks
@@ -96,13 +97,25 @@ def scan_refs_json(t):
     return S.scan_refs_json(t.documents.select("doc_id", raw.alias("raw")), keys=["doc_id"])
 
 
-@register("csv_round_trip", ("v_scores",), "SELECT category, topic, system, model, metric, value FROM v_scores")
-def csv_round_trip(t):
+@register("scan_csv", ("v_scores",), "SELECT category, topic, system, model, metric, value FROM v_scores")
+def scan_csv(t):
     path = scratch_path(t.spark, "scores-csv")
     sinks.write_csv(t.v_scores, path)
     return S.scan_csv(t.spark, path, "category string, topic string, system string, model string, metric string, value double")
 
 
+_AS_TEXT = ", ".join(f"cast(max(CASE WHEN metric = '{m}' THEN value END) AS varchar) AS {m}" for m in METRICS)
+
+
+@register("write_csv", ("v_scores",), f"SELECT topic, system, model, category, {_AS_TEXT} FROM v_scores GROUP BY topic, system, model, category")
+def write_csv(t):
+    """The result tables, a folder per category, read back as written."""
+    path = scratch_path(t.spark, "results-csv")
+    sinks.write_csv(R.results_table(t.v_scores), path, partition_by=["category"])
+    columns = ", ".join(f"{c} string" for c in ["topic", "system", "model", *METRICS, "category"])
+    return S.scan_csv(t.spark, path, columns)
+
+
 @register("write_nested_averages", ("v_scores",), f"""WITH a AS (SELECT category, system, model, metric, {hu('avg(value)', 4)} AS value FROM v_scores GROUP BY category, system, model, metric),
 m AS (SELECT category, system, model, '{{' || string_agg('"' || metric || '":' || value, ',' ORDER BY metric) || '}}' AS j FROM a GROUP BY category, system, model),
 s AS (SELECT category, system, '{{' || string_agg('"' || model || '":' || j, ',' ORDER BY model) || '}}' AS j FROM m GROUP BY category, system)

@@ -80,7 +80,32 @@ def density_similarity(t):
     return M.density_similarity(t.v_density, baseline="s0")
 
 
-@register("density_pca")
+_START = "[1.0, 0.9, 0.8, 0.7, 0.6]::DOUBLE[]"
+
+
+def _power(name: str, matrix: str) -> str:
+    """Leading eigenvector of ``matrix`` by repeated multiplication."""
+    return f"""
+{name}_steps(n, v) AS (SELECT 0, {_START} UNION ALL SELECT n + 1, list_transform(w, lambda e: e / sqrt(list_dot_product(w, w)))
+ FROM (SELECT n, list_transform(m, lambda r: list_dot_product(r, v)) AS w FROM {name}_steps, {matrix} WHERE n < 4000) x),
+{name} AS (SELECT arg_max(v, n) AS v FROM {name}_steps)"""
+
+
+_X = ", ".join(f"coalesce(cast({c} AS double), 0)" for c in DENSITIES)
+_MU = ", ".join(f"avg(x[{n}])" for n in range(1, 6))
+
+
+@register("density_pca", ("v_density",), f"""WITH RECURSIVE
+d AS (SELECT category, system, model, [{_X}] AS x FROM v_density),
+mu AS (SELECT [{_MU}] AS mu FROM d),
+c AS (SELECT category, system, model, list_transform(list_zip(x, mu), lambda z: z[1] - z[2]) AS x FROM d, mu),
+cov AS (SELECT i, j, sum(x[i] * x[j]) AS s FROM c, range(1, 6) a(i), range(1, 6) b(j) GROUP BY i, j),
+mat AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(s ORDER BY j) AS r FROM cov GROUP BY i) y),
+{_power('one', 'mat')},
+lam AS (SELECT v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS l FROM one, mat),
+rest AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(s - l * v[i] * v[j] ORDER BY j) AS r FROM cov, lam GROUP BY i) y),
+{_power('two', 'rest')}
+SELECT category, system, model, {hu('abs(list_dot_product(x, one.v))', 6)} AS pc1, {hu('abs(list_dot_product(x, two.v))', 6)} AS pc2 FROM c, one, two""")
 def density_pca(t):
     out = M.density_pca(t.v_density)
     return out.withColumns({c: half_up(F.abs(c), 6) for c in ("pc1", "pc2")})
