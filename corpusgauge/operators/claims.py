@@ -127,11 +127,12 @@ def numeric_grounding(claims: DataFrame, keys: Sequence[str] = ("doc", "sent_no"
         .groupBy(*keys).agg(F.max("wanted").alias("wanted"), F.count_distinct("number").alias("seen"))
         .select(*keys, (F.col("wanted") == F.col("seen")).alias("complete"))
     )
-    judged = checked.join(seen, keys)
-    kept = (
-        judged.filter("complete AND grounded")
-        .groupBy(*keys, F.col("fixed").alias("claim")).agg(F.min("claim_no").alias("claim_no"))
-        .select(*keys, "claim_no", "claim", F.lit(True).alias("grounded"))
+    judged = checked.join(seen, keys).filter("grounded OR NOT complete")
+    # repeats fold among the changed claims only: the others keep a key of their own
+    single = F.when(F.col("complete"), F.lit(-1)).otherwise(F.col("claim_no"))
+    return (
+        judged.withColumn("claim", F.when(F.col("complete"), F.col("fixed")).otherwise(F.col("claim")))
+        .groupBy(*keys, "claim", "complete", single.alias("single"))
+        .agg(F.min("claim_no").alias("claim_no"))
+        .select(*keys, "claim_no", "claim", F.col("complete").alias("grounded"))
     )
-    original = judged.filter("NOT complete").select(*keys, "claim_no", "claim", F.lit(False).alias("grounded"))
-    return kept.unionByName(original)

@@ -16,7 +16,6 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgauge.functions.joins import spread_join
 from corpusgauge.functions.text import strip
 from corpusgauge.operators.metrics import pairwise_assign
 from corpusgauge.schema import CONTENT_CRITERIA, DOC_KEYS, FACET_METRICS
@@ -117,9 +116,9 @@ def comparison_requests(
     Which of the two comes first is a hash of the key, kept in ``swapped``.
     """
     where = ["category", "topic", "facet"]
-    pairs = spread_join(
-        texts, baseline.select(*where, F.col("text").alias("baseline_text")), where, "inner"
-    )
+    # baseline texts are long, so only adaptive execution repeats them, for the
+    # parts of a topic it finds oversized
+    pairs = texts.join(baseline.select(*where, F.col("text").alias("baseline_text")), where)
     placed = pairwise_assign(pairs, "text", "baseline_text", [*DOC_KEYS, "facet"], seed)
     return placed.select(*DOC_KEYS, "facet", "swapped", fill(template).alias("prompt"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusgauge.functions.joins import spread_join
 from corpusgauge.functions.numbers import half_up, ratio
-from corpusgauge.schema import BASELINE, DENSITIES, METRICS, RATIO_METRICS, facet_of
+from corpusgauge.schema import BASELINE, DENSITIES, FACET_METRICS, METRICS, RATIO_METRICS, facet_of
 
 
 def structure_score(verdicts: DataFrame, docs: DataFrame | None = None, keys: Sequence[str] = ("doc",)) -> DataFrame:
@@ -69,11 +69,6 @@ def reference_quality(verdicts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return _support(verdicts, keys).select(*keys, half_up(share * 100, 2).alias("value"))
 
 
-def _metric_facet(metric: Column) -> Column:
-    pairs = [F.lit(x) for m in METRICS for x in (m, facet_of(m))]
-    return F.create_map(*pairs)[metric]
-
-
 def sim_adjust(
     scores: DataFrame, similarity: DataFrame, baseline: str = BASELINE
 ) -> DataFrame:
@@ -85,32 +80,34 @@ def sim_adjust(
     ``facet`` and ``mean_score``.
     """
     doc = ["category", "topic", "system", "model"]
-    known = scores.filter(F.col("metric").isin(METRICS))
-    # one pass gives every document all ten metrics, the absent ones as null
+    # one row per result file, so that the joins move a tenth of the rows
     wide = scores.groupBy(*doc).agg(
         *[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in METRICS]
     )
-    cells = [F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS]
-    full = wide.select(*doc, F.inline(F.array(*cells)))
-    own = known.filter(F.col("system") == baseline).select(
-        "category", "topic", "model", "metric", F.col("value").alias("base")
+    own = scores.filter(F.col("system") == baseline).groupBy("category", "topic", "model").agg(
+        *[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(f"base_{m}") for m in METRICS]
     )
-    with_base = spread_join(full, own, ["category", "topic", "model", "metric"])
-    with_sim = with_base.withColumn("facet", _metric_facet(F.col("metric"))).join(
-        similarity.select("category", "topic", "system", "facet", "mean_score"),
-        ["category", "topic", "system", "facet"],
-        "left",
+    means = similarity.groupBy("category", "topic", "system").agg(
+        *[F.max(F.when(F.col("facet") == f, F.col("mean_score"))).alias(f"sim_{f}") for f in FACET_METRICS]
     )
-    s = F.coalesce("mean_score", F.lit(0.0))
-    plain = F.coalesce("value", F.lit(0.0))
-    best = F.when(F.col("metric").isin(RATIO_METRICS), 100.0).otherwise(5.0)
-    return with_sim.select(
-        "category", "topic", "system", "model", "metric",
-        plain.alias("plain"),
-        ((1 - s) * plain + s * F.coalesce("base", F.lit(0.0))).alias("balanced"),
-        ((1 - s) * plain + s * best).alias("perfect"),
+    joined = spread_join(wide, own, ["category", "topic", "model"], spread_by=doc).join(
+        means, ["category", "topic", "system"], "left"
     )
 
+    def known(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(0.0))
+
+    def cell(m: str) -> Column:
+        plain, base, s = known(m), known(f"base_{m}"), known(f"sim_{facet_of(m)}")
+        best = F.lit(100.0 if m in RATIO_METRICS else 5.0)
+        return F.struct(
+            F.lit(m).alias("metric"), plain.alias("plain"),
+            ((1 - s) * plain + s * base).alias("balanced"),
+            ((1 - s) * plain + s * best).alias("perfect"),
+        )
+
+    return joined.select(*doc, F.inline(F.array(*[cell(m) for m in METRICS])))
+
 
 def swap_of(*key: str, seed: int = 0) -> Column:
     """Whether the compared pair changes places; a fair hash of the key."""

@@ -16,38 +16,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusgauge.functions.joins import spread_join
+from corpusgauge.functions.joins import broadcast_if_small, spread_join
 from corpusgauge.schema import BASELINE, TOP_ITEMS
 
 BLOCK = 2048
 SLACK = 1e-9
 
 
-def _block_counts(queries: DataFrame, stored: DataFrame, group: list[str], size: int) -> DataFrame:
-    """Blocks of about ``size`` per group on either side, groups that have both."""
+def _large_groups(queries: DataFrame, stored: DataFrame, group: list[str], size: int) -> DataFrame:
+    """Number of blocks per group on either side, where it is not one and one."""
     rows = queries.select(*group, F.lit(1).alias("q"), F.lit(0).alias("s")).unionByName(
         stored.select(*group, F.lit(0).alias("q"), F.lit(1).alias("s"))
     )
     counts = rows.groupBy(*group).agg(F.sum("q").alias("q"), F.sum("s").alias("s"))
-    return counts.filter("q > 0 AND s > 0").select(
+    blocks = counts.filter("q > 0 AND s > 0").select(
         *group,
         F.ceil(F.col("q") / size).cast("int").alias("q_blocks"),
         F.ceil(F.col("s") / size).cast("int").alias("s_blocks"),
     )
+    return blocks.filter("q_blocks > 1 OR s_blocks > 1")
 
 
-def _placed(items: DataFrame, counts: DataFrame, group: list[str], ids: list[str], own: str, other: str) -> DataFrame:
+def _placed(
+    items: DataFrame, large: DataFrame, few: bool, group: list[str], ids: list[str], own: str, other: str
+) -> DataFrame:
     """Items with the block they belong to, once per block of the other side.
 
     The block follows from the item's own id, so a repeated task rebuilds it,
     and a pair of blocks has a key, and so a task, of its own.
     """
-    counted = spread_join(items, counts, group, "inner", spread_by=ids)
-    block = F.pmod(F.xxhash64(*[F.col(c) for c in ids]), F.col(f"{own}_blocks")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1))
-    return counted.select(*items.columns, block.alias(f"{own}_block"), F.col(f"{other}_blocks")).withColumn(
-        f"{other}_block", every
-    ).drop(f"{other}_blocks")
+    sized = items.join(large, group, "left") if few else spread_join(items, large, group, spread_by=ids)
+    one = F.lit(1)
+    mine, others = F.coalesce(f"{own}_blocks", one), F.coalesce(f"{other}_blocks", one)
+    block = F.pmod(F.xxhash64(*[F.col(c) for c in ids]), mine).cast("int")
+    return sized.select(
+        *items.columns, block.alias(f"{own}_block"), F.explode(F.sequence(F.lit(0), others - 1)).alias(f"{other}_block")
+    )
 
 
 def _distances(rows: np.ndarray, one: np.ndarray, metric: str) -> np.ndarray:
@@ -96,16 +100,20 @@ def knn_query(
     if metric not in ("l2sq", "cosine"):
         raise ValueError(f"unknown metric {metric}")
     group, ids = list(group), list(ids)
-    counts = _block_counts(queries, stored, group, block)
+    counted = _large_groups(queries, stored, group, block)
+    # as a rule few groups are large: their list is then broadcast, on a count,
+    # and the vectors move only once
+    large = broadcast_if_small(counted)
+    few = large is not counted
     # fresh names: the stored items are often a part of the queries
     s_group = [f"s_{c}" for c in group]
     fresh = stored.select(
         *[F.col(c).alias(f"s_{c}") for c in group],
         F.col("item_no").cast("bigint").alias("near_id"), F.col("embedding").alias("s_embedding"),
     )
-    s_counts = counts.select(*[F.col(c).alias(f"s_{c}") for c in group], "q_blocks", "s_blocks")
-    left = _placed(queries.select(*group, *ids, "embedding"), counts, group, ids, "q", "s")
-    right = _placed(fresh, s_counts, s_group, ["near_id"], "s", "q")
+    s_large = large.select(*[F.col(c).alias(f"s_{c}") for c in group], "q_blocks", "s_blocks")
+    left = _placed(queries.select(*group, *ids, "embedding"), large, few, group, ids, "q", "s")
+    right = _placed(fresh, s_large, few, s_group, ["near_id"], "s", "q")
 
     named = [f for f in queries.schema.fields if f.name in [*group, *ids]]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named)

@@ -80,10 +80,11 @@ def results_from_files(files: DataFrame) -> DataFrame:
     keyed = with_tree_keys(files).withColumn(
         "model", F.regexp_extract("file", r"\Aresults_(.*)\.json\z", 1)
     )
-    values = F.from_json("raw", "map<string,double>")
-    return keyed.select(*DOC_KEYS, "model", F.explode(values).alias("metric", "value")).filter(
-        F.col("value").isNotNull()
-    )
+    values = F.from_json("raw", "map<string,string>")
+    cells = keyed.select(*DOC_KEYS, "model", F.explode(values).alias("metric", "text"))
+    return cells.select(
+        *DOC_KEYS, "model", "metric", F.col("text").try_cast("double").alias("value")
+    ).filter(F.col("value").isNotNull())
 
 
 def scan_results(spark: SparkSession, root: str) -> DataFrame:

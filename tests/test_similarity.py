@@ -28,8 +28,10 @@ def brute(rows, baseline):
     return best
 
 
-@pytest.mark.parametrize("block", [3, 2048])
-def test_nearest_matches_brute_force(spark, block):
+@pytest.mark.parametrize("block, few", [(3, True), (3, False), (2048, True)])
+def test_nearest_matches_brute_force(spark, monkeypatch, block, few):
+    if not few:
+        monkeypatch.setattr(S, "broadcast_if_small", lambda df: df)
     # one topic holds most items, one facet has no baseline
     sizes = {
         ("hot", "base", "content"): 40, ("hot", "a", "content"): 70, ("hot", "b", "content"): 25,

@@ -22,7 +22,7 @@ def tree(tmp_path_factory):
     put("cs/Topic A+B 100%/s1/notes.txt", "no")
     put("cs/Topic A+B 100%/pdfs/2401.00001.md", "# human")
     put("econ/T2/s1/x.md", "# other")
-    put("cs/Topic A+B 100%/s1/results_m-1.json", json.dumps({"Outline": 4, "Faithfulness": 50.5, "note": None}))
+    put("cs/Topic A+B 100%/s1/results_m-1.json", json.dumps({"Outline": 4, "Faithfulness": 50.5, "note": None, "why": "n/a"}))
     put("econ/T2/s1/results_m.json", "{broken")
     return str(root)
 
