@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusgauge.functions.json import object_fields
 from corpusgauge.functions.joins import spread_join
 from corpusgauge.functions.text import strip
-from corpusgauge.operators.judging import fill, judge_apply, object_fields
+from corpusgauge.operators.judging import fill, judge_apply
 from corpusgauge.session import written_once
 
 # Fine categories under each coarse one, in order of processing.

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import string
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
@@ -16,8 +17,8 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgauge.functions.text import strip
-from corpusgauge.operators.metrics import pairwise_assign
+from corpusgauge.functions.json import list_items, object_fields
+from corpusgauge.operators.metrics import pairwise_assign, pairwise_unswap
 from corpusgauge.schema import CONTENT_CRITERIA, DOC_KEYS, FACET_METRICS
 
 # Default rubric: criterion, facet, question, meaning of the grades 1 to 5.
@@ -46,7 +47,9 @@ TEMPLATES = {
     "faithfulness": 'Subject: "{topic}"\nSentence: {sentence}\nReferences:\n{references}\nCount the citations in the sentence and how many of them a listed reference supports. Answer as JSON {{"total": <n>, "supported": <n>}}.',
     "reference_batch": 'Subject: "{topic}"\nReferences:\n{batch}\nCount the references and how many strongly support the subject. Answer as JSON {{"total": <n>, "supported": <n>}}.',
     "comparison": 'Subject: "{topic}"\nFirst {facet}:\n{position_1}\nSecond {facet}:\n{position_2}\nIs the first better? Answer as JSON {{"is_better": true or false, "reason": "..."}}.',
+    "claim_extraction": "Text:\n{section}\nList its checkable statements as numbered lines, each complete in itself.",
     "claim_removal": "Claims:\n{numbered}\nList the numbers of claims that repeat another one, separated by commas.",
+    "outline_refine": "Headings, all of level 1:\n[\n{text}\n]\nDrop lines that are no headings and set better levels. Answer as a JSON list of [level, title].",
 }
 
 
@@ -123,15 +126,31 @@ def comparison_requests(
     return placed.select(*DOC_KEYS, "facet", "swapped", fill(template).alias("prompt"))
 
 
-def grade_by_digest(prompt: str) -> str:
-    """Offline scorer: grades from the first hex digit of the prompt's MD5."""
+def claim_removal_requests(claims: DataFrame, keys: Sequence[str], size: int = 300) -> DataFrame:
+    """One prompt per document and group of ``size`` claims, numbered from 1."""
+    place = (F.col("claim_no") % size + 1).cast("int")
+    grouped = claims.select(
+        *keys, F.floor(F.col("claim_no") / size).cast("int").alias("group_no"), place.alias("place"), "claim"
+    ).groupBy(*keys, "group_no").agg(F.array_sort(F.collect_list(F.struct("place", "claim"))).alias("claims"))
+    line = F.transform("claims", lambda c: F.concat(c["place"].cast("string"), F.lit(". "), c["claim"]))
+    return template_requests(grouped, "claim_removal", [*keys, "group_no"], numbered=F.array_join(line, "\n"))
+
+
+def answer_by_digest(prompt: str) -> str:
+    """Offline scorer: every answer follows from the first hex digit of the
+    prompt's MD5, so runs without a model are repeatable."""
     digit = int(hashlib.md5(prompt.encode("utf-8")).hexdigest()[0], 16)
-    return json.dumps({"score": 1 + digit % 5, "total": 1 + digit, "supported": digit})
+    answer = {name: 1 + digit % 5 for facet in FACET_METRICS.values() for name in facet}
+    children = re.findall(r"^  - Index: (\d+),", prompt, re.MULTILINE)
+    answer["children"] = [
+        {"child_index": c, "is_included": "No" if (int(c) + digit) % 3 == 0 else "Yes"} for c in children
+    ]
+    return json.dumps({**answer, "score": 1 + digit % 5, "total": 1 + digit, "supported": digit})
 
 
 def judge_apply(
     requests: DataFrame,
-    scorer: Callable[[str], str] = grade_by_digest,
+    scorer: Callable[[str], str] = answer_by_digest,
     attempts: int = 3,
     delay: float = 0.0,
 ) -> DataFrame:
@@ -160,31 +179,6 @@ def judge_apply(
     return requests.mapInPandas(answer, schema)
 
 
-_STRICT = {"allowSingleQuotes": "false"}
-
-
-def _only(parsed: Column) -> Column:
-    """The single element of a wrapped parse; text after it would add more or fail."""
-    return F.when(F.size(parsed) == 1, F.get(parsed, F.lit(0)))
-
-
-def _wrapped(text: Column) -> Column:
-    return F.concat(F.lit("["), text, F.lit("]"))
-
-
-def object_fields(raw: Column) -> Column:
-    """Fields of the JSON object in a response, or null.
-
-    The whole response, else the part from the first ``{`` to the last ``}``.
-    A response that is valid JSON of another kind has no fields.
-    """
-    whole = _only(F.from_json(_wrapped(raw), "array<string>", _STRICT))
-    other = whole.isNotNull() & ~strip(raw).startswith("{")
-    part = F.regexp_extract(raw, r"(?s)(\{.*\})", 1)
-    found = _only(F.from_json(_wrapped(part), "array<map<string,string>>", _STRICT))
-    return F.when(~other & (part != ""), found)
-
-
 def judge_parse(responses: DataFrame, raw: str = "raw") -> DataFrame:
     """Add ``fields`` (map, empty when nothing parses) and ``parsed``."""
     fields = object_fields(F.col(raw))
@@ -194,17 +188,6 @@ def judge_parse(responses: DataFrame, raw: str = "raw") -> DataFrame:
     )
 
 
-def list_items(raw: Column) -> Column:
-    """The list in a response, from the first ``[`` to the last ``]``; JSON or
-    a literal with single quotes.  Null when neither reads it."""
-    text = strip(raw)
-    part = F.regexp_extract(text, r"(?s)(\[.*\])", 1)
-    part = F.when(part != "", part).otherwise(text)
-    strict = _only(F.from_json(_wrapped(part), "array<array<string>>", _STRICT))
-    lenient = _only(F.from_json(_wrapped(part), "array<array<string>>"))
-    return F.coalesce(strict, lenient)
-
-
 def judge_parse_list(responses: DataFrame, raw: str = "raw") -> DataFrame:
     """One row per list item; a response that holds no list gives no rows."""
     keep = [c for c in responses.columns if c != raw]
@@ -224,6 +207,36 @@ def judge_scores(parsed: DataFrame, criteria: Sequence[str]) -> DataFrame:
     return parsed.select(*keep, F.inline(F.array(*cells)))
 
 
+def children_verdicts(parsed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per judged child; a parent without any keeps a null verdict."""
+    listed = F.from_json(
+        F.try_element_at("fields", F.lit("children")), "array<struct<child_index:string,is_included:string>>"
+    )
+    return parsed.select(*keys, F.explode_outer(listed).alias("c")).select(*keys, "c.child_index", "c.is_included")
+
+
+def support_verdicts(parsed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``total`` and ``supported`` counts of an answer, 0 when it has none."""
+    def count(name: str) -> Column:
+        number = F.try_element_at("fields", F.lit(name)).try_cast("double").cast("bigint")
+        return F.coalesce(number, F.lit(0)).alias(name)
+
+    return parsed.select(*keys, count("total"), count("supported"))
+
+
+def comparison_verdicts(parsed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Whether the system won, from answers about swapped positions.
+
+    Answers without a verdict give no rows.
+    """
+    better = F.try_element_at("fields", F.lit("is_better")).try_cast("boolean")
+    rows = parsed.select(
+        *keys, "swapped", better.alias("is_better"),
+        F.coalesce(F.try_element_at("fields", F.lit("reason")), F.lit("")).alias("reason"),
+    )
+    return pairwise_unswap(rows.filter(F.col("is_better").isNotNull())).drop("swapped")
+
+
 def pending_work(
     expected: DataFrame,
     scores: DataFrame,

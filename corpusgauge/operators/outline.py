@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusgauge.functions.json import list_items
 from corpusgauge.functions.text import WS_INLINE, find_all, settled, strip
 from corpusgauge.schema import DOC_KEYS
 
@@ -20,8 +21,8 @@ HEADING_LINE = rf"(?dm)^#{{1,6}}{WS_INLINE}+.+$"
 MAX_LEVEL = 6
 
 
-def outline_extract(docs: DataFrame, text: str = "md", keys: Sequence[str] = DOC_KEYS) -> DataFrame:
-    """Heading lines in order; where all share one level, the level is 1."""
+def _headings(docs: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
+    """Keys and ``heads``: (level, title) of every heading line in order."""
     heads = F.transform(
         find_all(F.col(text), HEADING_LINE),
         lambda h: F.struct(
@@ -29,15 +30,69 @@ def outline_extract(docs: DataFrame, text: str = "md", keys: Sequence[str] = DOC
             strip(F.regexp_extract(h, rf"(?s)\A#{{1,6}}{WS_INLINE}+(.+)\z", 1)).alias("title"),
         ),
     )
-    found = settled(docs, list(keys), heads=heads)
-    levels = F.col("heads.level")
+    found = settled(docs, list(keys), found=heads)
+    levels = F.col("found.level")
     single = F.array_min(levels) == F.array_max(levels)
-    return found.select(
-        *keys, single.alias("single"), F.posexplode("heads").alias("pos", "head")
-    ).select(
-        *keys, "pos", F.when(F.col("single"), 1).otherwise(F.col("head.level")).alias("level"),
-        F.col("head.title").alias("title"),
+    leveled = F.transform(
+        "found", lambda h: F.struct(F.when(single, 1).otherwise(h["level"]).alias("level"), h["title"].alias("title"))
+    )
+    return settled(found, list(keys), heads=leveled)
+
+
+def outline_extract(docs: DataFrame, text: str = "md", keys: Sequence[str] = DOC_KEYS) -> DataFrame:
+    """Heading lines in order; where all share one level, the level is 1."""
+    return _headings(docs, text, keys).select(*keys, F.posexplode("heads").alias("pos", "head")).select(
+        *keys, "pos", "head.level", "head.title"
+    )
+
+
+def outline_text(docs: DataFrame, text: str = "md", keys: Sequence[str] = DOC_KEYS) -> DataFrame:
+    """The outline of each document as text, one ``[level, "title"]`` per line.
+
+    ``flat`` tells whether every heading has level 1.
+    """
+    def line(h):
+        quoted = F.to_json(F.array(h["title"]))
+        return F.concat(
+            F.lit("["), h["level"].cast("string"), F.lit(", "),
+            F.substring(quoted, F.lit(2), F.length(quoted) - 2), F.lit("]"),
+        )
+
+    heads = F.col("heads")
+    flat = (F.size(heads) > 0) & (F.array_max("heads.level") == 1)
+    return _headings(docs, text, keys).select(
+        *keys, flat.alias("flat"), F.array_join(F.transform(heads, line), "\n").alias("text")
+    )
+
+
+def apply_refinement(
+    outline: DataFrame, answers: DataFrame, keys: Sequence[str] = DOC_KEYS
+) -> DataFrame:
+    """Outlines with the judge's new levels where its answer is a list of pairs.
+
+    ``answers`` has keys and ``raw``; an answer with any entry that is not
+    ``[level, title]`` changes nothing.
+    """
+    keys = list(keys)
+    pairs = F.transform(
+        list_items(F.col("raw")),
+        lambda p: F.from_json(p, "array<string>"),
+    )
+    read = settled(answers, keys, pairs=pairs)
+    nodes = F.transform(
+        "pairs",
+        lambda p: F.struct(
+            F.get(p, F.lit(0)).try_cast("int").alias("level"), F.get(p, F.lit(1)).alias("title")
+        ),
+    )
+    valid = settled(read, keys, nodes=nodes).filter(
+        (F.size("nodes") > 0) & F.forall("nodes", lambda n: n["level"].isNotNull() & n["title"].isNotNull())
+    )
+    kept = outline.join(valid.select(*keys), keys, "left_anti")
+    new = valid.select(*keys, F.posexplode("nodes").alias("pos", "node")).select(
+        *keys, "pos", "node.level", "node.title"
     )
+    return kept.select(*keys, "pos", "level", "title").unionByName(new)
 
 
 def outline_needs_refine(outline: DataFrame, keys: Sequence[str] = DOC_KEYS) -> DataFrame:

@@ -6,6 +6,7 @@ import importlib
 
 MODULES = [
     "rollup_queries", "metric_queries", "text_queries", "judging_queries", "curation_queries", "io_queries",
+    "evaluation_queries",
 ]
 
 

@@ -53,12 +53,16 @@ def _texts(t):
         F.struct(F.lit("content").alias("facet"), F.col("main_content").alias("text")),
         F.struct(F.lit("reference").alias("facet"), F.col("ref_block").alias("text")),
     )
-    return contents.select(*KEYS, F.inline(facets))
+    outlines = O.outline_text(t.v_docs).select(*KEYS, F.lit("outline").alias("facet"), "text")
+    return contents.select(*KEYS, F.inline(facets)).unionByName(outlines)
 
 
 _RUBRIC = ", ".join("(" + ", ".join(literal(v) for v in r) + ")" for r in J.DEFAULT_RUBRIC)
 _TEXTS = f"""
-texts AS (SELECT {K}, 'content' AS facet, main_content AS text FROM parts UNION ALL SELECT {K}, 'reference', ref_block FROM parts),
+{X.HEADS},
+outlines AS (SELECT {K}, max(level) = 1 AS flat, string_agg('[' || level || ', ' || to_json(title) || ']', chr(10) ORDER BY pos) AS text FROM heads GROUP BY {K}),
+texts AS (SELECT {K}, 'content' AS facet, main_content AS text FROM parts UNION ALL SELECT {K}, 'reference', ref_block FROM parts
+ UNION ALL SELECT {K}, 'outline', text FROM outlines),
 rubric(criterion, facet, question, s1, s2, s3, s4, s5) AS (VALUES {_RUBRIC})
 """
 

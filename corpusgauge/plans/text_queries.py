@@ -96,7 +96,7 @@ def outline_edges(t):
 
 
 # the recursion walks down from each root and carries the titles
-@register("outline_paths", ("v_docs",), f"""WITH RECURSIVE {HEADS},
+PATHS = f"""
 tops AS (SELECT {K}, count(*) FILTER (WHERE level = 1) AS tops FROM heads GROUP BY {K}),
 rooted AS (SELECT h.{K.replace(', ', ', h.')}, pos, CASE WHEN tops = 1 THEN level ELSE level + 1 END AS level, title FROM heads h JOIN tops USING (category, topic, system)
  UNION ALL SELECT {K}, -1, 1, topic FROM tops WHERE tops <> 1),
@@ -106,8 +106,12 @@ walk AS (SELECT {K}, pos, [title] AS titles FROM par WHERE parent_pos IS NULL
  UNION ALL SELECT c.category, c.topic, c.system, c.pos, list_append(w.titles, c.title) FROM walk w JOIN par c
  ON c.category = w.category AND c.topic = w.topic AND c.system = w.system AND c.parent_pos = w.pos),
 leaves AS (SELECT w.* FROM walk w WHERE len(titles) > 2 AND NOT EXISTS (SELECT 1 FROM par c WHERE c.category = w.category AND c.topic = w.topic AND c.system = w.system AND c.parent_pos = w.pos)),
-merged AS (SELECT {K}, titles[:-2] AS parents, min(pos) AS first_pos, array_to_string(titles[:-2], ' > ') || ' > ' || string_agg(titles[-1], ' > ' ORDER BY pos) AS path FROM leaves GROUP BY {K}, titles[:-2])
-SELECT {K}, row_number() OVER (PARTITION BY {K} ORDER BY first_pos) - 1 AS path_no, path FROM merged""")
+merged AS (SELECT {K}, titles[:-2] AS parents, min(pos) AS first_pos, array_to_string(titles[:-2], ' > ') || ' > ' || string_agg(titles[-1], ' > ' ORDER BY pos) AS path FROM leaves GROUP BY {K}, titles[:-2]),
+paths AS (SELECT {K}, row_number() OVER (PARTITION BY {K} ORDER BY first_pos) - 1 AS path_no, path FROM merged)
+"""
+
+
+@register("outline_paths", ("v_docs",), f"WITH RECURSIVE {HEADS}, {PATHS} SELECT * FROM paths")
 def outline_paths(t):
     return O.outline_paths(O.outline_extract(t.v_docs))
 

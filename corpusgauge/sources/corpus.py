@@ -11,9 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusgauge.functions.json import list_items
 from corpusgauge.functions.joins import broadcast_if_small
 from corpusgauge.functions.text import strip
-from corpusgauge.operators.judging import list_items
 from corpusgauge.schema import BASELINE, DOC_KEYS
 
 MD_GLOB = "*.[mM][dD]"
