@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from corpusgauge.functions.json import object_fields
 from corpusgauge.functions.joins import spread_join
+from corpusgauge.functions.ranking import top_per_group
 from corpusgauge.functions.text import strip
 from corpusgauge.operators.judging import fill, judge_apply
 from corpusgauge.session import written_once
@@ -121,6 +122,10 @@ def _once(papers: DataFrame, keys: list[str], *first: Column) -> DataFrame:
     return best.select(*keys, "p.*")
 
 
+def _most_cited() -> list[Column]:
+    return [F.col("citation_count").desc(), F.col("arxiv_id")]
+
+
 def top_cited(
     papers: DataFrame,
     now: dt.datetime,
@@ -206,10 +211,8 @@ def top_cited(
     fetched = seen.select(
         "arxiv_id", F.inline(F.filter(owned, lambda o: o.isNotNull()))
     )
-    order_by = Window.partitionBy("category").orderBy(F.col("citation_count").desc(), "arxiv_id")
-    ranked = found.join(fetched, ["category", "arxiv_id"]).withColumn("rank", F.row_number().over(order_by))
-    # the constant bound is pushed below the exchange, the need only tightens it
-    return ranked.filter(F.col("rank") <= num).filter(F.col("rank") <= F.col("need")).drop("need")
+    ranked = top_per_group(found.join(fetched, ["category", "arxiv_id"]), ["category"], _most_cited(), num)
+    return ranked.filter(F.col("rank") <= F.col("need")).drop("need")
 
 
 def existing_exclude(
@@ -218,8 +221,7 @@ def existing_exclude(
     """New papers per category up to ``num`` less those already held."""
     have = held.groupBy("category").agg(F.count_distinct("arxiv_id").alias("have"))
     new = candidates.join(held.select("category", "arxiv_id").distinct(), ["category", "arxiv_id"], "left_anti")
-    order = Window.partitionBy("category").orderBy(F.col("citation_count").desc(), "arxiv_id")
-    ranked = new.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= num)
+    ranked = top_per_group(new, ["category"], _most_cited(), num)
     need = F.lit(num) - F.coalesce("have", F.lit(0))
     return ranked.join(have, "category", "left").filter(F.col("rank") <= need).drop("have")
 

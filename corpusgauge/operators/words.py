@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from corpusgauge.functions.ranking import top_per_group
 from corpusgauge.functions.text import WS, WS_RANGES
 
 # Common English words, contractions as the pieces they leave.
@@ -83,8 +83,7 @@ def word_frequency(
     A word has three letters or more, a vowel, no digit, is not a stop word,
     and is in ``dictionary`` (one ``word`` column) or a technical term; with no
     dictionary every such word counts.  The dictionary meets the counts, not
-    the tokens.  Ranking keeps ``top`` rows per group and task before the
-    exchange (Spark's window group limit).
+    the tokens.
     """
     by = list(by)
     stops = stop_words() if stops is None else list(stops)
@@ -100,5 +99,4 @@ def word_frequency(
         known = dictionary.select(F.col("word").alias("entry")).distinct()
         listed = counts.join(known, F.col("word") == F.col("entry"), "left")
         counts = listed.filter(F.col("entry").isNotNull() | word.isin(TECHNICAL_TERMS)).drop("entry")
-    order = Window.partitionBy(*by).orderBy(F.col("count").desc(), F.col("word"))
-    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    return top_per_group(counts, by, [F.col("count").desc(), word], top)

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusgauge.functions.joins import broadcast_if_small
 from corpusgauge.operators import citations as C
 from corpusgauge.operators import documents as D
 from corpusgauge.operators import judging as J
@@ -118,20 +119,27 @@ def evaluate_documents(
     the new scores go over the old ones.
     """
     requests = evaluation_requests(docs, refined_outline(docs, scorer, attempts))
-    if done is not None:
-        mine = done.filter(F.col("model") == model)
-        expected = docs.select(*KEYS, F.lit(model).alias("model"))
-        requests = requests.join(J.pending_work(expected, mine).drop("model"), [*KEYS, "facet"], "left_semi")
-    answers = J.judge_parse(written_once(J.judge_apply(requests, scorer, attempts)))
-    scores = scores_from_answers(docs, answers).select(*KEYS, F.lit(model).alias("model"), "metric", "value")
     if done is None:
-        return scores
-    pending = J.pending_work(docs.select(*KEYS, F.lit(model).alias("model")), mine)
+        return _scored(docs, requests, scorer, model, attempts)
+    mine = done.filter(F.col("model") == model)
+    # prompts are long: a short list of open work goes to them, not they to it
+    pending = broadcast_if_small(
+        J.pending_work(docs.select(*KEYS, F.lit(model).alias("model")), mine).drop("model")
+    )
+    open_facet = [*KEYS, "facet"]
+    scores = _scored(docs, requests.join(pending, open_facet, "left_semi"), scorer, model, attempts)
     facets = F.create_map(*[F.lit(x) for f, names in FACET_METRICS.items() for m in names for x in (m, f)])
-    fresh = scores.withColumn("facet", facets[F.col("metric")]).join(pending, [*KEYS, "model", "facet"], "left_semi")
+    fresh = scores.withColumn("facet", facets[F.col("metric")]).join(pending, open_facet, "left_semi")
     return J.merge_scores(mine, fresh.drop("facet"))
 
 
+def _scored(
+    docs: DataFrame, requests: DataFrame, scorer: Callable[[str], str], model: str, attempts: int
+) -> DataFrame:
+    answers = J.judge_parse(written_once(J.judge_apply(requests, scorer, attempts)))
+    return scores_from_answers(docs, answers).select(*KEYS, F.lit(model).alias("model"), "metric", "value")
+
+
 def similarity_items(docs: DataFrame, outline: DataFrame | None = None) -> DataFrame:
     """The texts to embed: outline paths, sections of the content, references."""
     contents = D.split_content_refs(docs)

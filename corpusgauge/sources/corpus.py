@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgauge.functions.json import list_items
-from corpusgauge.functions.joins import broadcast_if_small
+from corpusgauge.functions.joins import broadcast_if_small, spread_join
 from corpusgauge.functions.text import strip
 from corpusgauge.schema import BASELINE, DOC_KEYS
 
@@ -150,8 +150,8 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
 def corpus_gaps(tasks: DataFrame, docs: DataFrame, baseline: str = BASELINE) -> DataFrame:
     """Per task: is there a document, and a baseline document on the topic?
 
-    One aggregation per topic and system, then one per topic; nothing is
-    joined.
+    One aggregation by topic and system finds the documents; the topics that
+    have a baseline are then looked up.
     """
     key = ["category", "topic", "system"]
     both = tasks.select(*key, F.lit(True).alias("wanted"), F.lit(False).alias("found")).unionByName(
@@ -161,7 +161,7 @@ def corpus_gaps(tasks: DataFrame, docs: DataFrame, baseline: str = BASELINE) ->
     truth = known.filter((F.col("system") == baseline) & F.col("has_document")).select(
         "category", "topic", F.lit(True).alias("has_baseline")
     )
-    return known.filter("wanted").join(truth, ["category", "topic"], "left").select(
+    return spread_join(known.filter("wanted"), truth, ["category", "topic"]).select(
         *key, "has_document", F.coalesce("has_baseline", F.lit(False)).alias("has_baseline")
     )
 
