@@ -27,8 +27,8 @@ RANGE = rf"\[(\d+)\]{WS}*[\-–]{WS}*\[(\d+)\]"
 SINGLE = r"\[(\d+)\]"
 LIST_RANGE = r"\A(\d+)[\-–](\d+)"
 ROUND_AUTHOR_YEAR = r"\(([A-Z][^()]+, \d{4}[a-z]?)\)"
-NAME_THEN_YEAR = rf"([A-Z][A-Za-z\-]+(?: et al\.)?){WS}*\((20\d{{2}}[a-z]?|19\d{{2}}[a-z]?)\)"
-FROM_INTRODUCTION = r"(?idm)(^[^\n]*#[^\n]*introduction(?s:.*))\z"
+NAME_THEN_YEAR = rf"(?<![A-Z])([A-Z][A-Za-z\-]++(?: et al\.)?){WS}*\((20\d{{2}}[a-z]?|19\d{{2}}[a-z]?)\)"
+FROM_INTRODUCTION = r"(?idm)(^[^\n#]*+#[^\n]*introduction(?s:.*))\z"
 # a range "3-5" or a bare number of one to three digits
 BARE_NUMBER = (
     rf"(?<!\d)\d{{1,3}}{WS}*[–-]{WS}*\d{{1,3}}{RIGHT_EDGE}|(?<!\d)\d{{1,3}}{RIGHT_EDGE}"
@@ -41,6 +41,12 @@ def square_brackets(text: Column) -> Column:
     return F.regexp_replace(text, ROUND_AUTHOR_YEAR, "[$1]")
 
 
+def spans(text: Column) -> Column:
+    """Bracketed spans; what follows the last closing bracket is not searched."""
+    after = F.substring_index(text, "]", -1)
+    return find_all(F.substring(text, F.lit(1), F.length(text) - F.length(after)), SPAN)
+
+
 def is_author_year(span: Column) -> Column:
     return span.rlike(AUTHOR_YEAR) | span.rlike(AUTHOR_YEAR_SHORT)
 
@@ -57,8 +63,8 @@ def number_intervals(sentence: Column, strict: bool = False) -> Column:
     if strict:
         singles = F.transform(find_all(rest, SINGLE, 1), lambda n: _interval(n, n))
     else:
-        spans = F.filter(find_all(rest, SPAN), lambda s: s.rlike(NUMERIC_SPAN))
-        parts = F.flatten(F.transform(spans, lambda s: stripped_parts(F.split(F.btrim(s, F.lit("[]")), "[,，]"))))
+        numeric = F.filter(spans(rest), lambda s: s.rlike(NUMERIC_SPAN))
+        parts = F.flatten(F.transform(numeric, lambda s: stripped_parts(F.split(F.btrim(s, F.lit("[]")), "[,，]"))))
         singles = F.transform(
             parts,
             lambda p: F.when(p.rlike(r"\A\d+\z"), _interval(p, p)).otherwise(
@@ -77,7 +83,7 @@ def citation_spans(sentences: DataFrame, keys: Sequence[str] = DOC_KEYS) -> Data
         .otherwise("other")
     )
     return sentences.select(
-        *keys, "sent_no", F.posexplode(find_all(F.col("sentence"), SPAN)).alias("span_no", "span")
+        *keys, "sent_no", F.posexplode(spans(F.col("sentence"))).alias("span_no", "span")
     ).withColumn("kind", kind)
 
 
@@ -172,8 +178,8 @@ def _cited(sent_no: Column, sentence: Column, strict: bool) -> Column:
             F.concat(F.replace(name, F.lit("et al."), F.lit("et al")), F.lit(", "), year).alias("other"),
         ),
     )
-    spans = F.filter(find_all(sentence, SPAN), is_author_year)
-    keys = F.flatten(F.transform(spans, lambda s: stripped_parts(F.split(F.btrim(s, F.lit("[]")), ";"))))
+    dated = F.filter(spans(sentence), is_author_year)
+    keys = F.flatten(F.transform(dated, lambda s: stripped_parts(F.split(F.btrim(s, F.lit("[]")), ";"))))
     plain = F.transform(keys, lambda k: F.struct(k.alias("key"), k.alias("other")))
     return F.struct(
         sent_no.alias("sent_no"),

@@ -48,7 +48,8 @@ SEPARATOR_ROW = rf"\n\|[{WS_RANGES}\-:|]+\|"
 HTML_TABLE = r"(?is)<table.*?</table>"
 
 SENTENCE_END = rf"\.(?={WS}+[A-Z]|\n|[A-Z])"
-COUNTED_SENTENCE_END = rf"[.!?\n]+(?:{WS}|\z)"
+# a run of marks before whitespace, or up to its last newline; a run is tried once
+COUNTED_SENTENCE_END = rf"(?<![.!?\n])(?:[.!?\n]++(?:{WS}|\z)|[.!?\n]+\n)"
 
 
 def reference_tier(md: Column) -> Column:

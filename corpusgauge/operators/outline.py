@@ -21,7 +21,7 @@ HEADING_LINE = rf"(?dm)^#{{1,6}}{WS_INLINE}+.+$"
 MAX_LEVEL = 6
 
 
-def _headings(docs: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
+def headings(docs: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     """Keys and ``heads``: (level, title) of every heading line in order."""
     heads = F.transform(
         find_all(F.col(text), HEADING_LINE),
@@ -41,7 +41,7 @@ def _headings(docs: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
 
 def outline_extract(docs: DataFrame, text: str = "md", keys: Sequence[str] = DOC_KEYS) -> DataFrame:
     """Heading lines in order; where all share one level, the level is 1."""
-    return _headings(docs, text, keys).select(*keys, F.posexplode("heads").alias("pos", "head")).select(
+    return headings(docs, text, keys).select(*keys, F.posexplode("heads").alias("pos", "head")).select(
         *keys, "pos", "head.level", "head.title"
     )
 
@@ -60,7 +60,7 @@ def outline_text(docs: DataFrame, text: str = "md", keys: Sequence[str] = DOC_KE
 
     heads = F.col("heads")
     flat = (F.size(heads) > 0) & (F.array_max("heads.level") == 1)
-    return _headings(docs, text, keys).select(
+    return headings(docs, text, keys).select(
         *keys, flat.alias("flat"), F.array_join(F.transform(heads, line), "\n").alias("text")
     )
 

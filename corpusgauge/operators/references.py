@@ -20,7 +20,8 @@ from corpusgauge.functions.text import (
 from corpusgauge.schema import DOC_KEYS
 
 # Fixed values: "1." "1)" and "1 A" at the head of a line; a year with letter.
-LEADING_NUMBER = rf"(?dm)^{WS}*(\d+)(?:[.)]{WS}+|{WS}+(?=[A-Z]))"
+# (a line after an empty one belongs to the match tried at the empty one)
+LEADING_NUMBER = rf"(?dm)^(?<!\n[ \t]{{0,4}}\n){WS}*(\d+)(?:[.)]{WS}+|{WS}+(?=[A-Z]))"
 YEAR = rf"{LEFT_EDGE}(20\d{{2}}[a-z]?|19\d{{2}}[a-z]?){RIGHT_EDGE}"
 BRACKETED = rf"(?s)\A\[(.+?)\]{WS}*(.*)\z"
 

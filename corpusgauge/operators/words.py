@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from corpusgauge.functions.ranking import top_per_group
 from corpusgauge.functions.text import WS, WS_RANGES
+from corpusgauge.operators.outline import headings
+from corpusgauge.schema import BASELINE, DOC_KEYS
 
 # Common English words, contractions as the pieces they leave.
 ENGLISH_STOP_WORDS = """
@@ -54,7 +56,8 @@ hexadecimal
 CODE_BLOCK = r"(?s)```.*?```"
 INLINE_CODE = r"`[^`\n]*`"
 URL = r"https?://[!$-_a-z]+"
-EMAIL = r"[\p{L}\p{N}_.\-]+@[\p{L}\p{N}_.\-]+"
+# tried once per run of such characters, however long
+EMAIL = r"(?<![\p{L}\p{N}_.\-])[\p{L}\p{N}_.\-]++@[\p{L}\p{N}_.\-]+"
 SYMBOL = rf"[^\p{{L}}\p{{N}}_{WS_RANGES}]"
 
 
@@ -70,6 +73,13 @@ def plain_words(text: Column) -> Column:
     return F.split(F.lower(bare), f"{WS}+", -1)
 
 
+def vocabulary_texts(docs: DataFrame, baseline: str = BASELINE, text: str = "md") -> DataFrame:
+    """Category and text of the baseline's documents, headings counted again."""
+    own = docs.filter(F.col("system") == baseline)
+    heads = headings(own, text, [*DOC_KEYS, text])
+    return heads.select("category", F.concat_ws("\n", text, F.array_join("heads.title", "\n")).alias("text"))
+
+
 def word_frequency(
     texts: DataFrame,
     dictionary: DataFrame | None = None,

@@ -15,6 +15,7 @@ from corpusgauge.operators import similarity as S
 from corpusgauge.operators import words as W
 from corpusgauge.plans.registry import half_up_sql as hu
 from corpusgauge.plans.registry import register
+from corpusgauge.plans.text_queries import HEADS, K
 from corpusgauge.schema import TOP_ITEMS
 
 _GOOD = " OR ".join(f"contains({{0}}, '{p}')" for p in Q.GOOD_PHRASES)
@@ -171,6 +172,17 @@ def word_frequency_open(t):
     return W.word_frequency(t.documents.select(F.col("source").alias("category"), "text"))
 
 
+@register("category_vocabulary", ("v_docs",), f"""WITH {HEADS},
+h AS (SELECT {K}, string_agg(title, chr(10) ORDER BY pos) AS titles FROM heads WHERE system = 'en' GROUP BY {K}),
+x AS (SELECT category, concat_ws(chr(10), md, titles) AS text FROM v_docs LEFT JOIN h USING ({K}) WHERE system = 'en'),
+tok AS (SELECT category, unnest({_plain_sql('text')}) AS word FROM x),
+cnt AS (SELECT category, word, count(*) AS count FROM tok WHERE length(word) >= 3 AND regexp_full_match(word, '[\\p{{L}}\\p{{N}}]+') AND NOT regexp_matches(word, '\\p{{Nd}}')
+ AND regexp_matches(word, '[aeiouy]') AND word NOT IN ({_STOPS}) GROUP BY category, word)
+SELECT category, word, count, rank FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY count DESC, word) AS rank FROM cnt) x WHERE rank <= 100""")
+def category_vocabulary(t):
+    return W.word_frequency(W.vocabulary_texts(t.v_docs, baseline="en"))
+
+
 _DIST = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: pow(cast(z[1] AS double) - cast(z[2] AS double), 2)))"
 _COS = "1 - list_dot_product(cast(a.embedding AS double[]), cast(b.embedding AS double[])) / sqrt(list_dot_product(cast(a.embedding AS double[]), cast(a.embedding AS double[]))) / sqrt(list_dot_product(cast(b.embedding AS double[]), cast(b.embedding AS double[])))"
 

@@ -1,6 +1,7 @@
 """What the plans must look like, and what a hot key must not do."""
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from corpusgauge.operators import citations as C
 from corpusgauge.operators import documents as D
 from corpusgauge.operators import outline as O
 from corpusgauge.operators import references as P
+from corpusgauge.operators import words as W
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -89,3 +91,25 @@ def test_ranking_in_parts_is_the_same(spark):
     parts = top_per_group(rows, ["g"], order, 40, splits=5, direct=10).collect()
     assert sorted(map(tuple, whole)) == sorted(map(tuple, parts)) and len(whole) == 80
     assert "WindowGroupLimit" in plan(top_per_group(rows, ["g"], order, 40))
+
+
+HOSTILE = {
+    "dots": "." * 200_000 + "x", "newlines": "a" + "\n" * 200_000 + "b", "letters": "a" * 200_000, "hashes": "#" * 200_000,
+    "open brackets": "[" * 200_000, "capitals": "A" * 50_000, "spaces": "a" + " " * 200_000 + "b", "dollars": "$" * 200_001,
+    "pipes": "|" * 200_000, "digits": "[" + "1" * 100_000 + "x]", "rounds": "(A, 2000;" * 20_000, "one line": "x y. " * 40_000,
+}
+
+
+@pytest.mark.parametrize("name", sorted(HOSTILE))
+def test_hostile_texts_take_linear_time(spark, name):
+    md = "# Introduction\n" + HOSTILE[name] + "\n# References\n" + HOSTILE[name]
+    df = spark.createDataFrame([(name, "t", "pdfs", md)], "category string, topic string, system string, md string")
+    start = time.time()
+    contents = D.split_content_refs(df)
+    for out in (
+        contents, C.citations(contents), D.sentence_counts(contents), D.md_features(df), D.sections_by_heading(df),
+        O.outline_paths(O.outline_extract(df)), P.reference_entries(contents), C.citation_spans(D.sentences(contents)),
+        W.word_frequency(W.vocabulary_texts(df)),
+    ):
+        out.write.format("noop").mode("overwrite").save()
+    assert time.time() - start < 60
