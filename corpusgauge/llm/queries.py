@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from corpusgauge.llm import mixing
+from corpusgauge.llm import host_rules, mixing
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
+    "op4_host_rules": host_rules.op4_host_rules,
 }
 
 ORACLES = {
     "op3_mixing": mixing.mixing_sql(),
+    "op4_host_rules": host_rules.host_rules_sql(),
 }
