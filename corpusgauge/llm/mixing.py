@@ -24,7 +24,7 @@ WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
 SYMBOLS = "[#*$%&|<>]"
 #: Documents of a source in one key range; the number of ranges grows with the source.
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 4_000
 
 
 def quality_weight(text: Column, size: Column) -> Column:
