@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from corpusgauge.llm import host_rules, mixing
+from corpusgauge.llm import arc, host_rules, licenses, mixing
 
 QUERIES = {
+    "op2_arc_to_warc": arc.op2_arc_to_warc,
     "op3_mixing": mixing.op3_mixing,
     "op4_host_rules": host_rules.op4_host_rules,
+    "op6_licenses": licenses.op6_licenses,
 }
 
 ORACLES = {
+    "op2_arc_to_warc": arc.arc_to_warc_sql(),
     "op3_mixing": mixing.mixing_sql(),
     "op4_host_rules": host_rules.host_rules_sql(),
+    "op6_licenses": licenses.licenses_sql(),
 }
