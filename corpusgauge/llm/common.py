@@ -27,15 +27,15 @@ def range_bounds(df: DataFrame, col: str, rows_per_range: int, most: int = 4096)
     """Ascending upper bounds that cut ``col`` into ranges of about equal numbers of rows.
 
     One aggregation over the column; at most ``most`` numbers come to the driver.
-    More rows only make the ranges longer; every row falls into one of them.
+    More rows only make the ranges longer; every row falls into one of them, and none is empty.
     """
-    rows = df.agg(F.count(F.col(col)).alias("n")).first()["n"]
-    ranges = min(most, -(-rows // rows_per_range))
+    seen = df.agg(F.count(F.col(col)).alias("n"), F.max(F.col(col)).alias("last")).first()
+    ranges = min(most, -(-seen["n"] // rows_per_range))
     if ranges < 2:
         return []
     shares = [i / ranges for i in range(1, ranges)]
     found = df.agg(F.percentile_approx(F.col(col), shares, 10 * ranges).alias("b")).first()["b"]
-    return sorted(set(found))
+    return sorted(b for b in set(found) if b < seen["last"])
 
 
 def range_no(col: Column, bounds: list) -> Column:

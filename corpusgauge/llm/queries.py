@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corpusgauge.llm import arc, host_rules, licenses, mixing
+from corpusgauge.llm import arc, host_rules, licenses, mixing, order_minhash
 
 QUERIES = {
     "op2_arc_to_warc": arc.op2_arc_to_warc,
     "op3_mixing": mixing.op3_mixing,
     "op4_host_rules": host_rules.op4_host_rules,
     "op6_licenses": licenses.op6_licenses,
+    "op8_order_minhash": order_minhash.op8_order_minhash,
 }
 
 ORACLES = {
