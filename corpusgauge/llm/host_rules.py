@@ -96,12 +96,12 @@ def beyond(tolerance: int) -> Column:
     return found
 
 
-def shrunk_rates(counts: DataFrame, prior_hosts: DataFrame | None = None) -> DataFrame:
+def shrunk_rates(counts: DataFrame) -> DataFrame:
     """``counts`` (failed, n per host) with ``rate``: (failed + a) / (n + a + b).
 
     The prior's mean and strength match the mean and variance of the hosts' own rates; hosts that
-    do not differ beyond chance give a prior as strong as all documents together.  The prior is one
-    row, so joining it repeats nothing.
+    do not differ beyond chance give a prior as strong as all documents together.  Two numbers
+    come to the driver.
     """
     own = F.col("failed") / F.col("n")
     moments = counts.agg(
@@ -111,12 +111,9 @@ def shrunk_rates(counts: DataFrame, prior_hosts: DataFrame | None = None) -> Dat
     spread = F.col("_mean") * (1 - F.col("_mean"))
     between = F.col("_var") - spread * F.col("_inverse")
     strength = F.when(between * F.col("_all") > spread, spread / between - 1).otherwise(F.col("_all").cast("double"))
-    prior = moments.select("_mean", F.greatest(strength, F.lit(1.0)).alias("_strength"), F.lit(0).alias("_one"))
-    return (
-        counts.withColumn("_one", F.lit(0)).join(F.broadcast(prior), "_one")
-        .withColumn("rate", (F.col("failed") + F.col("_mean") * F.col("_strength")) / (F.col("n") + F.col("_strength")))
-        .drop("_one", "_mean", "_strength")
-    )
+    prior = moments.select("_mean", F.greatest(strength, F.lit(1.0)).alias("_strength")).first()
+    mean, weight = prior["_mean"] or 0.0, prior["_strength"] or 1.0
+    return counts.withColumn("rate", (F.col("failed") + mean * weight) / (F.col("n") + weight))
 
 
 def base_failed() -> Column:
@@ -136,7 +133,7 @@ def verdicts(rows: DataFrame) -> DataFrame:
     hosts = rows.groupBy("_host").agg(
         F.count(F.lit(1)).alias("n"), F.sum(beyond(1).cast("long")).alias("failed")
     )
-    rates = shrunk_rates(hosts).select("_host", F.round("rate", 9).alias("host_rate"))
+    rates = shrunk_rates(written_once(hosts)).select("_host", F.round("rate", 9).alias("host_rate"))
     return (
         spread_join(rows, rates, ["_host"], "inner", spread_by=["doc_id"])
         .withColumn("base_failed", base_failed())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusgauge.llm import arc, host_rules, licenses, mixing, order_minhash
+from corpusgauge.llm import arc, bpe, host_rules, licenses, mixing, order_minhash, token_files
 
 QUERIES = {
     "op2_arc_to_warc": arc.op2_arc_to_warc,
@@ -10,6 +10,8 @@ QUERIES = {
     "op4_host_rules": host_rules.op4_host_rules,
     "op6_licenses": licenses.op6_licenses,
     "op8_order_minhash": order_minhash.op8_order_minhash,
+    "op9_token_files": token_files.op9_token_files,
+    "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLES = {
