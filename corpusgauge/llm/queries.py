@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpusgauge.llm import arc, bpe, host_rules, licenses, mixing, order_minhash, token_files
+from corpusgauge.llm import arc, bpe, host_rules, licenses, mixing, order_minhash, quality, token_files
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_arc_to_warc": arc.op2_arc_to_warc,
     "op3_mixing": mixing.op3_mixing,
     "op4_host_rules": host_rules.op4_host_rules,
