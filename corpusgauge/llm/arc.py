@@ -35,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgauge.functions.joins import spread_join
+from corpusgauge.functions.joins import broadcast_if_small, spread_join
 from corpusgauge.llm.common import table
-from corpusgauge.session import scratch_path
+from corpusgauge.session import scratch_path, written_once
 
 ARCHIVE_BYTES = 16_000_000
 GZIP_LEVEL = 4
+#: Compressed bytes handed on at a time; what a member leaves of them is copied.
+PIECE = 8_192
 FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
@@ -80,7 +82,7 @@ class Members:
             opener = zlib.decompressobj(31)
             start, parts = self.at, []
             while not opener.eof:
-                piece = self.data[self.at : self.at + 1_000_000]
+                piece = self.data[self.at : self.at + PIECE]
                 if not piece:
                     raise ValueError(f"archive ends inside the record at {start}")
                 parts.append(opener.decompress(piece))
@@ -193,6 +195,19 @@ def rows_in(batches) -> Iterator[dict]:
             yield {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
 
 
+def batched(rows: Iterator[dict], schema: pa.Schema, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Rows with a ``payload`` in batches of a bounded number of rows and bytes."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 500 + len(row["payload"] or b"")
+        if size >= most:
+            yield pa.RecordBatch.from_pylist(held, schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema)
+
+
 def archived(records: Iterator[bytes], opening: bytes = b"") -> Iterator[pa.RecordBatch]:
     """Rows of one archive each, closed when it reaches the size."""
     held, size = [], 0
@@ -243,7 +258,7 @@ def write_arc(pages: DataFrame, path: str, version: int = 1, date: str = "202601
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
     """One row per ARC record, columns of ``RECORD``; the id of a record without one is null."""
 
-    def parse(batches):
+    def rows(batches):
         for archive in rows_in(batches):
             try:
                 for offset, version, header, content in arc_records(archive["content"]):
@@ -251,14 +266,13 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
                     mark = http_field(headers, "X-Page-Id")
                     name = archive["path"].rsplit("/", 1)[-1]
                     own = mark if mark is not None else f"{name}:{offset}"
-                    row = {
+                    yield {
                         "file": name, "offset": offset, "version": version, "url": header["URL"], "ip": header["IP-address"],
                         "date": header["Archive-date"], "content_type": header["Content-type"], "status": status,
                         "headers": headers, "payload": payload, "payload_digest": base32_sha1(payload),
                         "record_id": record_id(header["Archive-date"], header["URL"], own),
                         "page_id": None if mark is None else int(mark),
                     }
-                    yield pa.RecordBatch.from_pylist([row], schema=arrow)
             except (ValueError, zlib.error) as e:
                 raise ValueError(f"{archive['path']}: {e}") from e
 
@@ -267,7 +281,7 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
         ("date", pa.string()), ("content_type", pa.string()), ("status", pa.int32()), ("headers", pa.binary()),
         ("payload", pa.binary()), ("payload_digest", pa.string()), ("record_id", pa.string()), ("page_id", pa.int64()),
     ])
-    return read_archives(spark, path).mapInArrow(parse, RECORD)
+    return read_archives(spark, path).mapInArrow(lambda batches: batched(rows(batches), arrow), RECORD)
 
 
 def with_revisits(records: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -277,10 +291,10 @@ def with_revisits(records: DataFrame, least_bytes: int = 0) -> DataFrame:
     null.  Only (digest, id) rows are compared, a digest's rows spread over tasks; payloads are
     joined to the revisits found by their own record id, never by a hot digest.
     """
-    marked = records.where(F.octet_length("payload") >= least_bytes).select(
+    marked = written_once(records.where(F.octet_length("payload") >= least_bytes).select(
         "payload_digest", "record_id",
         F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "date", "url", "record_id").alias("_order"),
-    )
+    ))
     firsts = marked.groupBy("payload_digest").agg(
         F.min("_order").alias("_first"), F.count(F.lit(1)).alias("_n")
     ).where("_n > 1").select("payload_digest", F.col("_first.record_id").alias("refers_to"))
@@ -288,7 +302,7 @@ def with_revisits(records: DataFrame, least_bytes: int = 0) -> DataFrame:
         spread_join(marked.drop("_order"), firsts, ["payload_digest"], "inner", spread_by=["record_id"])
         .where("record_id <> refers_to").select("record_id", "refers_to").distinct()
     )
-    return records.join(revisits, "record_id", "left")
+    return records.join(broadcast_if_small(written_once(revisits)), "record_id", "left")
 
 
 def write_warc(records: DataFrame, path: str) -> str:
@@ -313,7 +327,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     """
     names = [x.split()[0] for x in WARC.split(", ")]
 
-    def parse(batches):
+    def rows(batches):
         for archive in rows_in(batches):
             for offset, raw in Members(archive["content"]):
                 fields, block = warc_fields(raw)
@@ -329,12 +343,12 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
                     int(length) if revisit and length else len(payload), payload if payloads and not revisit else None,
                     None if mark is None else int(mark),
                 ]
-                yield pa.RecordBatch.from_pylist([dict(zip(names, values, strict=True))], schema=arrow)
+                yield dict(zip(names, values, strict=True))
 
     arrow = pa.schema([
         (n, pa.binary() if n == "payload" else pa.int64() if n in ("payload_bytes", "page_id") else pa.string()) for n in names
     ])
-    return read_archives(spark, path).mapInArrow(parse, WARC)
+    return read_archives(spark, path).mapInArrow(lambda batches: batched(rows(batches), arrow), WARC)
 
 
 def op2_arc_to_warc(spark, sf_dir: str) -> DataFrame:
