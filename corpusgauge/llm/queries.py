@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusgauge.llm import arc, bpe, host_rules, licenses, mixing, order_minhash, quality, token_files
+from corpusgauge.llm import arc, bpe, host_rules, jaccard, licenses, mixing, order_minhash, quality, token_files
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_host_rules": host_rules.op4_host_rules,
     "op6_licenses": licenses.op6_licenses,
+    "op7_jaccard": jaccard.op7_jaccard,
     "op8_order_minhash": order_minhash.op8_order_minhash,
     "op9_token_files": token_files.op9_token_files,
     "op10_bpe": bpe.op10_bpe,
