@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corpusgauge.llm import arc, bpe, host_rules, jaccard, licenses, mixing, order_minhash, quality, token_files
+from corpusgauge.llm import arc, bpe, host_rules, jaccard, licenses, mixing, order_minhash, quality, suffixes, token_files
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_arc_to_warc": arc.op2_arc_to_warc,
     "op3_mixing": mixing.op3_mixing,
     "op4_host_rules": host_rules.op4_host_rules,
+    "op5_suffixes": suffixes.op5_suffixes,
     "op6_licenses": licenses.op6_licenses,
     "op7_jaccard": jaccard.op7_jaccard,
     "op8_order_minhash": order_minhash.op8_order_minhash,
