@@ -133,26 +133,23 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
     Whether a document is drawn depends on its key and its source's last drawn key alone, so
     texts are never exchanged: the short table of sources comes to them.
     """
-    columns = docs.columns
     mix = mixture(written_once(measured(docs)), weights, most)
     last = F.max(F.when(F.col("drawn") & (F.col("size") > 0), F.col("key")))
     cuts = (
         mix.groupBy(key_of(F.col("source")).alias("_k")).agg(F.max("epochs").alias("_epochs"), last.alias("_cut"))
     )
-    rows = docs.withColumns({
-        "_k": key_of(F.col("source")),
-        "_key": sampling_key(
-            F.col("doc_id"),
-            quality_weight(F.col("text"), F.size(words_of(F.col("text"))).cast("long")),
-        ),
-    })
+    quality = quality_weight(F.col("text"), F.size(words_of(F.col("text"))).cast("long"))
+    rows = docs.select(
+        F.struct(*docs.columns).alias("_row"), key_of(F.col("source")).alias("_k"),
+        sampling_key(F.col("doc_id"), quality).alias("_key"),
+    )
     copies = F.col("_epochs") + F.coalesce(F.col("_key") <= F.col("_cut"), F.lit(False)).cast("long")
     return (
         rows.join(broadcast_if_small(written_once(cuts)), "_k")
         .withColumn("_copies", copies.cast("int"))
         .where("_copies > 0")
-        .select(*columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
-        .select(*columns)
+        .select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        .select("_row.*")
     )
 
 
