@@ -38,8 +38,10 @@ from corpusgauge.llm.common import table
 from corpusgauge.session import written_once
 
 #: Text in one block; a longer document is a block by itself.
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 10_000_000
 LEAST_SHARDS = 8
+#: Words given to the tokenizer in one string.
+TOGETHER = 200
 #: Input partitions for each shard beyond the least.
 PARTITIONS_PER_SHARD = 4
 #: White space of any kind, as Unicode has it.
@@ -64,15 +66,35 @@ def tokenizer(path: str):
     return found
 
 
-def encode_words(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words in a row, and how many each has."""
-    ids, counts = [], []
-    for i in range(0, len(words), 20_000):
-        for e in tokenizer(path).encode_batch_fast(words[i : i + 20_000], add_special_tokens=False):
-            ids.append(e.ids)
-            counts.append(len(ids[-1]))
-    flat = np.fromiter((x for one in ids for x in one), np.uint32, sum(counts))
-    return flat, np.array(counts, np.int64)
+@functools.lru_cache(maxsize=2)
+def piece_sizes(path: str) -> np.ndarray:
+    return np.array([len(p) for p in pieces(path)], np.int64)
+
+
+def encode_words(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words in a row, and how many each has.
+
+    Words between which a tokenizer cuts anyway are handed to it in rows of ``TOGETHER``; the bytes of
+    the ids tell whose they are.
+    """
+    call = tokenizer(path).encode_batch_fast
+    simple = pc.match_substring_regex(words, f"^[ \n][^{SPACE[1:-1]}]").to_numpy(zero_copy_only=False)
+    simple &= pc.match_substring_regex(words, f"[^{SPACE[1:-1]}]$").to_numpy(zero_copy_only=False)
+    simple &= ~pc.match_substring(words, "<|").to_numpy(zero_copy_only=False)  # added tokens match before any cut
+    order = np.concatenate((np.flatnonzero(simple), np.flatnonzero(~simple)))
+    many = int(simple.sum())
+    ordered = words.take(pa.array(order))
+    texts = ordered[:many].to_pylist()
+    rows = ["".join(texts[i : i + TOGETHER]) for i in range(0, many, TOGETHER)]
+    parts = [np.array(e.ids, np.uint32) for i in range(0, len(rows), 256) for e in call(rows[i : i + 256], add_special_tokens=False)]
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+    ends = np.cumsum(pc.binary_length(ordered[:many]).to_numpy(zero_copy_only=False))
+    upto = np.searchsorted(np.cumsum(piece_sizes(path)[flat]), ends, "left") + 1 if many else ends
+    singles = [e.ids for e in call(ordered[many:].to_pylist(), add_special_tokens=False)]
+    counts = np.concatenate((np.diff(upto, prepend=0), np.array([len(x) for x in singles], np.int64)))
+    flat = np.concatenate((flat, np.array([i for x in singles for i in x], np.uint32)))
+    starts, back = np.cumsum(counts) - counts, np.argsort(order)
+    return flat[spread(starts[back], counts[back])], counts[back]
 
 
 def cut_batches(batches, most: int = BLOCK_BYTES) -> Iterator[tuple[pa.Array, pa.Array]]:
@@ -208,7 +230,7 @@ def encode_shard(path: str):
         opener = zstandard.ZstdDecompressor()
         lists = [words_from(n[1], opener.decompress(b)) for n, b in zip(unpacked, part["bytes"].to_pylist(), strict=True)]
         coded = pa.concat_arrays(lists).dictionary_encode()
-        ids, counts = encode_words(coded.dictionary.to_pylist(), path)
+        ids, counts = encode_words(coded.dictionary, path)
         starts = np.cumsum(counts) - counts
         codes, at, rows = coded.indices.to_numpy(zero_copy_only=False), 0, []
         for block, (gaps, _) in zip(part["block"].to_pylist(), unpacked, strict=True):

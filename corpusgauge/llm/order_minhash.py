@@ -1,10 +1,10 @@
 """Order MinHash fingerprints, sensitive to the edit distance of texts.
 
 A text's k-mers are runs of ``K`` words, numbered by occurrence, so a repeated k-mer counts as often as it
-stands there.  A hash deals the numbered k-mers into ``SLOTS`` slots; in each slot the ``L`` of smallest hash
+stands there.  The leading bits of a hash deal the numbered k-mers into ``SLOTS`` slots; in each slot the ``L`` of smallest hash
 are selected, put in the order in which they stand in the text, and hashed together.  The slots share one hash
 function, each seeing its own part of it, instead of ``SLOTS`` functions over everything; that needs one
-sort per text.  Two texts are as like as the share of slots, filled in either, that agree; moving
+sort per text, by which equal k-mers come to stand together and get their numbers, too.  Two texts are as like as the share of slots, filled in either, that agree; moving
 words around changes the order in a slot and so the fingerprint, unlike with a plain MinHash.
 
 DataFrame functions only.  Each text is exchanged once, to the range of its id, where its neighbour is.
@@ -18,17 +18,23 @@ from pyspark.sql import functions as F
 from corpusgauge.functions.text import settled
 from corpusgauge.llm.common import range_bounds, range_no, table, words_of
 
-K, L, SLOTS = 2, 2, 64
+K, L = 2, 2
+#: Slots are the leading bits of a hash.
+SLOT_BITS = 6
+SLOTS = 2**SLOT_BITS
 #: Runs of more characters than this without a gap, as in texts without blanks, are cut.
 LONG_WORD = 32
 ROWS_PER_RANGE = 2_000
 
 
-def tokens(text: Column) -> Column:
-    """Words; runs of over ``LONG_WORD`` characters count as several."""
-    long_run = r"[^\x20\x09-\x0D]{%d}" % LONG_WORD
-    cut = F.regexp_replace(text, f"({long_run})", "$1 ")
-    return words_of(F.when(text.rlike(long_run + r"[^\x20\x09-\x0D]"), cut).otherwise(text))
+def split(text: Column) -> Column:
+    return words_of(text)
+
+
+def cut_long(words: Column) -> Column:
+    """Words of over ``LONG_WORD`` characters as several."""
+    pieces = F.flatten(F.transform(words, lambda w: words_of(F.regexp_replace(w, "(.{%d})" % LONG_WORD, "$1 "))))
+    return F.when(F.array_max(F.transform(words, F.length)) > LONG_WORD, pieces).otherwise(words)
 
 
 def kmers(words: Column) -> Column:
@@ -38,69 +44,105 @@ def kmers(words: Column) -> Column:
         F.size(words) > 0,
         F.sort_array(F.transform(
             F.sequence(F.lit(0), last),
-            lambda i: F.struct(
-                F.xxhash64(*[F.coalesce(F.get(words, i + j), F.lit("")) for j in range(K)]).alias("h"), i.alias("p")
-            ),
+            lambda i: F.struct(F.xxhash64(*[F.get(words, i + j) for j in range(K)]).alias("v"), i.alias("p")),
         )),
     )
 
 
+def same_as_before(ordered: Column, x: Column, i: Column) -> Column:
+    return (i > 0) & (F.get(ordered, i - 1)["v"] == x["v"])
+
+
 def occurrence(ordered: Column, x: Column, i: Column) -> Column:
     """How many equal hashes stand before ``x`` in a sorted array: a search in halving steps."""
-    back = F.aggregate(
+    return F.aggregate(
         F.array(*[F.lit(2**j) for j in range(30, -1, -1)]), F.lit(0),
         lambda t, step: F.when(
-            (i - t >= step) & F.coalesce(F.get(ordered, i - t - step)["h"] == x["h"], F.lit(False)), t + step
+            (i - t >= step) & F.coalesce(F.get(ordered, i - t - step)["v"] == x["v"], F.lit(False)), t + step
         ).otherwise(t),
     )
-    return F.when(F.coalesce(F.get(ordered, i - 1)["h"] == x["h"], F.lit(False)), back).otherwise(F.lit(0))
 
 
-def dealt(ordered: Column) -> Column:
-    """Numbered k-mers as (slot, hash, place), ordered by slot and hash."""
+def eligible(ordered: Column) -> Column:
+    """All that can be selected: no k-mer with two different smaller ones in its slot, unless it is repeated."""
+    v = lambda i: F.get(ordered, i)["v"]
+    return F.filter(
+        ordered,
+        lambda x, i: (i < L)
+        | (slot(F.get(ordered, i - 2)) != slot(x))
+        | (v(i - 1) == x["v"])
+        | F.coalesce(v(i + 1) == x["v"], F.lit(False))
+        | (v(i - 1) == v(i - 2)),
+    )
+
+
+def first_ones(ordered: Column) -> Column:
+    """K-mers at their first occurrence; they keep their hash and so their order."""
+    return F.filter(ordered, lambda x, i: ~same_as_before(ordered, x, i))
 
-    def entry(x, i):
-        v = F.xxhash64(x["h"], occurrence(ordered, x, i))
-        return F.struct(F.pmod(v, F.lit(SLOTS)).cast("int").alias("s"), v.alias("v"), x["p"].alias("p"))
 
-    return F.sort_array(F.transform(ordered, entry))
+def later_ones(ordered: Column, firsts: Column) -> Column:
+    """K-mers at later occurrences, hashed with their number."""
+    numbered = F.transform(ordered, lambda x, i: F.struct(
+        F.when(same_as_before(ordered, x, i), F.xxhash64(x["v"], occurrence(ordered, x, i))).alias("v"), x["p"].alias("p")
+    ))
+    found = F.sort_array(F.filter(numbered, lambda y: y["v"].isNotNull()))
+    return F.when(F.size(firsts) < F.size(ordered), found).otherwise(F.slice(ordered, 1, 0))
 
 
-def selected(entries: Column) -> Column:
+def slot(x: Column) -> Column:
+    return F.shiftrightunsigned(x["v"], 64 - SLOT_BITS)
+
+
+def selected(ordered: Column) -> Column:
     """The first ``L`` entries of each slot."""
-    return F.filter(entries, lambda x, i: ~F.coalesce(F.get(entries, i - L)["s"] == x["s"], F.lit(False)))
+    return F.filter(ordered, lambda x, i: (i < L) | (slot(F.get(ordered, i - L)) != slot(x)))
 
 
 def slots(chosen: Column) -> Column:
-    """Per filled slot its number and the hash of its k-mers in text order, as ten hex digits."""
-    firsts = F.filter(
-        F.transform(chosen, lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
-        lambda e: ~F.coalesce(F.get(chosen, e["i"] - 1)["s"] == e["x"]["s"], F.lit(False)),
-    )
+    """Per filled slot the hash of its k-mers in text order, with the slot in the leading bits."""
 
-    def tuple_hash(e):
-        mine = F.filter(F.slice(chosen, e["i"] + 1, F.lit(L)), lambda y: y["s"] == e["x"]["s"])
-        in_order = F.transform(F.array_sort(F.transform(mine, lambda y: F.struct(y["p"], y["v"]))), lambda y: y["v"])
-        return F.concat(
-            F.lpad(F.lower(F.hex(e["x"]["s"])), 2, "0"), F.substring(F.lpad(F.lower(F.hex(F.xxhash64(in_order))), 16, "0"), 1, 8)
-        )
+    def entry(x, i):
+        y = F.get(chosen, i + 1)
+        alone = F.coalesce(slot(y) != slot(x), F.lit(True))
+        both = F.when(y["p"] < x["p"], F.xxhash64(y["v"], x["v"])).otherwise(F.xxhash64(x["v"], y["v"]))
+        body = F.shiftrightunsigned(F.when(alone, F.xxhash64(x["v"])).otherwise(both), SLOT_BITS)
+        opens = (i == 0) | (slot(F.get(chosen, i - 1)) != slot(x))
+        return F.when(opens, F.shiftleft(slot(x), 64 - SLOT_BITS).bitwiseOR(body))
 
-    return F.coalesce(F.transform(firsts, tuple_hash), F.array().cast("array<string>"))
+    return F.coalesce(F.array_compact(F.transform(chosen, entry)), F.array().cast("array<long>"))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of the slots filled in either that agree; two texts without words are alike."""
-    numbers = lambda x: F.transform(x, lambda s: F.substring(s, 1, 2))
+    numbers = lambda x: F.transform(x, lambda s: F.shiftrightunsigned(s, 64 - SLOT_BITS))
     filled = F.size(F.array_union(numbers(a), numbers(b)))
     return F.when(filled == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / filled)
 
 
+def shown(fingerprint: Column) -> Column:
+    return F.array_join(F.transform(fingerprint, lambda x: F.lower(F.hex(x))), "-")
+
+
 def fingerprints(df: DataFrame, keep: list[str], **texts: str) -> DataFrame:
     """``keep`` of ``df`` with the slots of each text column, named by the keyword."""
-    df = settled(df, keep, **{f"_{n}": tokens(F.coalesce(F.col(c), F.lit(""))) for n, c in texts.items()})
-    for step in (kmers, dealt, selected):
-        df = settled(df, keep, **{f"_{n}": step(F.col(f"_{n}")) for n in texts})
-    return settled(df, keep, **{n: slots(F.col(f"_{n}")) for n in texts})
+    names = list(texts)
+
+    def then(df, **steps):
+        """One more step for every text, from the columns of the last, named by the text and a letter."""
+        return settled(df, keep, **{f"_{n}_{letter}": fn(n) for letter, fn in steps.items() for n in names})
+
+    df = then(df, w=lambda n: split(F.coalesce(F.col(texts[n]), F.lit(""))))
+    df = then(df, w=lambda n: cut_long(F.col(f"_{n}_w")))
+    df = then(df, s=lambda n: kmers(F.col(f"_{n}_w")))
+    df = then(df, s=lambda n: eligible(F.col(f"_{n}_s")))
+    df = then(df, s=lambda n: F.col(f"_{n}_s"), f=lambda n: first_ones(F.col(f"_{n}_s")))
+    df = then(
+        df, a=lambda n: selected(F.col(f"_{n}_f")), l=lambda n: later_ones(F.col(f"_{n}_s"), F.col(f"_{n}_f"))
+    )
+    df = then(df, c=lambda n: F.sort_array(F.concat(F.col(f"_{n}_a"), selected(F.col(f"_{n}_l")))))
+    df = then(df, c=lambda n: selected(F.col(f"_{n}_c")))
+    return settled(df, keep, **{n: slots(F.col(f"_{n}_c")) for n in names})
 
 
 def edited(text: Column, other: Column) -> Column:
@@ -147,7 +189,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     following = F.lead("mine").over(Window.partitionBy("bucket").orderBy("no"))
     return rows.withColumn("following", following).where("ghost = 0").select(
         "doc_id", "n_chars", "edited_sha256",
-        F.array_join("mine", "").alias("fingerprint"), F.array_join("theirs", "").alias("edited_fingerprint"),
+        shown(F.col("mine")).alias("fingerprint"), shown(F.col("theirs")).alias("edited_fingerprint"),
         likeness(F.col("mine"), F.col("theirs")).alias("near_edited"),
         likeness(F.col("mine"), F.col("following")).alias("near_next"),
     )

@@ -47,7 +47,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFr
     def encode(batches):
         for doc_ids, texts in cut_batches(batches):
             distinct, places, ends = split_words(texts)
-            ids, counts = encode_words(distinct.to_pylist(), path)
+            ids, counts = encode_words(distinct, path)
             starts, first, at = np.cumsum(counts) - counts, np.append(0, ends), 0
             while at < len(texts):  # index arrays are several times the ids, so a few documents at a time
                 to = max(at + 1, int(np.searchsorted(ends, first[at] + 500_000, "right")))
