@@ -44,7 +44,7 @@ PARITIES = 512
 FAMILY_KEYS, FAMILY_VOTES = 4, 2
 FAMILY_CHUNK = 2_000
 KEY_SALTS = mixed(np.arange(1, FAMILY_KEYS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
-INDEX_ENTRIES = 1_000_000
+INDEX_ENTRIES = 300_000
 
 
 def set_id(s: np.ndarray) -> int:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text hashed at a time: the arrays are several times as large.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_000_000
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 STEPS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
 _random = np.random.default_rng(20260101)
