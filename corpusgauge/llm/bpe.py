@@ -242,8 +242,20 @@ def encode_shard(path: str):
     return encode
 
 
-def fill_block(doc_id: pa.DataType):
-    """Step 3: word numbers of a block replaced by ids."""
+def spelt(ids: np.ndarray, sizes: np.ndarray, path: str) -> list[str]:
+    """Texts of lists of ids in a row, each id joined to its piece; bytes that are not UTF-8 are replaced."""
+    table, lengths = pieces(path), piece_sizes(path)
+    letters = np.frombuffer(b"".join(table), np.uint8)
+    starts, out, at = np.cumsum(lengths) - lengths, [], 0
+    for n in sizes.tolist():
+        mine = ids[at : at + n]
+        at += n
+        out.append(letters[spread(starts[mine], lengths[mine])].tobytes().decode("utf-8", "replace"))
+    return out
+
+
+def fill_block(doc_id: pa.DataType, path: str, texts: bool):
+    """Step 3: word numbers of a block replaced by ids, and these by the text that they decode to."""
 
     def fill(part: pa.Table) -> pa.Table:
         rows = {r["shard"]: r for r in part.to_pylist()}
@@ -265,21 +277,26 @@ def fill_block(doc_id: pa.DataType):
             lists.append(ids[spread(starts[some], counts[some])])
         flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
         offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
-        return pa.table({"doc_id": doc_ids.cast(doc_id), "ids": pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))})
+        out = {"doc_id": doc_ids.cast(doc_id), "ids": pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))}
+        return pa.table(out | {"decoded": pa.array(spelt(flat, sizes, path), pa.string())} if texts else out)
 
     return fill
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids) of every document; null and empty texts have no ids, repeated rows each theirs."""
+def encode(docs: DataFrame, path: str | None = None, decode: bool = False) -> DataFrame:
+    """(doc_id, ids) of every document; null and empty texts have no ids, repeated rows each theirs.
+
+    With ``decode`` also ``decoded``, the text of the ids, made in the task that has them.
+    """
     path = path or default_vocabulary()
     shards = max(LEAST_SHARDS, docs.rdd.getNumPartitions() // PARTITIONS_PER_SHARD)
     kind = docs.schema["doc_id"].dataType
     blocks = written_once(blocks_of(docs, shards))
     words = blocks.where("shard >= 0").groupBy("shard").applyInArrow(encode_shard(path), PARTS)
+    out = f"doc_id {kind.simpleString()}, ids array<int>" + ", decoded string" * decode
     return (
         blocks.where("shard < 0").unionByName(words).groupBy("block")
-        .applyInArrow(fill_block(to_arrow_type(kind)), f"doc_id {kind.simpleString()}, ids array<int>")
+        .applyInArrow(fill_block(to_arrow_type(kind), path, decode), out)
     )
 
 
@@ -308,8 +325,7 @@ def decoded(ids: Column, path: str | None = None) -> Column:
 
     @F.pandas_udf("string")
     def join(lists: pd.Series) -> pd.Series:
-        of = pieces(path).__getitem__
-        return lists.map(lambda x: None if x is None else b"".join(map(of, x.tolist())).decode("utf-8", "replace"))
+        return lists.map(lambda x: None if x is None else spelt(np.asarray(x, np.int64), np.array([len(x)]), path)[0])
 
     return join(ids)
 
@@ -320,10 +336,9 @@ def op10_bpe(spark, sf_dir: str) -> DataFrame:
 
 
 def encoded_and_decoded(docs: DataFrame) -> DataFrame:
-    rows = encode(docs)
-    spelt = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return rows.select(
+    numbers = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return encode(docs, decode=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.encode(spelt, "UTF-8"), 256).alias("ids_sha256"),
-        F.sha2(F.encode(decoded(F.col("ids")), "UTF-8"), 256).alias("decoded_sha256"),
+        F.sha2(F.encode(numbers, "UTF-8"), 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
     )

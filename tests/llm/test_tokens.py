@@ -37,6 +37,14 @@ def test_encoded_and_decoded_like_the_library(spark, block_bytes, monkeypatch):
     assert got == expected()
 
 
+def test_ids_of_any_kind_decode_like_the_library(spark):
+    lists = [(1, [50256, 0, 255, 128, 200, 13]), (2, []), (3, None), (4, [220, 220, 447, 222])]
+    df = spark.createDataFrame(lists, "doc_id long, ids array<int>")
+    got = {r["doc_id"]: r["t"] for r in df.select("doc_id", bpe.decoded(df.ids).alias("t")).collect()}
+    want = {i: None if x is None else bpe.tokenizer(PATH).decode(x, skip_special_tokens=False) for i, x in lists}
+    assert got == want
+
+
 def test_no_rows(spark):
     assert bpe.encode(empty(spark)).collect() == []
 
