@@ -355,9 +355,9 @@ def op2_arc_to_warc(spark, sf_dir: str) -> DataFrame:
     """All pages through ARC archives into WARC archives, and what these hold."""
     arc = write_arc(table(spark, sf_dir, "pages"), scratch_path(spark, "arc"))
     warc = write_warc(with_revisits(read_arc(spark, arc)), scratch_path(spark, "warc"))
-    rows = read_warc(spark, warc, payloads=False).select(
+    rows = written_once(read_warc(spark, warc, payloads=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "record_id", "refers_to"
-    )
+    ))
     targets = rows.where("record_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("_to")).distinct()
     later = rows.where("record_type = 'revisit'")
     found = spread_join(later, targets, ["refers_to"], "inner", spread_by=["record_id"])
