@@ -8,10 +8,12 @@ the rest.  The place of a document in the whole row of ids follows from the leng
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,40 @@ END_ID = 2
 ROW_GROUP_BYTES = 64 * 2**20
 PAGE_BYTES = 64 * 2**10
 PAGE_ROWS = 1_000
+#: Encoded words that a Python worker keeps for its next tasks.
+KNOWN_WORDS = 1_000_000
+
+
+class Known:
+    """Words that this worker has encoded lately, with their ids; memory of a few tens of megabytes."""
+
+    def __init__(self, path: str):
+        self.path, self.words = path, pa.array([], pa.string())
+        self.ids, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has, as :func:`encode_words` gives them."""
+        at = pc.index_in(words, value_set=self.words)
+        if len(self.words) and len(self.words) + at.null_count > KNOWN_WORDS:
+            kept = len(self.words) - len(self.words) // 2  # the older half goes
+            self.words, self.ids, self.counts = self.words[-kept:], self.ids[self.counts[:-kept].sum() :], self.counts[-kept:]
+            if kept == 1:
+                self.__init__(self.path)
+            return self.encode(words)
+        old, new = at.is_valid().to_numpy(zero_copy_only=False), words.filter(at.is_null())
+        ids, counts = encode_words(new, self.path)
+        number = np.empty(len(words), np.int64)
+        number[old] = at.drop_null().to_numpy()
+        number[~old] = len(self.words) + np.arange(len(new))
+        self.words = pa.concat_arrays([self.words, new])
+        self.ids, self.counts = np.concatenate((self.ids, ids)), np.concatenate((self.counts, counts))
+        starts = np.cumsum(self.counts) - self.counts
+        return self.ids[spread(starts[number], self.counts[number])], self.counts[number]
+
+
+@functools.lru_cache(maxsize=1)
+def known(path: str) -> Known:
+    return Known(path)
 
 
 def file_options(encoding: str = "dictionary", row_group_bytes: int = ROW_GROUP_BYTES) -> dict[str, str]:
@@ -42,12 +78,12 @@ def file_options(encoding: str = "dictionary", row_group_bytes: int = ROW_GROUP_
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFrame:
-    """(doc_id, n_tokens, ids) with the partitions of ``docs``; each distinct word of a batch is encoded once."""
+    """(doc_id, n_tokens, ids) with the partitions of ``docs``; a word that the worker has met lately is not encoded again."""
 
     def encode(batches):
         for doc_ids, texts in cut_batches(batches):
             distinct, places, ends = split_words(texts)
-            ids, counts = encode_words(distinct, path)
+            ids, counts = known(path).encode(distinct)
             starts, first, at = np.cumsum(counts) - counts, np.append(0, ends), 0
             while at < len(texts):  # index arrays are several times the ids, so a few documents at a time
                 to = max(at + 1, int(np.searchsorted(ends, first[at] + 500_000, "right")))

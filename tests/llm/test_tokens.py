@@ -102,6 +102,19 @@ def test_token_files(spark, encoding):
     assert "ids" not in lengths.split("ReadSchema")[1]
 
 
+def test_known_words_are_not_encoded_again(monkeypatch):
+    calls = []
+    monkeypatch.setattr(token_files, "encode_words", lambda w, p: calls.append(len(w)) or bpe.encode_words(w, p))
+    monkeypatch.setattr(token_files, "KNOWN_WORDS", 6)
+    known = token_files.Known(PATH)
+    for words, fresh in ((["a", " b", " é"], [3]), ([" b", "a", " c"], [1]), ([" d", " e", " é", " c"], [2]), ([" f", "a"], [2]), (list("ghijklmn"), None)):
+        calls.clear()
+        ids, counts = known.encode(pa.array(words))
+        ends = np.cumsum(counts)
+        assert [ids[e - c : e].tolist() for e, c in zip(ends, counts, strict=True)] == [ids_of(w) for w in words]
+        assert fresh is None or calls == fresh
+
+
 def test_token_files_without_rows(spark):
     out = token_files.write_token_files(empty(spark), scratch_path(spark, "tokens"))
     assert token_files.with_starts(token_files.read_checksums(spark, out), token_files.read_lengths(spark, out)).collect() == []
