@@ -417,6 +417,9 @@ def cite_fallback_surnames(contents: DataFrame, keys: Sequence[str] = DOC_KEYS)
 
 
 def write_citations(cited: DataFrame, keys: Sequence[str] = DOC_KEYS) -> DataFrame:
-    """``sentence`` and its references joined by ``;``, each sentence once per document."""
-    first = cited.groupBy(*keys, "sentence").agg(F.min_by("references", "sent_no").alias("references"))
-    return first.select(*keys, "sentence", F.array_join("references", ";").alias("references"))
+    """``sentence`` and its references joined by ``;``, each sentence once per document.
+
+    A repeated sentence has the references of its last place.
+    """
+    last = cited.groupBy(*keys, "sentence").agg(F.max_by("references", "sent_no").alias("references"))
+    return last.select(*keys, "sentence", F.array_join("references", ";").alias("references"))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusgauge.functions.json import object_fields
-from corpusgauge.functions.joins import spread_join
 from corpusgauge.functions.ranking import top_per_group
 from corpusgauge.functions.text import strip
 from corpusgauge.operators.judging import fill, judge_apply
@@ -244,16 +243,16 @@ LABEL_TEMPLATE = (
 )
 
 
-def title_batches(papers: DataFrame, size: int = 10, key: str = "category") -> DataFrame:
+def title_batches(papers: DataFrame, size: int = 10, key: str = "category", buckets: int = 1) -> DataFrame:
     """Prompts for batches of ``size`` papers of one category.
 
-    A category of many papers is first cut into buckets of about 10,000 by a
-    hash of the id, so none is ordered as a whole in one task; only the last
-    batch of a bucket is short.
+    A category is cut into ``buckets`` by a hash of the id, so that none need be
+    ordered as a whole in one task; only the last batch of a bucket is short.
+    The number is the caller's and does not follow the data: a batch depends
+    on the papers of its bucket alone.
     """
-    counts = papers.groupBy(key).agg(F.ceil(F.count("*") / 10_000).alias("buckets"))
-    bucket = F.pmod(F.xxhash64("arxiv_id"), F.col("buckets"))
-    counted = spread_join(papers.select(key, "arxiv_id", "title"), counts, [key], "inner")
+    bucket = F.pmod(F.xxhash64("arxiv_id"), F.lit(buckets))
+    counted = papers.select(key, "arxiv_id", "title")
     place = F.row_number().over(Window.partitionBy(key, "bucket").orderBy("arxiv_id")) - 1
     numbered = counted.withColumn("bucket", bucket).withColumn("batch_no", F.floor(place / size))
     listed = F.array_sort(F.collect_list(F.struct("arxiv_id", "title")))
@@ -262,9 +261,9 @@ def title_batches(papers: DataFrame, size: int = 10, key: str = "category") -> D
     ).select(key, "bucket", "batch_no", "n", "papers", fill(LABEL_TEMPLATE).alias("prompt"))
 
 
-def assign_topics(papers: DataFrame, scorer, size: int = 10, attempts: int = 3) -> DataFrame:
+def assign_topics(papers: DataFrame, scorer, size: int = 10, attempts: int = 3, buckets: int = 1) -> DataFrame:
     """Topic labels from the judge: one row per label and paper."""
-    batches = title_batches(papers, size).drop("papers")
+    batches = title_batches(papers, size, buckets=buckets).drop("papers")
     answers = judge_apply(batches, scorer, attempts)
     labels = answers.select("category", F.explode(object_fields(F.col("raw"))).alias("label", "members"))
     members = F.from_json("members", "array<struct<title:string,arxiv_id:string>>")

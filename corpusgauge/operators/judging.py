@@ -208,11 +208,13 @@ def judge_scores(parsed: DataFrame, criteria: Sequence[str]) -> DataFrame:
 
 
 def children_verdicts(parsed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per judged child; a parent without any keeps a null verdict."""
+    """One row per child of the answer, judged or not; a parent without any keeps one with a null ``child``."""
     listed = F.from_json(
         F.try_element_at("fields", F.lit("children")), "array<struct<child_index:string,is_included:string>>"
     )
-    return parsed.select(*keys, F.explode_outer(listed).alias("c")).select(*keys, "c.child_index", "c.is_included")
+    return parsed.select(*keys, F.posexplode_outer(listed).alias("child", "c")).select(
+        *keys, "child", "c.child_index", "c.is_included"
+    )
 
 
 def support_verdicts(parsed: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -15,19 +15,18 @@ from corpusgauge.schema import BASELINE, DENSITIES, FACET_METRICS, METRICS, RATI
 def structure_score(verdicts: DataFrame, docs: DataFrame | None = None, keys: Sequence[str] = ("doc",)) -> DataFrame:
     """Depth-weighted share of accepted children, 0-100 with 4 digits.
 
-    ``verdicts`` has one row per judged child: keys, ``parent_pos``,
-    ``depth`` of the parent, ``is_included``, and optionally ``max_depth`` of
-    the whole outline (else the deepest parent).  A parent without judged
-    children has a null ``is_included`` and scores 1.  Documents in ``docs``
-    without any parent score 100.
+    ``verdicts`` has one row per child of the answer: keys, ``parent_pos``,
+    ``depth`` of the parent, ``max_depth`` of the whole outline, ``child`` and
+    ``is_included``.  Every child counts, judged or not; a parent without any
+    has a null ``child`` and scores 1.  Documents in ``docs`` without any
+    parent score 100.
     """
     keys = list(keys)
-    deepest = "max_depth" if "max_depth" in verdicts.columns else "depth"
-    judged = F.count("is_included")
-    accepted = F.count_if(F.lower("is_included") == "yes")
+    children = F.count("child")
+    accepted = F.count_if(F.col("child").isNotNull() & (F.lower("is_included") == "yes"))
     parents = verdicts.groupBy(*keys, "parent_pos", "depth").agg(
-        F.when(judged > 0, accepted / judged).otherwise(1.0).alias("score"),
-        F.max(deepest).alias("deepest"),
+        F.when(children > 0, accepted / children).otherwise(1.0).alias("score"),
+        F.max("max_depth").alias("deepest"),
     )
     # score and weight share the factor 1 / max depth, so it cancels out of
     # the weighted mean, but depth must be counted from the deepest level
@@ -54,11 +53,13 @@ def _support(verdicts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def faithfulness(verdicts: DataFrame, keys: Sequence[str], sentence: str | None = "sentence") -> DataFrame:
-    """Supported share of citations; a sentence repeated in a document counts once."""
+    """Supported share of citations; a sentence repeated in a document counts once.
+
+    Of several answers about one sentence the one that supports most counts, of those the one with most citations.
+    """
     if sentence is not None:
-        verdicts = verdicts.groupBy(*keys, sentence).agg(
-            F.max("supported").alias("supported"), F.max("total").alias("total")
-        )
+        best = F.max(F.struct("supported", "total")).alias("best")
+        verdicts = verdicts.groupBy(*keys, sentence).agg(best).select(*keys, "best.supported", "best.total")
     share = ratio(F.col("supported"), F.col("total"))
     return _support(verdicts, keys).select(*keys, half_up(F.round(F.round(share, 10), 4) * 100, 2).alias("value"))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,7 +18,6 @@ from corpusgauge.functions.text import WS_INLINE, find_all, settled, strip
 from corpusgauge.schema import DOC_KEYS
 
 HEADING_LINE = rf"(?dm)^#{{1,6}}{WS_INLINE}+.+$"
-MAX_LEVEL = 6
 
 
 def headings(docs: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
@@ -105,41 +104,45 @@ def outline_needs_refine(outline: DataFrame, keys: Sequence[str] = DOC_KEYS) ->
     )
 
 
-def _ancestors(keys: Sequence[str], levels: int):
-    """Per level, the last node of that level before the current row."""
-    before = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    node = F.struct(F.col("pos").cast("int").alias("pos"), "title", F.col("level").cast("int").alias("level"))
-    return {
-        lvl: F.max(F.when(F.col("level") == lvl, node)).over(before) for lvl in range(1, levels + 1)
-    }
+def _with_ancestors(outline: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per document ``found``: each node with its ancestors, the root first.
 
+    The nodes of a document, a few short rows, are folded in order over the
+    stack of open nodes, whose levels always grow; levels have no limit.
+    """
+    node = F.struct(F.col("pos").cast("int").alias("pos"), F.col("level").cast("int").alias("level"), "title")
+    listed = outline.groupBy(*keys).agg(F.array_sort(F.collect_list(node)).alias("nodes"))
+    kind = "pos:int,level:int,title:string"
+
+    def step(seen: Column, x: Column) -> Column:
+        above = F.filter(seen["open"], lambda s: s["level"] < x["level"])
+        row = F.struct(x["pos"].alias("pos"), x["level"].alias("level"), x["title"].alias("title"), above.alias("above"))
+        return F.struct(
+            F.concat(above, F.array(x)).alias("open"), F.concat(seen["found"], F.array(row)).alias("found")
+        )
 
-def outline_tree(
-    outline: DataFrame, keys: Sequence[str] = DOC_KEYS, levels: int = MAX_LEVEL
-) -> DataFrame:
-    """Parent of every node: the nearest earlier node of a smaller level.
+    start = F.struct(
+        F.array().cast(f"array<struct<{kind}>>").alias("open"),
+        F.array().cast(f"array<struct<{kind},above:array<struct<{kind}>>>>").alias("found"),
+    )
+    return settled(listed, list(keys), found=F.aggregate("nodes", start, step, lambda seen: seen["found"]))
 
-    Positions grow, so "nearest" is the greatest position among the last
-    nodes of the smaller levels.
-    """
+
+def outline_tree(outline: DataFrame, keys: Sequence[str] = DOC_KEYS) -> DataFrame:
+    """Parent of every node: the nearest earlier node of a smaller level."""
     keys = list(keys)
-    last = _ancestors(keys, levels)
-    marked = outline.select(
-        *keys, "pos", "level", "title", *[c.alias(f"_l{lvl}") for lvl, c in last.items()]
-    )
-    none = F.lit(None).cast("struct<pos:int,title:string,level:int>")
-    candidates = [
-        F.when(F.col("level") > lvl, F.col(f"_l{lvl}")).otherwise(none) for lvl in range(1, levels)
-    ]
-    whole = Window.partitionBy(*keys)
-    return marked.select(
-        *keys, "pos", "level", "title", F.greatest(*candidates).alias("parent")
-    ).select(
-        *keys, "pos", "level", "title",
-        F.col("parent.pos").alias("parent_pos"),
-        F.col("parent.title").alias("parent_title"),
-        F.col("parent.level").alias("parent_level"),
-        F.max("level").over(whole).alias("max_depth"),
+    parent = F.try_element_at("above", F.lit(-1))
+    return (
+        _with_ancestors(outline, keys)
+        .select(*keys, F.array_max("found.level").alias("max_depth"), F.inline("found"))
+        .withColumn("parent", parent)
+        .select(
+            *keys, "pos", "level", "title",
+            F.col("parent.pos").alias("parent_pos"),
+            F.col("parent.title").alias("parent_title"),
+            F.col("parent.level").alias("parent_level"),
+            "max_depth",
+        )
     )
 
 
@@ -155,10 +158,7 @@ def outline_edges(tree: DataFrame, keys: Sequence[str] = DOC_KEYS) -> DataFrame:
 
 
 def outline_paths(
-    outline: DataFrame,
-    keys: Sequence[str] = DOC_KEYS,
-    topic: str = "topic",
-    levels: int = MAX_LEVEL,
+    outline: DataFrame, keys: Sequence[str] = DOC_KEYS, topic: str = "topic"
 ) -> DataFrame:
     """Root-to-leaf title paths, leaves under the same titles merged into one.
 
@@ -166,33 +166,20 @@ def outline_paths(
     Paths of one or two titles are dropped.
     """
     keys = list(keys)
-    doc = Window.partitionBy(*keys)
-    counted = outline.withColumn("_tops", F.count_if(F.col("level") == 1).over(doc))
-    rooted = F.col("_tops") != 1
-    shifted = counted.select(
-        *keys, "pos",
-        (F.col("level") + F.when(rooted, 1).otherwise(0)).alias("level"),
-        "title",
-        rooted.alias("rooted"),
-    )
-    levels += 1
-    last = _ancestors(keys, levels)
-    follower = F.lead("level").over(doc.orderBy("pos"))
-    marked = shifted.select(
-        "*", follower.alias("_next"), *[c.alias(f"_l{lvl}") for lvl, c in last.items()]
-    )
-    titles = []
-    for lvl in range(1, levels):
-        newer = [F.col(f"_l{low}.pos") for low in range(1, lvl)]
-        alive = F.col(f"_l{lvl}").isNotNull() & (F.col("level") > lvl)
-        for pos in newer:
-            alive = alive & (pos.isNull() | (pos < F.col(f"_l{lvl}.pos")))
-        titles.append(F.when(alive, F.col(f"_l{lvl}.title")))
-    root = F.when(F.col("rooted"), F.array(F.col(topic))).otherwise(F.array().cast("array<string>"))
-    parents = F.concat(root, F.filter(F.array(*titles), lambda t: t.isNotNull()))
+    found = F.col("found")
+    rooted = F.size(F.filter(found, lambda n: n["level"] == 1)) != 1
+    root = F.when(rooted, F.array(F.col(topic))).otherwise(F.array().cast("array<string>"))
+    # a node is a leaf when the next one is not deeper
+    leaf = F.transform(
+        found, lambda n, i: F.struct(
+            n["pos"].alias("pos"), n["title"].alias("title"), F.transform(n["above"], lambda a: a["title"]).alias("above"),
+            F.coalesce(F.get(found, i + 1)["level"] <= n["level"], F.lit(True)).alias("leaf"),
+        )
+    )
     leaves = (
-        marked.filter(F.col("_next").isNull() | (F.col("_next") <= F.col("level")))
-        .select(*keys, "pos", "title", parents.alias("parents"))
+        settled(_with_ancestors(outline, keys), keys, root=root, nodes=leaf)
+        .select(*keys, "root", F.inline(F.filter("nodes", lambda n: n["leaf"])))
+        .select(*keys, "pos", "title", F.concat("root", "above").alias("parents"))
         .filter(F.size("parents") >= 2)
     )
     merged = leaves.groupBy(*keys, "parents").agg(

@@ -12,16 +12,17 @@ from corpusgauge.schema import DENSITIES
 
 
 @register("structure_score", ("v_verdicts",), f"""WITH p AS (
- SELECT doc, parent_pos, depth, sum(CASE WHEN lower(is_included) = 'yes' THEN 1.0e0 ELSE 0 END) / count(*) AS score FROM v_verdicts GROUP BY ALL),
-d AS (SELECT doc, max(depth) AS deepest FROM v_verdicts GROUP BY doc)
-SELECT p.doc, {hu('sum(score * (deepest - depth + 1) / deepest) / sum((deepest - depth + 1) / deepest) * 100', 4)} AS value
-FROM p JOIN d ON p.doc = d.doc GROUP BY p.doc""")
+ SELECT doc, parent_pos, depth, max(max_depth) AS m, count(child) AS n, count(*) FILTER (WHERE child IS NOT NULL AND lower(is_included) = 'yes') AS yes
+ FROM v_verdicts GROUP BY ALL),
+s AS (SELECT doc, CASE WHEN n = 0 THEN 1.0e0 ELSE yes / n END AS score, 1.0e0 - (depth - 1) / max(m) OVER (PARTITION BY doc) AS weight FROM p)
+SELECT doc, {hu('sum(score * weight) / sum(weight) * 100', 4)} AS value FROM s GROUP BY doc""")
 def structure_score(t):
     return M.structure_score(t.v_verdicts)
 
 
 @register("faithfulness", ("v_responses",), f"""WITH s AS (SELECT DISTINCT category, system, sentence, total, supported FROM (
-  SELECT category, system, sentence, max(total) AS total, max(supported) AS supported FROM v_responses GROUP BY ALL))
+  SELECT category, system, sentence, max(total) AS total, supported FROM v_responses v
+  WHERE supported = (SELECT max(w.supported) FROM v_responses w WHERE w.category = v.category AND w.system = v.system AND w.sentence IS NOT DISTINCT FROM v.sentence) GROUP BY ALL))
 SELECT category, system, {hu(hu('sum(supported) / sum(total)', 4) + ' * 100', 2)} AS value FROM s GROUP BY category, system""")
 def faithfulness(t):
     return M.faithfulness(t.v_responses, ["category", "system"])

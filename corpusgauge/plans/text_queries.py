@@ -49,17 +49,12 @@ raw_heads AS (SELECT {K}, unnest(list_filter(string_split(md, chr(10)), lambda l
 lv AS (SELECT {K}, pos, length(regexp_extract(line, '^(#{{1,6}})', 1)) AS level, {trim_sql(f"regexp_extract(line, '^#{{1,6}}{WS}+(.+)', 1)")} AS title FROM raw_heads),
 heads AS (SELECT {K}, pos, CASE WHEN min(level) OVER w = max(level) OVER w THEN 1 ELSE level END AS level, title FROM lv WINDOW w AS (PARTITION BY {K}))
 """
-_LAST = ", ".join(
-    f"max(CASE WHEN level = {n} THEN pos END) OVER (PARTITION BY {K} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p{n}"
-    for n in range(1, 8)
-)
-_PARENT = "greatest(" + ", ".join(f"CASE WHEN level > {n} THEN p{n} END" for n in range(1, 7)) + ")"
 TREE = f"""
-lasts AS (SELECT *, {_LAST} FROM heads),
-tree AS (SELECT c.{K.replace(', ', ', c.')}, c.pos, c.level, c.title, c.parent_pos, p.title AS parent_title, p.level AS parent_level,
+tree AS (SELECT c.{K.replace(', ', ', c.')}, c.pos, c.level, c.title, p.pos AS parent_pos, p.title AS parent_title, p.level AS parent_level,
   max(c.level) OVER (PARTITION BY c.category, c.topic, c.system) AS max_depth
- FROM (SELECT *, {_PARENT} AS parent_pos FROM lasts) c LEFT JOIN heads p
- ON p.category = c.category AND p.topic = c.topic AND p.system = c.system AND p.pos = c.parent_pos)
+ FROM (SELECT h.*, (SELECT max(e.pos) FROM heads e WHERE e.category = h.category AND e.topic = h.topic AND e.system = h.system
+   AND e.pos < h.pos AND e.level < h.level) AS parent_pos FROM heads h) c
+ LEFT JOIN heads p ON p.category = c.category AND p.topic = c.topic AND p.system = c.system AND p.pos = c.parent_pos)
 """
 
 
@@ -100,8 +95,8 @@ PATHS = f"""
 tops AS (SELECT {K}, count(*) FILTER (WHERE level = 1) AS tops FROM heads GROUP BY {K}),
 rooted AS (SELECT h.{K.replace(', ', ', h.')}, pos, CASE WHEN tops = 1 THEN level ELSE level + 1 END AS level, title FROM heads h JOIN tops USING (category, topic, system)
  UNION ALL SELECT {K}, -1, 1, topic FROM tops WHERE tops <> 1),
-lasts2 AS (SELECT *, {_LAST} FROM rooted),
-par AS (SELECT *, greatest({", ".join(f"CASE WHEN level > {n} THEN p{n} END" for n in range(1, 8))}) AS parent_pos FROM lasts2),
+par AS (SELECT r.*, (SELECT max(e.pos) FROM rooted e WHERE e.category = r.category AND e.topic = r.topic AND e.system = r.system
+  AND e.pos < r.pos AND e.level < r.level) AS parent_pos FROM rooted r),
 walk AS (SELECT {K}, pos, [title] AS titles FROM par WHERE parent_pos IS NULL
  UNION ALL SELECT c.category, c.topic, c.system, c.pos, list_append(w.titles, c.title) FROM walk w JOIN par c
  ON c.category = w.category AND c.topic = w.topic AND c.system = w.system AND c.parent_pos = w.pos),
@@ -116,6 +111,19 @@ def outline_paths(t):
     return O.outline_paths(O.outline_extract(t.v_docs))
 
 
+_DEEP = "heads AS (SELECT * FROM v_outlines)"
+
+
+@register("outline_tree_deep", ("v_outlines",), f"WITH {_DEEP}, {TREE} SELECT * FROM tree")
+def outline_tree_deep(t):
+    return O.outline_tree(t.v_outlines)
+
+
+@register("outline_paths_deep", ("v_outlines",), f"WITH RECURSIVE {_DEEP}, {PATHS} SELECT * FROM paths")
+def outline_paths_deep(t):
+    return O.outline_paths(t.v_outlines)
+
+
 @register("sections_by_hash", ("v_docs",), f"""WITH {PARTS},
 s AS (SELECT {K}, string_split(replace(main_content, chr(10) || '#', chr(1) || '#'), chr(1)) AS s FROM parts)
 SELECT {K}, generate_subscripts(s, 1) - 1 AS section_no, unnest(s) AS section FROM s""")
@@ -212,7 +220,7 @@ def ref_batches(t):
 
 
 @register("ref_number_runs", ("v_docs",), f"""WITH {PARTS}, {ENTRIES},
-n AS (SELECT DISTINCT {K}, cast(ref_id AS integer) AS n FROM refs WHERE regexp_full_match(ref_id, '[0-9]{{1,9}}')),
+n AS (SELECT DISTINCT {K}, cast(ref_id AS bigint) AS n FROM refs WHERE regexp_full_match(ref_id, '0*[0-9]{{1,18}}')),
 g AS (SELECT {K}, n, n - row_number() OVER (PARTITION BY {K} ORDER BY n) AS island FROM n)
 SELECT {K}, min(n) AS first, max(n) AS last, min(n) = 1 AS from_one FROM g GROUP BY {K}, island""")
 def ref_number_runs(t):
@@ -294,7 +302,7 @@ def cite_resolve(t):
 
 
 @register("write_citations", ("v_docs",), f"""WITH {PARTS}, {SENTENCES}, {ENTRIES}, {LOOKUP}, {RESOLVED}
-SELECT {K}, sentence, arg_min(refs, sent_no) AS references FROM cited GROUP BY {K}, sentence""")
+SELECT {K}, sentence, arg_max(refs, sent_no) AS references FROM cited GROUP BY {K}, sentence""")
 def write_citations(t):
     return C.write_citations(C.cite_resolve(_contents(t)))
 

@@ -77,9 +77,19 @@ SELECT d.doc_id, source AS category, lang AS system, 1 + doc_id % 9 AS total, le
   CASE doc_id % 4 WHEN 1 THEN ' done' WHEN 2 THEN concat(chr(10), '```') ELSE '' END) AS raw FROM documents d
 """
 
+# parents at depth 1 to 3 of outlines one to three levels deeper; some children are not judged, some parents have none
 VIEWS["v_verdicts"] = """
-SELECT doc_id % 40 AS doc, doc_id % 6 AS parent_pos, 1 + doc_id % 3 AS depth, doc_id AS child_pos,
- CASE WHEN quality = 1 THEN 'Yes' ELSE 'No' END AS is_included FROM labels
+SELECT doc_id % 40 AS doc, doc_id % 6 AS parent_pos, 1 + doc_id % 3 AS depth, 4 + doc_id % 40 % 3 AS max_depth,
+ CASE WHEN doc_id % 6 = 5 AND doc_id % 40 % 4 = 1 THEN NULL ELSE doc_id END AS child,
+ CASE WHEN doc_id % 7 = 3 THEN NULL WHEN quality = 1 THEN 'Yes' ELSE 'No' END AS is_included FROM labels
+"""
+
+# outlines of many levels and jumps between them, one per order
+VIEWS["v_outlines"] = """
+SELECT cast(l_orderkey % 5 AS string) AS category, cast(l_orderkey AS string) AS topic, 's' AS system,
+ cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS int) - 1 AS pos,
+ CASE WHEN l_linenumber = 1 THEN 1 + cast(l_orderkey % 3 AS int) ELSE 1 + cast((l_partkey * 7 + l_suppkey) % 12 AS int) END AS level,
+ concat('n', cast(l_partkey % 50 AS string)) AS title FROM lineitem
 """
 
 VIEWS["v_comparisons"] = """

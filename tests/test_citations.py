@@ -145,6 +145,18 @@ def test_written_list_has_each_sentence_once(spark):
     assert [(r.sentence, r.references) for r in rows] == [("Other [1,2]", "[1] A;[2] B"), ("Same [1]", "[1] A")]
 
 
+def test_a_repeated_sentence_keeps_its_last_references(spark):
+    rows = [("k", 0, "Same.", ["a"]), ("k", 5, "Same.", ["b", "c"])]
+    df = spark.createDataFrame(rows, "topic string, sent_no int, sentence string, references array<string>")
+    assert C.write_citations(df, ["topic"]).first()["references"] == "b;c"
+
+
+def test_long_reference_numbers_make_runs(spark):
+    df = spark.createDataFrame([("k", str(n)) for n in (10**17, 10**17 + 1, 12345678901, "9" * 30, "A1")], "topic string, ref_id string")
+    rows = P.ref_number_runs(df, ["topic"]).orderBy("first").collect()
+    assert [(r.first, r.last) for r in rows] == [(12345678901, 12345678901), (10**17, 10**17 + 1)]
+
+
 def test_batches_and_runs(spark):
     block = "\n".join(f"[{n}] r{n}" for n in [1, 2, 3, 7, 8, 8, 20])
     df = contents(spark, ("", block), ("", ""))

@@ -93,6 +93,11 @@ def test_batches_of_titles(spark):
     batches = Q.title_batches(papers, size=10).orderBy("batch_no").collect()
     assert [b.n for b in batches] == [10, 10, 5]
     assert [p["arxiv_id"] for p in json.loads(batches[1].papers)] == [f"{n:03d}" for n in range(10, 20)]
+    cut = Q.title_batches(papers, size=10, buckets=3)
+    more = papers.unionByName(papers.selectExpr("category", "concat('x', arxiv_id) AS arxiv_id", "title"))
+    assert cut.groupBy("bucket").count().count() == 3  # and the bucket of a paper does not follow the number of papers
+    bucket = {p["arxiv_id"]: r.bucket for r in Q.title_batches(more, size=1, buckets=3).collect() for p in json.loads(r.papers)}
+    assert all(bucket[p["arxiv_id"]] == r.bucket for r in cut.collect() for p in json.loads(r.papers))
     labels = Q.assign_topics(papers, lambda prompt: "oops")
     assert labels.count() == 0
 

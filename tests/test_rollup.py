@@ -142,12 +142,18 @@ def test_composites(spark):
 
 
 def test_structure_score(spark):
-    rows = [("d", 0, 1, 3, "Yes"), ("d", 0, 1, 3, "no"), ("d", 4, 2, 3, "YES"), ("d", 5, 2, 3, None)]
-    verdicts = spark.createDataFrame(rows, "doc string, parent_pos int, depth int, max_depth int, is_included string")
+    rows = [
+        ("d", 0, 1, 3, 0, "Yes"), ("d", 0, 1, 3, 1, "no"), ("d", 4, 2, 3, 0, "YES"), ("d", 5, 2, 3, None, None),
+        ("e", 0, 1, 2, 0, "Yes"), ("e", 0, 1, 2, 1, None),  # an unjudged child is one of two
+        ("f", 0, 1, 3, 0, "Yes"), ("f", 1, 2, 3, 0, "No"),  # parents at 1 and 2 of three levels
+    ]
+    verdicts = spark.createDataFrame(rows, "doc string, parent_pos int, depth int, max_depth int, child int, is_included string")
     docs = spark.createDataFrame([("d",), ("flat",)], "doc string")
     got = as_dict(M.structure_score(verdicts, docs), "doc")
     want = (0.5 * 3 / 3 + 1 * 2 / 3 + 1 * 2 / 3) / (3 / 3 + 2 / 3 + 2 / 3) * 100
     assert got == {("d",): round(want, 4), ("flat",): 100.0}
+    every = as_dict(M.structure_score(verdicts), "doc")
+    assert every[("e",)] == 50.0 and every[("f",)] == 60.0
 
 
 def test_support_shares(spark):
