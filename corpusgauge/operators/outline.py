@@ -40,7 +40,12 @@ def headings(docs: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
 
 def outline_extract(docs: DataFrame, text: str = "md", keys: Sequence[str] = DOC_KEYS) -> DataFrame:
     """Heading lines in order; where all share one level, the level is 1."""
-    return headings(docs, text, keys).select(*keys, F.posexplode("heads").alias("pos", "head")).select(
+    return outline_rows(headings(docs, text, keys), keys)
+
+
+def outline_rows(heads: DataFrame, keys: Sequence[str] = DOC_KEYS) -> DataFrame:
+    """The headings of :func:`headings` as rows."""
+    return heads.select(*keys, F.posexplode("heads").alias("pos", "head")).select(
         *keys, "pos", "head.level", "head.title"
     )
 
@@ -50,6 +55,11 @@ def outline_text(docs: DataFrame, text: str = "md", keys: Sequence[str] = DOC_KE
 
     ``flat`` tells whether every heading has level 1.
     """
+    return outline_lines(headings(docs, text, keys), keys)
+
+
+def outline_lines(found: DataFrame, keys: Sequence[str] = DOC_KEYS) -> DataFrame:
+    """The headings of :func:`headings` as one text per document."""
     def line(h):
         quoted = F.to_json(F.array(h["title"]))
         return F.concat(
@@ -59,7 +69,7 @@ def outline_text(docs: DataFrame, text: str = "md", keys: Sequence[str] = DOC_KE
 
     heads = F.col("heads")
     flat = (F.size(heads) > 0) & (F.array_max("heads.level") == 1)
-    return headings(docs, text, keys).select(
+    return found.select(
         *keys, flat.alias("flat"), F.array_join(F.transform(heads, line), "\n").alias("text")
     )
 

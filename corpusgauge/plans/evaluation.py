@@ -28,18 +28,28 @@ KEYS = list(DOC_KEYS)
 FACETS = tuple(FACET_METRICS)
 
 
+def parsed_documents(docs: DataFrame) -> DataFrame:
+    """Keys, ``heads``, ``main_content`` and ``ref_block``: all that the prompts are made of, in one row."""
+    return D.split_content_refs(O.headings(docs, "md", [*KEYS, "md"]), "md", [*KEYS, "heads"])
+
+
 def refined_outline(docs: DataFrame, scorer: Callable[[str], str], attempts: int = 3) -> DataFrame:
     """Outlines, flat ones with the levels the model gives them."""
-    texts = O.outline_text(docs).filter("flat")
+    return _refined(O.headings(docs, "md", KEYS), scorer, attempts)
+
+
+def _refined(heads: DataFrame, scorer: Callable[[str], str], attempts: int) -> DataFrame:
+    texts = O.outline_lines(heads).filter("flat")
     asked = J.template_requests(texts, "outline_refine", KEYS, text=F.replace("text", F.lit("\n"), F.lit(",\n")))
     answers = written_once(J.judge_apply(asked, scorer, attempts))
-    return O.apply_refinement(O.outline_extract(docs), answers)
+    return O.apply_refinement(O.outline_rows(heads), answers)
+
 
+def evaluation_requests(contents: DataFrame, outline: DataFrame) -> DataFrame:
+    """All prompts for the documents of ``contents``, rows of :func:`parsed_documents`.
 
-def evaluation_requests(docs: DataFrame, outline: DataFrame) -> DataFrame:
-    """All prompts for a corpus: keys, ``facet``, ``task``, ``item_no``, ``depth``,
-    ``max_depth`` and ``prompt``."""
-    contents = D.split_content_refs(docs)
+    Keys, ``facet``, ``task``, ``item_no``, ``depth``, ``max_depth`` and ``prompt``.
+    """
     edges = O.outline_edges(O.outline_tree(outline))
     none = F.lit(None).cast("int")
 
@@ -58,7 +68,7 @@ def evaluation_requests(docs: DataFrame, outline: DataFrame) -> DataFrame:
     listed = F.replace("references", F.lit(";"), F.lit("\n"))
     children = J.template_requests(edges, "children", [*KEYS, "parent_pos", "parent_level", "max_depth"])
     return (
-        asked(single(O.outline_text(docs), "outline"), "outline", "Outline")
+        asked(single(O.outline_lines(contents), "outline"), "outline", "Outline")
         .unionByName(
             asked(children, "outline", "Outline_structure", F.col("parent_pos"), F.col("parent_level"), F.col("max_depth"))
         )
@@ -116,23 +126,55 @@ def evaluate_documents(
     """Documents to long scores of ``model``.
 
     With ``done``, only facets with an absent metric are asked for again, and
-    the new scores go over the old ones.
+    the new scores go over the old ones; a finished document is not parsed.
     """
-    requests = evaluation_requests(docs, refined_outline(docs, scorer, attempts))
     if done is None:
-        return _scored(docs, requests, scorer, model, attempts)
+        contents = written_once(parsed_documents(docs))
+        return _scored(docs, evaluation_requests(contents, _refined(contents, scorer, attempts)), scorer, model, attempts)
     mine = done.filter(F.col("model") == model)
-    # prompts are long: a short list of open work goes to them, not they to it
-    pending = broadcast_if_small(
-        J.pending_work(docs.select(*KEYS, F.lit(model).alias("model")), mine).drop("model")
-    )
     open_facet = [*KEYS, "facet"]
-    scores = _scored(docs, requests.join(pending, open_facet, "left_semi"), scorer, model, attempts)
+    pending = written_once(J.pending_work(docs.select(*KEYS, F.lit(model).alias("model")), mine).drop("model"))
+    scores = _asked_again(docs, pending, open_facet, scorer, model, attempts)
     facets = F.create_map(*[F.lit(x) for f, names in FACET_METRICS.items() for m in names for x in (m, f)])
     fresh = scores.withColumn("facet", facets[F.col("metric")]).join(pending, open_facet, "left_semi")
     return J.merge_scores(mine, fresh.drop("facet"))
 
 
+def _asked_again(docs, work, what: list[str], scorer, model: str, attempts: int) -> DataFrame:
+    """Scores from the prompts of ``work`` alone (keys with ``facet`` or ``task``).
+
+    Prompts and texts are long: a short list of open work goes to them, not they to it.
+    """
+    few = broadcast_if_small(work)
+    some = docs.join(broadcast_if_small(work.select(*KEYS).distinct()), KEYS, "left_semi")
+    contents = written_once(parsed_documents(some))
+    outlined = work.filter(F.col(what[-1]).isin("outline", "Outline_structure")).select(*KEYS).distinct()
+    outline = _refined(contents.join(broadcast_if_small(outlined), KEYS, "left_semi"), scorer, attempts)
+    requests = evaluation_requests(contents, outline).join(few, what, "left_semi")
+    return _scored(some, requests, scorer, model, attempts)
+
+
+def supplement_scores(
+    docs: DataFrame,
+    scores: DataFrame,
+    scorer: Callable[[str], str] = J.answer_by_digest,
+    model: str = "default",
+    attempts: int = 3,
+) -> DataFrame:
+    """``scores`` of ``model`` with another try at what a judge failed.
+
+    Zeros are asked for again, and so is the content of a document that lacks
+    any of its grades; an answer only goes where the score is zero or absent.
+    """
+    mine = scores.filter(F.col("model") == model)
+    task = F.when(F.col("work") == "Content", F.lit("content")).otherwise(F.col("work"))
+    work = written_once(J.missing_scores(mine).select(*KEYS, task.alias("task")))
+    fresh = _asked_again(docs, work, [*KEYS, "task"], scorer, model, attempts)
+    asked_for = F.when(F.col("metric").isin(list(CONTENT_CRITERIA)), F.lit("content")).otherwise(F.col("metric"))
+    fresh = fresh.withColumn("task", asked_for).join(work, [*KEYS, "task"], "left_semi").drop("task")
+    return J.merge_scores(mine, fresh, zeros_only=True)
+
+
 def _scored(
     docs: DataFrame, requests: DataFrame, scorer: Callable[[str], str], model: str, attempts: int
 ) -> DataFrame:
@@ -142,8 +184,11 @@ def _scored(
 
 def similarity_items(docs: DataFrame, outline: DataFrame | None = None) -> DataFrame:
     """The texts to embed: outline paths, sections of the content, references."""
-    contents = D.split_content_refs(docs)
-    paths = O.outline_paths(O.outline_extract(docs) if outline is None else outline)
+    return _items(parsed_documents(docs), outline)
+
+
+def _items(contents: DataFrame, outline: DataFrame | None) -> DataFrame:
+    paths = O.outline_paths(O.outline_rows(contents) if outline is None else outline)
 
     def facet(rows: DataFrame, name: str, number: str, text: str) -> DataFrame:
         return rows.select(
@@ -186,13 +231,16 @@ def document_similarity(
     embedder: Callable[[list[str]], list[list[float]]] = letter_shares,
     baseline: str = BASELINE,
     metric: str = "l2sq",
+    outline: DataFrame | None = None,
 ) -> DataFrame:
     """Mean similarity of every document to the baseline of its topic, by facet.
 
+    ``outline`` replaces the outlines found in the texts, as after a refinement.
+
     Vectors are written once: both the documents and the ground truth among
     them are read from there.
     """
-    vectors = written_once(embed_apply(similarity_items(docs), embedder))
+    vectors = written_once(embed_apply(_items(written_once(parsed_documents(docs)), outline), embedder))
     best = S.knn_query(
         vectors, vectors.filter(F.col("system") == baseline), 1,
         ("category", "topic", "facet"), ("system", "item_no"), metric,

@@ -63,7 +63,7 @@ def children_verdicts(t):
 
     judged = F.concat(F.lit('Answer: {"children": ['), child(1), F.lit(", "), child(2), F.lit("]} "))
     raw = F.when(F.col("doc_id") % 3 == 0, F.lit("no answer")).otherwise(judged)
-    return J.children_verdicts(J.judge_parse(t.documents.select("doc_id", raw.alias("raw"))), ["doc_id"])
+    return J.children_verdicts(J.judge_parse(t.documents.select("doc_id", raw.alias("raw"))), ["doc_id"]).drop("child")
 
 
 @register("comparison_verdicts", ("v_comparisons",), f"""
@@ -90,7 +90,7 @@ _DEFAULTS = " UNION ALL ".join(
 _CONTENT_ROWS = ", ".join(f"('{c}')" for c in CONTENT_CRITERIA)
 
 
-@register("evaluate_documents", ("v_docs",), f"""WITH {X._ALL_PARTS}, {Q._TEXTS}, {X.TREE},
+_EVALUATED = f"""WITH {X._ALL_PARTS}, {Q._TEXTS}, {X.TREE},
 graded AS (SELECT {K}, criterion AS metric, 1.0e0 + {_digit(_CRITERION)} % 5 AS value FROM texts JOIN rubric USING (facet) WHERE facet <> 'content'),
 together AS (SELECT {K}, 1.0e0 + {_digit(filled(J.TEMPLATES['all_criteria'], text='main_content', rubric=Q.literal(Q._LISTED)))} % 5 AS value FROM parts),
 lists AS (SELECT {K}, parent_pos, parent_title, parent_level, max_depth, string_agg('  - Index: ' || pos || ', Title: ' || title, chr(10) ORDER BY pos) AS children_list, list(pos) AS kids
@@ -102,7 +102,7 @@ found AS (SELECT {K}, sent_no, sentence, refs FROM cited UNION ALL SELECT {K}, s
  UNION ALL SELECT l.category, l.topic, l.system, l.sent_no, l.sentence, string_agg(r.ref_id || ' ' || r.ref_text, ';' ORDER BY r.ref_at)
  FROM loose l JOIN lookup r ON r.category = l.category AND r.topic = l.topic AND r.system = l.system
  WHERE {X._SURNAME_HIT} AND {X._NOT_IN('cited')} AND {X._NOT_IN('by_bare')} GROUP BY ALL),
-once AS (SELECT {K}, sentence, replace(arg_min(refs, sent_no), ';', chr(10)) AS listed FROM found GROUP BY {K}, sentence),
+once AS (SELECT {K}, sentence, replace(arg_max(refs, sent_no), ';', chr(10)) AS listed FROM found GROUP BY {K}, sentence),
 faith AS (SELECT {K}, {_digit(filled(J.TEMPLATES['faithfulness'], references='listed'))} AS digit FROM once),
 batched AS (SELECT {K}, ref_pos // 20 AS batch_no, string_agg(entry, chr(10) ORDER BY ref_pos) AS batch FROM refs GROUP BY {K}, ref_pos // 20),
 quality AS (SELECT {K}, {_digit(filled(J.TEMPLATES['reference_batch']))} AS digit FROM batched),
@@ -111,11 +111,24 @@ scored AS (SELECT * FROM graded UNION ALL SELECT {K}, c.metric, value FROM toget
  UNION ALL SELECT {K}, 'Faithfulness', {hu(hu('sum(digit) / sum(1 + digit)', 4) + ' * 100', 2)} FROM faith GROUP BY {K}
  UNION ALL SELECT {K}, 'Reference_quality', {hu('sum(digit) / sum(1 + digit) * 100', 2)} FROM quality GROUP BY {K})
 SELECT p.category, p.topic, p.system, 'default' AS model, d.metric, coalesce(s.value, d.fallback) AS value FROM parts p CROSS JOIN ({_DEFAULTS}) d
-LEFT JOIN scored s ON s.category = p.category AND s.topic = p.topic AND s.system = p.system AND s.metric = d.metric""")
+LEFT JOIN scored s ON s.category = p.category AND s.topic = p.topic AND s.system = p.system AND s.metric = d.metric"""
+
+
+@register("evaluate_documents", ("v_docs",), _EVALUATED)
 def evaluate_documents(t):
     return E.evaluate_documents(t.v_docs)
 
 
+# what a failing judge has left: zeros and gaps, of which all but the faithfulness are asked for again
+@register("supplement_scores", ("v_docs",), f"""SELECT category, topic, system, model, metric,
+ CASE WHEN metric = 'Faithfulness' AND cast(topic AS bigint) % 5 = 3 THEN 0.0 ELSE value END AS value FROM ({_EVALUATED}) e""")
+def supplement_scores(t):
+    case, metric = F.col("topic").cast("bigint") % 5, F.col("metric")
+    failed = ((case == 0) & (metric == "Coverage")) | ((case == 1) & (metric == "Outline")) | ((case == 3) & (metric == "Faithfulness"))
+    left = E.evaluate_documents(t.v_docs).filter(~((case == 2) & (metric == "Coverage")))
+    return E.supplement_scores(t.v_docs, left.withColumn("value", F.when(failed, 0.0).otherwise(F.col("value"))))
+
+
 _ITEMS = f"""
 secs AS (SELECT {K}, string_split(replace(main_content, chr(10) || '#', chr(1) || '#'), chr(1)) AS s FROM parts),
 items AS (SELECT {K}, 'outline' AS facet, path_no AS item_no, path AS text FROM paths

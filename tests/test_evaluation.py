@@ -50,7 +50,7 @@ def test_only_open_facets_are_asked_again(spark):
     kept = done.filter("NOT (system = 's' AND metric = 'Coverage')")
 
     def other(prompt):
-        assert "Grade each criterion" in prompt or "Sentence:" in prompt or "levels" in prompt
+        assert "Grade each criterion" in prompt or "Sentence:" in prompt
         return json.dumps({"Coverage": 5, "total": 1, "supported": 1})
 
     rows = E.evaluate_documents(docs(spark), other, "m", done=kept).collect()
@@ -60,6 +60,43 @@ def test_only_open_facets_are_asked_again(spark):
     assert got["pdfs", "Coverage"] == 3.0 and got["pdfs", "Faithfulness"] == 75.0
 
 
+def test_a_finished_corpus_sends_no_prompt(spark):
+    flat = docs(spark).unionByName(spark.createDataFrame([("c", "u", "s", "# A\nx\n# B\ny")], DOCS))
+    done = E.evaluate_documents(flat, fixed, "m")
+
+    def never(prompt):
+        raise AssertionError(prompt)
+
+    again = E.evaluate_documents(flat, never, "m", done=done)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, done.collect()))
+
+
+def test_a_second_run_repairs_what_a_judge_failed(spark):
+    def failing(prompt):
+        if "children" in prompt or "strongly" in prompt or "Grade each criterion" in prompt:
+            raise RuntimeError("no answer")
+        return fixed(prompt)
+
+    first = E.evaluate_documents(docs(spark), failing, "m", attempts=1)
+    want = E.evaluate_documents(docs(spark), fixed, "m")
+
+    def repairing(prompt):
+        assert "Sentence:" not in prompt and "levels" not in prompt
+        return fixed(prompt)
+
+    got = {(r.topic, r.system, r.metric): r.value for r in E.supplement_scores(docs(spark), first, repairing, "m").collect()}
+    whole = {(r.topic, r.system, r.metric): r.value for r in want.collect()}
+    broken = {(r.topic, r.system, r.metric): r.value for r in first.collect()}
+    assert broken != whole and got == {k: v if broken[k] == 0 else broken[k] for k, v in whole.items()}
+
+
+def test_prompts_and_items_read_the_corpus_once(spark, tmp_path):
+    docs(spark).write.parquet(str(tmp_path / "corpus"))
+    corpus = spark.read.parquet(str(tmp_path / "corpus"))
+    plan = E.parsed_documents(corpus)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan
+
+
 def test_refinement_needs_a_list_of_pairs(spark):
     outline = spark.createDataFrame(
         [("c", t, "s", p, 1, f"h{p}") for t in "abc" for p in range(3)],
