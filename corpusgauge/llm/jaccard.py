@@ -9,7 +9,7 @@ more are linked; the result is each document's component.  The join is exact:
 * *Skipping by position and size.*  Lists are cut into blocks of sizes; a block meets itself and
   the next only.  As the smaller of two, a set can only be found at its first positions, so entries
   further back are skipped as a block; a pair is taken up when sizes and positions still allow enough tokens
-  in common.  Then the parities of token counts in 512 classes give a lower bound of the difference of two sets.
+  in common.  Then the parities of token counts in classes, about as many as tokens, give a lower bound of the difference of two sets.
 * *Answers from a similar set.*  Sets that agree with a set in two of four minimal hashes form its family.
   Within a family nothing is looked up in the index: a member is written as what it lacks of the pivot and what
   it has beyond it, and the overlap of two members follows from these short differences and
@@ -40,6 +40,7 @@ K, PERCENT = 3, 90
 COUNTERS, SLICES = 2**20, 16
 #: Bits of the filter of documents whose sets are needed; others that pass it cost time only.
 FILTER_BITS = 2**24
+#: Least classes of the parities; there are as many as half the tokens or more, a power of two.
 PARITIES = 512
 FAMILY_KEYS, FAMILY_VOTES = 4, 2
 FAMILY_CHUNK = 2_000
@@ -53,6 +54,13 @@ def set_id(s: np.ndarray) -> int:
     return int((mix[:1] * np.uint64(3) + mix[1:]).astype(np.int64)[0])
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Parity of the number of tokens in each class, 64 to a number."""
+    width = max(PARITIES, 1 << (max(len(s) - 1, 1).bit_length() - 1))
+    odd = np.bincount((s >> np.uint64(8) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sets_in(batches, k: int):
     """(doc_id, set) of each row, a few megabytes of text at a time."""
     for ids, texts in cut_batches(batches, BATCH_BYTES):
@@ -79,8 +87,7 @@ def measured(docs: DataFrame, k: int) -> DataFrame:
                 rows["n"].append(len(s))
                 rows["set_id"].append(own)
                 rows["keys"].append([int(mixed(s ^ salt).min().astype(np.int64)) for salt in KEY_SALTS] if known else None)
-                bits = np.packbits(np.bincount((s >> np.uint64(8) & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1)
-                rows["parity"].append(bits.view(np.int64) if known else None)
+                rows["parity"].append(parities(s) if known else None)
                 rows["counts"].append(None)
                 if known and own not in seen:
                     seen.add(own)
@@ -245,8 +252,15 @@ def unlike_parities(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFram
     parity = sets.select("set_id", "parity")
     rows = spread_join(pairs, parity.withColumnsRenamed({"set_id": "a", "parity": "pa"}), ["a"], "inner", spread_by=["b"])
     rows = spread_join(rows, parity.withColumnsRenamed({"set_id": "b", "parity": "pb"}), ["b"], "inner", spread_by=["a"])
+
+    def folded(p: str, other: str):
+        """Half as many classes, when the other set has that."""
+        half = (F.size(p) / 2).cast("int")
+        both = F.zip_with(F.slice(p, F.lit(1), half), F.slice(p, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(p) > F.size(other), both).otherwise(F.col(p))
+
     unlike = F.aggregate(
-        F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x
+        F.zip_with(folded("pa", "pb"), folded("pb", "pa"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x
     )
     most = F.col("an") + F.col("bn") - 2 * F.ceil((F.col("an") + F.col("bn")) * percent / (100 + percent))
     return rows.where(unlike <= most).select("a", "b")

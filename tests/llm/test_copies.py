@@ -48,6 +48,27 @@ def test_without_families_the_index_finds_the_same(spark, monkeypatch):
     assert Counter(tuple(r) for r in jaccard.linked(frame(spark, found)).collect()) == brute.components(found)
 
 
+def test_parities_bound_the_difference_of_large_and_small_sets(spark):
+    rng = np.random.default_rng(8)
+    sets, pairs = [], []
+    for n in (3, 600, 1023, 1025, 2048, 2049, 5000):
+        x = rng.integers(0, 2**64, n, np.uint64)
+        for drop in (0, n // 40, n // 15, n // 8):
+            y = np.concatenate((x[: n - drop], rng.integers(0, 2**64, drop // 2, np.uint64)))
+            other = rng.integers(0, 2**64, n, np.uint64)
+            i = len(sets)
+            sets += [x, y, other]
+            pairs += [(i, n, i + 1, len(y)), (i + 1, len(y), i, n), (i, n, i + 2, n)]
+    table = spark.createDataFrame([(i, jaccard.parities(s).tolist()) for i, s in enumerate(sets)], "set_id long, parity array<long>")
+    kept = {tuple(r) for r in jaccard.unlike_parities(spark.createDataFrame(pairs, "a long, an long, b long, bn long"), table, 90).collect()}
+    for a, an, b, bn in pairs:
+        both = len(np.intersect1d(sets[a], sets[b]))
+        if 100 * both >= 90 * (an + bn - both):
+            assert (a, b) in kept
+        elif both == 0 and an > 500:
+            assert (a, b) not in kept
+
+
 def test_one_of_each(spark):
     found = [r for r in TEXTS if r[0] not in (5, 6)] + [(5, TEXTS[0][1])] * 2
     docs = frame(spark, found)
