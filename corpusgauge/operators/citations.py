@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgauge.functions.text import LEFT_EDGE, RIGHT_EDGE, WS, WS_RANGES, find_all, settled, strip, stripped_parts
+from corpusgauge.functions.text import LEFT_EDGE, RIGHT_EDGE, WS, WS_RANGES, find_all, settled, strip, stripped_parts, up_to_last
 from corpusgauge.operators.documents import SENTENCE_END, prose, sentence_array
 from corpusgauge.operators.references import entry_array, entry_struct
 from corpusgauge.schema import DOC_KEYS
@@ -21,7 +21,8 @@ from corpusgauge.schema import DOC_KEYS
 # The citation forms.
 SPAN = r"\[[^\]]+\]"
 NUMERIC_SPAN = rf"\A\[\d(?:[\d{WS_RANGES},\-–，]*\d)?\]\z"
-AUTHOR_YEAR = r"(?d)[A-Za-z].*?\d{4}"
+# a letter and later on its line four digits, tried from the first letter of each line
+AUTHOR_YEAR = r"(?dm)^[^A-Za-z\n]*+[A-Za-z].*?\d{4}"
 AUTHOR_YEAR_SHORT = rf"\[{WS}*[A-Za-z]{{2,}}[0-9]{{2,}}[a-z]?{WS}*\]"
 RANGE = rf"\[(\d+)\]{WS}*[\-–]{WS}*\[(\d+)\]"
 SINGLE = r"\[(\d+)\]"
@@ -43,8 +44,7 @@ def square_brackets(text: Column) -> Column:
 
 def spans(text: Column) -> Column:
     """Bracketed spans; what follows the last closing bracket is not searched."""
-    after = F.substring_index(text, "]", -1)
-    return find_all(F.substring(text, F.lit(1), F.length(text) - F.length(after)), SPAN)
+    return find_all(up_to_last(text, "]"), SPAN)
 
 
 def is_author_year(span: Column) -> Column:

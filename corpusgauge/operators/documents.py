@@ -24,6 +24,7 @@ from corpusgauge.functions.text import (
     settled,
     strip,
     stripped_parts,
+    up_to_last,
 )
 from corpusgauge.schema import DOC_KEYS
 
@@ -46,6 +47,7 @@ INLINE_EQUATION = r"(?d)(?<!\$)\$(?!\$)(.+?)(?<!\$)\$(?!\$)"
 PIPE_RUN = r"\|[^\n]*+(?:\n\|[^\n]*+)*+"
 SEPARATOR_ROW = rf"\n\|[{WS_RANGES}\-:|]+\|"
 HTML_TABLE = r"(?is)<table.*?</table>"
+LAST_TABLE = r"(?is)\A.*</table>"
 
 SENTENCE_END = rf"\.(?={WS}+[A-Z]|\n|[A-Z])"
 # a run of marks before whitespace, or up to its last newline; a run is tried once
@@ -121,8 +123,13 @@ def sections_by_heading(
 
 def prose(main: Column) -> Column:
     """Main content without images and embedded HTML pages."""
-    no_images = F.regexp_replace(main, IMAGE, "")
-    return F.regexp_replace(no_images, r"(?s)<html>.*?</html>", "")
+    no_images = _replaced(main, IMAGE, up_to_last(main, "](", ")"))
+    return _replaced(no_images, r"(?s)<html>.*?</html>", up_to_last(no_images, "</html>"))
+
+
+def _replaced(text: Column, pattern: str, part: Column) -> Column:
+    """``text`` without the pattern, which is only looked for in ``part``, its beginning."""
+    return F.concat(F.regexp_replace(part, pattern, ""), F.substring(text, F.length(part) + 1, F.length(text)))
 
 
 def sentence_array(main: Column) -> Column:
@@ -161,13 +168,19 @@ def md_features(docs: DataFrame, text: str = "md", keys: Sequence[str] = DOC_KEY
     """
     keys = list(keys)
     md = F.col(text)
+    tagged = up_to_last(md, ">")
     images = F.size(
         F.array_distinct(
-            F.concat(find_all(md, IMAGE), find_all(md, HTML_IMAGE_SRC), find_all(md, HTML_IMAGE))
+            F.concat(
+                find_all(up_to_last(md, "](", ")"), IMAGE), find_all(tagged, HTML_IMAGE_SRC), find_all(tagged, HTML_IMAGE)
+            )
         )
     )
-    equations = sum((count_all(md, p) for p in BLOCK_EQUATIONS), count_all(md, INLINE_EQUATION))
-    tables = F.size(F.filter(find_all(md, PIPE_RUN), lambda t: t.rlike(SEPARATOR_ROW))) + count_all(md, HTML_TABLE)
+    closed = [md, up_to_last(md, "\\]"), up_to_last(md, "\\end{", "}")]
+    equations = sum((count_all(part, p) for part, p in zip(closed, BLOCK_EQUATIONS, strict=True)), count_all(md, INLINE_EQUATION))
+    tables = F.size(F.filter(find_all(md, PIPE_RUN), lambda t: t.rlike(SEPARATOR_ROW))) + count_all(
+        F.regexp_extract(md, LAST_TABLE, 0), HTML_TABLE
+    )
     counted = settled(
         docs, [*keys, text], images=images, equations=equations, tables=tables
     )

@@ -77,3 +77,15 @@ def test_long_table_does_not_overflow_the_stack(spark):
     text = "| a |\n|---|\n" + "| x |\n" * 50_000
     df = spark.createDataFrame([("c", "t", "s", text)], "category string, topic string, system string, md string")
     assert D.md_features(df).first().tables == 1
+
+
+def test_patterns_are_found_up_to_their_last_end(spark):
+    md = (
+        "![a](b) ![c](d\n<img x><img src='q'> <img \\begin{e}x\\end{e} \\begin{f} \\end{f \\[y\\] \\[z "
+        "<TABLE><tr></Table> <table> <html>gone</html>kept <html>open"
+    )
+    df = spark.createDataFrame([("c", "t", "s", md)], "category string, topic string, system string, md string")
+    row = D.md_features(df).first()
+    assert (row.images, row.equations, row.tables) == (4, 2, 1)
+    text = df.select(D.prose(F.col("md")).alias("p")).first().p
+    assert "gone" not in text and "kept" in text and "<html>open" in text and "![a]" not in text and "![c](d" in text

@@ -97,6 +97,8 @@ HOSTILE = {
     "dots": "." * 200_000 + "x", "newlines": "a" + "\n" * 200_000 + "b", "letters": "a" * 200_000, "hashes": "#" * 200_000,
     "open brackets": "[" * 200_000, "capitals": "A" * 50_000, "spaces": "a" + " " * 200_000 + "b", "dollars": "$" * 200_001,
     "pipes": "|" * 200_000, "digits": "[" + "1" * 100_000 + "x]", "rounds": "(A, 2000;" * 20_000, "one line": "x y. " * 40_000,
+    "begins": "\\begin{a}" * 20_000, "begin braces": "\\begin{" * 25_000, "images": "<img " * 40_000, "tables": "<table" * 33_000,
+    "pages": "<html>" * 33_000, "links": "![" * 100_000, "math": "\\[" * 100_000, "bracket of letters": "[" + "a b " * 50_000 + "]",
 }
 
 
