@@ -13,7 +13,9 @@ stay together as one.  The steps:
 
 What is exchanged is each block's distinct words, their ids and its compressed word numbers, never texts.
 No word is in more than one shard and a block has bounded size, so no task grows with a
-frequent word.  Blocks are written before they are used, hence a rerun after a loss sees the same.
+frequent word.  Texts are split once for the words and once for the numbers, as writing both down took
+more disk than splitting takes time.  Both see the same blocks, also when a lost task runs again, as long as the
+documents come from a table; a seal over a block's words raises an error should they ever differ.
 
 The vocabulary file is a parameter; it is read on every executor.
 """
@@ -35,7 +37,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusgauge.llm.common import table
-from corpusgauge.session import written_once
 
 #: Text in one block; a longer document is a block by itself.
 BLOCK_BYTES = 10_000_000
@@ -189,35 +190,39 @@ def shard_of(words: pa.Array, shards: int) -> np.ndarray:
     return np.fromiter((zlib.crc32(w.as_buffer()) % shards for w in words.cast(pa.binary())), np.int64, len(words))
 
 
-PARTS = "block string, shard int, numbers binary, bytes binary, doc_ids binary"
-_PARTS = pa.schema([("block", pa.string()), ("shard", pa.int32()), ("numbers", pa.binary()), ("bytes", pa.binary()), ("doc_ids", pa.binary())])
+PARTS = "block string, shard int, seal long, numbers binary, bytes binary, doc_ids binary"
+_PARTS = pa.schema([("block", pa.string()), ("shard", pa.int32()), ("seal", pa.int64()), ("numbers", pa.binary()), ("bytes", pa.binary()), ("doc_ids", pa.binary())])
 
 
-def blocks_of(docs: DataFrame, shards: int) -> DataFrame:
-    """Step 1: per block a row with its word numbers (shard -1) and one per shard with its words."""
+def blocks_of(docs: DataFrame, shards: int, words: bool) -> DataFrame:
+    """Step 1: per block its words, a row for each shard, or a row (shard -1) with its word numbers."""
+
+    def numbers(places, ends, n, ids):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, pa.schema([("doc_id", ids.type)])) as out:
+            out.write_batch(pa.record_batch([ids], names=["doc_id"]))
+        return {"shard": -1, "numbers": pack(places, np.diff(ends, prepend=0), np.array([n])), "doc_ids": sink.getvalue().to_pybytes()}
+
+    def by_shard(distinct):
+        shard = shard_of(distinct, shards)
+        for s in np.unique(shard).tolist():
+            mine = np.flatnonzero(shard == s)
+            lengths, data = word_bytes(distinct.take(pa.array(mine)))
+            yield {"shard": s, "numbers": pack(np.diff(mine, prepend=0), lengths), "bytes": zstandard.ZstdCompressor(level=1).compress(data)}
 
     def split(batches):
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
         for no, (ids, texts) in enumerate(cut_batches(batches)):
-            block = f"{task}-{no}"
             distinct, places, ends = split_words(texts)
             by_count = np.argsort(-np.bincount(places, minlength=len(distinct)), kind="stable")
             rank = np.empty(len(distinct), np.int64)
             rank[by_count] = np.arange(len(distinct))
             distinct = distinct.take(pa.array(by_count))
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, pa.schema([("doc_id", ids.type)])) as out:
-                out.write_batch(pa.record_batch([ids], names=["doc_id"]))
-            row = {"block": block, "shard": -1, "numbers": pack(rank[places], np.diff(ends, prepend=0), np.array([len(distinct)])), "bytes": None, "doc_ids": sink.getvalue().to_pybytes()}
-            yield pa.RecordBatch.from_pylist([row], _PARTS)
-            shard = shard_of(distinct, shards)
-            for s in np.unique(shard).tolist():
-                mine = np.flatnonzero(shard == s)
-                lengths, data = word_bytes(distinct.take(pa.array(mine)))
-                row = {"block": block, "shard": s, "numbers": pack(np.diff(mine, prepend=0), lengths), "bytes": zstandard.ZstdCompressor(level=1).compress(data), "doc_ids": None}
-                yield pa.RecordBatch.from_pylist([row], _PARTS)
+            seal = zlib.crc32(word_bytes(distinct)[1], len(distinct))
+            for row in by_shard(distinct) if words else [numbers(rank[places], ends, len(distinct), ids)]:
+                yield pa.RecordBatch.from_pylist([{"block": f"{task}-{no}", "seal": seal} | row], _PARTS)
 
     return docs.select("doc_id", "text").mapInArrow(split, PARTS)
 
@@ -233,10 +238,10 @@ def encode_shard(path: str):
         ids, counts = encode_words(coded.dictionary, path)
         starts = np.cumsum(counts) - counts
         codes, at, rows = coded.indices.to_numpy(zero_copy_only=False), 0, []
-        for block, (gaps, _) in zip(part["block"].to_pylist(), unpacked, strict=True):
+        for block, seal, (gaps, _) in zip(part["block"].to_pylist(), part["seal"].to_pylist(), unpacked, strict=True):
             mine = codes[at : at + len(gaps)]
             at += len(gaps)
-            rows.append({"block": block, "shard": part["shard"][0].as_py(), "numbers": pack(gaps, counts[mine], ids[spread(starts[mine], counts[mine])]), "bytes": None, "doc_ids": None})
+            rows.append({"block": block, "seal": seal, "shard": part["shard"][0].as_py(), "numbers": pack(gaps, counts[mine], ids[spread(starts[mine], counts[mine])]), "bytes": None, "doc_ids": None})
         return pa.Table.from_pylist(rows, _PARTS)
 
     return encode
@@ -259,6 +264,8 @@ def fill_block(doc_id: pa.DataType, path: str, texts: bool):
 
     def fill(part: pa.Table) -> pa.Table:
         rows = {r["shard"]: r for r in part.to_pylist()}
+        if len({r["seal"] for r in rows.values()}) > 1 or -1 not in rows:
+            raise ValueError("documents came in another order on a second reading: write them to a table first")
         own = rows.pop(-1)
         places, per_doc, (n,) = unpack(own["numbers"])
         parts = [unpack(r["numbers"]) for r in rows.values()]
@@ -291,11 +298,10 @@ def encode(docs: DataFrame, path: str | None = None, decode: bool = False) -> Da
     path = path or default_vocabulary()
     shards = max(LEAST_SHARDS, docs.rdd.getNumPartitions() // PARTITIONS_PER_SHARD)
     kind = docs.schema["doc_id"].dataType
-    blocks = written_once(blocks_of(docs, shards))
-    words = blocks.where("shard >= 0").groupBy("shard").applyInArrow(encode_shard(path), PARTS)
+    words = blocks_of(docs, shards, words=True).groupBy("shard").applyInArrow(encode_shard(path), PARTS)
     out = f"doc_id {kind.simpleString()}, ids array<int>" + ", decoded string" * decode
     return (
-        blocks.where("shard < 0").unionByName(words).groupBy("block")
+        blocks_of(docs, shards, words=False).unionByName(words).groupBy("block")
         .applyInArrow(fill_block(to_arrow_type(kind), path, decode), out)
     )
 

@@ -45,6 +45,15 @@ def test_ids_of_any_kind_decode_like_the_library(spark):
     assert got == want
 
 
+def test_other_blocks_on_a_second_reading_are_an_error(spark):
+    docs = documents(spark)
+    words = bpe.blocks_of(docs, 8, words=True).groupBy("shard").applyInArrow(bpe.encode_shard(PATH), bpe.PARTS)
+    other = bpe.blocks_of(docs.where("doc_id > 3"), 8, words=False)
+    fill = bpe.fill_block(pa.int64(), PATH, False)
+    with pytest.raises(Exception, match="another order"):
+        other.unionByName(words).groupBy("block").applyInArrow(fill, "doc_id long, ids array<int>").collect()
+
+
 def test_no_rows(spark):
     assert bpe.encode(empty(spark)).collect() == []
 
