@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgauge.functions.joins import spread_join
@@ -124,7 +124,8 @@ def leaderboard(adjusted: DataFrame, baseline: str = BASELINE) -> DataFrame:
     """Three rows per system and model: plain, balanced and perfect.
 
     ``adjusted`` is long with columns ``plain``, ``balanced`` and
-    ``perfect``.  A missing score counts as zero; the baseline shows its plain
+    ``perfect`` and has each metric once per document, as ``sim_adjust`` gives
+    it; so the rows of a metric count the documents.  A missing score counts as zero; the baseline shows its plain
     scores three times; ratio metrics are brought to the 0-5 scale.
     """
     who = ["system", "model"]
@@ -133,10 +134,10 @@ def leaderboard(adjusted: DataFrame, baseline: str = BASELINE) -> DataFrame:
         F.sum("plain").alias("plain"),
         F.sum(F.when(own, F.col("plain")).otherwise(F.col("balanced"))).alias("balanced"),
         F.sum(F.when(own, F.col("plain")).otherwise(F.col("perfect"))).alias("perfect"),
-    )
-    docs = adjusted.select(*who, "category", "topic").distinct().groupBy(*who).agg(F.count("*").alias("docs"))
+        F.count("*").alias("n"),
+    ).withColumn("docs", F.max("n").over(Window.partitionBy(*who)))
     scale = F.when(F.col("metric").isin(RATIO_METRICS), 20.0).otherwise(1.0)
-    long = sums.join(docs, who).select(
+    long = sums.select(
         *who,
         "metric",
         F.explode(

@@ -54,10 +54,15 @@ def _placed(
     )
 
 
+def _cosine(products: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Distances by angle; a zero vector has similarity 0 to every other."""
+    return 1.0 - np.divide(products, scale, out=np.zeros_like(products), where=scale > 0)
+
+
 def _distances(rows: np.ndarray, one: np.ndarray, metric: str) -> np.ndarray:
     """Distances of ``rows`` from one vector, summed directly."""
     if metric == "cosine":
-        return 1.0 - (rows @ one) / (np.linalg.norm(rows, axis=1) * np.linalg.norm(one))
+        return _cosine(rows @ one, np.linalg.norm(rows, axis=1) * np.linalg.norm(one))
     return ((rows - one) ** 2).sum(axis=1)
 
 
@@ -69,7 +74,7 @@ def _best(queries: np.ndarray, truth: np.ndarray, ids: np.ndarray, k: int, metri
     """
     if metric == "cosine":
         scale = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(truth, axis=1)[None, :]
-        rough = 1.0 - (queries @ truth.T) / scale
+        rough = _cosine(queries @ truth.T, scale)
     else:
         rough = (queries**2).sum(1)[:, None] + (truth**2).sum(1)[None, :] - 2.0 * (queries @ truth.T)
     k = min(k, truth.shape[0])
@@ -95,7 +100,7 @@ def knn_query(
 
     Both sides hold the group columns and ``embedding``; ``ids`` name a query
     item, ``item_no`` (bigint) a stored one.  Similarity is one minus the
-    distance: squared Euclidean or cosine.
+    distance: squared Euclidean or cosine; a zero vector's cosine is 0.
     """
     if metric not in ("l2sq", "cosine"):
         raise ValueError(f"unknown metric {metric}")

@@ -70,3 +70,11 @@ def test_top_scores(spark):
     assert {(r.system, r.facet) for r in S.sim_stale_facets(S.topn_mean_similarity(scored, docs=docs)).collect()} == {
         ("s", "content"), ("empty", "outline"), ("empty", "content"), ("empty", "reference"),
     }
+
+
+def test_zero_vectors_have_cosine_zero(spark):
+    rows = [("t", "base", "f", n, v) for n, v in enumerate([[0.0, 0.0], [1.0, 0.0], [0.0, 2.0]])] + [("t", "a", "f", 7, [0.0, 0.0]), ("t", "a", "f", 8, [3.0, 0.0])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = S.knn_query(df.filter("system = 'a'"), df.filter("system = 'base'"), k=3, metric="cosine").collect()
+    found = {(r.item_no, r.near_id): round(r.score, 9) for r in got}
+    assert found == {(7, 0): 0.0, (7, 1): 0.0, (7, 2): 0.0, (8, 0): 0.0, (8, 1): 1.0, (8, 2): 0.0}
