@@ -182,6 +182,54 @@ def _scored(
     return scores_from_answers(docs, answers).select(*KEYS, F.lit(model).alias("model"), "metric", "value")
 
 
+def comparison_verdicts(
+    docs: DataFrame,
+    scorer: Callable[[str], str],
+    baseline: str = BASELINE,
+    model: str = "default",
+    done: DataFrame | None = None,
+    attempts: int = 3,
+    seed: int = 0,
+) -> DataFrame:
+    """Whether each document beats the baseline's on its topic: keys, model,
+    ``metric`` (outline, content or reference), ``is_better``.
+
+    Pairs with a verdict in ``done`` keep it and are not asked for again; a
+    document whose pairs all have one is not parsed.
+    """
+    own = F.col("system") == baseline
+    rows, stored = docs, None
+    if done is not None:
+        stored = done.filter(F.col("model") == model).select(*KEYS, "model", "metric", "is_better")
+        finished = stored.groupBy(*KEYS).agg(F.countDistinct("metric").alias("n")).filter(F.col("n") >= len(FACETS))
+        open_docs = docs.filter(~own).join(finished.select(*KEYS), KEYS, "left_anti")
+        topics = broadcast_if_small(written_once(open_docs.select("category", "topic").distinct()))
+        rows = open_docs.unionByName(docs.filter(own).join(topics, ["category", "topic"], "left_semi"))
+    contents = written_once(parsed_documents(rows))
+
+    def facet(frame: DataFrame, name: str, text: str) -> DataFrame:
+        return frame.select(*KEYS, F.lit(name).alias("facet"), F.col(text).alias("text"))
+
+    texts = (
+        facet(O.outline_lines(contents), "outline", "text")
+        .unionByName(facet(contents, "content", "main_content")).unionByName(facet(contents, "reference", "ref_block"))
+    )
+    asked = J.comparison_requests(texts.filter(~own), texts.filter(own), seed=seed)
+    if stored is not None:
+        known = stored.select(*KEYS, F.col("metric").alias("facet")).distinct()
+        asked = asked.join(broadcast_if_small(written_once(known)), [*KEYS, "facet"], "left_anti")
+    answers = written_once(J.judge_apply(asked.withColumnRenamed("facet", "metric"), scorer, attempts))
+    fresh = J.comparison_verdicts(J.judge_parse(answers), [*KEYS, "metric"]).select(
+        *KEYS, F.lit(model).alias("model"), "metric", "is_better"
+    )
+    return fresh if stored is None else stored.unionByName(fresh)
+
+
+def compare_documents(docs: DataFrame, scorer: Callable[[str], str], **options) -> DataFrame:
+    """Documents to win rates against the baseline; options as in :func:`comparison_verdicts`."""
+    return M.win_rates(comparison_verdicts(docs, scorer, **options))
+
+
 def similarity_items(docs: DataFrame, outline: DataFrame | None = None) -> DataFrame:
     """The texts to embed: outline paths, sections of the content, references."""
     return _items(parsed_documents(docs), outline)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import functions as F
@@ -176,3 +177,30 @@ def document_similarity(t):
     return out.select(
         *KEYS, "facet", half_up(F.col("mean_score"), 6).alias("mean_score"), F.size("scores").cast("bigint").alias("n")
     )
+
+
+def _prefers_by_digest(prompt: str) -> str:
+    """Offline answer: the first place is better when the prompt's MD5 starts with an even digit."""
+    return json.dumps({"is_better": int(hashlib.md5(prompt.encode()).hexdigest()[0], 16) % 2 == 0, "reason": "digest"})
+
+
+# every document of a source competes with that source's first English one
+@register("compare_documents", ("v_docs",), f"""WITH {X.PARTS}, {Q._TEXTS},
+firsts AS (SELECT category, min(cast(topic AS bigint)) AS first FROM v_docs WHERE system = 'en' GROUP BY category),
+named AS (SELECT t.category, t.category AS topic, CASE WHEN cast(topic AS bigint) = first THEN 'base' ELSE topic || '/' || system END AS system, facet, text
+ FROM texts t JOIN firsts f ON f.category = t.category),
+pairs AS (SELECT t.*, b.text AS base FROM named t JOIN named b ON b.category = t.category AND b.facet = t.facet AND b.system = 'base' WHERE t.system <> 'base'),
+p AS (SELECT *, {Q._SWAP} AS swapped FROM pairs),
+q AS (SELECT *, {filled(J.TEMPLATES['comparison'], position_1='CASE WHEN swapped THEN base ELSE text END', position_2='CASE WHEN swapped THEN text ELSE base END')} AS prompt FROM p),
+won AS (SELECT category, system, facet AS metric, (({_digit('prompt')}) % 2 = 0) <> swapped AS is_better FROM q),
+c AS (SELECT category, system, metric, cast(sum(CASE WHEN is_better THEN 1 ELSE 0 END) AS bigint) AS wins, count(*) AS total FROM won GROUP BY ALL
+ UNION ALL SELECT NULL, system, metric, cast(sum(CASE WHEN is_better THEN 1 ELSE 0 END) AS bigint), count(*) FROM won GROUP BY system, metric)
+SELECT category, system, 'default' AS model, metric, wins, total - wins AS losses, total, printf('%.2f%%', wins * 100.0e0 / total) AS win_rate FROM c""")
+def compare_documents(t):
+    firsts = t.v_docs.filter("system = 'en'").groupBy("category").agg(F.min(F.col("topic").cast("bigint")).alias("first"))
+    own = F.col("topic").cast("bigint") == F.col("first")
+    docs = t.v_docs.join(firsts, "category").select(
+        "category", F.col("category").alias("topic"),
+        F.when(own, F.lit("base")).otherwise(F.concat_ws("/", "topic", "system")).alias("system"), "md",
+    )
+    return E.compare_documents(docs, _prefers_by_digest, baseline="base")

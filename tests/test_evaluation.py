@@ -97,6 +97,24 @@ def test_prompts_and_items_read_the_corpus_once(spark, tmp_path):
     assert plan.count("FileScan") == 1 and "Exchange" not in plan
 
 
+def test_compared_pairs_are_not_compared_again(spark):
+    def wins(prompt):
+        return json.dumps({"is_better": True})
+
+    first = E.comparison_verdicts(docs(spark), wins, model="m")
+    kept = first.filter("metric <> 'content'").withColumn("is_better", F.lit(None).cast("boolean") | F.lit(True))
+    rows = E.comparison_verdicts(docs(spark), wins, model="m", done=kept).collect()
+    assert len(rows) == len({(r.system, r.metric) for r in rows}) == first.count() == 6
+
+    def never(prompt):
+        raise AssertionError(prompt)
+
+    again = E.comparison_verdicts(docs(spark), never, model="m", done=first).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, first.collect()))
+    total = [r.total for r in E.compare_documents(docs(spark), never, model="m", done=first).collect() if r.category is None]
+    assert total == [1] * 6
+
+
 def test_refinement_needs_a_list_of_pairs(spark):
     outline = spark.createDataFrame(
         [("c", t, "s", p, 1, f"h{p}") for t in "abc" for p in range(3)],
