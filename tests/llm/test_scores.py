@@ -108,6 +108,14 @@ def test_quality_on_held_out_documents(spark):
     assert np.mean([r["kept"] == truth[r["doc_id"]] for r in got if r["doc_id"] % 4 == 0]) > 0.95
 
 
+def test_the_fit_takes_the_smallest_hashed_ids(spark):
+    found, labels, _ = labelled(spark)
+    rows_ = written_once(quality.measured(documents(spark, found), "source", "lang"))
+    order = rows_.join(labels, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(20).select(*quality.FEATURES, "quality").toPandas()
+    want = quality.fit(order[quality.FEATURES].to_numpy(float), order["quality"].to_numpy(float))
+    assert quality.fitted(rows_, labels, most=20) == want
+
+
 def test_posteriors_by_hand(spark):
     odds = {1: 2.0, 2: -1.0, 3: 0.5, 4: 3.0, 5: -2.0, 6: 1.0, 7: 2.5}
     where = {1: ("a", "x"), 2: ("a", "x"), 3: ("a", "y"), 4: ("b", "x"), 5: ("b", "x"), 6: ("b", "z"), 7: (None, None)}
