@@ -27,10 +27,6 @@ LONG_WORD = 32
 ROWS_PER_RANGE = 2_000
 
 
-def split(text: Column) -> Column:
-    return words_of(text)
-
-
 def cut_long(words: Column) -> Column:
     """Words of over ``LONG_WORD`` characters as several."""
     pieces = F.flatten(F.transform(words, lambda w: words_of(F.regexp_replace(w, "(.{%d})" % LONG_WORD, "$1 "))))
@@ -132,7 +128,7 @@ def fingerprints(df: DataFrame, keep: list[str], **texts: str) -> DataFrame:
         """One more step for every text, from the columns of the last, named by the text and a letter."""
         return settled(df, keep, **{f"_{n}_{letter}": fn(n) for letter, fn in steps.items() for n in names})
 
-    df = then(df, w=lambda n: split(F.coalesce(F.col(texts[n]), F.lit(""))))
+    df = then(df, w=lambda n: words_of(F.coalesce(F.col(texts[n]), F.lit(""))))
     df = then(df, w=lambda n: cut_long(F.col(f"_{n}_w")))
     df = then(df, s=lambda n: kmers(F.col(f"_{n}_w")))
     df = then(df, s=lambda n: eligible(F.col(f"_{n}_s")))

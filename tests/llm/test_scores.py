@@ -162,8 +162,6 @@ def test_quality_without_labels_or_documents(spark):
 
 def stepwise(found):
     """Rows that the first three stages leave, by SQL and loops."""
-    import pandas as pd  # noqa: F401 duck needs it
-
     ruled = duck(host_rules.host_rules_sql(), found)
     # columns by name: base_failed, doc_id, kept, ...
     kept = {r[1] for r in ruled if r[2]}
