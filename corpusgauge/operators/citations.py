@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgauge.functions.text import LEFT_EDGE, RIGHT_EDGE, WS, WS_RANGES, find_all, settled, strip, stripped_parts, up_to_last
+from corpusgauge.functions.text import RIGHT_EDGE, WS, WS_RANGES, find_all, settled, strip, stripped_parts, up_to_last
 from corpusgauge.operators.documents import SENTENCE_END, prose, sentence_array
 from corpusgauge.operators.references import entry_array, entry_struct
 from corpusgauge.schema import DOC_KEYS
