@@ -191,7 +191,9 @@ def index_entries(docs: DataFrame, classes: np.ndarray, k: int, percent: int, bu
 
 def group_runs(keys: np.ndarray) -> tuple[list, list[slice]]:
     """Values of a sorted array and where each stands."""
-    cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    if not len(keys):
+        return [], []
+    cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     ends = np.append(cuts[1:], len(keys))
     return keys[cuts].tolist(), [slice(a, b) for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)]
 
