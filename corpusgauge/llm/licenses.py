@@ -1,8 +1,9 @@
 r"""License scans: an exact containment join of text blocks with license templates.
 
 A block is a line, or for long lines every window of ``BLOCK`` words that starts at a multiple of
-``STEP``; any run of up to ``STEP`` words lies whole in one block.  A block matches a template when it
-has at least the template's share of its distinct words.
+``STEP``; beside them, the same windows over all words of the text, as notices are mostly wrapped.  Any run of up to
+the step lies whole in one block, whatever its line breaks, and the step is as long as the longest template.  A block
+matches a template when it has at least the template's share of its distinct words.
 
 The join is a filtered set join.  Words of templates are ordered by the number of documents that
 have them, over all documents, rarest first.  A template's prefix is its first ``|T| - need + 1`` words: a block
@@ -92,15 +93,22 @@ def _stands_at(places: Column, w: Column, phrase: str) -> Column:
     return F.exists(places, lambda i: phrase_at(w, i, phrase))
 
 
-def blocks_of(text: Column, vocabulary: Column) -> Column:
-    """Blocks as (n distinct words, template words)."""
+def step_of(templates=None) -> int:
+    """Words between the starts of two windows: ``STEP``, or more where a template is longer."""
+    return max(STEP, *(len(text.split()) for _, _, text in templates or TEMPLATES), 0)
 
-    def cut(line):
-        w = words(line)
-        starts = F.sequence(F.lit(0), F.greatest(F.size(w) - STEP - 1, F.lit(0)), F.lit(STEP))
-        return F.transform(starts, lambda s: F.slice(w, s + 1, F.lit(BLOCK)))
 
-    windows = F.flatten(F.transform(F.split(text, "\n", -1), cut))
+def blocks_of(text: Column, all_words: Column, vocabulary: Column, step: int = STEP) -> Column:
+    """Blocks as (n distinct words, template words): windows of each line, and of the whole text across its lines."""
+    block = max(BLOCK, 2 * step)
+
+    def cut(w):
+        starts = F.sequence(F.lit(0), F.greatest(F.size(w) - step - 1, F.lit(0)), F.lit(step))
+        return F.transform(starts, lambda s: F.slice(w, s + 1, F.lit(block)))
+
+    lines = F.split(text, "\n", -1)
+    across = F.when(F.size(lines) > 1, cut(all_words)).otherwise(F.array().cast("array<array<string>>"))
+    windows = F.concat(F.flatten(F.transform(lines, lambda line: cut(words(line)))), across)
     return F.filter(
         F.transform(
             windows,
@@ -137,7 +145,7 @@ def scanned(docs: DataFrame, templates=None) -> DataFrame:
         F.size("places").cast("long").alias("n_base"),
         F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"),
         F.array_sort(F.array_distinct(F.array_compact(labels))).alias("base"), "has",
-        F.when(enough, blocks_of(F.col("t"), vocabulary)).alias("blocks"),
+        F.when(enough, blocks_of(F.col("t"), w, vocabulary, step_of(templates))).alias("blocks"),
     )
 
 

@@ -105,3 +105,26 @@ def test_lightly_changed_template_is_found(spark):
     got = {r["doc_id"]: r for r in licenses.licensed(documents(spark, [(1, text, "a"), (2, far, "a")])).collect()}
     assert got[1]["labels"] == "mit-text" and got[1]["base_labels"] == "" and 0.8 <= got[1]["score"] < 1
     assert got[2]["labels"] == "" and got[2]["score"] == 0
+
+
+@pytest.mark.parametrize("label, text", [
+    ("mit-text", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the Software), to deal"),
+    ("bsd", "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are\n# met:"),
+    ("gpl-text", " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\r\n * the Free Software Foundation, either"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted"),
+])
+def test_a_template_wrapped_over_lines_is_found(spark, label, text):
+    before = "\n".join(f"line {i}" for i in range(45))  # the notice does not begin where a window does
+    given = [(1, text, "a"), (2, f"{before}\n{text}\nand more", "a"), (3, text.replace("\n", "\n\n"), "a"), (4, "\n".join(text.split()), "a")]
+    got = licenses.licensed(documents(spark, given)).collect()
+    assert len(got) == 4
+    for r in got:
+        assert label in r["labels"].split(",") and r["score"] >= 0.8
+
+
+def test_a_template_longer_than_the_step_is_found_across_windows(spark):
+    long = " ".join(f"term{i}" for i in range(licenses.BLOCK + 20))
+    lines = "\n".join(long.split())
+    given = [(1, "x " * n + "\n" + lines, "a") for n in (0, 31, 70, 100)] + [(1, long, "a"), (1, "x " * 40 + long, "a")]
+    got = licenses.licensed(documents(spark, given), [("long", 1.0, long)]).collect()
+    assert [r["labels"] for r in got] == ["long"] * 6
