@@ -1,5 +1,6 @@
 """Fingerprints, quality and the pipeline against plain loops."""
 
+import functools
 import hashlib
 import math
 import os
@@ -206,3 +207,27 @@ def test_stages_keep_the_columns(spark):
         docs = out
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty(spark), "").collect() == []
+
+
+def near_copies():
+    """(doc_id, text, source): copies with a block of words replaced and with words changed here and there, and others."""
+    base = prose(600, 4000).split(" ")
+    block = base[:200] + [f"b{i}" for i in range(len(base) // 12)] + base[200 + len(base) // 12 :]
+    spots = [f"r{i}" if i % 52 == 7 else w for i, w in enumerate(base)]
+    half = base[: len(base) // 2] + [f"h{i}" for i in range(len(base) // 2)]
+    texts = [base, block, spots, half, prose(600, 4001).split(" ")]
+    return [(i, " ".join(t), "s") for i, t in enumerate(texts)]
+
+
+def test_near_copies_by_five_words_go(spark):
+    found = near_copies()
+    assert [i for i, _, c in brute.components([r[:2] for r in found]) if i == c] == [0, 1, 2, 3, 4]  # by three words and 90 per cent all stay
+    out = corpus_pipeline.keep_one_of_each(spark, documents(spark, found), "")
+    assert sorted(r["doc_id"] for r in out.collect()) == [0, 3, 4]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
+def test_pipeline_by_brute_force_of_five_words(spark, monkeypatch):
+    monkeypatch.setattr(brute, "shingles", functools.partial(brute.shingles, k=5))
+    monkeypatch.setattr(brute, "components", functools.partial(brute.components, percent=80))
+    test_pipeline_by_brute_force(spark)
