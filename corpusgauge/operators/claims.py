@@ -53,17 +53,22 @@ def removal_groups(claims: DataFrame, size: int = 300) -> DataFrame:
     )
 
 
+def listed_places(raw: Column) -> Column:
+    """The numbers in a list such as "2, 5"; parts that are not numbers are ignored."""
+    parts = F.filter(stripped_parts(F.split(raw, ",")), lambda p: p.rlike(r"\A\d{1,9}\z"))
+    return F.transform(parts, lambda p: p.cast("int"))
+
+
 def apply_removals(
     claims: DataFrame, removals: DataFrame, keys: Sequence[str], size: int = 300
 ) -> DataFrame:
     """Drop the claims a judge listed ("2, 5") for each group of ``size``.
 
     ``removals`` holds keys, ``group_no`` and ``raw``.  Parts of the list that
-    are not numbers are ignored.
+    are not numbers are ignored.  One pass inside the groups; ``judging.claims_removed_by_judge``
+    has the passes between them.
     """
-    parts = F.filter(stripped_parts(F.split("raw", ",")), lambda p: p.rlike(r"\A\d{1,9}\z"))
-    places = F.transform(parts, lambda p: p.cast("int"))
-    listed = removals.select(*keys, "group_no", F.explode(places).alias("place"))
+    listed = removals.select(*keys, "group_no", F.explode(listed_places(F.col("raw"))).alias("place"))
     return (
         removal_groups(claims, size)
         .join(listed, [*keys, "group_no", "place"], "left_anti")

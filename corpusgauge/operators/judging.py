@@ -14,12 +14,14 @@ import string
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgauge.functions.json import list_items, object_fields
+from corpusgauge.operators.claims import listed_places
 from corpusgauge.operators.metrics import pairwise_assign, pairwise_unswap
 from corpusgauge.schema import CONTENT_CRITERIA, DOC_KEYS, FACET_METRICS
+from corpusgauge.session import written_once
 
 # Default rubric: criterion, facet, question, meaning of the grades 1 to 5.
 DEFAULT_RUBRIC = [
@@ -131,6 +133,42 @@ def claim_removal_requests(claims: DataFrame, keys: Sequence[str], size: int = 3
     return template_requests(grouped, "claim_removal", [*keys, "group_no"], numbered=F.array_join(line, "\n"))
 
 
+def claims_removed_by_judge(
+    claims: DataFrame, keys: Sequence[str], scorer: Callable[[str], str], size: int = 300, order: Sequence[str] = ("claim_no",)
+) -> DataFrame:
+    """``claims`` without those a judge calls repeats: within groups of ``size``, then between groups, two by two.
+
+    Claims are numbered densely in a document by ``order`` and their text.  In every round two neighbouring groups
+    become one, so in the end any two claims have been in one prompt unless one of them went before.  A group that
+    meets no other is not asked again; a prompt without an answer removes nothing.  Answers are written before the next round
+    reads them, and one number, of the rounds, comes to the driver.
+    """
+    keys, columns = list(keys), claims.columns
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order, "claim")) - 1
+    left = written_once(claims.withColumn("_no", place))
+    groups = (left.agg(F.max("_no")).first()[0] or 0) // size + 1
+    for step in range((groups - 1).bit_length() + 1):
+        wide = size << step
+        halves = F.count_distinct(F.floor(F.col("_no") / max(wide // 2, 1)))
+        met = (
+            left.groupBy(*keys, F.floor(F.col("_no") / wide).alias("_group"))
+            .agg(F.array_sort(F.collect_list(F.struct("_no", "claim"))).alias("_claims"), halves.alias("_halves"))
+            .where(F.lit(step == 0) | (F.col("_halves") > 1))
+        )
+        line = F.transform("_claims", lambda c, i: F.concat((i + 1).cast("string"), F.lit(". "), c["claim"]))
+        asked = template_requests(
+            met, "claim_removal", [*keys, F.col("_claims._no").alias("_numbers")], numbered=F.array_join(line, "\n")
+        )
+        found = judge_apply(asked, scorer)
+        numbers = F.transform(listed_places(F.col("raw")), lambda p: F.when(p > 0, F.get("_numbers", p - 1)))
+        gone = found.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], F.explode(numbers).alias("_gone")).where("_gone IS NOT NULL")
+        same = F.col("_no") == F.col("_gone")
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_{i}"))
+        left = written_once(left.join(gone, same, "left_anti"))
+    return left.select(*columns)
+
+
 def answer_by_digest(prompt: str) -> str:
     """Offline scorer: every answer follows from the first hex digit of the
     prompt's MD5, so runs without a model are repeatable."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from corpusgauge.operators import citations as C
@@ -305,6 +307,25 @@ def apply_removals(t):
     return L.apply_removals(claims, groups.withColumn("raw", listed), ["doc"])
 
 
+def repeats_by_text(prompt: str) -> str:
+    """Offline judge: the numbers of claims whose text an earlier one of the prompt has."""
+    body = prompt[prompt.index("\n") : prompt.rindex("\nList the numbers")]
+    parts = re.split(r"\n(\d+)\. ", body)[1:]
+    seen, out = set(), []
+    for number, text in zip(parts[::2], parts[1::2], strict=True):
+        if text in seen:
+            out.append(number)
+        seen.add(text)
+    return ", ".join(out)
+
+
+@register("claims_removed_by_judge", ("v_turns",), f"""WITH {PIECES}
+SELECT doc, min(claim_no) AS claim_no, claim FROM claims GROUP BY doc, claim""")
+def claims_removed_by_judge(t):
+    # small groups, so that they meet in several rounds
+    return J.claims_removed_by_judge(_claims(t).select("doc", "claim_no", "claim"), ["doc"], repeats_by_text, size=4)
+
+
 @register("claim_density", ("v_turns",), f"""WITH {PIECES},
 c AS (SELECT doc, count(*) AS before, count(DISTINCT norm) AS after FROM (SELECT doc, {_norm_sql("regexp_replace(claim, '^Claim \\d+: ', '')")} AS norm FROM claims) x GROUP BY doc),
 s AS (SELECT doc, sum(len(list_filter(regexp_split_to_array({X.trim_sql('text')}, '[.!?\n]+(?:{WS}|\\z)'), lambda x: x <> ''))) AS sentences FROM v_turns GROUP BY doc)

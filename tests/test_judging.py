@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusgauge.operators import claims as L
 from corpusgauge.operators import judging as J
+from corpusgauge.plans.judging_queries import repeats_by_text
 
 SCORES = "category string, topic string, system string, model string, metric string, value double"
 
@@ -130,6 +131,23 @@ def test_removals_by_group(spark):
     assert left == ["c0", "c2", "c4", "c5", "c6"]
 
 
+def test_repeats_in_different_groups_are_removed(spark):
+    # sparse numbers, a repeat in the next group, in a far one, and inside one; None is a document too
+    texts = ["a", "b", "c", "a", "d", "e", "f", "g", "h", "b", "b"]
+    rows = [(doc, 1000 * n, text) for doc in (1, None) for n, text in enumerate(texts)] + [(2, 5, "a"), (3, 1, "x"), (3, 1, "x")]
+    df = spark.createDataFrame(rows, CLAIMS)
+    left = kept_claims(J.claims_removed_by_judge(df, ["doc"], repeats_by_text, size=3))
+    once = [0, 1000, 2000, 4000, 5000, 6000, 7000, 8000]
+    assert left == sorted([(1, n) for n in once] + [(None, n) for n in once] + [(2, 5), (3, 1)], key=repr)
+    assert J.claims_removed_by_judge(df, ["doc"], lambda p: None, size=3).count() == len(rows)
+    assert J.claims_removed_by_judge(df, ["doc"], lambda p: "0, 99, x", size=3).count() == len(rows)
+    assert J.claims_removed_by_judge(df.limit(0), ["doc"], repeats_by_text).collect() == []
+
+
+def kept_claims(df):
+    return sorted(((r.doc, r.claim_no) for r in df.collect()), key=repr)
+
+
 def test_numbers_must_be_in_the_sentence(spark):
     rows = [
         (1, 0, "It is 1999 and 5.", 0, "In 19 it was"), (1, 0, "It is 1999 and 5.", 1, "5 things"), (1, 0, "It is 1999 and 5.", 2, "5 things"),
