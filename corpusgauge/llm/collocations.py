@@ -3,14 +3,16 @@
 Every place of a text is one window: its word and up to four that follow in the same piece.  A phrase's
 count is the number of windows that begin with it, so one trie of windows counts all lengths.
 
-1. A task keeps windows in a shallow trie over its own word ids.  A leaf is a hash container of a range of prefixes;
+1. A sketch of counters tells words that are surely too rare; a window ends before such a word.
+2. A task keeps windows in a shallow trie over its own word ids.  A leaf is a hash container of a range of prefixes;
    one that grows too large bursts into two, between first words, then second, then third ones.  At a limit of
    memory the largest subtrees are spilled as sorted runs.
-2. Runs go to partitions by their prefix: windows by their first three words, counts of words and of pairs by
+3. Runs go to partitions by their prefix: windows by their first three words, counts of words and of pairs by
    these.  So a pair that a third of all windows begin with is still one count a run, and its windows spread.
-3. A prefix partition gives its runs one set of word ids, sorts them together and adds up every prefix length.
+4. A prefix partition gives its runs one set of word ids, sorts them together and adds up every prefix length.
 
-Scores and the dropping of parts are joins on the phrases that are frequent enough.  Everything is per language; a null
+The sketch has a fixed size.  A corpus that fills it has fewer words that are surely rare, so more windows travel;
+the result stays the same.  Scores and the dropping of parts are joins on the phrases that are frequent enough.  Everything is per language; a null
 language is ``und``, null texts are empty, rows with one id count one each, other columns are not read.
 """
 
@@ -31,20 +33,23 @@ from corpusgauge.functions.ranking import top_per_group
 from corpusgauge.llm.bpe import cut_batches, pack, unpack
 from corpusgauge.llm.common import table
 from corpusgauge.llm.shingles import STEPS, mixed
+from corpusgauge.llm.sketches import SLICES, Counts, has, often_seen
 from corpusgauge.session import written_once
 
 MOST_WORDS = 5
 #: Text cut into words at a time, and windows sorted at a time.
 BATCH_BYTES = 4_000_000
-CHUNK = 300_000
+CHUNK = 400_000
 #: Windows in a container before it bursts, and in all containers of a task before some are spilled.
 BURST = 100_000
-BUDGET = 2_500_000
+BUDGET = 1_500_000
 #: Word ids of a task have 21 bits.
 WORD_BITS = 21
-MOST_IDS = 1_500_000
+MOST_IDS = 500_000
+#: Counters of the sketch of words.
+COUNTERS = 2**22
 #: Text for each prefix partition.
-PART_BYTES = 16_000_000
+PART_BYTES = 12_000_000
 LEAST_PARTS = 8
 
 LETTER, BLANK, END = 0, 1, 2
@@ -156,40 +161,52 @@ RUNS = "part int, lang string, words binary, counts binary"
 _RUNS = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("words", pa.binary()), ("counts", pa.binary())])
 
 
+def word_crcs(lang: str, words: pa.Array) -> np.ndarray:
+    """A hash of each word in its language."""
+    base = zlib.crc32(lang.encode())
+    return np.array([zlib.crc32(w, base) for w in words.cast(pa.binary()).to_pylist()], np.uint64)
+
+
 class Counter:
-    """Tries of a task by language, over one numbering of words from 1."""
+    """Tries of a task by language, over one numbering of words from 1; ``likely`` has a bit for words that may be frequent."""
+
+    def __init__(self, parts: int, likely: np.ndarray):
+        self.parts, self.likely, self.tries, self.rare = parts, likely, {}, {}
+        self._forget()
 
-    def __init__(self, parts: int):
-        self.parts, self.tries = parts, {}
+    def _forget(self) -> None:
         self.ids, self.spelt, self.crcs = {}, [b""], [0]
 
     def add(self, lang: str, texts: pa.Array):
         """Counts the texts; yields runs that had to be spilled."""
         words, pieces = words_and_pieces(texts)
-        trie = self.tries.setdefault(lang, Trie())
         for start in range(0, len(words), CHUNK):
             ahead = words[start : start + CHUNK + MOST_WORDS - 1].dictionary_encode()
-            if len(self.ids) + len(ahead.dictionary) > MOST_IDS:
+            crcs = word_crcs(lang, ahead.dictionary)
+            maybe = has(self.likely, crcs % np.uint64(8 * len(self.likely)))
+            if len(self.ids) + maybe.sum() > MOST_IDS:
                 yield from self.spill(0)
-                self.ids, self.spelt, self.crcs = {}, [b""], [0]
-                trie = self.tries.setdefault(lang, Trie())
-            ids = self._numbered(ahead.dictionary)[ahead.indices.to_numpy(zero_copy_only=False)]
+                self._forget()
+            trie = self.tries.setdefault(lang, Trie())
+            ids = self._numbered(ahead.dictionary, maybe)[ahead.indices.to_numpy(zero_copy_only=False)]
             own, n = pieces[start : start + len(ids)], min(CHUNK, len(ids))
-            columns = []
-            for j in range(MOST_WORDS):
-                column = np.zeros(n, np.uint64)
-                m = min(n, len(ids) - j)
-                column[:m] = np.where(own[j : j + m] == own[:m], ids[j : j + m], 0)
+            columns = [ids[:n]]
+            for j in range(1, MOST_WORDS):
+                column, m = np.zeros(n, np.uint64), min(n, len(ids) - j)
+                column[:m] = np.where((own[j : j + m] == own[:m]) & (columns[-1][:m] > 0), ids[j : j + m], 0)
                 columns.append(column)
-            w1, w2, w3, w4, w5 = columns
+            known = columns[0] > 0
+            self.rare[lang] = self.rare.get(lang, 0) + n - int(known.sum())
+            w1, w2, w3, w4, w5 = (c[known] for c in columns)
             b = np.uint64(WORD_BITS)
             trie.add((w1 << b | w2) << b | w3, w4 << b | w5)
             if sum(map(len, self.tries.values())) > BUDGET:
                 yield from self.spill(BUDGET // 2)
 
-    def _numbered(self, words: pa.Array) -> np.ndarray:
-        out = np.empty(len(words), np.uint64)
-        for i, w in enumerate(words.cast(pa.binary()).to_pylist()):
+    def _numbered(self, words: pa.Array, maybe: np.ndarray) -> np.ndarray:
+        """Ids of the words, 0 for surely rare ones."""
+        out, at = np.zeros(len(words), np.uint64), np.flatnonzero(maybe)
+        for i, w in zip(at.tolist(), words.take(pa.array(at)).cast(pa.binary()).to_pylist(), strict=True):
             no = self.ids.get(w)
             if no is None:
                 no = self.ids[w] = len(self.spelt)
@@ -198,10 +215,19 @@ class Counter:
             out[i] = no
         return out
 
+    def finish(self):
+        """All that is left, and the number of rare words as a run of no words."""
+        yield from self.spill(0)
+        for lang, n in self.rare.items():
+            none = pack(*[np.zeros(1, np.int64)] * MOST_WORDS, np.array([n]))
+            row = {"part": zlib.crc32(lang.encode()) % self.parts, "lang": lang, "words": zstandard.ZstdCompressor().compress(b""), "counts": none}
+            yield pa.RecordBatch.from_pylist([row], _RUNS)
+        self.rare = {}
+
     def spill(self, left: int):
         """Writes the largest subtrees until at most ``left`` windows are kept."""
         sizes = sorted(((len(leaf), lang, i) for lang, trie in self.tries.items() for i, leaf in enumerate(trie.leaves)), reverse=True)
-        total, held, going = sum(s for s, _, _ in sizes), 0, {}
+        total, going = sum(s for s, _, _ in sizes), {}
         for size, lang, i in sizes:
             if total <= left or not size:
                 break
@@ -261,7 +287,8 @@ def merged_runs(min_count: int, most: int):
         for lang in pc.unique(part["lang"]).to_pylist():
             own = part.filter(pc.equal(part["lang"], lang))
             opened = zstandard.ZstdDecompressor()
-            lists = [opened.decompress(w.as_py()).decode().split(" ") for w in own["words"]]
+            spelt = [opened.decompress(w.as_py()).decode() for w in own["words"]]
+            lists = [x.split(" ") if x else [] for x in spelt]
             coded = pa.chunked_array([pa.array(x, pa.string()) for x in lists]).combine_chunks().dictionary_encode()
             codes, spelt = coded.indices.to_numpy(zero_copy_only=False) + 1, coded.dictionary
             runs, at = [], 0
@@ -278,7 +305,7 @@ def merged_runs(min_count: int, most: int):
             alone = w[1] == 0
             out.append((lang, 0, [""], [int(n[alone].sum())]))
             for depth in range(1, most + 1):
-                mine = alone if depth == 1 else (w[1] > 0) & (w[2] == 0) if depth == 2 else w[depth - 1] > 0
+                mine = alone & (w[0] > 0) if depth == 1 else (w[1] > 0) & (w[2] == 0) if depth == 2 else w[depth - 1] > 0
                 columns, counts = [c[mine] for c in w[:depth]], n[mine]
                 first, sums = run_sums(columns, counts)
                 often = sums >= min_count
@@ -300,18 +327,39 @@ def frequent_phrases(docs: DataFrame, min_count: int = 100, most: int = MOST_WOR
     """
     if not 1 <= most <= MOST_WORDS:
         raise ValueError(f"phrases have 1 to {MOST_WORDS} words")
+    spark = docs.sparkSession
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where(F.length("text") > 0)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(LEAST_PARTS, size // PART_BYTES)
 
-    def count(batches):
-        counter = Counter(parts)
+    enough = max(1, min(min_count, 2**15 - 1))
+
+    def by_lang(batches):
         for langs, texts in cut_batches(batches, BATCH_BYTES):
             for lang in pc.unique(langs).to_pylist():
-                yield from counter.add(lang, texts.filter(pc.equal(langs, lang)))
-        yield from counter.spill(0)
+                yield lang, texts.filter(pc.equal(langs, lang))
+
+    def sketch(batches):
+        from pyspark import TaskContext
+
+        seen = Counts(COUNTERS, enough)
+        for lang, texts in by_lang(batches):
+            words = words_and_pieces(texts)[0].dictionary_encode()
+            times = np.bincount(words.indices.to_numpy(zero_copy_only=False), minlength=len(words.dictionary))
+            seen.add((word_crcs(lang, words.dictionary) % np.uint64(COUNTERS)).astype(np.int64), times)
+        yield from seen.slices(TaskContext.get().partitionId())
+
+    likely = spark.sparkContext.broadcast(often_seen(rows.mapInArrow(sketch, SLICES), rows.rdd.getNumPartitions(), COUNTERS, enough))
+
+    def count(batches):
+        counter = Counter(parts, likely.value)
+        for lang, texts in by_lang(batches):
+            yield from counter.add(lang, texts)
+        yield from counter.finish()
 
-    return rows.mapInArrow(count, RUNS).groupBy("part").applyInArrow(merged_runs(min_count, most), FREQUENT)
+    found = written_once(rows.mapInArrow(count, RUNS).groupBy("part").applyInArrow(merged_runs(min_count, most), FREQUENT))
+    likely.destroy()
+    return found
 
 
 def collocations(docs: DataFrame, min_count: int = 100, most: int = MOST_WORDS, percent: int = 100, top: int = 2000) -> DataFrame:
@@ -320,7 +368,7 @@ def collocations(docs: DataFrame, min_count: int = 100, most: int = MOST_WORDS,
     A phrase is cut where ``floor(1000 * a * n / (l * r))`` is least (then where its first part is shortest).  It goes
     if a longer one that holds it has ``percent`` of its occurrences.  Texts without words give no rows.
     """
-    known = written_once(frequent_phrases(docs, min_count, most))
+    known = frequent_phrases(docs, min_count, most)
     totals = known.where("words = 0").groupBy("lang").agg(F.sum("f").alias("n"))
     found = known.where("words > 0")
     phrases = found.where("words > 1").select("lang", "phrase", "words", F.col("f").alias("a"))

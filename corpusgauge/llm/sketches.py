@@ -1,7 +1,9 @@
-"""Bit sketches of tasks, added up by a tree of groups of bounded size."""
+"""Sketches of tasks, added up slice by slice in a tree of groups of bounded size."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -12,8 +14,38 @@ SLICE_BYTES = 2**16
 #: Sketches that meet in one group of the tree.
 WIDTH = 32
 
-SLICES = "slice int, part long, once binary, twice binary"
-_SLICES = pa.schema([("slice", pa.int32()), ("part", pa.int64()), ("once", pa.binary()), ("twice", pa.binary())])
+SLICES = "slice int, part long, data binary"
+_SLICES = pa.schema([("slice", pa.int32()), ("part", pa.int64()), ("data", pa.binary())])
+
+Adding = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _row(no: int, part: int, data: np.ndarray) -> dict:
+    return {"slice": no, "part": part, "data": zstandard.ZstdCompressor(level=1).compress(data.tobytes())}
+
+
+def _opened(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+
+
+def summed(parts: DataFrame, tasks: int, add: Adding) -> DataFrame:
+    """One row per slice: the sum of the slices of all tasks, numbered from 0 to ``tasks`` - 1.
+
+    ``WIDTH`` slices meet in a group, their sums again, so the depth of the tree follows the number of
+    tasks and no group grows with it.
+    """
+
+    def added(part: pa.Table) -> pa.Table:
+        total = None
+        for x in part["data"]:
+            own = _opened(x.as_py())
+            total = own if total is None else add(total, own)
+        return pa.Table.from_pylist([_row(part["slice"][0].as_py(), part["part"][0].as_py(), total)], _SLICES)
+
+    while tasks > 1:
+        tasks = -(-tasks // WIDTH)
+        parts = parts.withColumn("part", F.floor(F.col("part") / WIDTH)).groupBy("slice", "part").applyInArrow(added, SLICES)
+    return parts
 
 
 class SeenTwice:
@@ -32,45 +64,59 @@ class SeenTwice:
 
     def slices(self, part: int):
         """Rows of the slices that hold anything."""
-        press = zstandard.ZstdCompressor(level=1)
-        for no in range(0, -(-len(self.once) // SLICE_BYTES)):
-            once = self.once[no * SLICE_BYTES : (no + 1) * SLICE_BYTES]
-            if once.any():
-                twice = self.twice[no * SLICE_BYTES : (no + 1) * SLICE_BYTES]
-                row = {"slice": no, "part": part, "once": press.compress(once.tobytes()), "twice": press.compress(twice.tobytes())}
-                yield pa.RecordBatch.from_pylist([row], _SLICES)
-
-
-def has(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Whether the bit at each place is set."""
-    return (bits[(places >> 3).astype(np.int64)] >> (places & 7).astype(np.uint8)) & 1 > 0
+        for no in range(-(-len(self.once) // SLICE_BYTES)):
+            own = slice(no * SLICE_BYTES, (no + 1) * SLICE_BYTES)
+            if self.once[own].any():
+                yield pa.RecordBatch.from_pylist([_row(no, part, np.concatenate((self.once[own], self.twice[own])))], _SLICES)
 
 
-def _added(part: pa.Table) -> pa.Table:
-    opened, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-    once = twice = None
-    for a, b in zip(part["once"], part["twice"], strict=True):
-        o, t = (np.frombuffer(opened.decompress(x.as_py()), np.uint8) for x in (a, b))
-        if once is None:
-            once, twice = o.copy(), t.copy()
-        else:
-            twice |= t | (once & o)  # what two tasks have seen once each is seen twice
-            once |= o
-    row = {"slice": part["slice"][0].as_py(), "part": part["part"][0].as_py(), "once": press.compress(once.tobytes()), "twice": press.compress(twice.tobytes())}
-    return pa.Table.from_pylist([row], _SLICES)
+def _seen_by_both(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    half = len(x) // 2
+    again = x[half:] | y[half:] | (x[:half] & y[:half])  # what two tasks have seen once each is seen twice
+    return np.concatenate((x[:half] | y[:half], again))
 
 
 def twice_seen(parts: DataFrame, tasks: int, bits: int) -> np.ndarray:
-    """The filter of keys seen again over the slices of all tasks, numbered from 0 to ``tasks`` - 1.
-
-    ``WIDTH`` slices meet in a group, their sums again, so the depth of the tree follows the number of
-    tasks and no group grows with it.  The filter itself comes to the driver; its size is ``bits``.
-    """
-    while tasks > 1:
-        tasks = -(-tasks // WIDTH)
-        parts = parts.withColumn("part", F.floor(F.col("part") / WIDTH)).groupBy("slice", "part").applyInArrow(_added, SLICES)
-    out, opened = np.zeros(bits // 8, np.uint8), zstandard.ZstdDecompressor()
-    for row in parts.select("slice", "twice").toLocalIterator():
+    """The filter of keys seen again; it comes to the driver, and its size is ``bits``."""
+    out = np.zeros(bits // 8, np.uint8)
+    for row in summed(parts, tasks, _seen_by_both).select("slice", "data").collect():
+        both = _opened(bytes(row["data"]))
         at = row["slice"] * SLICE_BYTES
-        out[at : at + SLICE_BYTES] = np.frombuffer(opened.decompress(bytes(row["twice"])), np.uint8)
+        out[at : at + len(both) // 2] = both[len(both) // 2 :]
     return out
+
+
+class Counts:
+    """Counters of hashed keys that stop at ``most``; a key's counter is never below its count or that."""
+
+    def __init__(self, size: int, most: int):
+        self.counts, self.most = np.zeros(size, np.int64), most
+
+    def add(self, places: np.ndarray, times: np.ndarray) -> None:
+        np.add.at(self.counts, places, times)
+
+    def slices(self, part: int):
+        step = SLICE_BYTES // 2
+        for no in range(-(-len(self.counts) // step)):
+            own = np.minimum(self.counts[no * step : (no + 1) * step], self.most)
+            if own.any():
+                yield pa.RecordBatch.from_pylist([_row(no, part, own.astype("<u2"))], _SLICES)
+
+
+def often_seen(parts: DataFrame, tasks: int, size: int, most: int) -> np.ndarray:
+    """Bits of the counters that reach ``most`` (below 2^15); they come to the driver, one for each of ``size``."""
+
+    def add(x, y):
+        return np.minimum(x.view("<u2") + y.view("<u2"), np.uint16(most)).view(np.uint8)
+
+    out = np.zeros(size, bool)
+    for row in summed(parts, tasks, add).select("slice", "data").collect():
+        counts = _opened(bytes(row["data"])).view("<u2")
+        at = row["slice"] * (SLICE_BYTES // 2)
+        out[at : at + len(counts)] = counts >= most
+    return np.packbits(out, bitorder="little")
+
+
+def has(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Whether the bit at each place is set."""
+    return (bits[(places >> 3).astype(np.int64)] >> (places & 7).astype(np.uint8)) & 1 > 0
