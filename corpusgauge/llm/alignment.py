@@ -5,7 +5,8 @@ the other side that covers it; both directions together are all overlaps.  Place
 sides end cut the tokens into groups.  A block of documents keeps the distinct pairs of ids that it links; only these, not links,
 are exchanged to be counted over the corpus, and each block gets the counts of its own pairs back.
 
-Both vocabulary files are parameters, read on every executor.
+Both tokenizers cut at blanks and line ends between words, so a batch's distinct words are encoded once.  Both vocabulary files are
+parameters, read on every executor.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
+import re
 
 import numpy as np
 import pandas as pd
@@ -22,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from corpusgauge.llm.bpe import cut_batches, default_vocabulary, pieces, spread
+from corpusgauge.llm.bpe import cut_batches, default_vocabulary, encode_rows, pieces, split_words, spread, word_bytes
 from corpusgauge.llm.common import table
 from corpusgauge.session import written_once
 
-#: Text aligned at a time, and text whose pairs are kept as one block.
-BATCH_BYTES = 1_000_000
+#: Text whose words are encoded together, tokens aligned at a time, and text whose pairs are kept as one block.
+BATCH_BYTES = 4_000_000
+ALIGNED = 400_000
 BLOCK_BYTES = 16_000_000
 
 
@@ -90,29 +93,74 @@ def decimals(n: int) -> Spelling:
     return Spelling([b"%d," % i for i in range(n)])
 
 
-def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(x) for x in lists], np.int64)
-    return np.fromiter((i for x in lists for i in x), np.int64, int(sizes.sum())), sizes
+@functools.lru_cache(maxsize=2)
+def cuts_words(path: str) -> bool:
+    """Whether the second tokenizer changes no text and has no piece across the cuts between words."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    spec = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        spec.ParseFromString(f.read())
+    rules = spec.normalizer_spec
+    plain = not rules.precompiled_charsmap and not rules.remove_extra_whitespaces and rules.add_dummy_prefix
+    return plain and not any(re.search("[^▁]▁|\n", p.piece) for p in spec.pieces)
+
+
+def encoded(words: pa.Array, a_path: str, b_path: str):
+    """(ids, counts) of both sides for words that begin with a blank or line end."""
+
+    def a_ids(rows):
+        return [e.ids for e in byte_tokenizer(a_path).encode_batch_fast(rows, add_special_tokens=False)]
+
+    def b_ids(rows):
+        # the blank that the tokenizer puts before a text is the row's own, or goes again before a line end
+        lists = piece_tokenizer(b_path).encode([r[1:] if r[0] == " " else r for r in rows], num_threads=1)
+        return [x if r[0] == " " else x[1:] for r, x in zip(rows, lists, strict=True)]
+
+    a = encode_rows(words, a_ids, spelling("a", a_path).sizes, r"\x00")
+    b = encode_rows(words, b_ids, spelling("b", b_path).sizes, "[▁\x00]") if cuts_words(b_path) else singly(words, b_ids)
+    return a, b
+
+
+def singly(words: pa.Array, call):
+    lists = call(words.to_pylist())
+    counts = np.array([len(x) for x in lists], np.int64)
+    return np.array([i for x in lists for i in x], np.uint32), counts
+
+
+def spelt_alike(words: pa.Array, ids: np.ndarray, counts: np.ndarray, spelt: Spelling) -> np.ndarray:
+    """Whether the bytes of each word's ids are those of the word."""
+    sizes, data = word_bytes(words)
+    first = np.cumsum(counts) - counts
+    upto = np.append(0, np.cumsum(spelt.sizes[ids]))
+    good = upto[first + counts] - upto[first] == sizes
+    own = np.flatnonzero(good)
+    found = spelt.of(ids[spread(first[own], counts[own])])
+    given = np.frombuffer(data, np.uint8)[spread((np.cumsum(sizes) - sizes)[own], sizes[own])]
+    other = np.searchsorted(np.cumsum(sizes[own]), np.flatnonzero(found != given), "right")
+    good[own[other]] = False
+    return good
 
 
-def tokens_of(texts: list[str], a_path: str, b_path: str):
+def tokens_of(texts: pa.Array, a_path: str, b_path: str):
     """(ids, sizes) of both sides; texts that do not come back from both as a blank and themselves have no tokens."""
-    given = [f" {t}" for t in texts if t]
-    a = [e.ids for e in byte_tokenizer(a_path).encode_batch_fast(given, add_special_tokens=False)]
-    b = piece_tokenizer(b_path).encode([t for t in texts if t], num_threads=1)
-    table_a, table_b = spelling("a", a_path), spelling("b", b_path)
-    found_a, found_b, at = [], [], 0
-    for t in texts:
-        if t:
-            whole = given[at].encode()
-            same = all(x.of(np.array(ids, np.int64)).tobytes() == whole for x, ids in ((table_a, a[at]), (table_b, b[at])))
-            found_a.append(a[at] if same else [])
-            found_b.append(b[at] if same else [])
-            at += 1
-        else:
-            found_a.append([])
-            found_b.append([])
-    return flat(found_a), flat(found_b)
+    spaced = pc.binary_join_element_wise("", texts, " ")
+    if cuts_words(b_path):
+        words, places, ends = split_words(spaced)
+    else:
+        words, places, ends = spaced, np.arange(len(texts)), np.arange(1, len(texts) + 1)
+    sides = encoded(words, a_path, b_path)
+    alike = np.logical_and(*[spelt_alike(words, ids, counts, spelling(*kind)) for (ids, counts), kind in zip(sides, (("a", a_path), ("b", b_path)), strict=True)])
+    per_doc = np.diff(ends, prepend=0)
+    doc = np.repeat(np.arange(len(texts)), per_doc)
+    keep = (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0) & (np.bincount(doc[~alike[places]], minlength=len(texts)) == 0)
+    places, doc = places[keep[doc]], doc[keep[doc]]
+    out = []
+    for ids, counts in sides:
+        first = np.cumsum(counts) - counts
+        sizes = np.bincount(doc, counts[places], len(texts)).astype(np.int64)
+        out.append((ids[spread(first[places], counts[places])].astype(np.int64), sizes))
+    return out
 
 
 def overlaps(ids_a, sizes_a, ids_b, sizes_b, a_path: str, b_path: str):
@@ -162,9 +210,17 @@ def alignment_blocks(docs: DataFrame, a_path: str, b_path: str, texts_too: bool
         *[(n, pa.list_(pa.int32())) for n in ("pairs", "times", "id_a", "id_b")], ("n", pa.list_(pa.int64())),
     ])
 
-    def one(doc_ids, texts):
-        """Columns of a batch of documents, and its pairs as (keys, times, pairs of each document)."""
-        (ids_a, sizes_a), (ids_b, sizes_b) = tokens_of(texts.to_pylist(), a_path, b_path)
+    def some(doc_ids, texts):
+        """The documents of a batch with their tokens, a few at a time."""
+        (ids_a, sizes_a), (ids_b, sizes_b) = tokens_of(texts, a_path, b_path)
+        ends_a, ends_b, at = np.append(0, np.cumsum(sizes_a)), np.append(0, np.cumsum(sizes_b)), 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends_a, ends_a[at] + ALIGNED, "right")) - 1)
+            yield one(doc_ids[at:to], ids_a[ends_a[at] : ends_a[to]], sizes_a[at:to], ids_b[ends_b[at] : ends_b[to]], sizes_b[at:to])
+            at = to
+
+    def one(doc_ids, ids_a, sizes_a, ids_b, sizes_b):
+        """Columns of documents, and their pairs as (keys, times, pairs of each document)."""
         links, groups_a, groups_b = overlaps(ids_a, sizes_a, ids_b, sizes_b, a_path, b_path)
         spelt, n_groups = written_groups(ids_a, sizes_a, groups_a, ids_b, sizes_b, groups_b)
         doc = links["doc"].to_numpy()
@@ -197,7 +253,7 @@ def alignment_blocks(docs: DataFrame, a_path: str, b_path: str, texts_too: bool
 
         task, no, held, done = TaskContext.get().partitionId(), 0, 0, []
         for doc_ids, texts in cut_batches(batches, BATCH_BYTES):
-            done.append(one(doc_ids, texts))
+            done += some(doc_ids, texts)
             held += pc.sum(pc.binary_length(texts)).as_py() or 0
             if held >= BLOCK_BYTES:
                 yield from block(f"{task}-{no}", done)

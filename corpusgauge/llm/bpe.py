@@ -73,25 +73,30 @@ def piece_sizes(path: str) -> np.ndarray:
 
 
 def encode_words(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words in a row, and how many each has.
+    """Ids of all words in a row, and how many each has."""
+    found = tokenizer(path)  # its added tokens match before any cut
+    return encode_rows(words, lambda rows: [e.ids for e in found.encode_batch_fast(rows, add_special_tokens=False)], piece_sizes(path), r"<\|")
+
+
+def encode_rows(words: pa.Array, call, sizes: np.ndarray, apart: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and their numbers for a ``call`` from strings to lists of ids, whose bytes are ``sizes`` long.
 
     Words between which a tokenizer cuts anyway are handed to it in rows of ``TOGETHER``; the bytes of
-    the ids tell whose they are.
+    the ids tell whose they are.  Words with ``apart`` go alone.
     """
-    call = tokenizer(path).encode_batch_fast
     simple = pc.match_substring_regex(words, f"^[ \n][^{SPACE[1:-1]}]").to_numpy(zero_copy_only=False)
     simple &= pc.match_substring_regex(words, f"[^{SPACE[1:-1]}]$").to_numpy(zero_copy_only=False)
-    simple &= ~pc.match_substring(words, "<|").to_numpy(zero_copy_only=False)  # added tokens match before any cut
+    simple &= ~pc.match_substring_regex(words, apart).to_numpy(zero_copy_only=False)
     order = np.concatenate((np.flatnonzero(simple), np.flatnonzero(~simple)))
     many = int(simple.sum())
     ordered = words.take(pa.array(order))
     texts = ordered[:many].to_pylist()
     rows = ["".join(texts[i : i + TOGETHER]) for i in range(0, many, TOGETHER)]
-    parts = [np.array(e.ids, np.uint32) for i in range(0, len(rows), 256) for e in call(rows[i : i + 256], add_special_tokens=False)]
+    parts = [np.array(ids, np.uint32) for i in range(0, len(rows), 256) for ids in call(rows[i : i + 256])]
     flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
     ends = np.cumsum(pc.binary_length(ordered[:many]).to_numpy(zero_copy_only=False))
-    upto = np.searchsorted(np.cumsum(piece_sizes(path)[flat]), ends, "left") + 1 if many else ends
-    singles = [e.ids for e in call(ordered[many:].to_pylist(), add_special_tokens=False)]
+    upto = np.searchsorted(np.cumsum(sizes[flat]), ends, "left") + 1 if many else ends
+    singles = call(ordered[many:].to_pylist())
     counts = np.concatenate((np.diff(upto, prepend=0), np.array([len(x) for x in singles], np.int64)))
     flat = np.concatenate((flat, np.array([i for x in singles for i in x], np.uint32)))
     starts, back = np.cumsum(counts) - counts, np.argsort(order)

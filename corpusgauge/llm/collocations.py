@@ -3,16 +3,15 @@
 Every place of a text is one window: its word and up to four that follow in the same piece.  A phrase's
 count is the number of windows that begin with it, so one trie of windows counts all lengths.
 
-1. A sketch of counters tells words that are surely too rare; a window ends before such a word.
-2. A task keeps windows in a shallow trie over its own word ids.  A leaf is a hash container of a range of prefixes;
+1. A task keeps windows in a shallow trie over its own word ids.  A leaf is a hash container of a range of prefixes;
    one that grows too large bursts into two, between first words, then second, then third ones.  At a limit of
    memory the largest subtrees are spilled as sorted runs.
-3. Runs go to partitions by their prefix: windows by their first three words, counts of words and of pairs by
+2. Runs go to partitions by their prefix: windows by their first three words, counts of words and of pairs by
    these.  So a pair that a third of all windows begin with is still one count a run, and its windows spread.
-4. A prefix partition gives its runs one set of word ids, sorts them together and adds up every prefix length.
+3. A prefix partition gives its runs one set of word ids, sorts them together and adds up every prefix length.
 
-The sketch has a fixed size.  A corpus that fills it has fewer words that are surely rare, so more windows travel;
-the result stays the same.  Scores and the dropping of parts are joins on the phrases that are frequent enough.  Everything is per language; a null
+A run spells its words once, so runs are kept long: with more than ``WIDTH`` partitions, runs of many tasks
+are first added up in coarse partitions and cut into finer ones from there.  Scores and the dropping of parts are joins on the phrases that are frequent enough.  Everything is per language; a null
 language is ``und``, null texts are empty, rows with one id count one each, other columns are not read.
 """
 
@@ -33,7 +32,6 @@ from corpusgauge.functions.ranking import top_per_group
 from corpusgauge.llm.bpe import cut_batches, pack, unpack
 from corpusgauge.llm.common import table
 from corpusgauge.llm.shingles import STEPS, mixed
-from corpusgauge.llm.sketches import SLICES, Counts, has, often_seen
 from corpusgauge.session import written_once
 
 MOST_WORDS = 5
@@ -46,11 +44,12 @@ BUDGET = 1_500_000
 #: Word ids of a task have 21 bits.
 WORD_BITS = 21
 MOST_IDS = 500_000
-#: Counters of the sketch of words.
-COUNTERS = 2**22
 #: Text for each prefix partition.
 PART_BYTES = 12_000_000
-LEAST_PARTS = 8
+LEAST_PARTS = 64
+#: Partitions that a run is cut into at a time, and runs that are added up in between.
+WIDTH = 256
+TOGETHER = 64
 
 LETTER, BLANK, END = 0, 1, 2
 _KIND = np.zeros(256, np.uint8)
@@ -157,21 +156,58 @@ class Trie:
             self._burst(i)
 
 
-RUNS = "part int, lang string, words binary, counts binary"
-_RUNS = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("words", pa.binary()), ("counts", pa.binary())])
-
-
-def word_crcs(lang: str, words: pa.Array) -> np.ndarray:
-    """A hash of each word in its language."""
-    base = zlib.crc32(lang.encode())
-    return np.array([zlib.crc32(w, base) for w in words.cast(pa.binary()).to_pylist()], np.uint64)
+RUNS = "part long, origin long, lang string, words binary, counts binary"
+_RUNS = pa.schema([("part", pa.int64()), ("origin", pa.int64()), ("lang", pa.string()), ("words", pa.binary()), ("counts", pa.binary())])
+
+
+def written_runs(lang: str, columns: list[np.ndarray], n: np.ndarray, spelt: list[bytes], crc: np.ndarray, parts: int, origin: int):
+    """Sorted windows as a run for each prefix partition; a run spells its words once."""
+    place = np.full(len(n), zlib.crc32(lang.encode()), np.uint64)
+    for j, column in enumerate(columns[:3]):
+        place = mixed(place * np.uint64(STEPS[j]) + crc[column])
+    part = (place % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    edges = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
+    press = zstandard.ZstdCompressor(level=1)
+    for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        own = order[s:e]
+        used, numbers = np.unique(np.stack([c[own] for c in columns]), return_inverse=True)
+        if used[0]:
+            used, numbers = np.append(used[:1] * 0, used), numbers + 1  # 0 stands for no word
+        words = press.compress(b" ".join(spelt[i] for i in used[1:].tolist()))
+        counts = pack(*numbers.reshape(MOST_WORDS, -1), n[own] & 0xFFFFFFFF, n[own] >> 32)
+        row = {"part": int(part[own[0]]), "origin": origin, "lang": lang, "words": words, "counts": counts}
+        yield pa.RecordBatch.from_pylist([row], _RUNS)
+
+
+def merged(part: pa.Table):
+    """(lang, words, columns, n) of the runs of a partition: sorted windows, equal ones side by side, in one numbering from 1."""
+    opened = zstandard.ZstdDecompressor()
+    for lang in pc.unique(part["lang"]).to_pylist():
+        own = part.filter(pc.equal(part["lang"], lang))
+        lists = [opened.decompress(w.as_py()).decode().split(" ") for w in own["words"]]
+        coded = pa.chunked_array([pa.array(x, pa.string()) for x in lists]).combine_chunks().dictionary_encode()
+        sizes = [len(x) for x in lists]
+        del lists
+        codes, runs, at = coded.indices.to_numpy(zero_copy_only=False) + 1, [], 0
+        for words, counts in zip(sizes, own["counts"], strict=True):
+            ids = np.append(0, codes[at : at + words]).astype(np.uint32)
+            at += words
+            *columns, low, high = unpack(counts.as_py())
+            runs.append([*[ids[c] for c in columns], low + (high << 32)])
+        *w, n = (np.concatenate(c) for c in zip(*runs, strict=True))
+        del runs
+        keys = [w[0].astype(np.uint64) << np.uint64(32) | w[1], w[2].astype(np.uint64) << np.uint64(32) | w[3], w[4]]
+        order = np.lexsort(keys[::-1])
+        del keys
+        yield lang, coded.dictionary, [c[order] for c in w], n[order]
 
 
 class Counter:
-    """Tries of a task by language, over one numbering of words from 1; ``likely`` has a bit for words that may be frequent."""
+    """Tries of a task by language, over one numbering of words from 1."""
 
-    def __init__(self, parts: int, likely: np.ndarray):
-        self.parts, self.likely, self.tries, self.rare = parts, likely, {}, {}
+    def __init__(self, parts: int, origin: int = 0):
+        self.parts, self.origin, self.tries = parts, origin, {}
         self._forget()
 
     def _forget(self) -> None:
@@ -182,31 +218,26 @@ class Counter:
         words, pieces = words_and_pieces(texts)
         for start in range(0, len(words), CHUNK):
             ahead = words[start : start + CHUNK + MOST_WORDS - 1].dictionary_encode()
-            crcs = word_crcs(lang, ahead.dictionary)
-            maybe = has(self.likely, crcs % np.uint64(8 * len(self.likely)))
-            if len(self.ids) + maybe.sum() > MOST_IDS:
+            if len(self.ids) + len(ahead.dictionary) > MOST_IDS:
                 yield from self.spill(0)
                 self._forget()
             trie = self.tries.setdefault(lang, Trie())
-            ids = self._numbered(ahead.dictionary, maybe)[ahead.indices.to_numpy(zero_copy_only=False)]
+            ids = self._numbered(ahead.dictionary)[ahead.indices.to_numpy(zero_copy_only=False)]
             own, n = pieces[start : start + len(ids)], min(CHUNK, len(ids))
-            columns = [ids[:n]]
-            for j in range(1, MOST_WORDS):
+            columns = []
+            for j in range(MOST_WORDS):
                 column, m = np.zeros(n, np.uint64), min(n, len(ids) - j)
-                column[:m] = np.where((own[j : j + m] == own[:m]) & (columns[-1][:m] > 0), ids[j : j + m], 0)
+                column[:m] = np.where(own[j : j + m] == own[:m], ids[j : j + m], 0)
                 columns.append(column)
-            known = columns[0] > 0
-            self.rare[lang] = self.rare.get(lang, 0) + n - int(known.sum())
-            w1, w2, w3, w4, w5 = (c[known] for c in columns)
+            w1, w2, w3, w4, w5 = columns
             b = np.uint64(WORD_BITS)
             trie.add((w1 << b | w2) << b | w3, w4 << b | w5)
             if sum(map(len, self.tries.values())) > BUDGET:
-                yield from self.spill(BUDGET // 2)
+                yield from self.spill(BUDGET // 3)
 
-    def _numbered(self, words: pa.Array, maybe: np.ndarray) -> np.ndarray:
-        """Ids of the words, 0 for surely rare ones."""
-        out, at = np.zeros(len(words), np.uint64), np.flatnonzero(maybe)
-        for i, w in zip(at.tolist(), words.take(pa.array(at)).cast(pa.binary()).to_pylist(), strict=True):
+    def _numbered(self, words: pa.Array) -> np.ndarray:
+        out = np.empty(len(words), np.uint64)
+        for i, w in enumerate(words.cast(pa.binary()).to_pylist()):
             no = self.ids.get(w)
             if no is None:
                 no = self.ids[w] = len(self.spelt)
@@ -215,15 +246,6 @@ class Counter:
             out[i] = no
         return out
 
-    def finish(self):
-        """All that is left, and the number of rare words as a run of no words."""
-        yield from self.spill(0)
-        for lang, n in self.rare.items():
-            none = pack(*[np.zeros(1, np.int64)] * MOST_WORDS, np.array([n]))
-            row = {"part": zlib.crc32(lang.encode()) % self.parts, "lang": lang, "words": zstandard.ZstdCompressor().compress(b""), "counts": none}
-            yield pa.RecordBatch.from_pylist([row], _RUNS)
-        self.rare = {}
-
     def spill(self, left: int):
         """Writes the largest subtrees until at most ``left`` windows are kept."""
         sizes = sorted(((len(leaf), lang, i) for lang, trie in self.tries.items() for i, leaf in enumerate(trie.leaves)), reverse=True)
@@ -238,16 +260,13 @@ class Counter:
             for i in leaves:
                 held.append(trie.leaves[i].folded())
                 trie.leaves[i] = Container()
-                if sum(len(h[0]) for h in held) >= BUDGET // 4:
-                    yield from self._runs(lang, held)
-                    held = []
-            if held:
-                yield from self._runs(lang, held)
+            yield from self._runs(lang, held)
         if not left:
             self.tries = {}
 
     def _runs(self, lang: str, held):
         high, low, n = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
         order = np.lexsort((low, high))
         high, low, n = high[order], low[order], n[order]
         b, rows = np.uint64(WORD_BITS), []
@@ -257,65 +276,48 @@ class Counter:
         rows[1] = tuple(c[rows[1][0] >> b & _LOW > 0] for c in rows[1])
         rows.append(tuple(c[high & _LOW > 0] for c in (high, low, n)))
         high, low, n = (np.concatenate(c) for c in zip(*rows, strict=True))
-        columns = [high >> b + b, high >> b & _LOW, high & _LOW, low >> b, low & _LOW]
-        crc = np.array(self.crcs, np.uint64)
-        place = np.full(len(n), zlib.crc32(lang.encode()), np.uint64)
-        for j, column in enumerate(columns[:3]):
-            place = mixed(place * np.uint64(STEPS[j]) + crc[column])
-        part = (place % np.uint64(self.parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        edges = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
-        press = zstandard.ZstdCompressor(level=1)
-        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            own = order[s:e]
-            used, numbers = np.unique(np.stack([c[own] for c in columns]), return_inverse=True)
-            if used[0]:
-                used, numbers = np.append(np.uint64(0), used), numbers + 1  # 0 stands for no word
-            spelt = press.compress(b" ".join(self.spelt[i] for i in used[1:].tolist()))
-            row = {"part": int(part[own[0]]), "lang": lang, "words": spelt, "counts": pack(*numbers.reshape(MOST_WORDS, -1), n[own])}
-            yield pa.RecordBatch.from_pylist([row], _RUNS)
+        columns = [c.astype(np.uint32) for c in (high >> b + b, high >> b & _LOW, high & _LOW, low >> b, low & _LOW)]
+        yield from written_runs(lang, columns, n, self.spelt, np.array(self.crcs, np.uint64), self.parts, self.origin)
 
 
 FREQUENT = "lang string, words int, phrase string, f long"
+_FREQUENT = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
+
+
+def finer_runs(parts: int):
+    """The runs of a partition and some origins added up, cut into the finer partitions."""
+
+    def merge(part: pa.Table) -> pa.Table:
+        origin, out = part["origin"][0].as_py() // TOGETHER, []
+        for lang, words, columns, n in merged(part):
+            at, sums = run_sums(columns, n)
+            spelt = [b"", *words.cast(pa.binary()).to_pylist()]
+            crc = np.array([zlib.crc32(w) for w in spelt], np.uint64)
+            crc[0] = 0
+            out += written_runs(lang, [c[at] for c in columns], sums, spelt, crc, parts, origin)
+        return pa.Table.from_batches(out, _RUNS)
+
+    return merge
 
 
-def merged_runs(min_count: int, most: int):
+def phrases_of_runs(min_count: int, most: int):
     """Sums of the runs of a prefix partition: frequent phrases, and a row of no words with the words of each language."""
 
     def merge(part: pa.Table) -> pa.Table:
         out = []
-        for lang in pc.unique(part["lang"]).to_pylist():
-            own = part.filter(pc.equal(part["lang"], lang))
-            opened = zstandard.ZstdDecompressor()
-            spelt = [opened.decompress(w.as_py()).decode() for w in own["words"]]
-            lists = [x.split(" ") if x else [] for x in spelt]
-            coded = pa.chunked_array([pa.array(x, pa.string()) for x in lists]).combine_chunks().dictionary_encode()
-            codes, spelt = coded.indices.to_numpy(zero_copy_only=False) + 1, coded.dictionary
-            runs, at = [], 0
-            for words, counts in zip(lists, own["counts"], strict=True):
-                ids = np.append(0, codes[at : at + len(words)])
-                at += len(words)
-                *columns, n = unpack(counts.as_py())
-                runs.append([*[ids[c].astype(np.uint32) for c in columns], n])
-            *w, n = (np.concatenate(c) for c in zip(*runs, strict=True))
-            del runs
-            keys = [w[0].astype(np.uint64) << np.uint64(32) | w[1], w[2].astype(np.uint64) << np.uint64(32) | w[3], w[4]]
-            order = np.lexsort(keys[::-1])
-            w, n = [c[order] for c in w], n[order]
+        for lang, spelt, w, n in merged(part):
             alone = w[1] == 0
-            out.append((lang, 0, [""], [int(n[alone].sum())]))
+            out.append(pa.table([[lang], [0], [""], [int(n[alone].sum())]], schema=_FREQUENT))
             for depth in range(1, most + 1):
-                mine = alone & (w[0] > 0) if depth == 1 else (w[1] > 0) & (w[2] == 0) if depth == 2 else w[depth - 1] > 0
-                columns, counts = [c[mine] for c in w[:depth]], n[mine]
-                first, sums = run_sums(columns, counts)
+                mine = alone if depth == 1 else (w[1] > 0) & (w[2] == 0) if depth == 2 else w[depth - 1] > 0
+                columns = [c[mine] for c in w[:depth]]
+                first, sums = run_sums(columns, n[mine])
                 often = sums >= min_count
                 first, sums = first[often], sums[often]
-                parts = [spelt.take(pa.array(c[first].astype(np.int64) - 1)) for c in columns]
-                out.append((lang, depth, pc.binary_join_element_wise(*parts, " ").to_pylist(), sums.tolist()))
-        rows = [(lang, depth, p, f) for lang, depth, phrases, counts in out for p, f in zip(phrases, counts, strict=True)]
-        columns = list(zip(*rows, strict=True))
-        kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["lang", "words", "phrase", "f"])
+                words = [spelt.take(pa.array(c[first].astype(np.int64) - 1)) for c in columns]
+                phrases = pc.binary_join_element_wise(*words, " ")
+                out.append(pa.table([[lang] * len(sums), [depth] * len(sums), phrases, sums], schema=_FREQUENT))
+        return pa.concat_tables(out)
 
     return merge
 
@@ -327,39 +329,25 @@ def frequent_phrases(docs: DataFrame, min_count: int = 100, most: int = MOST_WOR
     """
     if not 1 <= most <= MOST_WORDS:
         raise ValueError(f"phrases have 1 to {MOST_WORDS} words")
-    spark = docs.sparkSession
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where(F.length("text") > 0)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(LEAST_PARTS, size // PART_BYTES)
+    wanted = max(LEAST_PARTS, size // PART_BYTES)
+    parts = min(wanted, WIDTH)
 
-    enough = max(1, min(min_count, 2**15 - 1))
+    def count(batches):
+        from pyspark import TaskContext
 
-    def by_lang(batches):
+        counter = Counter(parts, TaskContext.get().partitionId())
         for langs, texts in cut_batches(batches, BATCH_BYTES):
             for lang in pc.unique(langs).to_pylist():
-                yield lang, texts.filter(pc.equal(langs, lang))
-
-    def sketch(batches):
-        from pyspark import TaskContext
-
-        seen = Counts(COUNTERS, enough)
-        for lang, texts in by_lang(batches):
-            words = words_and_pieces(texts)[0].dictionary_encode()
-            times = np.bincount(words.indices.to_numpy(zero_copy_only=False), minlength=len(words.dictionary))
-            seen.add((word_crcs(lang, words.dictionary) % np.uint64(COUNTERS)).astype(np.int64), times)
-        yield from seen.slices(TaskContext.get().partitionId())
-
-    likely = spark.sparkContext.broadcast(often_seen(rows.mapInArrow(sketch, SLICES), rows.rdd.getNumPartitions(), COUNTERS, enough))
-
-    def count(batches):
-        counter = Counter(parts, likely.value)
-        for lang, texts in by_lang(batches):
-            yield from counter.add(lang, texts)
-        yield from counter.finish()
+                yield from counter.add(lang, texts.filter(pc.equal(langs, lang)))
+        yield from counter.spill(0)
 
-    found = written_once(rows.mapInArrow(count, RUNS).groupBy("part").applyInArrow(merged_runs(min_count, most), FREQUENT))
-    likely.destroy()
-    return found
+    runs, now = rows.mapInArrow(count, RUNS), parts
+    while now < wanted:
+        now *= min(WIDTH, -(-wanted // now))  # a multiple, so that what was together in a partition is cut, not dealt anew
+        runs = runs.groupBy("part", F.floor(F.col("origin") / TOGETHER)).applyInArrow(finer_runs(now), RUNS)
+    return runs.groupBy("part").applyInArrow(phrases_of_runs(min_count, most), FREQUENT)
 
 
 def collocations(docs: DataFrame, min_count: int = 100, most: int = MOST_WORDS, percent: int = 100, top: int = 2000) -> DataFrame:
@@ -368,7 +356,7 @@ def collocations(docs: DataFrame, min_count: int = 100, most: int = MOST_WORDS,
     A phrase is cut where ``floor(1000 * a * n / (l * r))`` is least (then where its first part is shortest).  It goes
     if a longer one that holds it has ``percent`` of its occurrences.  Texts without words give no rows.
     """
-    known = frequent_phrases(docs, min_count, most)
+    known = written_once(frequent_phrases(docs, min_count, most))
     totals = known.where("words = 0").groupBy("lang").agg(F.sum("f").alias("n"))
     found = known.where("words > 0")
     phrases = found.where("words > 1").select("lang", "phrase", "words", F.col("f").alias("a"))

@@ -86,37 +86,6 @@ def twice_seen(parts: DataFrame, tasks: int, bits: int) -> np.ndarray:
     return out
 
 
-class Counts:
-    """Counters of hashed keys that stop at ``most``; a key's counter is never below its count or that."""
-
-    def __init__(self, size: int, most: int):
-        self.counts, self.most = np.zeros(size, np.int64), most
-
-    def add(self, places: np.ndarray, times: np.ndarray) -> None:
-        np.add.at(self.counts, places, times)
-
-    def slices(self, part: int):
-        step = SLICE_BYTES // 2
-        for no in range(-(-len(self.counts) // step)):
-            own = np.minimum(self.counts[no * step : (no + 1) * step], self.most)
-            if own.any():
-                yield pa.RecordBatch.from_pylist([_row(no, part, own.astype("<u2"))], _SLICES)
-
-
-def often_seen(parts: DataFrame, tasks: int, size: int, most: int) -> np.ndarray:
-    """Bits of the counters that reach ``most`` (below 2^15); they come to the driver, one for each of ``size``."""
-
-    def add(x, y):
-        return np.minimum(x.view("<u2") + y.view("<u2"), np.uint16(most)).view(np.uint8)
-
-    out = np.zeros(size, bool)
-    for row in summed(parts, tasks, add).select("slice", "data").collect():
-        counts = _opened(bytes(row["data"])).view("<u2")
-        at = row["slice"] * (SLICE_BYTES // 2)
-        out[at : at + len(counts)] = counts >= most
-    return np.packbits(out, bitorder="little")
-
-
 def has(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Whether the bit at each place is set."""
     return (bits[(places >> 3).astype(np.int64)] >> (places & 7).astype(np.uint8)) & 1 > 0

@@ -3,8 +3,13 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import documents, empty, rows
+from hypothesis import given as given_texts
+from hypothesis import settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusgauge.llm import alignment, bpe
@@ -68,10 +73,25 @@ def given():
 COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
 
 
-@pytest.mark.parametrize(("batch", "block"), [(1_000, 3_000), (1_000_000, 16_000_000)])
-def test_aligned_like_the_loop(spark, batch, block, monkeypatch):
+@settings(max_examples=150, deadline=None)
+@given_texts(st.lists(st.lists(st.sampled_from([*"ab '\n\t\r\u00a0\u3000\u00e91.!<|>▁\x00", "<|endoftext|>", "  ", "<s>", "\n\n", "\u0301"]), max_size=25).map("".join), max_size=5))
+def test_tokens_of_words_are_those_of_texts(texts):
+    (ids_a, sizes_a), (ids_b, sizes_b) = alignment.tokens_of(pa.array(texts, pa.string()), A, B)
+    ends_a, ends_b = np.append(0, np.cumsum(sizes_a)), np.append(0, np.cumsum(sizes_b))
+    for i, t in enumerate(texts):
+        a, b = alignment.byte_tokenizer(A).encode(" " + t, add_special_tokens=False).ids, alignment.piece_tokenizer(B).encode(t)
+        same = t and all(b"".join(x[j] for j in ids) == (" " + t).encode() for x, ids in ((bpe.pieces(A), a), (alignment.piece_bytes(B), b)))
+        assert ids_a[ends_a[i] : ends_a[i + 1]].tolist() == (a if same else [])
+        assert ids_b[ends_b[i] : ends_b[i + 1]].tolist() == (b if same else [])
+
+
+@pytest.mark.parametrize("whole", [False, True])
+@pytest.mark.parametrize(("batch", "block"), [(1_000, 3_000), (4_000_000, 16_000_000)])
+def test_aligned_like_the_loop(spark, batch, block, whole, monkeypatch):
     monkeypatch.setattr(alignment, "BATCH_BYTES", batch)
     monkeypatch.setattr(alignment, "BLOCK_BYTES", block)
+    if whole:
+        monkeypatch.setattr(alignment, "ALIGNED", 2_000)
     docs = documents(spark, [(i, t, "s") for i, t in given()])
     got = sorted((tuple(r) for r in alignment.aligned(docs, texts_too=True).select(COLUMNS).collect()), key=repr)
     want = by_loop(given())

@@ -146,14 +146,14 @@ def test_phrases_by_loop(spark, langs, percent, top, tiny, monkeypatch):
         from pyspark.sql import functions as F
 
         plain = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("length(text) > 0").toArrow()
-        counter, batches = collocations.Counter(3, np.full(2**10, 255, np.uint8)), []
+        counter, batches = collocations.Counter(3), []
         for lang in sorted(set(plain["lang"].to_pylist())):
             own = plain.filter(pa.compute.equal(plain["lang"], lang))["text"].combine_chunks()
             batches += list(counter.add(lang, own))
-        batches += list(counter.finish())
+        batches += list(counter.spill(0))
         assert len(batches) > 20
         runs = pa.Table.from_batches(batches)
-        merged = [collocations.merged_runs(30, 5)(runs.filter(pa.compute.equal(runs["part"], p))) for p in set(runs["part"].to_pylist())]
+        merged = [collocations.phrases_of_runs(30, 5)(runs.filter(pa.compute.equal(runs["part"], p))) for p in set(runs["part"].to_pylist())]
         monkeypatch.setattr(collocations, "frequent_phrases", lambda *_: spark.createDataFrame(pa.concat_tables(merged)))
         got = collocations.collocations(docs, 30, percent=percent, top=top)
     names = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
@@ -176,27 +176,15 @@ def test_phrases_like_the_sql(spark):
     assert got == want
 
 
-def test_a_full_sketch_of_words_changes_nothing(spark, monkeypatch):
-    docs = documents(spark, spoken())
+def test_runs_cut_finer_in_rounds_change_nothing(spark, monkeypatch):
+    docs = documents(spark, spoken(), parts=6)
     phrases = lambda: sorted(tuple(r) for r in collocations.frequent_phrases(docs, 30).where("words > 0").collect())
     plain = phrases()
-    monkeypatch.setattr(collocations, "COUNTERS", 8)
+    monkeypatch.setattr(collocations, "WIDTH", 4)
+    monkeypatch.setattr(collocations, "TOGETHER", 2)
     assert phrases() == plain and len(plain) > 50
 
 
-def test_counters_add_up_to_their_limit(spark, monkeypatch):
-    monkeypatch.setattr(sketches, "WIDTH", 2)
-    parts, total = [], Counter()
-    for no in range(7):
-        seen = sketches.Counts(100_000, 30)
-        places, times = np.array([5, 40_000 + no, 99_999, 7]), np.array([3, 40, 10 * no, no == 2])
-        seen.add(places, times)
-        total.update(dict(zip(places.tolist(), times.tolist(), strict=True)))
-        parts += [tuple(r.values()) for batch in seen.slices(no) for r in batch.to_pylist()]
-    bits = sketches.often_seen(spark.createDataFrame(parts, sketches.SLICES), 7, 100_000, 30)
-    assert set(np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist()) == {40_000 + i for i in range(7)} | {99_999}
-
-
 def test_words_and_pieces():
     words, pieces = collocations.words_and_pieces(pa.array([" A b.C", "", "d\x0b\x0be é;", "..", "F"]))
     assert words.to_pylist() == ["a", "b", "c", "d", "e", "é", "f"]
