@@ -317,7 +317,7 @@ def phrases_of_runs(min_count: int, most: int):
                 words = [spelt.take(pa.array(c[first].astype(np.int64) - 1)) for c in columns]
                 phrases = pc.binary_join_element_wise(*words, " ")
                 out.append(pa.table([[lang] * len(sums), [depth] * len(sums), phrases, sums], schema=_FREQUENT))
-        return pa.concat_tables(out)
+        return pa.concat_tables(out).combine_chunks()
 
     return merge
 

@@ -154,7 +154,7 @@ def test_phrases_by_loop(spark, langs, percent, top, tiny, monkeypatch):
         assert len(batches) > 20
         runs = pa.Table.from_batches(batches)
         merged = [collocations.phrases_of_runs(30, 5)(runs.filter(pa.compute.equal(runs["part"], p))) for p in set(runs["part"].to_pylist())]
-        monkeypatch.setattr(collocations, "frequent_phrases", lambda *_: spark.createDataFrame(pa.concat_tables(merged)))
+        monkeypatch.setattr(collocations, "frequent_phrases", lambda *_: spark.createDataFrame(pa.concat_tables(merged).combine_chunks()))
         got = collocations.collocations(docs, 30, percent=percent, top=top)
     names = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     want = phrases_by_loop(given, langs, 30, percent, top)
