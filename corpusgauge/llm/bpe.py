@@ -147,8 +147,9 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     simple = np.flatnonzero(used[: 3 * len(known)])
     gaps = pa.array(SEPARATORS).take(pa.array(simple % 3))
     alone = pc.binary_join_element_wise(gaps, known.take(pa.array(simple // 3)), "")
-    distinct = pa.concat_arrays([alone, pa.array(list(together), pa.string())])
-    return distinct, number[keys], np.cumsum(~joined)[doc_starts[1:] - 1] if n else np.zeros(0, np.int64)
+    coded = pa.concat_arrays([alone, pa.array(list(together), pa.string())]).dictionary_encode()  # a blank at a start may be in both
+    places = coded.indices.to_numpy(zero_copy_only=False)[number[keys]].astype(np.int64)
+    return coded.dictionary, places, np.cumsum(~joined)[doc_starts[1:] - 1] if n else np.zeros(0, np.int64)
 
 
 def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
