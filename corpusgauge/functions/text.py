@@ -33,18 +33,25 @@ def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(WS_CHARS))
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def up_to_last(text: Column, mark: str, close: str | None = None) -> Column:
     """``text`` up to its last ``mark`` (and the ``close`` after it); empty without one.
 
     A pattern that must end in the mark finds nothing beyond, and would try
     again from every start there.
     """
-    if close is not None:
-        whole = up_to_last(text, close)
-        after = F.substring_index(whole, mark, -1)
+    if close is None:
+        return bound(text, lambda t: F.substring(t, F.lit(1), F.length(t) - F.length(F.substring_index(t, mark, -1))))
+
+    def closed(whole: Column, after: Column) -> Column:
         head = F.substring(whole, F.lit(1), F.length(whole) - F.length(after))
         return F.when(F.contains(whole, F.lit(mark)), F.concat(head, F.substring_index(after, close, 1), F.lit(close))).otherwise("")
-    return F.substring(text, F.lit(1), F.length(text) - F.length(F.substring_index(text, mark, -1)))
+
+    return bound(up_to_last(text, close), lambda w: bound(F.substring_index(w, mark, -1), lambda a: closed(w, a)))
 
 
 def non_empty(items: Column) -> Column:

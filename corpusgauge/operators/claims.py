@@ -3,12 +3,15 @@ r"""Claims: parsing, duplicates, density, grounding of numbers."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusgauge.functions.joins import spread_join
 from corpusgauge.functions.numbers import half_up, ratio
-from corpusgauge.functions.text import LEFT_EDGE, RIGHT_EDGE, WS, find_all, settled, strip, stripped_parts
+from corpusgauge.functions.text import LEFT_EDGE, RIGHT_EDGE, WS, bound, find_all, settled, strip, stripped_parts
+from corpusgauge.session import written_once
 
 NUMBERED_CLAIM = rf"\d+\.{WS}*([^\n]+)"
 CLAIM_LABEL = r"\AClaim \d+: "
@@ -43,6 +46,76 @@ def claims_dedup(claims: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def word_signature(words: Column, bands: int, rows: int) -> Column:
+    """MinHash of a set of words: one hash per band, over the least hashes of ``rows`` functions."""
+
+    def least(hashes: Column, number: Column) -> Column:
+        return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, number)))
+
+    def band(hashes: Column, j: Column) -> Column:
+        return F.xxhash64(j, *[least(hashes, j * rows + r) for r in range(rows)])
+
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    return bound(hashed, lambda hashes: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda j: band(hashes, j)))
+
+
+def claims_near_dedup(
+    claims: DataFrame, keys: Sequence[str], percent: int = 80, bands: int = 20, rows: int = 3
+) -> DataFrame:
+    """Keys, ``claim_no``, ``claim`` and ``copies`` of the claims that are no near copy of an earlier one in their document.
+
+    Claims with one normalised text fold into their first (``copies``).  Of two folded claims whose word sets have a
+    Jaccard similarity of at least ``percent``, the one with the larger (``claim_no``, text) goes, whether or not the other stays.
+    Candidates share a band of a MinHash signature: a pair at 0.8 is missed with a chance of 0.488 to the power 20, 6e-7, one further
+    apart is checked exactly before anything goes.
+
+    A claim meets the members of its bands from the first on, 1, 2, 4 ... at a time, until one of them is near; it
+    then asks no more.  So of many near copies each meets a few, no pairs of a whole band are made, and rounds grow with the logarithm
+    of the longest band.
+    """
+    keys = list(keys)
+    order = [F.col("claim_no"), F.col("_norm")]
+    folded = claims.groupBy(*keys, normalized(F.col("claim")).alias("_norm")).agg(
+        F.min("claim_no").alias("claim_no"), F.min_by("claim", "claim_no").alias("claim"), F.count("*").alias("copies")
+    )
+    words = F.filter(F.array_distinct(F.split("_norm", " ")), lambda w: w != "")
+    nodes = written_once(folded.withColumns({"_words": words, "_id": F.monotonically_increasing_id()}))
+    # a band is known by a hash over the document as well; the check compares both again
+    own = F.xxhash64("_band", F.struct(*keys))
+    banded = nodes.where(F.size("_words") > 0).select(
+        *keys, "_id", "claim_no", "_norm", F.explode(word_signature(F.col("_words"), bands, rows)).alias("_band")
+    ).withColumn("_band", own)
+    by_band = Window.partitionBy("_band").orderBy(*order)
+    placed = banded.select("_band", "_id", (F.row_number().over(by_band) - 1).alias("_at"), F.lead("_id").over(by_band).alias("_next"))
+    placed = written_once(placed.where((F.col("_at") > 0) | F.col("_next").isNotNull()).drop("_next"))
+    firsts = placed.select("_band", "_at", F.col("_id").alias("_first"))
+    asking, found, low = placed.where("_at > 0"), [], 0
+    while not asking.isEmpty():
+        high = 2 * low + 1  # members from low up to this
+        meets = F.explode(F.sequence(F.lit(low), F.least(F.lit(high - 1), F.col("_at") - 1)))
+        met = spread_join(asking.select("_band", "_id", meets.alias("_at")), firsts, ["_band", "_at"], "inner", spread_by=["_id"])
+        near = written_once(_near(met.select("_id", "_first").distinct(), nodes, keys, percent))
+        found.append(near)
+        asking = written_once(asking.where(F.col("_at") > high - 1).join(near, "_id", "left_anti").where(F.col("_at") > high))
+        low = high
+    kept = reduce(lambda left, near: left.join(near, "_id", "left_anti"), found, nodes)
+    return kept.select(*keys, "claim_no", "claim", "copies")
+
+
+def _near(pairs: DataFrame, nodes: DataFrame, keys: Sequence[str], percent: int) -> DataFrame:
+    """(_id) of the pairs whose sets of words are near; a set that many are compared with is joined in parts."""
+    document = F.struct(*keys)
+    sets = nodes.select("_id", document.alias("_doc"), "_words")
+    wanted = pairs.select(F.col("_first").alias("_id")).distinct()
+    first = sets.join(wanted, "_id", "left_semi").select(
+        F.col("_id").alias("_first"), F.col("_doc").alias("_first_doc"), F.col("_words").alias("_first_words")
+    )
+    both = spread_join(pairs.join(sets, "_id"), first, ["_first"], "inner", spread_by=["_id"])
+    shared = F.size(F.array_intersect("_words", "_first_words"))
+    near = 100 * shared >= percent * (F.size("_words") + F.size("_first_words") - shared)
+    return both.where(F.col("_doc").eqNullSafe(F.col("_first_doc")) & near).select("_id").distinct()
+
+
 def removal_groups(claims: DataFrame, size: int = 300) -> DataFrame:
     """Group number and place in the group of every claim, from ``claim_no``."""
     return claims.withColumns(
@@ -76,17 +149,30 @@ def apply_removals(
     )
 
 
-def claim_density(claims: DataFrame, sentences: DataFrame, keys: Sequence[str]) -> DataFrame:
+def claim_density(claims: DataFrame, sentences: DataFrame, keys: Sequence[str], kept: DataFrame | None = None) -> DataFrame:
     """Claims per sentence before and after removing duplicates, 4 digits.
 
-    ``sentences`` has keys and ``sentences``.  Duplicates fold in a first
+    ``sentences`` has keys and ``sentences``.  ``kept`` holds the claims that a judge or another way has left; without it
+    claims with one normalised text count once.  Claims are counted in a first
     aggregation, so copies never travel as rows.
     """
     keys = list(keys)
-    folded = claims.groupBy(*keys, normalized(F.col("claim")).alias("norm")).agg(F.count("*").alias("n"))
-    counts = folded.groupBy(*keys).agg(F.sum("n").alias("before"), F.count("*").alias("after"))
-    both = sentences.groupBy(*keys).agg(F.sum("sentences").alias("sentences")).join(counts, keys, "full")
-    before, after, n = (F.coalesce(c, F.lit(0)) for c in ("before", "after", "sentences"))
+    if kept is None:
+        folded = claims.groupBy(*keys, normalized(F.col("claim")).alias("norm")).agg(F.count("*").alias("n"))
+        counts = folded.groupBy(*keys).agg(F.sum("n").alias("before"), F.count("*").alias("after"))
+    else:
+        marked = claims.select(*keys, F.lit(1).alias("b"), F.lit(0).alias("a")).unionByName(
+            kept.select(*keys, F.lit(0).alias("b"), F.lit(1).alias("a"))
+        )
+        counts = marked.groupBy(*keys).agg(F.sum("b").alias("before"), F.sum("a").alias("after"))
+    # a union and an aggregation, as keys may be null
+    nothing = F.lit(None).cast("bigint")
+    both = (
+        sentences.select(*keys, F.col("sentences").cast("bigint").alias("n"), nothing.alias("before"), nothing.alias("after"))
+        .unionByName(counts.select(*keys, nothing.alias("n"), "before", "after"))
+        .groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "before", "after")])
+    )
+    n, before, after = F.col("n"), F.col("before"), F.col("after")
     return both.select(
         *keys, n.alias("sentences"), before.alias("claims_before"),
         half_up(ratio(before, n), 4).alias("density_before"),

@@ -19,6 +19,7 @@ from corpusgauge.functions.text import (
     RIGHT_EDGE,
     WS,
     WS_RANGES,
+    bound,
     count_all,
     find_all,
     settled,
@@ -123,13 +124,13 @@ def sections_by_heading(
 
 def prose(main: Column) -> Column:
     """Main content without images and embedded HTML pages."""
-    no_images = _replaced(main, IMAGE, up_to_last(main, "](", ")"))
-    return _replaced(no_images, r"(?s)<html>.*?</html>", up_to_last(no_images, "</html>"))
+    no_images = bound(main, lambda m: _replaced(m, IMAGE, up_to_last(m, "](", ")")))
+    return bound(no_images, lambda m: _replaced(m, r"(?s)<html>.*?</html>", up_to_last(m, "</html>")))
 
 
 def _replaced(text: Column, pattern: str, part: Column) -> Column:
     """``text`` without the pattern, which is only looked for in ``part``, its beginning."""
-    return F.concat(F.regexp_replace(part, pattern, ""), F.substring(text, F.length(part) + 1, F.length(text)))
+    return bound(part, lambda p: F.concat(F.regexp_replace(p, pattern, ""), F.substring(text, F.length(p) + 1, F.length(text))))
 
 
 def sentence_array(main: Column) -> Column:

@@ -11,8 +11,12 @@ import hashlib
 import json
 import re
 import string
+import threading
 import time
+from collections import deque
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import Future
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -133,40 +137,60 @@ def claim_removal_requests(claims: DataFrame, keys: Sequence[str], size: int = 3
     return template_requests(grouped, "claim_removal", [*keys, "group_no"], numbered=F.array_join(line, "\n"))
 
 
+def unused(name: str, columns: Sequence[str]) -> str:
+    """``name``, with as many underscores in front as make it none of ``columns``."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name
+
+
 def claims_removed_by_judge(
-    claims: DataFrame, keys: Sequence[str], scorer: Callable[[str], str], size: int = 300, order: Sequence[str] = ("claim_no",)
+    claims: DataFrame,
+    keys: Sequence[str],
+    scorer: Callable[[str], str],
+    size: int = 300,
+    order: Sequence[str] = ("claim_no",),
+    answers: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """``claims`` without those a judge calls repeats: within groups of ``size``, then between groups, two by two.
 
     Claims are numbered densely in a document by ``order`` and their text.  In every round two neighbouring groups
     become one, so in the end any two claims have been in one prompt unless one of them went before.  A group that
-    meets no other is not asked again; a prompt without an answer removes nothing.  Answers are written before the next round
-    reads them, and one number, of the rounds, comes to the driver.
+    meets no other is not asked again; a prompt without an answer removes nothing.  Only documents that still have
+    groups to meet take part in a round: a claim is written as often as its own document needs, and what is
+    finished is not read again.  Answers are written before the next round reads them, and one row a round, whether any
+    document is left, comes to the driver.  The last prompt of a document holds all its remaining claims.
+
+    ``answers`` replaces the call of ``scorer``: rows with ``prompt`` to rows with ``raw``, as from a ledger.
     """
     keys, columns = list(keys), claims.columns
+    number, last = unused("_no", columns), unused("_last", columns)
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order, "claim")) - 1
-    left = written_once(claims.withColumn("_no", place))
-    groups = (left.agg(F.max("_no")).first()[0] or 0) // size + 1
-    for step in range((groups - 1).bit_length() + 1):
-        wide = size << step
-        halves = F.count_distinct(F.floor(F.col("_no") / max(wide // 2, 1)))
+    numbered = claims.withColumn(number, place)
+    names = {unused(f"_{i}", columns): k for i, k in enumerate(keys)}
+    ends = numbered.groupBy(*[F.col(k).alias(n) for n, k in names.items()]).agg(F.max(number).alias(last))
+    in_doc = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(n)) for n, k in names.items()])
+    left = written_once(numbered.join(ends, in_doc).drop(*names))
+    ask = answers or (lambda rows: judge_apply(rows, scorer))
+    finished, wide = [], size
+    while True:
+        halves = F.count_distinct(F.floor(F.col(number) / max(wide // 2, 1)))
         met = (
-            left.groupBy(*keys, F.floor(F.col("_no") / wide).alias("_group"))
-            .agg(F.array_sort(F.collect_list(F.struct("_no", "claim"))).alias("_claims"), halves.alias("_halves"))
-            .where(F.lit(step == 0) | (F.col("_halves") > 1))
+            left.groupBy(*keys, F.floor(F.col(number) / wide).alias("_group"))
+            .agg(F.array_sort(F.collect_list(F.struct(F.col(number).alias("n"), "claim"))).alias("_claims"), halves.alias("_halves"))
+            .where(F.lit(wide == size) | (F.col("_halves") > 1))
         )
         line = F.transform("_claims", lambda c, i: F.concat((i + 1).cast("string"), F.lit(". "), c["claim"]))
-        asked = template_requests(
-            met, "claim_removal", [*keys, F.col("_claims._no").alias("_numbers")], numbered=F.array_join(line, "\n")
-        )
-        found = judge_apply(asked, scorer)
+        asked = template_requests(met, "claim_removal", [*keys, F.col("_claims.n").alias("_numbers")], numbered=F.array_join(line, "\n"))
+        found = ask(asked)
         numbers = F.transform(listed_places(F.col("raw")), lambda p: F.when(p > 0, F.get("_numbers", p - 1)))
-        gone = found.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], F.explode(numbers).alias("_gone")).where("_gone IS NOT NULL")
-        same = F.col("_no") == F.col("_gone")
-        for i, k in enumerate(keys):
-            same = same & F.col(k).eqNullSafe(F.col(f"_{i}"))
-        left = written_once(left.join(gone, same, "left_anti"))
-    return left.select(*columns)
+        gone = found.select(*[F.col(k).alias(n) for n, k in names.items()], F.explode(numbers).alias("_gone")).where("_gone IS NOT NULL")
+        kept = written_once(left.join(gone, in_doc & (F.col(number) == F.col("_gone")), "left_anti"))
+        finished.append(kept.where(F.col(last) < wide).select(*columns))
+        left = kept.where(F.col(last) >= wide)
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, finished)
+        wide *= 2
 
 
 def answer_by_digest(prompt: str) -> str:
@@ -181,31 +205,68 @@ def answer_by_digest(prompt: str) -> str:
     return json.dumps({**answer, "score": 1 + digit % 5, "total": 1 + digit, "supported": digit})
 
 
+def _answered(scorer, prompt, attempts: int, delay: float, timeout: float | None):
+    """The scorer's answer, or None after ``attempts``; pauses double.  A call beyond ``timeout`` is left behind in its thread."""
+    for attempt in range(attempts):
+        try:
+            if timeout is None:
+                return scorer(prompt)
+            return _in_thread(scorer, prompt).result(timeout)
+        except Exception:  # noqa: BLE001 - any failure of the service is retried
+            if delay and attempt + 1 < attempts:
+                time.sleep(delay * 2**attempt)
+    return None
+
+
+def _in_thread(call, *args) -> Future:
+    """The result of a call in a thread of its own, which ends with the process even if the call hangs."""
+    found = Future()
+
+    def run():
+        try:
+            found.set_result(call(*args))
+        except BaseException as failure:  # noqa: BLE001 - raised where the result is read
+            found.set_exception(failure)
+
+    threading.Thread(target=run, daemon=True).start()
+    return found
+
+
 def judge_apply(
     requests: DataFrame,
     scorer: Callable[[str], str] = answer_by_digest,
     attempts: int = 3,
     delay: float = 0.0,
+    timeout: float | None = None,
+    calls: int = 1,
 ) -> DataFrame:
     """Add ``raw``: the scorer's answer to each ``prompt``.
 
-    A prompt that fails ``attempts`` times gets a null.  Rows stream through
-    in Arrow batches; nothing is held beyond one batch, and a lost task only
+    A prompt that fails ``attempts`` times, or takes longer than ``timeout`` seconds each time, gets a null; pauses
+    between attempts begin with ``delay`` seconds and double.  Every task has up to ``calls`` prompts with the
+    scorer at once, which must then stand being called from several threads.  Rows stream through
+    in Arrow batches and keep their order; nothing is held beyond one batch, and a lost task only
     repeats its own prompts.
     """
 
     def ask(prompt):
-        for attempt in range(attempts):
-            try:
-                return scorer(prompt)
-            except Exception:  # noqa: BLE001 - any failure of the service is retried
-                if delay and attempt + 1 < attempts:
-                    time.sleep(delay)
-        return None
+        return _answered(scorer, prompt, attempts, delay, timeout)
+
+    def raws(prompts) -> Iterator:
+        if calls == 1:
+            yield from map(ask, prompts)
+            return
+        window = deque()
+        for prompt in prompts:
+            if len(window) == calls:
+                yield window.popleft().result()
+            window.append(_in_thread(ask, prompt))
+        while window:
+            yield window.popleft().result()
 
     def answer(batches: Iterator) -> Iterator:
         for batch in batches:
-            yield batch.drop(columns="prompt").assign(raw=[ask(p) for p in batch["prompt"]])
+            yield batch.drop(columns="prompt").assign(raw=list(raws(batch["prompt"])))
 
     kept = [f for f in requests.schema.fields if f.name != "prompt"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", raw string"

@@ -105,11 +105,11 @@ def ref_batches(
 def ref_number_runs(refs: DataFrame, keys: Sequence[str] = DOC_KEYS) -> DataFrame:
     """Unbroken runs of reference numbers; the one from 1 is marked.
 
-    Numbers of up to 18 digits count; longer strings of digits are no numbers here.
+    Numbers have up to 37 digits besides leading zeros.
     """
     keys = list(keys)
-    numbers = refs.filter(F.col("ref_id").rlike(r"\A0*[0-9]{1,18}\z")).select(
-        *keys, F.col("ref_id").cast("bigint").alias("n")
+    numbers = refs.filter(F.col("ref_id").rlike(r"\A0*[0-9]{1,37}\z")).select(
+        *keys, F.col("ref_id").cast("decimal(38,0)").alias("n")
     )
     # equal numbers share a rank, and the groups below keep the exchange of the window
     island = F.col("n") - F.dense_rank().over(Window.partitionBy(*keys).orderBy("n"))

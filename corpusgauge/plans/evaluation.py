@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 
 from corpusgauge.functions.joins import broadcast_if_small
 from corpusgauge.operators import citations as C
+from corpusgauge.operators import claims as L
 from corpusgauge.operators import documents as D
 from corpusgauge.operators import judging as J
 from corpusgauge.operators import metrics as M
 from corpusgauge.operators import outline as O
 from corpusgauge.operators import references as P
 from corpusgauge.operators import similarity as S
+from corpusgauge.operators.ledger import judge_once
 from corpusgauge.schema import BASELINE, CONTENT_CRITERIA, DOC_KEYS, FACET_METRICS, METRICS
 from corpusgauge.session import written_once
 
@@ -38,10 +40,10 @@ def refined_outline(docs: DataFrame, scorer: Callable[[str], str], attempts: int
     return _refined(O.headings(docs, "md", KEYS), scorer, attempts)
 
 
-def _refined(heads: DataFrame, scorer: Callable[[str], str], attempts: int) -> DataFrame:
+def _refined(heads: DataFrame, scorer: Callable[[str], str], attempts: int, model: str = "default", ledger: str | None = None, **calls) -> DataFrame:
     texts = O.outline_lines(heads).filter("flat")
     asked = J.template_requests(texts, "outline_refine", KEYS, text=F.replace("text", F.lit("\n"), F.lit(",\n")))
-    answers = written_once(J.judge_apply(asked, scorer, attempts))
+    answers = written_once(_answers(asked, scorer, attempts, ledger, model, **calls))
     return O.apply_refinement(O.outline_rows(heads), answers)
 
 
@@ -122,25 +124,30 @@ def evaluate_documents(
     model: str = "default",
     done: DataFrame | None = None,
     attempts: int = 3,
+    ledger: str | None = None,
+    **calls,
 ) -> DataFrame:
     """Documents to long scores of ``model``.
 
     With ``done``, only facets with an absent metric are asked for again, and
-    the new scores go over the old ones; a finished document is not parsed.
+    the new scores go over the old ones; a finished document is not parsed.  With ``ledger`` (a folder), a run that died
+    is taken up where its last tasks ended; ``calls`` are the options of :func:`judging.judge_apply`.
     """
+    options = {"ledger": ledger, **calls}
     if done is None:
         contents = written_once(parsed_documents(docs))
-        return _scored(docs, evaluation_requests(contents, _refined(contents, scorer, attempts)), scorer, model, attempts)
+        requests = evaluation_requests(contents, _refined(contents, scorer, attempts, model, **options))
+        return _scored(docs, requests, scorer, model, attempts, **options)
     mine = done.filter(F.col("model") == model)
     open_facet = [*KEYS, "facet"]
     pending = written_once(J.pending_work(docs.select(*KEYS, F.lit(model).alias("model")), mine).drop("model"))
-    scores = _asked_again(docs, pending, open_facet, scorer, model, attempts)
+    scores = _asked_again(docs, pending, open_facet, scorer, model, attempts, **options)
     facets = F.create_map(*[F.lit(x) for f, names in FACET_METRICS.items() for m in names for x in (m, f)])
     fresh = scores.withColumn("facet", facets[F.col("metric")]).join(pending, open_facet, "left_semi")
     return J.merge_scores(mine, fresh.drop("facet"))
 
 
-def _asked_again(docs, work, what: list[str], scorer, model: str, attempts: int) -> DataFrame:
+def _asked_again(docs, work, what: list[str], scorer, model: str, attempts: int, **options) -> DataFrame:
     """Scores from the prompts of ``work`` alone (keys with ``facet`` or ``task``).
 
     Prompts and texts are long: a short list of open work goes to them, not they to it.
@@ -149,9 +156,9 @@ def _asked_again(docs, work, what: list[str], scorer, model: str, attempts: int)
     some = docs.join(broadcast_if_small(work.select(*KEYS).distinct()), KEYS, "left_semi")
     contents = written_once(parsed_documents(some))
     outlined = work.filter(F.col(what[-1]).isin("outline", "Outline_structure")).select(*KEYS).distinct()
-    outline = _refined(contents.join(broadcast_if_small(outlined), KEYS, "left_semi"), scorer, attempts)
+    outline = _refined(contents.join(broadcast_if_small(outlined), KEYS, "left_semi"), scorer, attempts, model, **options)
     requests = evaluation_requests(contents, outline).join(few, what, "left_semi")
-    return _scored(some, requests, scorer, model, attempts)
+    return _scored(some, requests, scorer, model, attempts, **options)
 
 
 def supplement_scores(
@@ -175,10 +182,17 @@ def supplement_scores(
     return J.merge_scores(mine, fresh, zeros_only=True)
 
 
+def _answers(requests: DataFrame, scorer: Callable[[str], str], attempts: int, ledger: str | None, model: str, **calls) -> DataFrame:
+    """Answers of the scorer, through a ledger if there is one."""
+    if ledger is None:
+        return J.judge_apply(requests, scorer, attempts, **calls)
+    return judge_once(requests, scorer, ledger, model, attempts=attempts, **calls)
+
+
 def _scored(
-    docs: DataFrame, requests: DataFrame, scorer: Callable[[str], str], model: str, attempts: int
+    docs: DataFrame, requests: DataFrame, scorer: Callable[[str], str], model: str, attempts: int, ledger: str | None = None, **calls
 ) -> DataFrame:
-    answers = J.judge_parse(written_once(J.judge_apply(requests, scorer, attempts)))
+    answers = J.judge_parse(written_once(_answers(requests, scorer, attempts, ledger, model, **calls)))
     return scores_from_answers(docs, answers).select(*KEYS, F.lit(model).alias("model"), "metric", "value")
 
 
@@ -230,6 +244,35 @@ def compare_documents(docs: DataFrame, scorer: Callable[[str], str], **options)
     return M.win_rates(comparison_verdicts(docs, scorer, **options))
 
 
+def document_claim_density(
+    docs: DataFrame,
+    scorer: Callable[[str], str],
+    size: int = 300,
+    attempts: int = 3,
+    ledger: str | None = None,
+    model: str = "default",
+    **calls,
+) -> DataFrame:
+    """Documents to claims per sentence before and after a judge has removed repeats.
+
+    Every section from a heading to the next is asked for its claims; claims are numbered through a document by section and
+    place, and removed as in :func:`judging.claims_removed_by_judge`.  A section without an answer counts neither
+    its sentences nor claims.  With ``ledger`` (a folder), answers outlive a run that fails; ``calls`` are the options
+    of :func:`judging.judge_apply`.
+    """
+    sections = D.sections_by_heading(docs)
+    sentences = D.sentence_count(F.col("section")).alias("sentences")
+    asked = J.template_requests(sections, "claim_extraction", [*KEYS, "section_no", sentences])
+    answers = written_once(_answers(asked, scorer, attempts, ledger, model, **calls).where("raw IS NOT NULL"))
+    claims = written_once(L.claims_parse(answers, [*KEYS, "section_no"]))
+    kept = J.claims_removed_by_judge(
+        claims, KEYS, scorer, size, ("section_no", "claim_no"),
+        answers=lambda rows: _answers(rows, scorer, attempts, ledger, model, **calls),
+    )
+    every = docs.select(*KEYS, F.lit(0).alias("sentences"))  # documents without sections have zeros
+    return L.claim_density(claims, every.unionByName(answers.select(*KEYS, "sentences")), KEYS, kept)
+
+
 def similarity_items(docs: DataFrame, outline: DataFrame | None = None) -> DataFrame:
     """The texts to embed: outline paths, sections of the content, references."""
     return _items(parsed_documents(docs), outline)

@@ -11,6 +11,7 @@ from corpusgauge.functions.numbers import half_up
 from corpusgauge.operators import documents as D
 from corpusgauge.operators import judging as J
 from corpusgauge.operators import outline as O
+from corpusgauge.operators.ledger import judge_once
 from corpusgauge.plans import evaluation as E
 from corpusgauge.plans import judging_queries as Q
 from corpusgauge.plans import text_queries as X
@@ -18,6 +19,7 @@ from corpusgauge.plans.judging_queries import KEYS, K, filled
 from corpusgauge.plans.registry import half_up_sql as hu
 from corpusgauge.plans.registry import register
 from corpusgauge.schema import CONTENT_CRITERIA, METRICS, TOP_ITEMS
+from corpusgauge.session import scratch_path
 
 
 @register("outline_text", ("v_docs",), f"WITH {X.PARTS}, {Q._TEXTS} SELECT {K}, flat, text FROM outlines")
@@ -25,6 +27,10 @@ def outline_text(t):
     return O.outline_text(t.v_docs)
 
 
+def _digit(prompt: str) -> str:
+    return f"(strpos('0123456789abcdef', substring(md5({prompt}), 1, 1)) - 1)"
+
+
 def _one_root(prompt: str) -> str:
     """Offline answer to a flat outline: all but the first heading go down a level."""
     pairs = json.loads(prompt[prompt.index("[\n"): prompt.index("\n]\n") + 2])
@@ -54,6 +60,40 @@ def claim_removal_requests(t):
     return J.claim_removal_requests(Q._claims(t).select("doc", "claim_no", "claim"), ["doc"])
 
 
+def statements_by_period(prompt: str) -> str:
+    """Offline answers: pieces between periods are the claims of a section; of equal claims all but the first repeat."""
+    if not prompt.startswith("Text:\n"):
+        return Q.repeats_by_text(prompt)
+    pieces = [" ".join(p.split()) for p in prompt[6 : prompt.rindex("\nList its")].split(".")]
+    return "Found:\n" + "\n".join(f"{n}. {p}" for n, p in enumerate([p for p in pieces if p], 1))
+
+
+@register("document_claim_density", ("v_docs",), f"""WITH
+s AS (SELECT {K}, list_filter(string_split(regexp_replace(md, '(?m)^(#+{X.WS})', chr(1) || '\\1', 'g'), chr(1)), lambda x: regexp_matches(x, '\\A#+{X.WS}')) AS s FROM v_docs),
+u AS (SELECT {K}, generate_subscripts(s, 1) - 1 AS section_no, unnest(s) AS section FROM s),
+n AS (SELECT {K}, section_no, len(list_filter(regexp_split_to_array({X.trim_sql('section')}, '[.!?\n]+(?:{X.WS}|\\z)'), lambda x: x <> '')) AS sentences,
+ list_filter(list_transform(string_split(section, '.'), lambda x: {X.trim_sql(f"regexp_replace(x, '{X.WS}+', ' ', 'g')")}), lambda x: x <> '') AS c FROM u),
+c AS (SELECT {K}, unnest(list_append(c[:-2], c[-1] || '.')) AS claim FROM n WHERE len(c) > 0),
+counts AS (SELECT {K}, count(*) AS before, count(DISTINCT claim) AS after FROM c GROUP BY {K}),
+sums AS (SELECT {K}, cast(sum(sentences) AS bigint) AS sentences FROM n GROUP BY {K})
+SELECT {K}, coalesce(sentences, 0) AS sentences, coalesce(before, 0) AS claims_before, CASE WHEN sentences > 0 THEN {hu('coalesce(before, 0) / sentences', 4)} ELSE 0 END AS density_before,
+ coalesce(after, 0) AS claims_after, CASE WHEN sentences > 0 THEN {hu('coalesce(after, 0) / sentences', 4)} ELSE 0 END AS density_after,
+ CASE WHEN before > 0 THEN {hu('after / before', 4)} ELSE 0 END AS compression_ratio
+FROM v_docs d LEFT JOIN sums USING ({K}) LEFT JOIN counts USING ({K})""")
+def document_claim_density(t):
+    return E.document_claim_density(t.v_docs, statements_by_period)
+
+
+# a run that asked for some facets only, and one for all that finds their answers
+@register("judge_apply_resumed", ("v_docs",), f"""WITH {X.PARTS}, {Q._TEXTS},
+p AS (SELECT {K}, criterion, {_digit(filled(J.TEMPLATES['criterion']))} AS digit FROM texts JOIN rubric USING (facet))
+SELECT {K}, criterion, 'score' AS metric, 1.0e0 + digit % 5 AS value FROM p""")
+def judge_apply_resumed(t):
+    asked, ledger = J.criterion_requests(Q._texts(t)), scratch_path(t.spark, "ledger")
+    judge_once(asked.where("criterion IN ('Outline', 'Reference')"), J.answer_by_digest, ledger)
+    return J.judge_scores(J.judge_parse(judge_once(asked, J.answer_by_digest, ledger, calls=4)), ["score"])
+
+
 @register("children_verdicts", (), """SELECT d.doc_id, n.i AS child_index, CASE WHEN (doc_id + cast(n.i AS integer)) % 2 = 0 THEN 'Yes' ELSE 'No' END AS is_included
 FROM documents d, (VALUES ('1'), ('2')) n(i) WHERE doc_id % 3 <> 0
 UNION ALL SELECT doc_id, NULL, NULL FROM documents WHERE doc_id % 3 = 0""")
@@ -80,10 +120,6 @@ def comparison_verdicts(t):
     return J.comparison_verdicts(J.judge_parse(pairs.select(*key, "swapped", raw.alias("raw"))), key)
 
 
-def _digit(prompt: str) -> str:
-    return f"(strpos('0123456789abcdef', substring(md5({prompt}), 1, 1)) - 1)"
-
-
 _CRITERION = filled(J.TEMPLATES["criterion"])
 _DEFAULTS = " UNION ALL ".join(
     f"SELECT '{m}' AS metric, {100.0 if m == 'Outline_structure' else 0.0} AS fallback" for m in METRICS

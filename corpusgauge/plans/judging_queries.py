@@ -158,22 +158,20 @@ def judge_parse(t):
     return parsed.select("doc_id", "category", "system", "parsed", field("total"), field("supported"))
 
 
-_LISTS = """
-lists AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN concat('["', lang, '", "', source, '"]') WHEN 1 THEN concat('Here: [''', lang, ''', ''', source, '''] ok')
- WHEN 2 THEN concat('[[1, "', lang, '"], [2, "', source, '"]]') ELSE text END AS raw, lang, source FROM documents)
-"""
-
-
+# JSON, a Python literal, nested JSON, a literal with constants and closing commas; the whole text is an item of each
 @register("judge_parse_list", (), """
-SELECT doc_id, i AS item_no, CASE WHEN doc_id % 4 = 2 THEN concat('[', i + 1, ',"', CASE i WHEN 0 THEN lang ELSE source END, '"]') ELSE CASE i WHEN 0 THEN lang ELSE source END END AS item
-FROM documents, (VALUES (0), (1)) n(i) WHERE doc_id % 4 <> 3""")
+WITH e AS (SELECT doc_id, doc_id % 4 AS kind, lang, source, text, to_json(text) AS j FROM documents),
+i AS (SELECT doc_id, CASE kind WHEN 0 THEN [lang, source, text] WHEN 1 THEN [lang, source, text]
+ WHEN 2 THEN ['[1,"' || lang || '"]', '[2,"' || source || '"]', '[3,' || j || ']'] ELSE ['true', NULL, lang || ' True, None,]', text, '[1,false]'] END AS items FROM e)
+SELECT doc_id, generate_subscripts(items, 1) - 1 AS item_no, unnest(items) AS item FROM i""")
 def judge_parse_list(t):
-    docs, kind = t.documents, F.col("doc_id") % 4
+    docs, kind, text = t.documents, F.col("doc_id") % 4, F.to_json(F.array("text"))
+    body = F.substring(text, F.lit(2), F.length(text) - 2)  # the text as a JSON string
     raw = (
-        F.when(kind == 0, F.concat(F.lit('["'), "lang", F.lit('", "'), "source", F.lit('"]')))
-        .when(kind == 1, F.concat(F.lit("Here: ['"), "lang", F.lit("', '"), "source", F.lit("'] ok")))
-        .when(kind == 2, F.concat(F.lit('[[1, "'), "lang", F.lit('"], [2, "'), "source", F.lit('"]]')))
-        .otherwise(F.col("text"))
+        F.when(kind == 0, F.concat(F.lit('["'), "lang", F.lit('", "'), "source", F.lit('", '), body, F.lit("]")))
+        .when(kind == 1, F.concat(F.lit("Here: ['"), "lang", F.lit("', '"), "source", F.lit("', "), body, F.lit("] ok")))
+        .when(kind == 2, F.concat(F.lit('[[1, "'), "lang", F.lit('"], [2, "'), "source", F.lit('"], [3, '), body, F.lit("]]")))
+        .otherwise(F.concat(F.lit("[True, None, '"), "lang", F.lit(" True, None,]', "), body, F.lit(", [1, False,],]")))
     )
     return J.judge_parse_list(docs.select("doc_id", raw.alias("raw")))
 
@@ -297,6 +295,19 @@ def claims_dedup(t):
     return L.claims_dedup(bare, ["doc"])
 
 
+# every claim comes again with a word more, which makes long ones near copies
+@register("claims_near_dedup", ("v_turns",), f"""WITH {PIECES},
+b AS (SELECT doc, claim_no, regexp_replace(claim, {_LABEL}, '') AS bare FROM claims),
+n AS (SELECT *, {_norm_sql("bare")} AS norm FROM (SELECT * FROM b UNION ALL SELECT doc, claim_no + 50000, bare || ' indeed' FROM b) x),
+f AS (SELECT doc, norm, min(claim_no) AS claim_no, arg_min(bare, claim_no) AS claim, count(*) AS copies, list_filter(list_distinct(string_split(norm, ' ')), lambda x: x <> '') AS w FROM n GROUP BY doc, norm),
+p AS (SELECT b.doc, b.norm, len(a.w) AS na, len(b.w) AS nb, len(list_intersect(a.w, b.w)) AS shared FROM f a JOIN f b ON a.doc = b.doc AND (a.claim_no, a.norm) < (b.claim_no, b.norm))
+SELECT doc, claim_no, claim, copies FROM f WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.doc = f.doc AND p.norm = f.norm AND shared > 0 AND 100 * shared >= 80 * (na + nb - shared))""")
+def claims_near_dedup(t):
+    bare = _claims(t).select("doc", "claim_no", F.regexp_replace("claim", L.CLAIM_LABEL, "").alias("claim"))
+    longer = bare.select("doc", (F.col("claim_no") + 50000).alias("claim_no"), F.concat("claim", F.lit(" indeed")).alias("claim"))
+    return L.claims_near_dedup(bare.unionByName(longer), ["doc"])
+
+
 @register("apply_removals", ("v_turns",), f"""WITH {PIECES},
 g AS (SELECT doc, claim_no, claim, claim_no // 300 AS group_no, claim_no % 300 + 1 AS place FROM claims)
 SELECT doc, claim_no, claim FROM g WHERE NOT (place = 2 OR place = 1 + doc % 5)""")

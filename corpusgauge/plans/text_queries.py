@@ -220,7 +220,7 @@ def ref_batches(t):
 
 
 @register("ref_number_runs", ("v_docs",), f"""WITH {PARTS}, {ENTRIES},
-n AS (SELECT DISTINCT {K}, cast(ref_id AS bigint) AS n FROM refs WHERE regexp_full_match(ref_id, '0*[0-9]{{1,18}}')),
+n AS (SELECT DISTINCT {K}, cast(ref_id AS decimal(38,0)) AS n FROM refs WHERE regexp_full_match(ref_id, '0*[0-9]{{1,37}}')),
 g AS (SELECT {K}, n, n - row_number() OVER (PARTITION BY {K} ORDER BY n) AS island FROM n)
 SELECT {K}, min(n) AS first, max(n) AS last, min(n) = 1 AS from_one FROM g GROUP BY {K}, island""")
 def ref_number_runs(t):

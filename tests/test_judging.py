@@ -38,6 +38,13 @@ def test_objects(spark, raw, want):
         ('[[1, "A"], [2, "B"]]', ['[1,"A"]', '[2,"B"]']),
         ("[1, 2", []),
         ("none", []),
+        ("[True, None]", ["true", None]),
+        ("[1, 2,]", ["1", "2"]),
+        ("So: ['it is True, None,]', \"don't\", 'a\\'b', False , ] ok", ["it is True, None,]", "don't", "a'b", "false"]),
+        ("[['a', True,], [1,]]", ['["a",true]', "[1]"]),
+        ('["True", "x,]", true, null]', ["True", "x,]", "true", None]),
+        ("[xTrue]", []),
+        ("['open]", []),
     ],
 )
 def test_lists(spark, raw, want):
@@ -157,3 +164,175 @@ def test_numbers_must_be_in_the_sentence(spark):
     got = {(r.doc, r.claim_no, r.claim, r.grounded) for r in L.numeric_grounding(df).collect()}
     assert got == {(1, 0, "In 1999 it was", True), (1, 1, "5 things", True), (2, 4, "nine", False), (2, 5, "7 x", False)}
     assert df.select(F.count("*")).first()[0] == 6
+
+
+def test_a_hanging_scorer_ends_in_a_null(spark):
+    import time
+
+    def slow(prompt):
+        if prompt.startswith("hang"):
+            time.sleep(600)
+        return prompt.upper()
+
+    requests = spark.createDataFrame([(n, "hang" if n % 10 == 3 else f"p{n}") for n in range(40)], "id int, prompt string").coalesce(1)
+    start = time.time()
+    rows = J.judge_apply(requests, slow, attempts=2, timeout=1.0, calls=8).collect()
+    assert time.time() - start < 25
+    assert [(r.id, r.raw) for r in rows] == [(n, None if n % 10 == 3 else f"P{n}") for n in range(40)]
+
+
+def test_calls_at_once_keep_the_order_and_their_limit(spark, tmp_path):
+    import os
+    import threading
+    import time
+
+    top = str(tmp_path)
+
+    def counting():
+        def score(prompt):
+            with lock_of():
+                open_now[0] += 1
+                with open(os.path.join(top, f"{open_now[0]}"), "w"):
+                    pass
+            time.sleep(0.05 * (int(prompt) % 3))
+            with lock_of():
+                open_now[0] -= 1
+            return prompt
+
+        open_now, made = [0], []
+
+        def lock_of():
+            if not made:
+                made.append(threading.Lock())
+            return made[0]
+
+        return score
+
+    requests = spark.createDataFrame([(n, str(n)) for n in range(60)], "id int, prompt string").coalesce(1)
+    rows = J.judge_apply(requests, counting(), calls=5).collect()
+    assert [(r.id, r.raw) for r in rows] == [(n, str(n)) for n in range(60)]
+    most = max(int(f) for f in os.listdir(top))
+    assert 2 <= most <= 5
+
+
+def test_a_run_that_dies_leaves_its_answers(spark, tmp_path):
+    import os
+
+    from corpusgauge.operators.ledger import judge_once, ledger_answers
+
+    calls, ledger = tmp_path / "calls", str(tmp_path / "ledger")
+    calls.mkdir()
+    top = str(calls)
+
+    def scorer(dies):
+        def score(prompt):
+            name = os.path.join(top, f"{'first' if dies else 'second'}-{prompt}")
+            with open(name, "a") as f:
+                f.write("x")
+            if dies and prompt == "p57":
+                raise KeyboardInterrupt  # not a failure of one prompt: the whole run goes
+            return None if prompt == "p9" else prompt.upper()
+
+        return score
+
+    rows = [(n, f"p{n % 60}") for n in range(90)] + [(100, None)]
+    requests = spark.createDataFrame(rows, "id int, prompt string").repartition(4)
+    with pytest.raises(Exception):  # noqa: B017, PT011
+        judge_once(requests, scorer(True), ledger, "m", prompts_per_task=5)
+    saved = ledger_answers(spark, ledger, "m").count()
+    assert 0 < saved < 60
+    got = {r.id: r.raw for r in judge_once(requests, scorer(False), ledger, "m", prompts_per_task=5).collect()}
+    assert got == {n: None if p in (None, "p9") else p.upper() for n, p in rows}
+    asked = [f for f in os.listdir(top) if f.startswith("second-")]
+    assert len(asked) == 60 - saved  # only prompts without an answer, equal ones once
+    again = judge_once(requests, scorer(False), ledger, "m", prompts_per_task=5)
+    assert {r.id: r.raw for r in again.collect()} == got
+    assert [f for f in os.listdir(top) if f.startswith("second-") and len(open(os.path.join(top, f)).read()) > 1] == ["second-p9"]
+    assert {r.raw for r in judge_once(requests, str.lower, ledger, "other").collect()} == {f"p{n}" for n in range(60)} | {None}
+
+
+def near_by_loop(rows, percent=80):
+    """Kept (doc, claim_no) of (doc, claim_no, words) rows that are unlike as texts."""
+    kept = []
+    for d, n, w in rows:
+        sets = [set(v) for e, m, v in rows if e == d and (m, " ".join(v)) < (n, " ".join(w))]
+        if not any(100 * len(set(w) & v) >= percent * len(set(w) | v) for v in sets):
+            kept.append((d, n))
+    return sorted(kept, key=repr)
+
+
+def test_near_copies_of_claims(spark):
+    import random
+
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(400)}" for _ in range(14)] for _ in range(30)]
+    rows = []
+    for doc in (1, 2, None):
+        for n in range(150):  # chains of near copies, each a word or two from its base or from the one before
+            words = list(base[rng.randrange(30)] if n % 3 or not rows else rows[-1][2])
+            for _ in range(rng.randrange(3)):
+                words[rng.randrange(len(words))] = f"w{rng.randrange(400)}"
+            if (doc, words) not in [(d, w) for d, _, w in rows]:
+                rows.append((doc, n, words))
+    df = spark.createDataFrame([(d, n, " ".join(w)) for d, n, w in rows], CLAIMS).repartition(3)
+    got = kept_claims(L.claims_near_dedup(df, ["doc"]))
+    want = near_by_loop(rows)
+    assert got == want and 60 < len(want) < len(rows) - 100
+
+
+def test_near_copies_of_odd_claims(spark):
+    rows = [(1, 0, "The cat!"), (1, 1, "cat"), (1, 2, ""), (1, 3, "..."), (2, 0, "cat"), (2, 0, "dog"), (3, 5, "a b c d e f"), (3, 4, "b c d e f g")]
+    got = {(r.doc, r.claim_no, r.copies) for r in L.claims_near_dedup(spark.createDataFrame(rows, CLAIMS), ["doc"]).collect()}
+    assert got == {(1, 0, 2), (1, 2, 2), (2, 0, 1), (3, 4, 1)}
+    assert L.claims_near_dedup(spark.createDataFrame([], CLAIMS), ["doc"]).collect() == []
+
+
+def test_one_band_of_many_copies_makes_few_pairs(spark, monkeypatch):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(1, n, " ".join(words[:-1] + [f"x{n}"])) for n in range(600)]  # all near to each other
+    pairs = []
+    plain = L._near
+    monkeypatch.setattr(L, "_near", lambda p, *rest: pairs.append(p.count()) or plain(p, *rest))
+    df = spark.createDataFrame(rows, CLAIMS)
+    assert kept_claims(L.claims_near_dedup(df, ["doc"])) == [(1, 0)]
+    assert sum(pairs) < 40 * len(rows)
+
+
+def test_only_open_documents_take_part_in_a_round(spark, monkeypatch):
+    asked = []
+
+    def answers(rows):
+        asked.append(sorted({r.doc for r in rows.select("doc").collect()}))
+        return J.judge_apply(rows, repeats_by_text)
+
+    rows = [(1, n, f"c{n % 50}") for n in range(350)] + [(2, n, f"c{n % 3}") for n in range(10)] + [(3, n, f"d{n}") for n in range(700)]
+    df = spark.createDataFrame(rows, CLAIMS).withColumn("_no", F.lit("mine"))
+    left = J.claims_removed_by_judge(df, ["doc"], repeats_by_text, size=300, answers=answers)
+    assert left.columns == df.columns and left.where("_no <> 'mine'").count() == 0
+    assert sorted((r.doc, n) for r, n in ((r, r["count"]) for r in left.groupBy("doc").count().collect())) == [(1, 50), (2, 3), (3, 700)]
+    assert asked == [[1, 2, 3], [1, 3], [3]]
+
+
+def test_density_of_claims_that_a_judge_left(spark):
+    claims = spark.createDataFrame([(1, n, f"c{n}") for n in range(6)] + [(None, 0, "x")], CLAIMS)
+    kept = claims.where("claim_no < 3 AND doc = 1")
+    sents = spark.createDataFrame([(1, 2), (1, 1), (None, 4)], "doc int, sentences int")
+    got = {r.doc: tuple(r)[1:] for r in L.claim_density(claims, sents, ["doc"], kept).collect()}
+    assert got == {1: (3, 6, 2.0, 3, 1.0, 0.5), None: (4, 1, 0.25, 0, 0.0, 0.0)}
+
+
+def test_density_of_documents(spark, tmp_path):
+    from corpusgauge.plans.evaluation import document_claim_density
+    from corpusgauge.plans.evaluation_queries import statements_by_period
+
+    long = "# One\n" + " ".join(f"Claim {n % 400} is here." for n in range(900))  # three groups of 300
+    rows = [("c", "1", "s", long), ("c", "2", "s", "no heading at all."), ("c", "3", "s", "# A\nX is y. X is y.\n# B\nX is y. Z")]
+    docs = spark.createDataFrame(rows, "category string, topic string, system string, md string")
+    got = {r.topic: tuple(r)[3:] for r in document_claim_density(docs, statements_by_period, ledger=str(tmp_path / "l")).collect()}
+    assert got["2"] == (0, 0, 0.0, 0, 0.0, 0.0)
+    assert got["1"][1] == 900 and got["1"][3] == 402  # the first has its heading before it, the last a period
+    assert (got["3"][1], got["3"][3]) == (4, 4)
+
+
+def test_sets_of_columns_are_named_apart():
+    assert J.unused("_no", ["_no", "__NO"]) == "___no"
