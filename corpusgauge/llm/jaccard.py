@@ -10,13 +10,14 @@ more are linked; the result is each document's component.  The join is exact:
   the next only.  As the smaller of two, a set can only be found at its first positions, so entries
   further back are skipped as a block; a pair is taken up when sizes and positions still allow enough tokens
   in common.  Then the parities of token counts in classes, about as many as tokens, give a lower bound of the difference of two sets.
-* *Answers from a similar set.*  Sets that agree with a set in two of four minimal hashes form its family.
+* *Answers from a similar set.*  Sets that agree with a set in three of six minimal hashes form its family.
   Within a family nothing is looked up in the index: a member is written as what it lacks of the pivot and what
   it has beyond it, and the overlap of two members follows from these short differences and
   the pivot's size.  Where the sizes of the differences alone decide, they are not compared; members
   already in one component are not compared either.  A family is dealt in chunks, and pairs of members never become rows.
-* Pairs of different families that pass all bounds are verified on their whole sets, which are
-  taken from the texts of just these documents.
+* Pivots and sets without a family are looked up first.  What a pivot is linked with, its component has; its members are
+  looked up only in lists in which sets of another component stand, for what the pivot's answers leave open.
+* Pairs that pass all bounds are verified on their whole sets, which are taken from the texts of just these documents.
 """
 
 from __future__ import annotations
@@ -33,16 +34,17 @@ from corpusgauge.llm.bpe import cut_batches
 from corpusgauge.llm.common import table
 from corpusgauge.llm.graph import components
 from corpusgauge.llm.shingles import BATCH_BYTES, mixed, shingle_sets
+from corpusgauge.llm.sketches import summed
 from corpusgauge.session import written_once
 
 K, PERCENT = 3, 90
-#: Counters of the frequency sketch, and slices in which tasks hand them on.
-COUNTERS, SLICES = 2**20, 16
+#: Counters of the frequency sketch (16 bits each), and slices in which tasks hand them on.
+COUNTERS, SLICES = 2**22, 64
 #: Bits of the filter of documents whose sets are needed; others that pass it cost time only.
 FILTER_BITS = 2**24
 #: Least classes of the parities; there are as many as half the tokens or more, a power of two.
 PARITIES = 512
-FAMILY_KEYS, FAMILY_VOTES = 4, 2
+FAMILY_KEYS, FAMILY_VOTES = 6, 3
 FAMILY_CHUNK = 2_000
 KEY_SALTS = mixed(np.arange(1, FAMILY_KEYS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 INDEX_ENTRIES = 300_000
@@ -71,12 +73,14 @@ def sets_in(batches, k: int):
 
 
 def measured(docs: DataFrame, k: int) -> DataFrame:
-    """Per document a short row (slice -1), per task and slice of the sketch its counts."""
+    """Per document a short row (slice -1), per task and slice of the sketch its counts (``n`` is the task)."""
     kind = docs.schema["doc_id"].dataType
     arrow = {"slice": pa.int32(), "n": pa.int64(), "set_id": pa.int64(), "keys": pa.list_(pa.int64()), "parity": pa.list_(pa.int64()), "counts": pa.binary()}
 
     def measure(batches):
-        sketch, seen = np.zeros(COUNTERS, np.int64), set()
+        from pyspark import TaskContext
+
+        sketch, seen = np.zeros(COUNTERS, np.uint32), set()
         for ids, texts in cut_batches(batches, BATCH_BYTES):
             sets = shingle_sets(texts, k)
             rows, fresh = {name: [] for name in arrow}, []
@@ -93,13 +97,14 @@ def measured(docs: DataFrame, k: int) -> DataFrame:
                     seen.add(own)
                     fresh.append(s)
             if fresh:
-                sketch += np.bincount((np.concatenate(fresh) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                np.add.at(sketch, (np.concatenate(fresh) & np.uint64(COUNTERS - 1)).astype(np.int64), np.uint32(1))
             yield pa.record_batch([ids, *[pa.array(rows[n], t) for n, t in arrow.items()]], names=["doc_id", *arrow])
         pack = zstandard.ZstdCompressor(level=1)
-        parts = [pack.compress(x.astype("<u4").tobytes()) for x in np.split(sketch, SLICES)]
+        parts = [pack.compress(np.minimum(x, 2**16 - 1).astype("<u2").tobytes()) for x in np.split(sketch, SLICES)]
         ids = pa.nulls(SLICES, to_arrow_type(kind))
-        empty = [pa.nulls(SLICES, t) for t in list(arrow.values())[1:-1]]
-        yield pa.record_batch([ids, pa.array(range(SLICES), pa.int32()), *empty, pa.array(parts, pa.binary())], names=["doc_id", *arrow])
+        task = pa.array([TaskContext.get().partitionId()] * SLICES, pa.int64())
+        empty = [pa.nulls(SLICES, t) for t in list(arrow.values())[2:-1]]
+        yield pa.record_batch([ids, pa.array(range(SLICES), pa.int32()), task, *empty, pa.array(parts, pa.binary())], names=["doc_id", *arrow])
 
     return docs.select("doc_id", "text").mapInArrow(
         measure,
@@ -107,22 +112,23 @@ def measured(docs: DataFrame, k: int) -> DataFrame:
     )
 
 
-def frequency_classes(sketch: DataFrame, tokens: int) -> np.ndarray:
-    """Class of each counter: 0 up to twice the mean, then one more with every doubling.
+def frequency_classes(sketch: DataFrame, tokens: int, tasks: int) -> np.ndarray:
+    """Class of each counter: 0 up to half above the mean, then one more with every doubling.
 
-    ``SLICES`` rows come to the driver, one byte per counter, whatever the corpus.
+    ``sketch`` has (slice, part, data) of ``tasks`` tasks.  ``SLICES`` rows come to the driver, two bytes a counter,
+    whatever the corpus.  Counters stop at 65,535, and any order of tokens gives the same links.
     """
-    base = 2 * tokens / COUNTERS + 8
+    base = 1.5 * tokens / COUNTERS + 8
 
-    def add(part: pa.Table) -> pa.Table:
-        opener, total = zstandard.ZstdDecompressor(), np.zeros(COUNTERS // SLICES, np.int64)
-        for counts in part["counts"]:
-            total += np.frombuffer(opener.decompress(counts.as_py()), "<u4")
-        classes = np.where(total <= base, 0, 1 + np.floor(np.log2(np.maximum(total, 1) / base))).clip(0, 15)
-        return pa.table({"slice": part["slice"][:1], "classes": pa.array([classes.astype(np.uint8).tobytes()], pa.binary())})
+    def add(x, y):
+        return np.minimum(x.view("<u2").astype(np.uint32) + y.view("<u2"), 2**16 - 1).astype("<u2").view(np.uint8)
 
-    rows = {r["slice"]: r["classes"] for r in sketch.groupBy("slice").applyInArrow(add, "slice int, classes binary").collect()}
-    return np.concatenate([np.frombuffer(rows[i], np.uint8) for i in range(SLICES)]) if rows else np.zeros(COUNTERS, np.uint8)
+    classes, step = np.zeros(COUNTERS, np.uint8), COUNTERS // SLICES
+    for row in summed(sketch, tasks, add).select("slice", "data").collect():
+        total = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row["data"])), "<u2")
+        found = np.where(total <= base, 0, 1 + np.floor(np.log2(np.maximum(total, 1) / base))).clip(0, 15)
+        classes[row["slice"] * step : (row["slice"] + 1) * step] = found
+    return classes
 
 
 # second pass: the index
@@ -186,7 +192,9 @@ def index_entries(docs: DataFrame, classes: np.ndarray, k: int, percent: int, bu
         return pa.table({"token": token[some].astype(np.int64), "set_id": own[some], "n": n[some], "p": p[some]})
 
     packed = docs.select("doc_id", "text").mapInArrow(entries, "bucket int, token binary, set_id binary, n binary, p binary")
-    return packed.groupBy("bucket").applyInArrow(lists, "token long, set_id long, n int, p int")
+    found = written_once(packed.groupBy("bucket").applyInArrow(lists, "token long, set_id long, n int, p int"))
+    shared.destroy()
+    return found
 
 
 def group_runs(keys: np.ndarray) -> tuple[list, list[slice]]:
@@ -227,21 +235,24 @@ def families(sets: DataFrame) -> DataFrame:
     return members.unionByName(own.select(F.col("pivot").alias("set_id"), "pivot"))
 
 
-def candidate_pairs(entries: DataFrame, family: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets of different families that the index cannot rule out."""
+def candidate_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets of different ``label`` that the index cannot rule out; with a column ``member``, one is a member.
+
+    Lists whose sets all have one label, or none of which is a member, are not walked.
+    """
     block = lambda n: F.floor(F.log(n) / F.log(F.lit(100 / percent))).cast("int")
-    rows = entries.join(family, "set_id", "left").withColumn("family", F.coalesce("pivot", "set_id")).drop("pivot")
     need = lambda a, b: F.ceil((a + b) * percent / (100 + percent))
-    small = rows.where(F.col("p") <= F.col("n") - need(F.col("n"), F.col("n"))).select(
-        "token", block(F.col("n")).alias("block"),
-        F.col("set_id").alias("a"), F.col("n").alias("an"), F.col("p").alias("ap"), F.col("family").alias("af"),
+    small = entries.where(F.col("p") <= F.col("n") - need(F.col("n"), F.col("n"))).select(
+        "token", block(F.col("n")).alias("block"), F.col("set_id").alias("a"), F.col("n").alias("an"), F.col("p").alias("ap"),
+        F.col("label").alias("al"), F.col("member").alias("am"),
     )
-    large = rows.select(
+    large = entries.select(
         "token", F.explode(F.array(block(F.col("n")), block(F.col("n")) - 1)).alias("block"),
-        F.col("set_id").alias("b"), F.col("n").alias("bn"), F.col("p").alias("bp"), F.col("family").alias("bf"),
+        F.col("set_id").alias("b"), F.col("n").alias("bn"), F.col("p").alias("bp"), F.col("label").alias("bl"), F.col("member").alias("bm"),
     )
     fits = (
-        (F.col("af") != F.col("bf"))
+        (F.col("al") != F.col("bl"))
+        & (F.col("am") | F.col("bm"))
         & ((F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("a") < F.col("b"))))
         & (F.col("an") * 100 >= F.col("bn") * percent)
         & (F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) >= need(F.col("an"), F.col("bn")))
@@ -249,6 +260,27 @@ def candidate_pairs(entries: DataFrame, family: DataFrame, percent: int) -> Data
     return small.join(large, ["token", "block"]).where(fits).select("a", "an", "b", "bn").distinct()
 
 
+def first_pairs(entries: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Candidates among pivots and single sets: members of families are not looked up."""
+    rows = entries.join(members, "set_id", "left_anti").withColumns({"label": F.col("set_id"), "member": F.lit(True)})
+    return candidate_pairs(rows, percent)
+
+
+def later_pairs(entries: DataFrame, members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Candidates with a member that the links so far have not put into one component.
+
+    What a pivot has been found to be linked with holds for its whole component, so a family asks only in lists in which
+    another component stands as well.
+    """
+    marked = members.withColumn("_m", F.lit(True))
+    rows = spread_join(entries, marked, ["set_id"], "left", spread_by=["token"])
+    rows = spread_join(rows, labels.withColumnsRenamed({"node": "set_id"}), ["set_id"], "left", spread_by=["token"])
+    rows = rows.select("token", "set_id", "n", "p", F.coalesce("label", "set_id").alias("label"), F.col("_m").isNotNull().alias("member"))
+    rows = written_once(rows)
+    mixed_lists = rows.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("member").alias("m")).where("x <> y AND m")
+    return candidate_pairs(rows.join(mixed_lists.select("token"), "token", "left_semi"), percent)
+
+
 def unlike_parities(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``pairs`` without those that differ in more parities than linked sets can."""
     parity = sets.select("set_id", "parity")
@@ -321,7 +353,9 @@ def whole_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, k: int) -> D
                 yield pa.record_batch([pa.array([own], pa.int64()), pa.array([pack.compress(s.tobytes())], pa.binary())], names=["set_id", "tokens"])
 
     found = with_spots(docs).mapInArrow(compute, "set_id long, tokens binary")
-    return written_once(found.join(holders.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]))
+    sets = written_once(found.join(holders.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]))
+    shared.destroy()
+    return sets
 
 
 def unpacked(tokens: pa.Scalar) -> np.ndarray:
@@ -433,17 +467,28 @@ def linked(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     rows = everything.where("slice = -1")
     tokens = rows.agg(F.sum("n")).first()[0] or 0
     sets = written_once(rows.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("parity").alias("parity")))
-    classes = frequency_classes(everything.where("slice >= 0").select("slice", "counts"), tokens)
-    buckets = max(16, docs.rdd.getNumPartitions())
-    entries = written_once(index_entries(docs, classes, k, percent, buckets))
+    tasks = docs.rdd.getNumPartitions()
+    counted = everything.where("slice >= 0").select("slice", F.col("n").alias("part"), F.col("counts").alias("data"))
+    classes = frequency_classes(counted, tokens, tasks)
+    entries = index_entries(docs, classes, k, percent, max(16, tasks))
     family = written_once(families(sets))
-    pairs = written_once(unlike_parities(candidate_pairs(entries, family, percent), sets, percent))
-    wanted = (
-        family.select("set_id").unionByName(family.select(F.col("pivot").alias("set_id")))
-        .unionByName(pairs.select(F.col("a").alias("set_id"))).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-    )
-    whole = whole_sets(docs, rows, wanted, k)
-    links = verified(pairs, whole, percent).unionByName(family_links(written_once(differences(family, whole)), percent))
+    members = family.where("set_id <> pivot").select("set_id")
+
+    def passed(pairs: DataFrame) -> DataFrame:
+        return written_once(unlike_parities(pairs, sets, percent))
+
+    def sides(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id")))
+
+    pairs = passed(first_pairs(entries, members, percent))
+    kin = family.select("set_id").unionByName(family.select(F.col("pivot").alias("set_id")))
+    whole = whole_sets(docs, rows, kin.unionByName(sides(pairs)).distinct(), k)
+    within = family_links(written_once(differences(family, whole)), percent)
+    links = written_once(verified(pairs, whole, percent).unionByName(within))
+    pairs = passed(later_pairs(entries, members, written_once(components(links)), percent))
+    if not pairs.isEmpty():
+        more = whole_sets(docs, rows, sides(pairs).distinct(), k)
+        links = links.unionByName(written_once(verified(pairs, more, percent)))
     labels = written_once(components(written_once(links)))
     named = rows.select("doc_id", F.col("n").alias("n_shingles"), "set_id")
     renamed = spread_join(named.where("n_shingles > 0"), labels.withColumnRenamed("node", "set_id"), ["set_id"], "left", spread_by=["doc_id"])

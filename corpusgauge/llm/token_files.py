@@ -26,35 +26,39 @@ END_ID = 2
 ROW_GROUP_BYTES = 64 * 2**20
 PAGE_BYTES = 64 * 2**10
 PAGE_ROWS = 1_000
-#: Encoded words that a Python worker keeps for its next tasks.
-KNOWN_WORDS = 1_000_000
+#: Memory for each of two generations of encoded words that a Python worker keeps, what a word takes beside its letters and ids,
+#: and the longest word kept.
+KNOWN_BYTES, ENTRY_BYTES, LONGEST_KNOWN = 48 * 2**20, 170, 100
+#: Text encoded at a time: arrays of places and ids are several times as large.
+BATCH_BYTES = 2_000_000
 
 
 class Known:
-    """Words that this worker has encoded lately, with their ids; memory of a few tens of megabytes."""
+    """Words that this worker has encoded lately, with their ids.
+
+    Two generations: a word is looked up in the newer one, then in the older, and encoded if neither has it; when the newer has
+    ``KNOWN_BYTES`` it becomes the older.  So a batch costs what its own words cost, however many are known.
+    """
 
     def __init__(self, path: str):
-        self.path, self.words = path, pa.array([], pa.string())
-        self.ids, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.path, self.new, self.old, self.size = path, {}, {}, 0
 
     def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and how many each has, as :func:`encode_words` gives them."""
-        at = pc.index_in(words, value_set=self.words)
-        if len(self.words) and len(self.words) + at.null_count > KNOWN_WORDS:
-            kept = len(self.words) - len(self.words) // 2  # the older half goes
-            self.words, self.ids, self.counts = self.words[-kept:], self.ids[self.counts[:-kept].sum() :], self.counts[-kept:]
-            if kept == 1:
-                self.__init__(self.path)
-            return self.encode(words)
-        old, new = at.is_valid().to_numpy(zero_copy_only=False), words.filter(at.is_null())
-        ids, counts = encode_words(new, self.path)
-        number = np.empty(len(words), np.int64)
-        number[old] = at.drop_null().to_numpy()
-        number[~old] = len(self.words) + np.arange(len(new))
-        self.words = pa.concat_arrays([self.words, new])
-        self.ids, self.counts = np.concatenate((self.ids, ids)), np.concatenate((self.counts, counts))
-        starts = np.cumsum(self.counts) - self.counts
-        return self.ids[spread(starts[number], self.counts[number])], self.counts[number]
+        spelt = words.cast(pa.binary()).to_pylist()
+        found = [self.new.get(w) or self.old.get(w) for w in spelt]
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        ids, counts = encode_words(words.take(pa.array(missing, pa.int64())), self.path)
+        flat, ends = ids.astype("<u4").tobytes(), np.cumsum(counts) * 4
+        for i, start, end in zip(missing, (ends - 4 * counts).tolist(), ends.tolist(), strict=True):
+            found[i] = flat[start:end]
+        for w, own in zip(spelt, found, strict=True):
+            if own and len(w) <= LONGEST_KNOWN and w not in self.new:
+                self.new[w] = own
+                self.size += len(w) + len(own) + ENTRY_BYTES
+        if self.size > KNOWN_BYTES:
+            self.old, self.new, self.size = self.new, {}, 0
+        return np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found], np.int64)
 
 
 @functools.lru_cache(maxsize=1)
@@ -81,7 +85,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFr
     """(doc_id, n_tokens, ids) with the partitions of ``docs``; a word that the worker has met lately is not encoded again."""
 
     def encode(batches):
-        for doc_ids, texts in cut_batches(batches):
+        for doc_ids, texts in cut_batches(batches, BATCH_BYTES):
             distinct, places, ends = split_words(texts)
             ids, counts = known(path).encode(distinct)
             starts, first, at = np.cumsum(counts) - counts, np.append(0, ends), 0

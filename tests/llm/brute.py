@@ -18,9 +18,9 @@ def shingles(text, k=3):
     return frozenset(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
 
 
-def components(rows, percent=90):
+def components(rows, percent=90, k=3):
     """(doc_id, set size, smallest doc_id reachable) of (doc_id, text) rows, as a bag."""
-    sets = [shingles(t) for _, t in rows]
+    sets = [shingles(t, k) for _, t in rows]
     up = list(range(len(rows)))
 
     def find(x):

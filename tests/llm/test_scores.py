@@ -1,6 +1,5 @@
 """Fingerprints, quality and the pipeline against plain loops."""
 
-import functools
 import hashlib
 import math
 import os
@@ -167,8 +166,9 @@ def stepwise(found):
     # columns by name: base_failed, doc_id, kept, ...
     kept = {r[1] for r in ruled if r[2]}
     found = [r for r in found if r[0] in kept]
-    groups = brute.components([r[:2] for r in found])
-    found = [r for r in found if (r[0], len(brute.shingles(r[1])), r[0]) in groups]
+    k, percent = corpus_pipeline.NEAR_K, corpus_pipeline.NEAR_PERCENT
+    groups = brute.components([r[:2] for r in found], percent, k)
+    found = [r for r in found if (r[0], len(brute.shingles(r[1], k)), r[0]) in groups]
     seen, out = {}, []
     data = {i: (t or "").encode() for i, t, _ in found}
     for i in sorted(data):
@@ -224,10 +224,3 @@ def test_near_copies_by_five_words_go(spark):
     assert [i for i, _, c in brute.components([r[:2] for r in found]) if i == c] == [0, 1, 2, 3, 4]  # by three words and 90 per cent all stay
     out = corpus_pipeline.keep_one_of_each(spark, documents(spark, found), "")
     assert sorted(r["doc_id"] for r in out.collect()) == [0, 3, 4]
-
-
-@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
-def test_pipeline_by_brute_force_of_five_words(spark, monkeypatch):
-    monkeypatch.setattr(brute, "shingles", functools.partial(brute.shingles, k=5))
-    monkeypatch.setattr(brute, "components", functools.partial(brute.components, percent=80))
-    test_pipeline_by_brute_force(spark)

@@ -113,15 +113,18 @@ def test_token_files(spark, encoding):
 
 def test_known_words_are_not_encoded_again(monkeypatch):
     calls = []
-    monkeypatch.setattr(token_files, "encode_words", lambda w, p: calls.append(len(w)) or bpe.encode_words(w, p))
-    monkeypatch.setattr(token_files, "KNOWN_WORDS", 6)
+    monkeypatch.setattr(token_files, "encode_words", lambda w, p: calls.extend(w.to_pylist()) or bpe.encode_words(w, p))
+    monkeypatch.setattr(token_files, "KNOWN_BYTES", 3 * token_files.ENTRY_BYTES)
     known = token_files.Known(PATH)
-    for words, fresh in ((["a", " b", " é"], [3]), ([" b", "a", " c"], [1]), ([" d", " e", " é", " c"], [2]), ([" f", "a"], [2]), (list("ghijklmn"), None)):
+    batches = [["a", " b"], [" b", "a", " é"], [" c", " b"], [" d", " b", " c"], list("ghijklmn"), ["x" * 200, ""], ["x" * 200, "g"], []]
+    fresh = [["a", " b"], [" é"], [" c"], [" d"], list("ghijklmn"), ["x" * 200, ""], ["x" * 200], []]
+    for words, want in zip(batches, fresh, strict=True):
         calls.clear()
-        ids, counts = known.encode(pa.array(words))
+        ids, counts = known.encode(pa.array(words, pa.string()))
         ends = np.cumsum(counts)
         assert [ids[e - c : e].tolist() for e, c in zip(ends, counts, strict=True)] == [ids_of(w) for w in words]
-        assert fresh is None or calls == fresh
+        assert calls == want
+        assert len(known.new) + len(known.old) <= 16
 
 
 def test_token_files_without_rows(spark):
