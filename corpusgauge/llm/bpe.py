@@ -36,10 +36,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from corpusgauge.llm.common import table
+from corpusgauge.llm.common import gives_back, table
 
 #: Text in one block; a longer document is a block by itself.
-BLOCK_BYTES = 10_000_000
+BLOCK_BYTES = 6_000_000
 LEAST_SHARDS = 8
 #: Words given to the tokenizer in one string.
 TOGETHER = 200
@@ -230,7 +230,7 @@ def blocks_of(docs: DataFrame, shards: int, words: bool) -> DataFrame:
             for row in by_shard(distinct) if words else [numbers(rank[places], ends, len(distinct), ids)]:
                 yield pa.RecordBatch.from_pylist([{"block": f"{task}-{no}", "seal": seal} | row], _PARTS)
 
-    return docs.select("doc_id", "text").mapInArrow(split, PARTS)
+    return docs.select("doc_id", "text").mapInArrow(gives_back(split), PARTS)
 
 
 def encode_shard(path: str):
@@ -250,7 +250,7 @@ def encode_shard(path: str):
             rows.append({"block": block, "seal": seal, "shard": part["shard"][0].as_py(), "numbers": pack(gaps, counts[mine], ids[spread(starts[mine], counts[mine])]), "bytes": None, "doc_ids": None})
         return pa.Table.from_pylist(rows, _PARTS)
 
-    return encode
+    return gives_back(encode)
 
 
 def spelt(ids: np.ndarray, sizes: np.ndarray, path: str) -> list[str]:
@@ -293,7 +293,7 @@ def fill_block(doc_id: pa.DataType, path: str, texts: bool):
         out = {"doc_id": doc_ids.cast(doc_id), "ids": pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))}
         return pa.table(out | {"decoded": pa.array(spelt(flat, sizes, path), pa.string())} if texts else out)
 
-    return fill
+    return gives_back(fill)
 
 
 def encode(docs: DataFrame, path: str | None = None, decode: bool = False) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from corpusgauge.functions.joins import spread_join
 from corpusgauge.functions.ranking import top_per_group
 from corpusgauge.llm.bpe import cut_batches, pack, unpack
-from corpusgauge.llm.common import table
+from corpusgauge.llm.common import gives_back, table
 from corpusgauge.llm.shingles import STEPS, mixed
 from corpusgauge.session import written_once
 
@@ -343,11 +343,11 @@ def frequent_phrases(docs: DataFrame, min_count: int = 100, most: int = MOST_WOR
                 yield from counter.add(lang, texts.filter(pc.equal(langs, lang)))
         yield from counter.spill(0)
 
-    runs, now = rows.mapInArrow(count, RUNS), parts
+    runs, now = rows.mapInArrow(gives_back(count), RUNS), parts
     while now < wanted:
         now *= min(WIDTH, -(-wanted // now))  # a multiple, so that what was together in a partition is cut, not dealt anew
-        runs = runs.groupBy("part", F.floor(F.col("origin") / TOGETHER)).applyInArrow(finer_runs(now), RUNS)
-    return runs.groupBy("part").applyInArrow(phrases_of_runs(min_count, most), FREQUENT)
+        runs = runs.groupBy("part", F.floor(F.col("origin") / TOGETHER)).applyInArrow(gives_back(finer_runs(now)), RUNS)
+    return runs.groupBy("part").applyInArrow(gives_back(phrases_of_runs(min_count, most)), FREQUENT)
 
 
 def collocations(docs: DataFrame, min_count: int = 100, most: int = MOST_WORDS, percent: int = 100, top: int = 2000) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +47,30 @@ def range_no(col: Column, bounds: list) -> Column:
     if not bounds:
         return F.lit(0)
     return F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < col)), F.lit(0))
+
+
+def gives_back(work):
+    """``work`` (batches to batches, or a table to a table), after which its Python worker hands unused memory back.
+
+    Workers live on between tasks and stages, and would keep what the largest of them took.
+    """
+
+    def release() -> None:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    @functools.wraps(work)
+    def wrapped(given):
+        found = work(given)
+        if isinstance(found, pa.Table):
+            release()
+            return found
+        return streamed(found)
+
+    def streamed(batches):
+        yield from batches
+        release()
+
+    return wrapped

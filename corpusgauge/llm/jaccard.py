@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusgauge.functions.joins import broadcast_if_small, spread_join
 from corpusgauge.llm.bpe import cut_batches
-from corpusgauge.llm.common import table
+from corpusgauge.llm.common import gives_back, table
 from corpusgauge.llm.graph import components
 from corpusgauge.llm.shingles import BATCH_BYTES, mixed, shingle_sets
 from corpusgauge.llm.sketches import summed
@@ -107,7 +107,7 @@ def measured(docs: DataFrame, k: int) -> DataFrame:
         yield pa.record_batch([ids, pa.array(range(SLICES), pa.int32()), task, *empty, pa.array(parts, pa.binary())], names=["doc_id", *arrow])
 
     return docs.select("doc_id", "text").mapInArrow(
-        measure,
+        gives_back(measure),
         f"doc_id {kind.simpleString()}, slice int, n long, set_id long, keys array<long>, parity array<long>, counts binary",
     )
 
@@ -191,8 +191,8 @@ def index_entries(docs: DataFrame, classes: np.ndarray, k: int, percent: int, bu
         some[:-1] |= near
         return pa.table({"token": token[some].astype(np.int64), "set_id": own[some], "n": n[some], "p": p[some]})
 
-    packed = docs.select("doc_id", "text").mapInArrow(entries, "bucket int, token binary, set_id binary, n binary, p binary")
-    found = written_once(packed.groupBy("bucket").applyInArrow(lists, "token long, set_id long, n int, p int"))
+    packed = docs.select("doc_id", "text").mapInArrow(gives_back(entries), "bucket int, token binary, set_id binary, n binary, p binary")
+    found = written_once(packed.groupBy("bucket").applyInArrow(gives_back(lists), "token long, set_id long, n int, p int"))
     shared.destroy()
     return found
 
@@ -352,7 +352,7 @@ def whole_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, k: int) -> D
                 seen.add(own)
                 yield pa.record_batch([pa.array([own], pa.int64()), pa.array([pack.compress(s.tobytes())], pa.binary())], names=["set_id", "tokens"])
 
-    found = with_spots(docs).mapInArrow(compute, "set_id long, tokens binary")
+    found = with_spots(docs).mapInArrow(gives_back(compute), "set_id long, tokens binary")
     sets = written_once(found.join(holders.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]))
     shared.destroy()
     return sets
@@ -401,7 +401,7 @@ def differences(family: DataFrame, tokens: DataFrame) -> DataFrame:
 
     rows = family.join(tokens.withColumnRenamed("tokens", "x"), "set_id")
     rows = rows.join(tokens.withColumnsRenamed({"set_id": "pivot", "tokens": "r"}), "pivot").select("pivot", "set_id", "x", "r")
-    return rows.mapInArrow(differ, "pivot long, set_id long, size long, n long, lacks binary, beyond binary")
+    return rows.mapInArrow(gives_back(differ), "pivot long, set_id long, size long, n long, lacks binary, beyond binary")
 
 
 def family_links(members: DataFrame, percent: int, chunk: int = FAMILY_CHUNK) -> DataFrame:
@@ -453,7 +453,7 @@ def family_links(members: DataFrame, percent: int, chunk: int = FAMILY_CHUNK) ->
             join(i, np.flatnonzero(both))
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return keyed.groupBy("pivot", "low", "high").applyInArrow(link, "a long, b long")
+    return keyed.groupBy("pivot", "low", "high").applyInArrow(gives_back(link), "a long, b long")
 
 
 def linked(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from corpusgauge.functions.joins import broadcast_if_small
 from corpusgauge.llm.bpe import cut_batches, default_vocabulary, encode_words, split_words, spread
-from corpusgauge.llm.common import table
+from corpusgauge.llm.common import gives_back, table
 from corpusgauge.session import scratch_path
 
 END_ID = 2
@@ -105,7 +105,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFr
                 at = to
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, n_tokens long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(gives_back(encode), f"doc_id {kind}, n_tokens long, ids array<int>")
 
 
 def write_token_files(docs: DataFrame, out: str, path: str | None = None, **options) -> str:
@@ -168,7 +168,7 @@ def read_checksums(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), "doc_id", "n_tokens", "ids"
     )
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(check, f"file string, row long, doc_id {kind}, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(gives_back(check), f"file string, row long, doc_id {kind}, n_tokens long, ids_crc32 long")
 
 
 def read_ids(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
