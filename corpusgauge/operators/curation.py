@@ -143,7 +143,8 @@ def top_cited(
     category already has: they lower its need and are not new anywhere later.
 
     How far one category goes back depends on those before it, but only
-    through counts per window: the driver sees a dozen numbers per category.
+    through counts per window: the driver sees a dozen numbers per category.  The ids are counted once, by the pattern
+    of their windows in all categories.
     """
     start, end = time_bounds(now)
     ranks = {c: n for n, c in enumerate(order)}
@@ -169,6 +170,9 @@ def top_cited(
     else:
         seen = seen.withColumns({f"h{n}": F.lit(False) for n in ranks.values()})
     seen = written_once(seen)
+    # ids alike in all categories are one row of the table that the loop below reads
+    marks = [f"{x}{n}" for x in "wh" for n in ranks.values()]
+    patterns = written_once(seen.groupBy(*marks).agg(F.count("*").alias("ids")))
 
     needs: list[int] = []
     reach: list[int] = []
@@ -192,7 +196,7 @@ def top_cited(
             reach.append(-1)
             continue
         # at most one row per window comes back
-        sizes = {r.w: r.n for r in seen.groupBy(free(n).alias("w")).agg(F.count("*").alias("n")).collect()}
+        sizes = {r.w: r.n for r in patterns.groupBy(free(n).alias("w")).agg(F.sum("ids").alias("n")).collect()}
         total, far = 0, max_windows - 1
         for w in range(max_windows):
             total += sizes.get(w, 0)

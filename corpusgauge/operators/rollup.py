@@ -124,30 +124,22 @@ def leaderboard(adjusted: DataFrame, baseline: str = BASELINE) -> DataFrame:
     """Three rows per system and model: plain, balanced and perfect.
 
     ``adjusted`` is long with columns ``plain``, ``balanced`` and
-    ``perfect``.  A missing score counts as zero; the baseline shows its plain
+    ``perfect`` and is read once.  A missing score counts as zero; the baseline shows its plain
     scores three times; ratio metrics are brought to the 0-5 scale.
     """
-    who = ["system", "model"]
+    who, kinds = ["system", "model"], ("plain", "balanced", "perfect")
     own = F.col("system") == baseline
-    sums = adjusted.filter(F.col("metric").isin(METRICS)).groupBy(*who, "metric").agg(
-        F.sum("plain").alias("plain"),
-        F.sum(F.when(own, F.col("plain")).otherwise(F.col("balanced"))).alias("balanced"),
-        F.sum(F.when(own, F.col("plain")).otherwise(F.col("perfect"))).alias("perfect"),
-    )
-    docs = adjusted.select(*who, "category", "topic").distinct().groupBy(*who).agg(F.count("*").alias("docs"))
-    scale = F.when(F.col("metric").isin(RATIO_METRICS), 20.0).otherwise(1.0)
-    long = sums.join(docs, who).select(
-        *who,
-        "metric",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(k).alias("type"), (F.col(k) / F.col("docs") / scale).alias("value"))
-                    for k in ("plain", "balanced", "perfect")
-                ]
-            )
-        ).alias("cell"),
-    ).select(*who, "metric", "cell.type", "cell.value")
+    shown = {k: F.when(own, F.col("plain")).otherwise(F.col(k)) for k in kinds}
+    # documents first, so that one reading of the blend gives their number and the sums
+    cells = {f"{k}_{m}": F.sum(F.when(F.col("metric") == m, shown[k])) for k in kinds for m in METRICS}
+    per_doc = adjusted.groupBy(*who, "category", "topic").agg(*[c.alias(n) for n, c in cells.items()])
+    sums = per_doc.groupBy(*who).agg(F.count("*").alias("docs"), *[F.sum(n).alias(n) for n in cells])
+
+    def cell(kind: str, m: str) -> Column:
+        value = F.col(f"{kind}_{m}") / F.col("docs") / (20.0 if m in RATIO_METRICS else 1.0)
+        return F.struct(F.lit(kind).alias("type"), F.lit(m).alias("metric"), value.alias("value"))
+
+    long = sums.select(*who, F.inline(F.array(*[cell(k, m) for k in kinds for m in METRICS])))
     wide = _wide(long, [*who, "type"], METRICS)
     filled = {m: F.coalesce(F.col(m), F.lit(0.0)) for m in METRICS}
     normalized = sum((filled[m] for m in RATIO_METRICS), F.lit(0.0)) / len(RATIO_METRICS)

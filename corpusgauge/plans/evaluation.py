@@ -21,6 +21,7 @@ from corpusgauge.operators import judging as J
 from corpusgauge.operators import metrics as M
 from corpusgauge.operators import outline as O
 from corpusgauge.operators import references as P
+from corpusgauge.operators import rollup as R
 from corpusgauge.operators import similarity as S
 from corpusgauge.operators.ledger import judge_once
 from corpusgauge.schema import BASELINE, CONTENT_CRITERIA, DOC_KEYS, FACET_METRICS, METRICS
@@ -337,3 +338,76 @@ def document_similarity(
         ("category", "topic", "facet"), ("system", "item_no"), metric,
     )
     return S.topn_mean_similarity(best, KEYS, docs=docs)
+
+
+def refreshed_similarity(
+    docs: DataFrame,
+    stored: DataFrame,
+    embedder: Callable[[list[str]], list[list[float]]] = letter_shares,
+    baseline: str = BASELINE,
+    metric: str = "l2sq",
+    outline: DataFrame | None = None,
+) -> DataFrame:
+    """(keys, facet, mean_score) of ``docs``: the ``stored`` ones, and stale facets computed again.
+
+    A facet is stale when its stored mean is 0 or null, or when it is not stored.  Only documents with a stale facet and the
+    baselines of their topics are parsed, and only items of stale facets, and the baseline's items on those topics and
+    facets, reach the embedder.  Stored rows of other documents are left out.
+    """
+    facet = [*KEYS, "facet"]
+    every = docs.select(*KEYS).distinct().withColumn("facet", F.explode(F.array(*[F.lit(f) for f in FACETS])))
+    known = stored.groupBy(*facet).agg(F.max("mean_score").alias("mean_score"))
+    state = written_once(every.join(known, facet, "left"))
+    fresh = ~F.coalesce(F.col("mean_score") != 0, F.lit(False))
+    work = written_once(state.where(fresh).select(*facet))
+    own = F.col("system") == baseline
+    topics = work.select("category", "topic", "facet").distinct()
+    open_docs = broadcast_if_small(work.select(*KEYS).distinct())
+    truth_docs = docs.filter(own).join(broadcast_if_small(topics.select("category", "topic").distinct()), ["category", "topic"], "left_semi")
+    rows = docs.filter(~own).join(open_docs, KEYS, "left_semi").unionByName(truth_docs)
+    items = _items(written_once(parsed_documents(rows)), outline)
+    wanted = items.join(broadcast_if_small(work), facet, "left_semi").unionByName(
+        # a baseline whose own facet is not stale is still compared with
+        items.filter(own).join(broadcast_if_small(topics), ["category", "topic", "facet"], "left_semi")
+        .join(broadcast_if_small(work), facet, "left_anti")
+    )
+    vectors = written_once(embed_apply(wanted, embedder))
+    asked = vectors.join(broadcast_if_small(work), facet, "left_semi")
+    best = S.knn_query(asked, vectors.filter(own), 1, ("category", "topic", "facet"), ("system", "item_no"), metric)
+    means = S.topn_mean_similarity(best, KEYS).select(*facet, F.col("mean_score").alias("found"))
+    return state.join(means, facet, "left").select(
+        *facet, F.when(fresh, F.coalesce("found", F.lit(0.0))).otherwise(F.col("mean_score")).alias("mean_score")
+    )
+
+
+def adjusted_leaderboard(
+    docs: DataFrame,
+    scores: DataFrame,
+    stored: DataFrame,
+    embedder: Callable[[list[str]], list[list[float]]] = letter_shares,
+    baseline: str = BASELINE,
+    **options,
+) -> DataFrame:
+    """Documents, their scores and stored similarities to the leaderboard in one call.
+
+    Stale facets are computed again (:func:`refreshed_similarity`), scores are blended with the similarities and laid out
+    as plain, balanced and perfect rows.  A document whose baseline has no scores of its model is not on the board.
+    """
+    similar = written_once(refreshed_similarity(docs, stored, embedder, baseline, **options))
+    return R.leaderboard(M.sim_adjust(scores, similar, baseline), baseline)
+
+
+def finished_scores(
+    docs: DataFrame,
+    scorer: Callable[[str], str] = J.answer_by_digest,
+    model: str = "default",
+    done: DataFrame | None = None,
+    attempts: int = 3,
+) -> dict[str, DataFrame]:
+    """Documents to the final tables: evaluated, what a judge failed asked again, averaged by files, categories and overall.
+
+    ``scores``, ``by_files`` (R1), ``table`` (zero-filled averages laid out).
+    """
+    scores = written_once(evaluate_documents(docs, scorer, model, done, attempts))
+    scores = written_once(supplement_scores(docs, scores, scorer, model, attempts))
+    return {"scores": scores, "by_files": R.avg_by_files(scores), "table": R.score_all(scores)}

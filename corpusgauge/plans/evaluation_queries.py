@@ -14,11 +14,12 @@ from corpusgauge.operators import outline as O
 from corpusgauge.operators.ledger import judge_once
 from corpusgauge.plans import evaluation as E
 from corpusgauge.plans import judging_queries as Q
+from corpusgauge.plans import rollup_queries as U
 from corpusgauge.plans import text_queries as X
 from corpusgauge.plans.judging_queries import KEYS, K, filled
 from corpusgauge.plans.registry import half_up_sql as hu
 from corpusgauge.plans.registry import register
-from corpusgauge.schema import CONTENT_CRITERIA, METRICS, TOP_ITEMS
+from corpusgauge.schema import CONTENT_CRITERIA, METRICS, RATIO_METRICS, TOP_ITEMS
 from corpusgauge.session import scratch_path
 
 
@@ -196,7 +197,7 @@ _SHARES = "[" + ", ".join(
 _TOP = "CASE facet " + " ".join(f"WHEN '{f}' THEN {n}" for f, n in TOP_ITEMS.items()) + " END"
 
 
-@register("document_similarity", ("v_docs",), f"""WITH RECURSIVE
+_MEANS = f"""
 first AS (SELECT category, min(doc_id) AS first FROM v_docs WHERE system = 'en' GROUP BY category),
 renamed AS (SELECT category, category AS topic, CASE WHEN doc_id = first THEN 'pdfs' ELSE topic || '/' || system END AS system, md FROM v_docs LEFT JOIN first USING (category)),
 {X.PARTS.replace('FROM v_docs', 'FROM renamed')}, {X.ENTRIES}, {X.HEADS.replace('FROM v_docs', 'FROM renamed')}, {_PATHS}, {_ITEMS},
@@ -205,6 +206,10 @@ near AS (SELECT a.category, a.topic, a.system, a.facet, a.item_no, 1 - min(list_
  FROM vec a JOIN vec b ON b.system = 'pdfs' AND b.category = a.category AND b.topic = a.topic AND b.facet = a.facet GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY {K}, facet ORDER BY score DESC) AS rn FROM near),
 means AS (SELECT {K}, facet, avg(score) AS mean_score, count(*) AS n FROM ranked WHERE rn <= {_TOP} GROUP BY {K}, facet)
+"""
+
+
+@register("document_similarity", ("v_docs",), f"""WITH RECURSIVE {_MEANS}
 SELECT r.category, r.topic, r.system, f.facet, {hu('coalesce(mean_score, 0)', 6)} AS mean_score, coalesce(n, 0) AS n
 FROM renamed r CROSS JOIN (VALUES ('outline'), ('content'), ('reference')) f(facet) LEFT JOIN means m
 ON m.category = r.category AND m.topic = r.topic AND m.system = r.system AND m.facet = f.facet""")
@@ -240,3 +245,45 @@ def compare_documents(t):
         F.when(own, F.lit("base")).otherwise(F.concat_ws("/", "topic", "system")).alias("system"), "md",
     )
     return E.compare_documents(docs, _prefers_by_digest, baseline="base")
+
+
+# outlines are stored, contents are stored as zeros, references are not stored
+_STORED = """
+old AS (SELECT category, topic, system, 'outline' AS facet, 0.25 AS mean_score FROM renamed UNION ALL SELECT category, topic, system, 'content', 0.0 FROM renamed),
+v_similarity AS (SELECT r.category, r.topic, r.system, f.facet, coalesce(nullif(cast(o.mean_score AS double), 0), m.mean_score, 0) AS mean_score
+ FROM renamed r CROSS JOIN (VALUES ('outline'), ('content'), ('reference')) f(facet) LEFT JOIN old o USING (category, topic, system, facet)
+ LEFT JOIN means m ON m.category = r.category AND m.topic = r.topic AND m.system = r.system AND m.facet = f.facet)
+"""
+
+
+def _stored(docs):
+    old = F.array(*[F.struct(F.lit(f).alias("facet"), F.lit(v).alias("mean_score")) for f, v in (("outline", 0.25), ("content", 0.0))])
+    return docs.select(*KEYS, F.inline(old))
+
+
+@register("refreshed_similarity", ("v_docs",), f"""WITH RECURSIVE {_MEANS}, {_STORED}
+SELECT {K}, facet, {hu('mean_score', 6)} AS mean_score FROM v_similarity""")
+def refreshed_similarity(t):
+    docs = _one_topic_per_source(t)
+    found = E.refreshed_similarity(docs, _stored(docs))
+    return found.select(*KEYS, "facet", half_up(F.col("mean_score"), 6).alias("mean_score"))
+
+
+_GRADED = ", ".join(f"('{m}', {n}, {101 if m in RATIO_METRICS else 5})" for n, m in enumerate(METRICS))
+_BASED = "SELECT DISTINCT category, topic, model FROM v_scores WHERE system = 'pdfs'"
+
+
+# grades follow from the length of a document
+@register("adjusted_leaderboard", ("v_docs",), f"""WITH RECURSIVE {_MEANS}, {_STORED},
+v_scores AS (SELECT {K}, 'm' AS model, metric, cast((length(md) + n) % top AS double) AS value FROM renamed, (VALUES {_GRADED}) g(metric, n, top)),
+{U.BLEND.replace("'view'", "'pdfs'").replace('blend AS (', 'blended AS (')},
+blend AS (SELECT b.* FROM blended b JOIN ({_BASED}) h USING (category, topic, model)),
+{U.BOARD.replace("'view'", "'pdfs'")}""")
+def adjusted_leaderboard(t):
+    docs = _one_topic_per_source(t)
+    grades = F.array(*[
+        F.struct(F.lit(m).alias("metric"), ((F.length("md") + n) % (101 if m in RATIO_METRICS else 5)).cast("double").alias("value"))
+        for n, m in enumerate(METRICS)
+    ])
+    scores = docs.select(*KEYS, F.lit("m").alias("model"), F.inline(grades))
+    return E.adjusted_leaderboard(docs, scores, _stored(docs))

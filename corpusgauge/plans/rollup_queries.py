@@ -194,8 +194,7 @@ _BOARD_CELLS = ", ".join(
 )
 
 
-@register("leaderboard", ("v_scores", "v_similarity"), f"""WITH {_ALL},
-d AS (SELECT system, model, count(DISTINCT (category, topic)) AS docs FROM blend GROUP BY ALL),
+BOARD = f"""d AS (SELECT system, model, count(DISTINCT (category, topic)) AS docs FROM blend GROUP BY ALL),
 l AS (
  SELECT b.system, b.model, k.type, b.metric,
   sum(CASE WHEN b.system = 'view' OR k.type = 'plain' THEN plain WHEN k.type = 'balanced' THEN balanced ELSE perfect END) / max(docs)
@@ -203,6 +202,10 @@ l AS (
  FROM blend b JOIN d ON d.system = b.system AND d.model = b.model, (VALUES ('plain'), ('balanced'), ('perfect')) k(type)
  GROUP BY b.system, b.model, k.type, b.metric)
 SELECT system, model, type, {hu(f"sum(CASE WHEN metric IN ({_RATIO}) THEN value ELSE 0 END) / 3", 2)} AS normalized_average, {_BOARD_CELLS}
-FROM l GROUP BY system, model, type""")
+FROM l GROUP BY system, model, type"""
+BLEND = _ALL
+
+
+@register("leaderboard", ("v_scores", "v_similarity"), f"WITH {_ALL}, {BOARD}")
 def leaderboard(t):
     return R.leaderboard(M.sim_adjust(t.v_scores, t.v_similarity, baseline="view"), baseline="view")

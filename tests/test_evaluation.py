@@ -166,3 +166,36 @@ def test_answers_are_computed_once(spark, tmp_path):
     scores.collect()
     scores.count()
     assert log.read_text().count("x") == asked > 0
+
+
+def test_only_stale_facets_reach_the_embedder(spark, tmp_path):
+    import os
+
+    from corpusgauge.plans.evaluation import adjusted_leaderboard, letter_shares, refreshed_similarity
+
+    def text(words):
+        return f"# T\n\n## 1 One\n{words} here.\n\n## 2 Two\nMore {words}.\n\n## References\n[1] {words} one\n[2] two"
+
+    keys = "category string, topic string, system string"
+    rows = [("c", "t", "pdfs", text("alpha")), ("c", "t", "a", text("beta")), ("c", "t", "b", text("gamma")), ("c", "u", "pdfs", text("delta")), ("c", "u", "a", text("omega"))]
+    docs = spark.createDataFrame(rows, f"{keys}, md string")
+    stored = [("c", "t", s, f, 0.5) for s in ("pdfs", "a", "b") for f in ("outline", "content", "reference")]
+    stored += [("c", "u", s, f, 0.5) for s in ("pdfs", "a") for f in ("outline", "content", "reference")]
+    stored = [r if r[:4] != ("c", "t", "b", "reference") else (*r[:4], 0.0) for r in stored] + [("x", "y", "z", "outline", 0.1)]
+    top = str(tmp_path)
+
+    def noting(texts):
+        with open(os.path.join(top, str(os.getpid())), "a") as f:
+            f.write("\n".join(texts) + "\n")
+        return letter_shares(texts)
+
+    old = spark.createDataFrame(stored, f"{keys}, facet string, mean_score double")
+    got = {(r.topic, r.system, r.facet): r.mean_score for r in refreshed_similarity(docs, old, noting).collect()}
+    assert len(got) == 15 and [k for k, v in got.items() if v != 0.5] == [("t", "b", "reference")]
+    seen = "".join(open(os.path.join(top, f)).read() for f in os.listdir(top))
+    assert "gamma one" in seen and "alpha one" in seen  # the document's references, and its baseline's
+    assert "here" not in seen and "beta" not in seen and "delta" not in seen
+    scores = spark.createDataFrame([(*r[:3], "m", "Outline", 4.0) for r in rows if r[:3] != ("c", "u", "pdfs")], f"{keys}, model string, metric string, value double")
+    board = {(r.system, r.type): r.Outline for r in adjusted_leaderboard(docs, scores, old).collect()}
+    assert board[("b", "perfect")] == 4.5 and board[("b", "balanced")] == 4.0 and ("a", "plain") in board
+    assert refreshed_similarity(docs.limit(0), old).collect() == []
