@@ -154,7 +154,8 @@ def test_a_repeated_sentence_keeps_its_last_references(spark):
 def test_long_reference_numbers_make_runs(spark):
     df = spark.createDataFrame([("k", str(n)) for n in (10**17, 10**17 + 1, 12345678901, "9" * 30, "A1")], "topic string, ref_id string")
     rows = P.ref_number_runs(df, ["topic"]).orderBy("first").collect()
-    assert [(r.first, r.last) for r in rows] == [(12345678901, 12345678901), (10**17, 10**17 + 1)]
+    long = 10**30 - 1  # a number as well
+    assert [(r.first, r.last) for r in rows] == [(12345678901, 12345678901), (10**17, 10**17 + 1), (long, long)]
 
 
 def test_batches_and_runs(spark):
