@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusgauge.functions.folds import scan
 from corpusgauge.functions.text import RIGHT_EDGE, WS, WS_RANGES, find_all, settled, strip, stripped_parts, up_to_last
 from corpusgauge.operators.documents import SENTENCE_END, prose, sentence_array
 from corpusgauge.operators.references import entry_array, entry_struct
@@ -296,17 +297,18 @@ def _fallback_numbers(docs: DataFrame, keys: list[str]) -> DataFrame:
     """Add ``numbers_hits``: bare numbers accepted while they count up.
 
     A number or range is accepted when it ends at most one above the highest
-    accepted so far; the highest is carried through the document, which is one
-    fold over the numbers of that document.
+    accepted so far; the highest is carried through the document by one scan
+    over its sentences.
     """
     rest = [c for c in docs.columns if c != "loose"]
     found = settled(
         docs, rest,
         loose=F.transform("loose", lambda s: F.struct(s.alias("sentence"), _bare_numbers(s).alias("found"))),
     )
-    wide = F.transform(
+    alone = F.transform(
         "loose",
-        lambda s, i: F.transform(
+        lambda s: F.struct(
+            s["sentence"].alias("sentence"),
             F.filter(
                 s["found"],
                 lambda t: (t["low"] < t["high"])
@@ -314,25 +316,25 @@ def _fallback_numbers(docs: DataFrame, keys: list[str]) -> DataFrame:
                     s["found"],
                     lambda r: (r["low"] < r["high"]) & (t["low"] >= r["low"]) & (t["low"] <= r["high"]),
                 ),
-            ),
-            lambda t: F.struct(i.alias("at"), t["low"].alias("low"), t["high"].alias("high")),
+            ).alias("found"),
         ),
     )
-    flat = settled(found, found.columns, tokens=F.flatten(wide))
-    start = F.struct(
-        F.lit(0).alias("top"), F.array().cast("array<struct<at:int,low:int,high:int>>").alias("kept")
-    )
-    fold = F.aggregate(
-        "tokens", start,
-        lambda acc, t: F.when(
-            t["high"] <= acc["top"] + 1,
+    flat = settled(found, [c for c in found.columns if c != "loose"], loose=alone)
+    start = F.struct(F.lit(0).alias("top"), F.array().cast("array<struct<low:int,high:int>>").alias("kept"))
+
+    def accept(state: Column, t: Column) -> Column:
+        return F.when(
+            t["high"] <= state["top"] + 1,
             F.struct(
-                F.greatest(acc["top"], t["high"]).alias("top"),
-                F.concat(acc["kept"], F.array(t)).alias("kept"),
+                F.greatest(state["top"], t["high"]).alias("top"), F.concat(state["kept"], F.array(t)).alias("kept")
             ),
-        ).otherwise(acc),
-    )
-    accepted = settled(flat, found.columns, accepted=fold["kept"])
+        ).otherwise(state)
+
+    # what a sentence accepts stays with it; the highest goes on to the next sentence
+    def sentence_by_sentence(state: Column, s: Column) -> Column:
+        return F.aggregate(s["found"], F.struct(state["top"].alias("top"), start["kept"].alias("kept")), accept)
+
+    accepted = settled(flat, found.columns, accepted=scan(F.col("loose"), start, sentence_by_sentence))
     resolved = F.transform(
         "loose",
         lambda s, i: F.struct(
@@ -340,7 +342,7 @@ def _fallback_numbers(docs: DataFrame, keys: list[str]) -> DataFrame:
             F.array_distinct(
                 F.flatten(
                     F.transform(
-                        F.filter("accepted", lambda a: a["at"] == i),
+                        F.get(F.col("accepted"), i)["kept"],
                         lambda a: F.transform(
                             F.filter("numbered", lambda r: (r["n"] >= a["low"]) & (r["n"] <= a["high"])),
                             lambda r: _as_cited(r["n"], r["text"]),
@@ -353,14 +355,19 @@ def _fallback_numbers(docs: DataFrame, keys: list[str]) -> DataFrame:
     return settled(accepted, found.columns, number_hits=F.filter(resolved, lambda h: F.size(h["references"]) > 0))
 
 
-def _surname_hits(sentence: Column, refs: Column) -> Column:
-    """``id text`` of every entry whose leading capitalised word is in the sentence."""
-    named = F.filter(
-        refs,
-        lambda r: (r["ref_id"].rlike(r"\A\[?[A-Z]"))
-        & F.contains(sentence, F.regexp_extract(r["ref_id"], r"\A\[?([A-Z][A-Za-z\-]*)", 1)),
-    )
-    return F.array_distinct(F.transform(named, lambda r: F.concat(r["ref_id"], F.lit(" "), r["ref_text"])))
+def _named(refs: Column) -> Column:
+    """(name, shown) of every entry with a leading capitalised word, its surname; taken out once per entry."""
+    entries = F.filter(refs, lambda r: r["ref_id"].rlike(r"\A\[?[A-Z]"))
+    return F.transform(entries, lambda r: F.struct(
+        F.regexp_extract(r["ref_id"], r"\A\[?([A-Z][A-Za-z\-]*)", 1).alias("name"),
+        F.concat(r["ref_id"], F.lit(" "), r["ref_text"]).alias("shown"),
+    ))
+
+
+def _surname_hits(sentence: Column, named: Column) -> Column:
+    """``id text`` of every entry of :func:`_named` whose surname is in the sentence."""
+    hits = F.filter(named, lambda r: F.contains(sentence, r["name"]))
+    return F.array_distinct(F.transform(hits, lambda r: r["shown"]))
 
 
 def citations(contents: DataFrame, keys: Sequence[str] = DOC_KEYS, strict: bool = False) -> DataFrame:
@@ -373,14 +380,15 @@ def citations(contents: DataFrame, keys: Sequence[str] = DOC_KEYS, strict: bool
     direct = _direct(contents, keys, strict, "main_content")
     none = F.size("hits") == 0
     loose = F.when(none, _fallback_sentences(F.col("main_content"))).otherwise(F.array().cast("array<string>"))
-    staged = settled(direct, [*keys, "refs", "numbered", "hits"], loose=loose)
+    named = F.when(none, _named(F.col("refs")))
+    staged = settled(direct, [*keys, "numbered", "hits"], named=named, loose=loose)
     with_numbers = _fallback_numbers(staged, keys)
     by_name = F.filter(
         F.transform(
             "loose",
             lambda s, i: F.struct(
                 i.alias("sent_no"), s["sentence"].alias("sentence"),
-                _surname_hits(s["sentence"], F.col("refs")).alias("references"),
+                _surname_hits(s["sentence"], F.col("named")).alias("references"),
             ),
         ),
         lambda h: F.size(h["references"]) > 0,
@@ -406,11 +414,12 @@ def cite_fallback_numbers(contents: DataFrame, keys: Sequence[str] = DOC_KEYS) -
 def cite_fallback_surnames(contents: DataFrame, keys: Sequence[str] = DOC_KEYS) -> DataFrame:
     """The surname stage on its own: every sentence from the introduction on."""
     keys = list(keys)
-    with_refs = _with_references(contents, keys, loose=_fallback_sentences(F.col("main_content")))
+    parsed = _with_references(contents, keys, loose=_fallback_sentences(F.col("main_content")))
+    with_refs = settled(parsed, [*keys, "loose"], named=_named(F.col("refs")))
     hits = F.transform(
         "loose",
         lambda s, i: F.struct(
-            i.alias("sent_no"), s.alias("sentence"), _surname_hits(s, F.col("refs")).alias("references")
+            i.alias("sent_no"), s.alias("sentence"), _surname_hits(s, F.col("named")).alias("references")
         ),
     )
     return _exploded(settled(with_refs, keys, hits=F.filter(hits, lambda h: F.size(h["references"]) > 0)), keys)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusgauge.functions.folds import scan
 from corpusgauge.functions.json import list_items
 from corpusgauge.functions.text import WS_INLINE, find_all, settled, strip
 from corpusgauge.schema import DOC_KEYS
@@ -117,34 +118,33 @@ def outline_needs_refine(outline: DataFrame, keys: Sequence[str] = DOC_KEYS) ->
 def _with_ancestors(outline: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per document ``found``: each node with its ancestors, the root first.
 
-    The nodes of a document, a few short rows, are folded in order over the
+    The nodes of a document, a few short rows, are scanned in order with the
     stack of open nodes, whose levels always grow; levels have no limit.
     """
     node = F.struct(F.col("pos").cast("int").alias("pos"), F.col("level").cast("int").alias("level"), "title")
     listed = outline.groupBy(*keys).agg(F.array_sort(F.collect_list(node)).alias("nodes"))
-    kind = "pos:int,level:int,title:string"
+    none = F.array().cast("array<struct<pos:int,level:int,title:string>>")
 
-    def step(seen: Column, x: Column) -> Column:
-        above = F.filter(seen["open"], lambda s: s["level"] < x["level"])
-        row = F.struct(x["pos"].alias("pos"), x["level"].alias("level"), x["title"].alias("title"), above.alias("above"))
-        return F.struct(
-            F.concat(above, F.array(x)).alias("open"), F.concat(seen["found"], F.array(row)).alias("found")
-        )
+    def step(opened: Column, x: Column) -> Column:
+        return F.concat(F.filter(opened, lambda s: s["level"] < x["level"]), F.array(x))
 
-    start = F.struct(
-        F.array().cast(f"array<struct<{kind}>>").alias("open"),
-        F.array().cast(f"array<struct<{kind},above:array<struct<{kind}>>>>").alias("found"),
-    )
-    return settled(listed, list(keys), found=F.aggregate("nodes", start, step, lambda seen: seen["found"]))
+    stacks = settled(listed, list(keys), stacks=scan(F.col("nodes"), none, step))
+    # the last open node is the node itself
+    found = F.transform("stacks", lambda s: F.struct(
+        *[F.try_element_at(s, F.lit(-1))[c].alias(c) for c in ("pos", "level", "title")],
+        F.slice(s, F.lit(1), F.size(s) - 1).alias("above"),
+    ))
+    return settled(stacks, list(keys), found=found)
 
 
 def outline_tree(outline: DataFrame, keys: Sequence[str] = DOC_KEYS) -> DataFrame:
     """Parent of every node: the nearest earlier node of a smaller level."""
     keys = list(keys)
     parent = F.try_element_at("above", F.lit(-1))
+    # settled, or the maximum would be taken anew for every node
+    found = settled(_with_ancestors(outline, keys), [*keys, "found"], max_depth=F.array_max("found.level"))
     return (
-        _with_ancestors(outline, keys)
-        .select(*keys, F.array_max("found.level").alias("max_depth"), F.inline("found"))
+        found.select(*keys, "max_depth", F.inline("found"))
         .withColumn("parent", parent)
         .select(
             *keys, "pos", "level", "title",

@@ -95,3 +95,10 @@ def test_outline_json(spark):
     rows = scan_outline_json(docs).orderBy("pos").select("pos", "level", "title").collect()
     assert [tuple(r) for r in rows] == [(0, 1, "A"), (1, 2, "B, C")]
     assert docs.select(F.col("topic")).count() == 2
+
+
+def test_many_headings_in_one_document(spark):
+    rng = random.Random(9)
+    outline = [(rng.randint(1, 6), "t") for _ in range(50_000)]
+    got = {r.pos: r.parent_pos for r in O.outline_tree(frame(spark, {"0": outline})).collect()}
+    assert got == dict(enumerate(stack_parents(outline)))
