@@ -4,6 +4,10 @@ Items of a topic and facet meet in blocks: a block of queries against a block
 of ground truth is one matrix product inside one task, which hands on only
 the best ``k`` rows per query.  A topic with a third of all items is many
 blocks on many tasks, and no pair of items ever becomes a row.
+
+Blocks of a large topic hold what lies around one pivot.  The triangle
+inequality rules out pairs of blocks that are too far apart to hold any of the
+best ``k``, before their vectors travel; the result stays exact.
 """
 
 from __future__ import annotations
@@ -18,18 +22,23 @@ from pyspark.sql.window import Window
 
 from corpusgauge.functions.joins import broadcast_if_small, spread_join
 from corpusgauge.schema import BASELINE, TOP_ITEMS
+from corpusgauge.session import written_once
 
 BLOCK = 2048
+#: Most pivots of a topic and facet; beyond, what lies around a pivot is cut into blocks by id.
+PIVOTS = 64
+#: Stored vectors of a topic and facet that pivots are chosen from.
+CANDIDATES = 256
 SLACK = 1e-9
 
 
 def _large_groups(queries: DataFrame, stored: DataFrame, group: list[str], size: int) -> DataFrame:
-    """Number of blocks per group on either side, where it is not one and one."""
+    """Number of blocks per group on either side, where it is more than one; 0 where a side has no items."""
     rows = queries.select(*group, F.lit(1).alias("q"), F.lit(0).alias("s")).unionByName(
         stored.select(*group, F.lit(0).alias("q"), F.lit(1).alias("s"))
     )
     counts = rows.groupBy(*group).agg(F.sum("q").alias("q"), F.sum("s").alias("s"))
-    blocks = counts.filter("q > 0 AND s > 0").select(
+    blocks = counts.select(
         *group,
         F.ceil(F.col("q") / size).cast("int").alias("q_blocks"),
         F.ceil(F.col("s") / size).cast("int").alias("s_blocks"),
@@ -37,20 +46,182 @@ def _large_groups(queries: DataFrame, stored: DataFrame, group: list[str], size:
     return blocks.filter("q_blocks > 1 OR s_blocks > 1")
 
 
-def _placed(
-    items: DataFrame, large: DataFrame, few: bool, group: list[str], ids: list[str], own: str, other: str
+def _pivots(stored: DataFrame, large: DataFrame, group: list[str], metric: str) -> DataFrame:
+    """One row per large group: its numbers of blocks and up to ``PIVOTS`` of its stored vectors.
+
+    Candidates are the first of a group by the hash of their id; each pivot is the candidate farthest from those
+    before it, so any first few of them lie apart.  Where angles count they are unit vectors.
+    """
+    order = Window.partitionBy(*group).orderBy(F.xxhash64("near_id"), "near_id")
+    first = stored.withColumn("_no", F.row_number().over(order)).filter(F.col("_no") <= CANDIDATES)
+    listed = first.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_no", "s_embedding"))).alias("_listed"))
+    joined = large.join(listed, group).select(*large.columns, F.col("_listed.s_embedding").alias("_pivots"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-1])
+
+    def chosen(batches):
+        for batch in batches:
+            yield batch.assign(_pivots=[_spaced(v, metric) for v in batch["_pivots"]])
+
+    return joined.mapInPandas(chosen, schema + ", _pivots array<array<double>>")
+
+
+def _spaced(vectors, metric: str) -> list[list[float]]:
+    rows = _scaled(np.stack([np.asarray(v, dtype=np.float64) for v in vectors]), metric)
+    picks, away = [0], np.linalg.norm(rows - rows[0], axis=1)
+    while len(picks) < PIVOTS and away.max() > 0:
+        picks.append(int(away.argmax()))
+        away = np.minimum(away, np.linalg.norm(rows - rows[picks[-1]], axis=1))
+    return rows[picks].tolist()
+
+
+def _points(pivots, blocks: int) -> np.ndarray:
+    """The pivots of a side: as many as it has blocks."""
+    return np.stack([np.asarray(v, dtype=np.float64) for v in pivots[:blocks]])
+
+
+def _scaled(rows: np.ndarray, metric: str) -> np.ndarray:
+    if metric != "cosine":
+        return rows
+    length = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
+
+
+def _around_pivots(
+    items: DataFrame, pivots: DataFrame, group: list[str], ids: list[str], vector: str, blocks: str, metric: str
 ) -> DataFrame:
-    """Items with the block they belong to, once per block of the other side.
+    """Items of large groups with ``_cell``, their nearest pivot, and ``_away``, the distance to it.
 
-    The block follows from the item's own id, so a repeated task rebuilds it,
-    and a pair of blocks has a key, and so a task, of its own.
+    Distances are Euclidean, of unit vectors for angles.  A zero vector has no
+    angle: it goes to a cell of its own that is infinitely wide.
     """
-    sized = items.join(large, group, "left") if few else spread_join(items, large, group, spread_by=ids)
-    one = F.lit(1)
-    mine, others = F.coalesce(f"{own}_blocks", one), F.coalesce(f"{other}_blocks", one)
-    block = F.pmod(F.xxhash64(*[F.col(c) for c in ids]), mine).cast("int")
-    return sized.select(
-        *items.columns, block.alias(f"{own}_block"), F.explode(F.sequence(F.lit(0), others - 1)).alias(f"{other}_block")
+    split = F.pmod(F.xxhash64(*[F.col(c) for c in ids]), F.col(blocks)).cast("int")
+    sizes = pivots.select(*group, blocks)
+    dealt = spread_join(items, sizes, group, "inner", spread_by=ids).withColumn("_split", split).drop(blocks)
+    centres = pivots.select(*group, blocks, "_pivots", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)).alias("_split"))
+    names = items.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields) + ", _cell int, _away double"
+
+    def place(rows: pd.DataFrame, centre: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or centre.empty:
+            return pd.DataFrame(columns=[*names, "_cell", "_away"])
+        points = _points(centre["_pivots"].iloc[0], int(centre[blocks].iloc[0]))
+        vectors = _scaled(np.stack(rows[vector].to_numpy()).astype(np.float64), metric)
+        away = np.stack([np.linalg.norm(vectors - p, axis=1) for p in points], axis=1)
+        cell, nearest = away.argmin(axis=1), away.min(axis=1)
+        if metric == "cosine":
+            zero = ~vectors.any(axis=1)
+            cell, nearest = np.where(zero, len(points), cell), np.where(zero, np.inf, nearest)
+        return rows[names].assign(_cell=cell.astype(np.int32), _away=nearest)
+
+    return dealt.groupBy(*group, "_split").cogroup(centres.groupBy(*group, "_split")).applyInPandas(place, schema)
+
+
+def _open_pairs(q_points, s_points, q_cells, s_cells, k: int) -> np.ndarray:
+    """Which cells of queries (rows) may find one of their ``k`` nearest in which cells of stored items.
+
+    Cells are (number, items, radius).  A query's ``k``-th nearest is no farther than the farthest
+    item of the nearest cells that hold ``k`` items together.
+    """
+    apart = np.zeros((len(q_cells), len(s_cells)))
+    for i, (a, _, _) in enumerate(q_cells):
+        for j, (b, _, _) in enumerate(s_cells):
+            if a < len(q_points) and b < len(s_points):
+                apart[i, j] = np.linalg.norm(q_points[a] - s_points[b])
+    wide = np.array([r for _, _, r in q_cells])[:, None] + np.array([r for _, _, r in s_cells])[None, :]
+    low, high = np.maximum(apart - wide, 0.0), apart + wide
+    items = np.array([n for _, n, _ in s_cells])
+    found = np.zeros(low.shape, dtype=bool)
+    for i in range(len(q_cells)):
+        order = np.argsort(high[i])
+        enough = np.searchsorted(np.cumsum(items[order]), k)
+        bound = high[i][order[enough]] ** 2 if enough < len(order) else np.inf
+        found[i] = low[i] ** 2 <= bound + SLACK * (1.0 + bound)
+    return found
+
+
+PLAN = "side string, _cell int, own_cell int, own_blocks int, others array<struct<cell:int,blocks:int>>"
+
+
+def _plan(cells: DataFrame, pivots: DataFrame, group: list[str], k: int, block: int) -> DataFrame:
+    """Per cell: how many blocks it has, and the cells of the other side, with theirs, that it meets.
+
+    One row per group goes in, of at most twice ``PIVOTS`` cells.  Where the bounds leave more copies of
+    vectors than blocks by id would need, all of the group is one cell, -1, and its blocks are by id.
+    """
+    listed = cells.groupBy(*group).agg(F.collect_list(F.struct("side", "_cell", "n", "radius")).alias("_cells"))
+    joined = pivots.join(listed, group)
+    schema = ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in group) + ", " + PLAN
+
+    def planned(batches):
+        for batch in batches:
+            rows = []
+            for _, r in batch.iterrows():
+                side = {s: sorted((c["_cell"], c["n"], c["radius"]) for c in r["_cells"] if c["side"] == s) for s in "qs"}
+                blocks = {"q": int(r["q_blocks"]), "s": int(r["s_blocks"])}
+                points = {s: _points(r["_pivots"], blocks[s]) for s in "qs"}
+                open_pairs = _open_pairs(points["q"], points["s"], side["q"], side["s"], k)
+                cut = {s: np.array([-(-n // block) for _, n, _ in side[s]]) for s in "qs"}
+                number = {s: np.array([n for _, n, _ in side[s]]) for s in "qs"}
+                copies = (open_pairs * (number["q"][:, None] * cut["s"] + cut["q"][:, None] * number["s"])).sum()
+                by_id = copies > number["q"].sum() * blocks["s"] + number["s"].sum() * blocks["q"]
+                for s, t, met in (("q", "s", open_pairs), ("s", "q", open_pairs.T)):
+                    for i, (cell, _, _) in enumerate(side[s]):
+                        others = [{"cell": int(side[t][j][0]), "blocks": int(cut[t][j])} for j in np.flatnonzero(met[i])]
+                        own = (-1, blocks[s], [{"cell": -1, "blocks": blocks[t]}]) if by_id else (cell, int(cut[s][i]), others)
+                        rows.append((*[r[c] for c in group], s, cell, *own))
+            yield pd.DataFrame(rows, columns=[*group, "side", "_cell", "own_cell", "own_blocks", "others"])
+
+    return joined.mapInPandas(planned, schema)
+
+
+PAIR = ["q_cell", "q_block", "s_cell", "s_block"]
+
+
+def _dealt(
+    queries: DataFrame, stored: DataFrame, group: list[str], ids: list[str], k: int, metric: str, block: int
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the pairs of blocks they belong to, an item once per block of the other side that it meets.
+
+    ``stored`` has the group's columns, ``near_id`` and ``s_embedding``.  A block follows from the item's own values, so
+    a repeated task rebuilds it.  A pair of blocks has a key, and so a task, of its own.
+    """
+    counted = _large_groups(queries, stored, group, block)
+    # as a rule few groups are large: their list is then broadcast, on a count
+    large = broadcast_if_small(counted)
+    one = {c: F.lit(0) for c in PAIR}
+    if large is not counted and large.isEmpty():
+        return queries.withColumns(one), stored.withColumns(one)
+
+    def parts(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return items.join(large, group, "left_anti"), items.join(large, group, "left_semi")
+
+    small_q, big_q = parts(queries)
+    small_s, big_s = parts(stored)
+    # items of large groups without any item on the other side go no further
+    pivots = written_once(_pivots(big_s, large.filter("q_blocks > 0 AND s_blocks > 0"), group, metric))
+    near_q = written_once(_around_pivots(big_q, pivots, group, ids, "embedding", "q_blocks", metric))
+    near_s = written_once(_around_pivots(big_s, pivots, group, ["near_id"], "s_embedding", "s_blocks", metric))
+    cells = [
+        df.groupBy(*group, "_cell").agg(F.count("*").alias("n"), F.max("_away").alias("radius")).withColumn("side", F.lit(side))
+        for side, df in (("q", near_q), ("s", near_s))
+    ]
+    plan = written_once(_plan(cells[0].unionByName(cells[1]), pivots, group, k, block))
+
+    def sent(items: DataFrame, columns: list[str], own: str, other: str, by: list[str]) -> DataFrame:
+        mine = plan.filter(F.col("side") == own).drop("side")
+        met = spread_join(items, mine, [*group, "_cell"], "inner", spread_by=by)
+        return met.select(
+            *columns, F.col("own_cell").alias(f"{own}_cell"),
+            F.pmod(F.xxhash64(*[F.col(c) for c in by]), F.col("own_blocks")).cast("int").alias(f"{own}_block"),
+            F.explode("others").alias("_other"),
+        ).select(
+            *columns, f"{own}_cell", f"{own}_block", F.col("_other.cell").alias(f"{other}_cell"),
+            F.explode(F.sequence(F.lit(0), F.col("_other.blocks") - 1)).alias(f"{other}_block"),
+        )
+
+    return (
+        small_q.withColumns(one).unionByName(sent(near_q, queries.columns, "q", "s", ids)),
+        small_s.withColumns(one).unionByName(sent(near_s, stored.columns, "s", "q", ["near_id"])),
     )
 
 
@@ -105,20 +276,11 @@ def knn_query(
     if metric not in ("l2sq", "cosine"):
         raise ValueError(f"unknown metric {metric}")
     group, ids = list(group), list(ids)
-    counted = _large_groups(queries, stored, group, block)
-    # as a rule few groups are large: their list is then broadcast, on a count,
-    # and the vectors move only once
-    large = broadcast_if_small(counted)
-    few = large is not counted
+    fresh = stored.select(*group, F.col("item_no").cast("bigint").alias("near_id"), F.col("embedding").alias("s_embedding"))
+    left, right = _dealt(queries.select(*group, *ids, "embedding"), fresh, group, ids, k, metric, block)
     # fresh names: the stored items are often a part of the queries
     s_group = [f"s_{c}" for c in group]
-    fresh = stored.select(
-        *[F.col(c).alias(f"s_{c}") for c in group],
-        F.col("item_no").cast("bigint").alias("near_id"), F.col("embedding").alias("s_embedding"),
-    )
-    s_large = large.select(*[F.col(c).alias(f"s_{c}") for c in group], "q_blocks", "s_blocks")
-    left = _placed(queries.select(*group, *ids, "embedding"), large, few, group, ids, "q", "s")
-    right = _placed(fresh, s_large, few, s_group, ["near_id"], "s", "q")
+    right = right.select(*[F.col(c).alias(f"s_{c}") for c in group], "near_id", "s_embedding", *[F.col(c).alias(f"s_{c}") for c in PAIR])
 
     named = [f for f in queries.schema.fields if f.name in [*group, *ids]]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named)
@@ -138,10 +300,8 @@ def knn_query(
             distance=np.concatenate([d for _, d in found]),
         )
 
-    pair = ["q_block", "s_block"]
-    found = (
-        left.groupBy(*group, *pair).cogroup(right.groupBy(*s_group, *pair)).applyInPandas(match, schema)
-    )
+    s_pair = [f"s_{c}" for c in PAIR]
+    found = left.groupBy(*group, *PAIR).cogroup(right.groupBy(*s_group, *s_pair)).applyInPandas(match, schema)
     order = Window.partitionBy(*group, *ids).orderBy("distance", "near_id")
     return (
         found.withColumn("rank", F.row_number().over(order))

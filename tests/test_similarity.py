@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusgauge.operators import similarity as S
 
@@ -44,6 +45,70 @@ def test_nearest_matches_brute_force(spark, monkeypatch, block, few):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def clustered(spark, n, centres, seed=3, dim=8):
+    """Two systems of ``n`` items in one topic, in clusters far apart."""
+    rng = np.random.default_rng(seed)
+    at = rng.normal(size=(centres, dim)) * 50
+    rows = [
+        ("t", system, "f", i, [float(x) for x in np.float32(at[i % centres] + rng.normal(size=dim))])
+        for system in ("base", "a") for i in range(n)
+    ]
+    return rows, spark.createDataFrame(rows, SCHEMA)
+
+
+def exact(rows, k, metric):
+    """(item, rank) to (near item, score) by all distances."""
+    truth = np.array([r[4] for r in rows if r[1] == "base"])
+    found = {}
+    for _, system, _, i, v in rows:
+        if system == "a":
+            v = np.array(v)
+            if metric == "cosine":
+                scale = np.linalg.norm(truth, axis=1) * np.linalg.norm(v)
+                d = 1 - np.divide(truth @ v, scale, out=np.zeros(len(truth)), where=scale > 0)
+            else:
+                d = ((truth - v) ** 2).sum(axis=1)
+            for rank, j in enumerate(np.lexsort((np.arange(len(truth)), np.round(d, 12)))[:k], 1):
+                found[i, rank] = (int(j), 1 - d[j])
+    return found
+
+
+@pytest.mark.parametrize("metric", ["l2sq", "cosine"])
+@pytest.mark.parametrize("centres", [10, 400])
+def test_pivots_leave_the_result_exact(spark, metric, centres):
+    rows, _ = clustered(spark, 400, centres)
+    rows[3] = (*rows[3][:4], [0.0] * 8)
+    rows[405] = (*rows[405][:4], [0.0] * 8)
+    rows[7] = (*rows[7][:4], rows[17][4])
+    df = spark.createDataFrame(rows, SCHEMA)
+    near = S.knn_query(df.filter("system = 'a'"), df.filter("system = 'base'"), 3, metric=metric, block=20).collect()
+    got = {(r.item_no, r["rank"]): (r.near_id, r.score) for r in near}
+    want = exact(rows, 3, metric)
+    assert got.keys() == want.keys()
+    assert all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 1e-9 for x in want)
+
+
+def sent(spark, df, block):
+    queries, stored = df.filter("system = 'a'"), df.filter("system = 'base'")
+    left = queries.select("topic", "facet", "item_no", "embedding")
+    right = stored.select("topic", "facet", F.col("item_no").alias("near_id"), F.col("embedding").alias("s_embedding"))
+    dealt = S._dealt(left, right, ["topic", "facet"], ["item_no"], 3, "l2sq", block)
+    return sum(side.count() for side in dealt)
+
+
+def test_far_blocks_get_no_vectors(spark):
+    # 20 blocks on either side: by id alone each of 800 vectors would travel 20 times
+    assert sent(spark, clustered(spark, 400, 10)[1], 20) < 800 * 20 / 3
+    # nothing is far from anything: no more than by id
+    assert sent(spark, items(spark, {("t", "base", "f"): 400, ("t", "a", "f"): 400}, dim=30)[1], 20) <= 800 * 20
+
+
+def test_large_topic_without_baseline(spark):
+    _, df = items(spark, {("t", "a", "f"): 60, ("u", "base", "f"): 60, ("v", "a", "f"): 2, ("v", "base", "f"): 1})
+    got = S.nn_similarity(df, "base", block=10).collect()
+    assert {r.topic for r in got} == {"u", "v"} and len(got) == 63
+
+
 def test_equal_vectors_rank_by_id(spark):
     rows = [("t", "s", "f", n, [1.0, 0.0]) for n in range(5)] + [("t", "s", "f", 9, [0.0, 1.0])]
     df = spark.createDataFrame(rows, SCHEMA)
