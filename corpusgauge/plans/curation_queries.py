@@ -136,7 +136,7 @@ def _label_by_title(prompt: str) -> str:
 SELECT category, concat(title, ' (', arxiv_id, ')') AS topic, arxiv_id, title FROM one""")
 def assign_topics(t):
     papers = Q.category_rollup(Q.survey_title_filter(t.v_papers)).groupBy("category", "arxiv_id").agg(F.min("title").alias("title"))
-    return Q.assign_topics(papers, _label_by_title)
+    return Q.assign_topics(papers, _label_by_title, buckets=16)
 
 
 _STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in W.stop_words())

@@ -109,12 +109,12 @@ def children_verdicts(t):
 
 
 @register("comparison_verdicts", ("v_comparisons",), f"""
-SELECT {K}, model, metric, CASE WHEN swapped THEN NOT is_better ELSE is_better END AS is_better, 'as ' || metric AS reason FROM v_comparisons WHERE metric <> 'outline' OR swapped""")
+SELECT {K}, model, metric, CASE WHEN swapped THEN NOT is_better ELSE is_better END AS is_better, 'as ' || metric || ': ' || text AS reason FROM v_comparisons JOIN documents ON topic = cast(doc_id AS varchar) WHERE metric <> 'outline' OR swapped""")
 def comparison_verdicts(t):
-    pairs = t.v_comparisons
-    verdict = F.concat(
-        F.lit('{"is_better": '), F.col("is_better").cast("string"), F.lit(', "reason": "as '), "metric", F.lit('"}')
-    )
+    texts = t.documents.select(F.col("doc_id").cast("string").alias("topic"), "text")
+    pairs = t.v_comparisons.join(texts, "topic")
+    reason = F.to_json(F.struct(F.concat(F.lit("as "), "metric", F.lit(": "), "text").alias("reason")))
+    verdict = F.concat(F.lit('{"is_better": '), F.col("is_better").cast("string"), F.lit(", "), F.substr(reason, F.lit(2)))
     # some answers hold no verdict
     raw = F.when((F.col("metric") != "outline") | F.col("swapped"), verdict).otherwise(F.lit("{}"))
     key = [*KEYS, "model", "metric"]

@@ -76,7 +76,7 @@ SELECT concat('t', cast(label AS string)) AS topic, concat('s', cast(vec_id % 5
 VIEWS["v_responses"] = """
 SELECT d.doc_id, source AS category, lang AS system, 1 + doc_id % 9 AS total, least(1 + doc_id % 9, doc_id % 7) AS supported, text AS sentence,
  concat(CASE doc_id % 4 WHEN 1 THEN 'Sure: ' WHEN 2 THEN concat('```json', chr(10)) ELSE '' END,
-  CASE WHEN doc_id % 4 = 3 AND doc_id % 8 = 7 THEN 'no json here' ELSE concat('{"total": ', cast(1 + doc_id % 9 AS string), ', "supported": ', cast(least(1 + doc_id % 9, doc_id % 7) AS string), '}') END,
+  CASE WHEN doc_id % 4 = 3 AND doc_id % 8 = 7 THEN concat('no json here: ', replace(text, '}', ')')) ELSE concat('{"total": ', cast(1 + doc_id % 9 AS string), ', "reason": "', replace(replace(replace(replace(replace(text, chr(92), '/'), '"', '`'), chr(10), ' '), chr(13), ' '), chr(9), ' '), '", "supported": ', cast(least(1 + doc_id % 9, doc_id % 7) AS string), '}') END,
   CASE doc_id % 4 WHEN 1 THEN ' done' WHEN 2 THEN concat(chr(10), '```') ELSE '' END) AS raw FROM documents d
 """
 
