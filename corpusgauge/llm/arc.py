@@ -265,12 +265,12 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
                     status, headers, payload = http_parts(content)
                     mark = http_field(headers, "X-Page-Id")
                     name = archive["path"].rsplit("/", 1)[-1]
-                    own = mark if mark is not None else f"{name}:{offset}"
+                    own, digest = mark if mark is not None else f"{name}:{offset}", base32_sha1(payload)
                     yield {
                         "file": name, "offset": offset, "version": version, "url": header["URL"], "ip": header["IP-address"],
                         "date": header["Archive-date"], "content_type": header["Content-type"], "status": status,
-                        "headers": headers, "payload": payload, "payload_digest": base32_sha1(payload),
-                        "record_id": record_id(header["Archive-date"], header["URL"], own),
+                        "headers": headers, "payload": payload, "payload_digest": digest,
+                        "record_id": record_id(header["Archive-date"], header["URL"], own, digest),
                         "page_id": None if mark is None else int(mark),
                     }
             except (ValueError, zlib.error) as e:

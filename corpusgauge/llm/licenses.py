@@ -229,6 +229,7 @@ def licenses_sql(docs: str = "documents", text: str = "text") -> str:
     """DuckDB text of the same scan over a relation with doc_id and text; joins everything with everything."""
     quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    step = step_of()
     templates = ", ".join(f"('{label}', {need}, {quoted(t)})" for label, need, t in template_sets())
     phrases = ", ".join(f"({quoted(p.split())}, '{label}')" for p, label in PHRASES.items())
     return rf"""
@@ -246,10 +247,12 @@ def licenses_sql(docs: str = "documents", text: str = "text") -> str:
         array_agg(DISTINCT label) AS labels FROM places GROUP BY rid
     ), lines AS (
       SELECT rid, regexp_extract_all(unnest(string_split(t, chr(10))), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM split
+    ), runs AS (
+      SELECT rid, w FROM lines UNION ALL SELECT rid, w FROM split
     ), windows AS (
-      SELECT rid, w, unnest(range(0, greatest(len(w) - {STEP}, 1), {STEP})) AS s FROM lines
+      SELECT rid, w, unnest(range(0, greatest(len(w) - {step}, 1), {step})) AS s FROM runs
     ), blocks AS (
-      SELECT DISTINCT rid, list_distinct(w[s + 1 : s + {BLOCK}]) AS b FROM windows
+      SELECT DISTINCT rid, list_distinct(w[s + 1 : s + {max(BLOCK, 2 * step)}]) AS b FROM windows
     ), shares AS (
       SELECT rid, label, len(list_intersect(words, b)) / len(words) AS share
       FROM blocks JOIN templates ON len(list_intersect(words, b)) >= need

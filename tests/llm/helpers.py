@@ -43,6 +43,8 @@ def rows() -> list[tuple]:
         (214, prose(55, 214) + "\nReleased under the MIT License.\nGNU General Public License and gnu general public license", "s2"),
         (215, "Licensed under the Apache License, Version 2.0.", "s2"), (216, "CC BY-NC 4.0 and cc by", "s2"),
         (217, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software!", "s2"),
+        (220, "\n".join(f"line {i}" for i in range(45)) + "\n# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are\n# met:", "s2"),
+        (221, "Permission is hereby granted, free of charge,\nto any person obtaining a copy\nof this software and associated\ndocumentation files", "s2"),
         (218, "workK mit license K", "s2"), (219, "THE OF AND\x00er", "s2"),
     ]
     found += [(5, found[5][1], "s1"), (5, found[5][1], "s1"), (6, "another text under a known id", "s2")]  # repeats

@@ -20,7 +20,7 @@ def pages(spark, rows):
 ROWS = [
     (1, "http://a.example/x", "same"), (2, "http://b.example/ y\n", "same"), (3, None, "same"), (4, "u", None), (5, "u", ""),
     (6, "u", "WARC/1.1\r\n\r\nWARC-Type: response\r\n\r\n"), (7, "u", "\x00\x00 é \n\n"), (8, "u", prose(60_000, 1)),
-    (9, "http://a.example/x", "other"), (9, "http://a.example/x", "other"), (None, "u", "same"),
+    (9, "http://a.example/x", "other"), (9, "http://a.example/x", "other"), (9, "http://a.example/x", "same"), (None, "u", "same"),
 ]
 
 
