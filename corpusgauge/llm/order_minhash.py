@@ -1,11 +1,14 @@
 """Order MinHash fingerprints, sensitive to the edit distance of texts.
 
 A text's k-mers are runs of ``K`` words, numbered by occurrence, so a repeated k-mer counts as often as it
-stands there.  The leading bits of a hash deal the numbered k-mers into ``SLOTS`` slots; in each slot the ``L`` of smallest hash
-are selected, put in the order in which they stand in the text, and hashed together.  The slots share one hash
-function, each seeing its own part of it, instead of ``SLOTS`` functions over everything; that needs one
-sort per text, by which equal k-mers come to stand together and get their numbers, too.  Two texts are as like as the share of slots, filled in either, that agree; moving
-words around changes the order in a slot and so the fingerprint, unlike with a plain MinHash.
+stands there.  The ``SLOTS`` hash functions are one hash turned around: function ``s`` counts from ``s`` parts of the
+range of hashes on, past its end to its beginning.  For each the ``L`` numbered k-mers of smallest hash are
+selected, put in the order in which they stand in the text, and hashed together, so every text of ``L`` k-mers has ``SLOTS`` whole
+tuples, however short it is.  One sort per text serves all functions, and by it equal k-mers come to stand
+together and get their numbers, too.  Two texts are as like as the share of their tuples that agree; moving
+words around changes the order in a tuple and so the fingerprint, unlike with a plain MinHash.
+
+A text and its edited text share what stands before the edit: its k-mers are made and sorted once, for both.
 
 DataFrame functions only.  Each text is exchanged once, to the range of its id, where its neighbour is.
 """
@@ -16,10 +19,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgauge.functions.text import settled
-from corpusgauge.llm.common import range_bounds, range_no, table, words_of
+from corpusgauge.llm.common import GAPS, range_bounds, range_no, table, words_of
 
 K, L = 2, 2
-#: Slots are the leading bits of a hash.
+#: The functions differ by the leading bits of the hash from which they count.
 SLOT_BITS = 6
 SLOTS = 2**SLOT_BITS
 #: Runs of more characters than this without a gap, as in texts without blanks, are cut.
@@ -33,15 +36,13 @@ def cut_long(words: Column) -> Column:
     return F.when(F.array_max(F.transform(words, F.length)) > LONG_WORD, pieces).otherwise(words)
 
 
-def kmers(words: Column) -> Column:
-    """Hashes of the k-mers with their places, ordered by hash; one k-mer when there are fewer words."""
-    last = F.greatest(F.size(words) - K, F.lit(0))
-    return F.when(
-        F.size(words) > 0,
-        F.sort_array(F.transform(
-            F.sequence(F.lit(0), last),
-            lambda i: F.struct(F.xxhash64(*[F.get(words, i + j) for j in range(K)]).alias("v"), i.alias("p")),
-        )),
+def kmers(words: Column, first: Column | None = None) -> Column:
+    """Hashes of the k-mers with their places, the first place being ``first``; a text of fewer words has one k-mer."""
+    first = F.lit(0) if first is None else first
+    n = F.when(F.size(words) >= K, F.size(words) - K + 1).when((F.size(words) > 0) & (first == 0), 1).otherwise(0)
+    return F.transform(
+        F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.struct(F.xxhash64(*[F.get(words, i + j) for j in range(K)]).alias("v"), (i + first).alias("p")),
     )
 
 
@@ -87,7 +88,8 @@ def later_ones(ordered: Column, firsts: Column) -> Column:
 
 
 def slot(x: Column) -> Column:
-    return F.shiftrightunsigned(x["v"], 64 - SLOT_BITS)
+    """The part of the range of hashes that ``x`` lies in, ascending as the hashes are sorted."""
+    return F.shiftright(x["v"], 64 - SLOT_BITS)
 
 
 def selected(ordered: Column) -> Column:
@@ -96,56 +98,111 @@ def selected(ordered: Column) -> Column:
 
 
 def slots(chosen: Column) -> Column:
-    """Per filled slot the hash of its k-mers in text order, with the slot in the leading bits."""
+    """Per hash function the hash of its k-mers in text order, with the function's number in the leading bits.
+
+    The functions that count from the part of an entry, or from one of the empty parts before it, select this entry and the next;
+    after the last comes the first.
+    """
+    n = F.size(chosen)
 
     def entry(x, i):
-        y = F.get(chosen, i + 1)
-        alone = F.coalesce(slot(y) != slot(x), F.lit(True))
+        y = F.get(chosen, (i + 1) % n)
         both = F.when(y["p"] < x["p"], F.xxhash64(y["v"], x["v"])).otherwise(F.xxhash64(x["v"], y["v"]))
-        body = F.shiftrightunsigned(F.when(alone, F.xxhash64(x["v"])).otherwise(both), SLOT_BITS)
-        opens = (i == 0) | (slot(F.get(chosen, i - 1)) != slot(x))
-        return F.when(opens, F.shiftleft(slot(x), 64 - SLOT_BITS).bitwiseOR(body))
+        body = F.shiftrightunsigned(F.when(n == 1, F.xxhash64(x["v"])).otherwise(both), SLOT_BITS)
+        before = F.when(i == 0, slot(F.get(chosen, n - 1)) - SLOTS).otherwise(slot(F.get(chosen, i - 1)))
+        numbers = F.sequence(before + 1, slot(x))
+        tuples = F.transform(numbers, lambda s: F.shiftleft(s, 64 - SLOT_BITS).bitwiseOR(body))
+        return F.when(before < slot(x), tuples).otherwise(F.array().cast("array<long>"))
 
-    return F.coalesce(F.array_compact(F.transform(chosen, entry)), F.array().cast("array<long>"))
+    return F.sort_array(F.flatten(F.transform(chosen, entry)))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the slots filled in either that agree; two texts without words are alike."""
-    numbers = lambda x: F.transform(x, lambda s: F.shiftrightunsigned(s, 64 - SLOT_BITS))
-    filled = F.size(F.array_union(numbers(a), numbers(b)))
-    return F.when(filled == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / filled)
+    """Share of the tuples that agree; two texts without words are alike, one without is unlike any other."""
+    most = F.greatest(F.size(a), F.size(b))
+    return F.when(most == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / most)
 
 
 def shown(fingerprint: Column) -> Column:
     return F.array_join(F.transform(fingerprint, lambda x: F.lower(F.hex(x))), "-")
 
 
+def stepped(df: DataFrame, keep: list[str], names: list[str], **steps) -> DataFrame:
+    """One more step for every text, from the columns of the last, named by the text and a letter."""
+    return settled(df, keep, **{f"_{n}_{letter}": fn(n) for letter, fn in steps.items() for n in names})
+
+
+def by_slots(df: DataFrame, keep: list[str], names: list[str]) -> DataFrame:
+    """``keep`` of ``df`` with the tuples of each text, from its sorted k-mers ``_<name>_s``."""
+    df = stepped(df, keep, names, s=lambda n: eligible(F.col(f"_{n}_s")))
+    df = stepped(df, keep, names, s=lambda n: F.col(f"_{n}_s"), f=lambda n: first_ones(F.col(f"_{n}_s")))
+    df = stepped(
+        df, keep, names, a=lambda n: selected(F.col(f"_{n}_f")), l=lambda n: later_ones(F.col(f"_{n}_s"), F.col(f"_{n}_f"))
+    )
+    df = stepped(df, keep, names, c=lambda n: F.sort_array(F.concat(F.col(f"_{n}_a"), selected(F.col(f"_{n}_l")))))
+    df = stepped(df, keep, names, c=lambda n: selected(F.col(f"_{n}_c")))
+    return settled(df, keep, **{n: slots(F.col(f"_{n}_c")) for n in names})
+
+
 def fingerprints(df: DataFrame, keep: list[str], **texts: str) -> DataFrame:
-    """``keep`` of ``df`` with the slots of each text column, named by the keyword."""
+    """``keep`` of ``df`` with the tuples of each text column, named by the keyword."""
     names = list(texts)
+    df = stepped(df, keep, names, w=lambda n: words_of(F.col(texts[n])))
+    df = stepped(df, keep, names, w=lambda n: cut_long(F.col(f"_{n}_w")))
+    df = stepped(df, keep, names, s=lambda n: F.sort_array(kmers(F.col(f"_{n}_w"))))
+    return by_slots(df, keep, names)
+
 
-    def then(df, **steps):
-        """One more step for every text, from the columns of the last, named by the text and a letter."""
-        return settled(df, keep, **{f"_{n}_{letter}": fn(n) for letter, fn in steps.items() for n in names})
-
-    df = then(df, w=lambda n: words_of(F.coalesce(F.col(texts[n]), F.lit(""))))
-    df = then(df, w=lambda n: cut_long(F.col(f"_{n}_w")))
-    df = then(df, s=lambda n: kmers(F.col(f"_{n}_w")))
-    df = then(df, s=lambda n: eligible(F.col(f"_{n}_s")))
-    df = then(df, s=lambda n: F.col(f"_{n}_s"), f=lambda n: first_ones(F.col(f"_{n}_s")))
-    df = then(
-        df, a=lambda n: selected(F.col(f"_{n}_f")), l=lambda n: later_ones(F.col(f"_{n}_s"), F.col(f"_{n}_f"))
+def ends_in_word(text: Column) -> Column:
+    return ~F.substr(text, F.lit(-1)).rlike(GAPS) & (F.length(text) > 0)
+
+
+def starts_with_word(text: Column) -> Column:
+    return ~F.substr(text, F.lit(1), F.lit(1)).rlike(GAPS) & (F.length(text) > 0)
+
+
+def edited_fingerprints(df: DataFrame, keep: list[str], head: str, rest: str, other: str) -> DataFrame:
+    """``keep`` of ``df`` with the tuples ``mine`` of ``head`` + ``rest`` and ``theirs`` of ``head`` + ``other``.
+
+    The same as ``fingerprints`` of the two whole texts; the words and the sorted k-mers of ``head`` serve both.
+    """
+    ends = {"mine": rest, "theirs": other}
+    split = settled(
+        df, keep, _h=words_of(F.col(head)),
+        **{f"_{n}_t": words_of(F.col(c)) for n, c in ends.items()},
+        **{f"_{n}_g": ends_in_word(F.col(head)) & starts_with_word(F.col(c)) for n, c in ends.items()},
     )
-    df = then(df, c=lambda n: F.sort_array(F.concat(F.col(f"_{n}_a"), selected(F.col(f"_{n}_l")))))
-    df = then(df, c=lambda n: selected(F.col(f"_{n}_c")))
-    return settled(df, keep, **{n: slots(F.col(f"_{n}_c")) for n in names})
+    last, common = F.slice("_h", -1, 1), F.slice("_h", 1, F.greatest(F.size("_h") - 1, F.lit(0)))
+
+    def tail(n):
+        # a word may stand across the border
+        t, glued = F.col(f"_{n}_t"), F.col(f"_{n}_g")
+        across = F.concat(F.array(F.concat(F.get("_h", F.size("_h") - 1), F.get(t, F.lit(0)))), F.slice(t, 2, F.size(t)))
+        whole = F.concat(F.when(F.size("_h") > 0, last).otherwise(F.array().cast("array<string>")), t)
+        return cut_long(F.when(glued, across).otherwise(whole))
+
+    cut = settled(split, keep, _c=cut_long(common), **{f"_{n}_t": tail(n) for n in ends})
+    shared = F.greatest(F.size("_c") - (K - 1), F.lit(0))
+    words = settled(
+        cut, keep, _shared=shared, _mine_w=F.concat("_c", "_mine_t"),
+        _theirs_w=F.concat(F.slice("_c", shared + 1, K - 1), F.col("_theirs_t")),
+    )
+    made = settled(
+        words, keep, _shared=F.col("_shared"), _mine_s=F.sort_array(kmers(F.col("_mine_w"))),
+        _theirs_s=kmers(F.col("_theirs_w"), F.col("_shared")),
+    )
+    # sorted already but for its end, which sorting makes use of
+    early = F.filter("_mine_s", lambda x: x["p"] < F.col("_shared"))
+    theirs = F.sort_array(F.concat(early, "_theirs_s"))
+    made = settled(made, keep, _mine_s=F.col("_mine_s"), _theirs_s=theirs)
+    return by_slots(made, keep, list(ends))
 
 
-def edited(text: Column, other: Column) -> Column:
-    """``text`` with its last quarter of characters replaced by the first as many of ``other``."""
+def edited(text: Column, other: Column) -> tuple[Column, Column, Column]:
+    """``text`` before its last quarter of characters, that quarter, and the first as many of ``other``, which replace it."""
     n = F.length(text)
     quarter = F.floor(n / 4).cast("int")
-    return F.concat(F.substr(text, F.lit(1), n - quarter), F.substr(other, F.lit(1), quarter))
+    return F.substr(text, F.lit(1), n - quarter), F.substr(text, n - quarter + 1, quarter), F.substr(other, F.lit(1), quarter)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -175,13 +232,13 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
     A single document is its own neighbour; an empty table gives no rows; other columns are not read.
     """
-    rows = with_next(docs).withColumn("edited", edited(F.col("text"), F.coalesce("next_text", F.lit(""))))
-    rows = settled(
-        rows, ["bucket", "no", "ghost", "doc_id", "text", "edited"],
-        n_chars=F.length("text").cast("long"), edited_sha256=F.sha2(F.encode("edited", "UTF-8"), 256),
-    )
-    keep = ["bucket", "no", "ghost", "doc_id", "n_chars", "edited_sha256"]
-    rows = fingerprints(rows, keep, mine="text", theirs="edited")
+    head, rest, other = edited(F.col("text"), F.coalesce("next_text", F.lit("")))
+    keep = ["bucket", "no", "ghost", "doc_id"]
+    rows = settled(with_next(docs), keep, n_chars=F.length("text").cast("long"), head=head, rest=rest, other=other)
+    keep = [*keep, "n_chars"]
+    whole = F.encode(F.concat("head", "other"), "UTF-8")
+    rows = settled(rows, [*keep, "head", "rest", "other"], edited_sha256=F.sha2(whole, 256))
+    rows = edited_fingerprints(rows, [*keep, "edited_sha256"], "head", "rest", "other")
     following = F.lead("mine").over(Window.partitionBy("bucket").orderBy("no"))
     return rows.withColumn("following", following).where("ghost = 0").select(
         "doc_id", "n_chars", "edited_sha256",

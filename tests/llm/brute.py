@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 
 def lower(text):
@@ -62,18 +62,18 @@ def removals(rows, width=50):
     return out
 
 
-def fingerprint(text, k, slots_of, pair, single):
-    """Order MinHash of one text, from a hash of numbered k-mers; see test_order_minhash."""
+def fingerprint(text, k, value_of, pair, single, functions=64):
+    """Order MinHash of one text, from a hash of numbered k-mers (unsigned): 64 times over all of them."""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     words = [w[i : i + 32] for w in words for i in range(0, len(w), 32)]
     grams = [tuple(words[i : i + k]) for i in range(max(len(words) - k + 1, 1))] if words else []
-    seen, slots = Counter(), defaultdict(list)
+    seen, entries = Counter(), []
     for place, gram in enumerate(grams):
-        slot, value = slots_of(gram, seen[gram])
+        entries.append((value_of(gram, seen[gram]), place))
         seen[gram] += 1
-        slots[slot].append((value, place))
     out = {}
-    for slot, entries in slots.items():
-        chosen = sorted(sorted(entries)[:2], key=lambda e: e[1])
-        out[slot] = single(chosen[0][0]) if len(chosen) == 1 else pair(chosen[0][0], chosen[1][0])
+    for s in range(functions if entries else 0):
+        least = sorted(entries, key=lambda e: (e[0] - s * (2**64 // functions)) % 2**64)[:2]
+        chosen = [v for v, _ in sorted(least, key=lambda e: e[1])]
+        out[s] = single(*chosen) if len(chosen) == 1 else pair(*chosen)
     return out

@@ -4,6 +4,8 @@ import hashlib
 import math
 import os
 import random
+import re
+from collections import Counter
 
 import brute
 import numpy as np
@@ -18,35 +20,74 @@ from corpusgauge.session import written_once
 SF = "/root/testdata/sf0.001"
 
 
-def hashes(spark, values):
-    """Spark's own hash of each tuple of strings or numbers."""
-    kinds = {}
-    for v in values:
-        kinds.setdefault(tuple(type(x).__name__ for x in v), []).append(v)
-    out = {}
-    for kind, some in kinds.items():
-        fields = ", ".join(f"c{i} {'string' if k == 'str' else 'long' if i == 0 or len(kind) == 2 and kind == ('int', 'int') else 'int'}" for i, k in enumerate(kind))
-        df = spark.createDataFrame(some, fields)
-        for r in df.select("*", F.xxhash64(*df.columns).alias("h")).collect():
-            out[tuple(r)[:-1]] = r["h"]
-    return out
+def brute_prints(spark, texts):
+    """The tuples of each text by plain loops, with Spark's hash function."""
+    cut = lambda t: [w[i : i + 32] for w in re.findall(r"[^\x20\x09-\x0D]+", t) for i in range(0, len(w), 32)]
+    grams = {}
+    for t in texts:
+        w = cut(t)
+        grams[t] = [tuple(w[i : i + 2]) for i in range(max(len(w) - 1, 1))] if w else []
+    two = spark.createDataFrame(sorted({(*g, None)[:2] for v in grams.values() for g in v}, key=repr), "a string, b string")
+    base = {tuple(x for x in (r["a"], r["b"]) if x is not None): r["h"] for r in two.select("*", F.xxhash64("a", "b").alias("h")).collect()}
+    numbered = sorted({(base[g], n) for v in grams.values() for g, c in Counter(v).items() for n in range(1, c)})
+    frame = spark.createDataFrame(numbered or [(0, 1)], "h long, n int")
+    later = {(r["h"], r["n"]): r["v"] for r in frame.select("*", F.xxhash64("h", "n").alias("v")).collect()}
+    value = lambda g, n: (base[g] if n == 0 else later[base[g], n]) % 2**64
+    tuples = {t: brute.fingerprint(t, 2, value, lambda v, w: (v, w), lambda v: (v,)) for t in texts}
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    pairs = sorted({tuple(map(signed, v)) for f in tuples.values() for v in f.values()})
+    hashed = {}
+    for size in (1, 2):
+        some = [p for p in pairs if len(p) == size]
+        if some:
+            df = spark.createDataFrame(some, ", ".join(f"c{i} long" for i in range(size)))
+            hashed |= {tuple(r)[:-1]: r["h"] for r in df.select("*", F.xxhash64(*df.columns).alias("h")).collect()}
+    return {t: {s << 58 | (hashed[tuple(map(signed, v))] % 2**64) >> 6 for s, v in f.items()} for t, f in tuples.items()}
+
+
+def alike(a, b):
+    return len(a & b) / 64 if a or b else 1.0
 
 
 def test_fingerprints_of_short_texts_by_hand(spark):
-    text = "a b a b a b c d a b"
-    got = order_minhash.fingerprints(spark.createDataFrame([(1, text)], "doc_id long, text string"), ["doc_id"], f="text").first()["f"]
-    grams = [tuple(text.split()[i : i + 2]) for i in range(9)]
-    base = hashes(spark, sorted(set(grams)))
-    later = {(h, n): spark.range(1).select(F.xxhash64(F.lit(h).cast("long"), F.lit(n))).first()[0] for h in base.values() for n in range(1, 5)}
-    one = lambda v: spark.range(1).select(F.xxhash64(F.lit(v).cast("long"))).first()[0]
-    two = lambda v, w: spark.range(1).select(F.xxhash64(F.lit(v).cast("long"), F.lit(w).cast("long"))).first()[0]
-
-    def slots_of(gram, n):
-        v = base[gram] if n == 0 else later[base[gram], n]
-        return (v % 2**64) >> 58, v
-
-    want = brute.fingerprint(text, 2, slots_of, two, one)
-    assert sorted(x % 2**64 for x in got) == sorted(slot << 58 | (h % 2**64) >> 6 for slot, h in want.items())
+    texts = ["a b a b a b c d a b", "a", "a b", "a b c", "x x x x x x x", "x" * 100, " ", prose(30, 1), prose(150, 2), prose(700, 3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = order_minhash.fingerprints(df, ["doc_id"], f="text").collect()
+    want = brute_prints(spark, texts)
+    for r in got:
+        assert sorted(x % 2**64 for x in r["f"]) == sorted(want[texts[r["doc_id"]]])
+
+
+def test_neighbours_by_brute_force(spark):
+    long = prose(40, 5)
+    texts = [
+        "", " ", "a", "ab", "a b", "a b c", "one two three four", "onetwothreefour" * 9, " lead and trail  ", long, long[:-3] + " ", long,
+        "\t\n" * 9 + "word", "é 漢字 " * 30, "x " * 200, prose(300, 6), prose(300, 7), "word" * 3 + " " * 4, None, "tail",
+    ]
+    plain = [t or "" for t in texts]
+    want, others = [], []
+    for t, after in zip(plain, plain[1:] + plain[:1], strict=True):
+        cut = len(t) // 4
+        others.append(t[: len(t) - cut] + after[:cut])
+    prints = brute_prints(spark, sorted({*plain, *others}))
+    shown = lambda f: "-".join(f"{x:x}" for x in sorted(f, key=lambda x: (x + 2**63) % 2**64))
+    for i, (t, e) in enumerate(zip(plain, others, strict=True)):
+        after = plain[(i + 1) % len(plain)]
+        want.append((i, shown(prints[t]), shown(prints[e]), alike(prints[t], prints[e]), alike(prints[t], prints[after])))
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").repartition(3)
+    got = order_minhash.neighbours(df).collect()
+    assert sorted((r["doc_id"], r["fingerprint"].lower(), r["edited_fingerprint"].lower(), r["near_edited"], r["near_next"]) for r in got) == want
+
+
+@pytest.mark.parametrize("n", [20, 40, 60, 100, 400])
+def test_swapped_halves_are_half_alike(spark, n):
+    rows_ = []
+    for i in range(30):
+        words = [f"w{i}x{j}" for j in range(n)]
+        rows_.append((i, " ".join(words), " ".join(words[n // 2 :] + words[: n // 2])))
+    df = order_minhash.fingerprints(spark.createDataFrame(rows_, "doc_id long, a string, b string"), ["doc_id"], a="a", b="b")
+    got = df.select(F.avg(order_minhash.likeness(F.col("a"), F.col("b")))).first()[0]
+    assert 0.35 < got < 0.58
 
 
 @pytest.mark.parametrize("per_range", [5, 2_000])
