@@ -8,13 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusgauge.functions.joins import spread_join
 from corpusgauge.functions.numbers import half_up, ratio
 from corpusgauge.functions.text import LEFT_EDGE, RIGHT_EDGE, WS, bound, find_all, settled, strip, stripped_parts
 from corpusgauge.session import written_once
 
 NUMBERED_CLAIM = rf"\d+\.{WS}*([^\n]+)"
 CLAIM_LABEL = r"\AClaim \d+: "
+#: Claims in one band that meet the same member in one task.
+MEETINGS = 1_000
 PUNCTUATION = r"""[!-/:-@\[-`{-~]"""
 WHOLE_NUMBER = rf"{LEFT_EDGE}\d+{RIGHT_EDGE}"
 
@@ -69,9 +70,9 @@ def claims_near_dedup(
     Candidates share a band of a MinHash signature: a pair at 0.8 is missed with a chance of 0.488 to the power 20, 6e-7, one further
     apart is checked exactly before anything goes.
 
-    A claim meets the members of its bands from the first on, 1, 2, 4 ... at a time, until one of them is near; it
-    then asks no more.  So of many near copies each meets a few, no pairs of a whole band are made, and rounds grow with the logarithm
-    of the longest band.
+    A claim meets the first member of its bands, which the window over a band hands it, and then the members after it, 2, 4 ... at a
+    time, until one of them is near; it then asks no more.  So of many near copies each meets a few, no pairs of a whole band are made,
+    and rounds grow with the logarithm of the longest band.  Members whose numbers of words rule them out are not compared.
     """
     keys = list(keys)
     order = [F.col("claim_no"), F.col("_norm")]
@@ -83,34 +84,47 @@ def claims_near_dedup(
     # a band is known by a hash over the document as well; the check compares both again
     own = F.xxhash64("_band", F.struct(*keys))
     banded = nodes.where(F.size("_words") > 0).select(
-        *keys, "_id", "claim_no", "_norm", F.explode(word_signature(F.col("_words"), bands, rows)).alias("_band")
+        *keys, "_id", "claim_no", "_norm", F.size("_words").alias("_size"),
+        F.explode(word_signature(F.col("_words"), bands, rows)).alias("_band"),
     ).withColumn("_band", own)
     by_band = Window.partitionBy("_band").orderBy(*order)
-    placed = banded.select("_band", "_id", (F.row_number().over(by_band) - 1).alias("_at"), F.lead("_id").over(by_band).alias("_next"))
+    member = F.struct("_id", "_size")
+    placed = banded.select(
+        "_band", "_id", "_size", (F.row_number().over(by_band) - 1).alias("_at"),
+        F.first(member).over(by_band).alias("_head"), F.lead("_id").over(by_band).alias("_next"),
+    )
     placed = written_once(placed.where((F.col("_at") > 0) | F.col("_next").isNotNull()).drop("_next"))
-    firsts = placed.select("_band", "_at", F.col("_id").alias("_first"))
-    asking, found, low = placed.where("_at > 0"), [], 0
-    while not asking.isEmpty():
+    # those that meet one member stand in parts, so that a member whom many meet is in as many tasks
+    asking = placed.where("_at > 0").withColumn("_part", F.floor(F.col("_at") / MEETINGS))
+    met, found, low = asking, [], 1
+    while True:
+        able = 100 * F.least("_size", "_head._size") >= percent * F.greatest("_size", "_head._size")
+        pairs = met.where(able).groupBy("_id", F.col("_head._id").alias("_first")).agg(F.min("_part").alias("_part"))
+        near = written_once(_near(written_once(pairs), nodes, keys, percent))
+        found.append(near)
+        asking = written_once(asking.where(F.col("_at") > low).join(near, "_id", "left_anti").drop("_head"))
+        if asking.isEmpty():
+            break
         high = 2 * low + 1  # members from low up to this
         meets = F.explode(F.sequence(F.lit(low), F.least(F.lit(high - 1), F.col("_at") - 1)))
-        met = spread_join(asking.select("_band", "_id", meets.alias("_at")), firsts, ["_band", "_at"], "inner", spread_by=["_id"])
-        near = written_once(_near(met.select("_id", "_first").distinct(), nodes, keys, percent))
-        found.append(near)
-        asking = written_once(asking.where(F.col("_at") > high - 1).join(near, "_id", "left_anti").where(F.col("_at") > high))
+        members = placed.where(F.col("_at").between(low, high - 1)).select("_band", "_at", member.alias("_head"))
+        met = _joined_in_parts(asking.select("_band", "_id", "_size", "_part", meets.alias("_at")), members, ["_band", "_at"])
         low = high
     kept = reduce(lambda left, near: left.join(near, "_id", "left_anti"), found, nodes)
     return kept.select(*keys, "claim_no", "claim", "copies")
 
 
+def _joined_in_parts(rows: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined with the one row of their key; a copy of it goes to each ``_part`` in which ``rows`` has the key."""
+    copies = rows.select(*keys, "_part").distinct().join(per_key, keys)
+    return rows.join(copies, [*keys, "_part"])
+
+
 def _near(pairs: DataFrame, nodes: DataFrame, keys: Sequence[str], percent: int) -> DataFrame:
     """(_id) of the pairs whose sets of words are near; a set that many are compared with is joined in parts."""
-    document = F.struct(*keys)
-    sets = nodes.select("_id", document.alias("_doc"), "_words")
-    wanted = pairs.select(F.col("_first").alias("_id")).distinct()
-    first = sets.join(wanted, "_id", "left_semi").select(
-        F.col("_id").alias("_first"), F.col("_doc").alias("_first_doc"), F.col("_words").alias("_first_words")
-    )
-    both = spread_join(pairs.join(sets, "_id"), first, ["_first"], "inner", spread_by=["_id"])
+    sets = nodes.select("_id", F.struct(*keys).alias("_doc"), "_words")
+    first = sets.select(F.col("_id").alias("_first"), F.col("_doc").alias("_first_doc"), F.col("_words").alias("_first_words"))
+    both = _joined_in_parts(pairs, first, ["_first"]).join(sets, "_id")
     shared = F.size(F.array_intersect("_words", "_first_words"))
     near = 100 * shared >= percent * (F.size("_words") + F.size("_first_words") - shared)
     return both.where(F.col("_doc").eqNullSafe(F.col("_first_doc")) & near).select("_id").distinct()
