@@ -98,8 +98,8 @@ def step_of(templates=None) -> int:
     return max(STEP, *(len(text.split()) for _, _, text in templates or TEMPLATES), 0)
 
 
-def blocks_of(text: Column, all_words: Column, vocabulary: Column, step: int = STEP) -> Column:
-    """Blocks as (n distinct words, template words): windows of each line, and of the whole text across its lines."""
+def blocks_of(text: Column, all_words: Column, vocabulary: Column, step: int = STEP, least: int = 1) -> Column:
+    """Blocks as (n distinct words, template words), ``least`` of these at least: windows of each line, and of the whole text across its lines."""
     block = max(BLOCK, 2 * step)
 
     def cut(w):
@@ -114,7 +114,7 @@ def blocks_of(text: Column, all_words: Column, vocabulary: Column, step: int = S
             windows,
             lambda b: F.struct(F.size(F.array_distinct(b)).alias("n"), F.array_intersect(b, vocabulary).alias("has")),
         ),
-        lambda b: F.size(b["has"]) > 0,
+        lambda b: F.size(b["has"]) >= least,
     )
 
 
@@ -136,7 +136,8 @@ def scanned(docs: DataFrame, templates=None) -> DataFrame:
         has=F.array_intersect(w, vocabulary),
         places=F.when(may_hold & (F.size(w) > 0), places).otherwise(F.array().cast("array<int>")),
     )
-    enough = _any(F.size(F.array_intersect("has", literal(t))) >= need for _, need, t in sets)
+    # one number for all templates; which of them a block may meet is left to the join
+    least = max(min((need for _, need, _ in sets), default=1), 1)
     labels = F.array(*[
         F.when(_stands_at(F.col("places"), w, p), F.lit(label)) for p, label in PHRASES.items()
     ])
@@ -145,7 +146,7 @@ def scanned(docs: DataFrame, templates=None) -> DataFrame:
         F.size("places").cast("long").alias("n_base"),
         F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"),
         F.array_sort(F.array_distinct(F.array_compact(labels))).alias("base"), "has",
-        F.when(enough, blocks_of(F.col("t"), w, vocabulary, step_of(templates))).alias("blocks"),
+        F.when(F.size("has") >= least, blocks_of(F.col("t"), w, vocabulary, step_of(templates), least)).alias("blocks"),
     )
 
 
