@@ -71,14 +71,14 @@ def reference_quality(verdicts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def sim_adjust(
-    scores: DataFrame, similarity: DataFrame, baseline: str = BASELINE
+    scores: DataFrame, similarity: DataFrame, baseline: str = BASELINE, unbased: bool = False
 ) -> DataFrame:
     """Blend each score with the baseline's by the facet similarity ``s``.
 
     ``balanced`` is ``(1-s)*score + s*baseline score``, ``perfect`` puts 5 or
     100 in place of the baseline score.  Missing scores and similarities count
-    as zero; a document whose baseline has no result at all gives no rows.  Both inputs are keyed by document;
-    ``similarity`` is long with ``facet`` and ``mean_score``.
+    as zero; a document whose baseline has no result at all gives no rows, or with ``unbased`` rows with zeros
+    for the baseline's.  Both inputs are keyed by document; ``similarity`` is long with ``facet`` and ``mean_score``.
     """
     doc = ["category", "topic", "system", "model"]
     # one row per result file, so that the joins move a tenth of the rows
@@ -91,7 +91,7 @@ def sim_adjust(
     means = similarity.groupBy("category", "topic", "system").agg(
         *[F.max(F.when(F.col("facet") == f, F.col("mean_score"))).alias(f"sim_{f}") for f in FACET_METRICS]
     )
-    joined = spread_join(wide, own, ["category", "topic", "model"], "inner", spread_by=doc).join(
+    joined = spread_join(wide, own, ["category", "topic", "model"], "left" if unbased else "inner", spread_by=doc).join(
         means, ["category", "topic", "system"], "left"
     )
 

@@ -177,9 +177,9 @@ _UNBASED = _ALL.replace("v_scores", "v_unbased")
 _BASED = "JOIN (SELECT DISTINCT category, topic, model FROM v_unbased WHERE system = 'view') h USING (category, topic, model)"
 
 
-@register("sim_adjust_balanced", ("v_unbased", "v_similarity"), f"WITH {_UNBASED} SELECT {_KEYS5}, {hu('balanced', 6)} AS value FROM blend {_BASED}")
+@register("sim_adjust_balanced", ("v_scores", "v_similarity"), f"WITH {_ALL} SELECT {_KEYS5}, {hu('balanced', 6)} AS value FROM blend")
 def sim_adjust_balanced(t):
-    out = M.sim_adjust(t.v_unbased, t.v_similarity, baseline="view")
+    out = M.sim_adjust(t.v_scores, t.v_similarity, baseline="view", unbased=True)
     return out.select("category", "topic", "system", "model", "metric", R.half_up(F.col("balanced"), 6).alias("value"))
 
 

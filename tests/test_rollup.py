@@ -82,6 +82,31 @@ def test_blend_ends(spark):
                 assert r.perfect == (100.0 if r.metric in ("Outline_structure", "Faithfulness", "Reference_quality") else 5.0)
 
 
+def test_blend_of_documents_without_a_baseline_result(spark):
+    cells = "category string, topic string, system string, model string, metric string, value double"
+    df = spark.createDataFrame([("c", "1", "s", "m", "Outline", 4.0), ("c", "2", "pdfs", "m", "Outline", 3.0)], cells)
+    sim = spark.createDataFrame([("c", "1", "s", "outline", 0.5)], "category string, topic string, system string, facet string, mean_score double")
+    assert {r.topic for r in M.sim_adjust(df, sim).collect()} == {"2"}
+    got = {(r.topic, r.metric): (r.plain, r.balanced, r.perfect) for r in M.sim_adjust(df, sim, unbased=True).collect()}
+    assert len(got) == 20 and got["1", "Outline"] == (4.0, 2.0, 4.5) and got["1", "Coverage"] == (0.0, 0.0, 0.0)
+
+
+def of_all_topics(spark, key):
+    """Whether a query blends every document of v_scores, in all metrics."""
+    from corpusgauge.plans import load
+    from corpusgauge.plans.views import view
+
+    doc = ["category", "topic", "system", "model"]
+    sf_dir = "/root/testdata/sf0.001"
+    rows = load()[0][key](spark, sf_dir)
+    docs = view(spark, sf_dir, "v_scores").select(*doc).distinct()
+    return rows.groupBy(*doc).count().where("count = 10").select(*doc).exceptAll(docs).isEmpty() and rows.count() == 10 * docs.count()
+
+
+def test_balanced_blend_is_of_all_documents(spark):
+    assert of_all_topics(spark, "sim_adjust_balanced")
+
+
 def test_leaderboard(spark):
     rows = [
         ("c", "1", "s", "m", "Outline", 4.0, 3.0, 5.0), ("c", "2", "s", "m", "Faithfulness", 50.0, 60.0, 80.0),
