@@ -33,6 +33,30 @@ def spread_join(
     return salted.join(copies, [*keys, "_split"], how).drop("_split")
 
 
+#: Rows of one key that a single task may still join.
+HOT_ROWS = 10_000
+
+
+def left_join_hot_keys_apart(rows: DataFrame, per_key: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Left join where both sides are long and a few keys may hold a third of ``rows``.
+
+    ``per_key`` holds at most one row per key.  Keys with more than ``hot_rows`` rows, as a count of the keys alone finds
+    them, are at most one row in ``hot_rows``: they are joined by broadcast, all others by one exchange without copies.
+    Null keys meet nothing and are not exchanged.
+    """
+    keyed = rows.where(F.col(key).isNotNull())
+    counted = keyed.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot_rows)
+    hot = [r[0] for r in counted.select(key).collect()]
+    added = [f for f in per_key.schema.fields if f.name != key]
+    none = rows.where(F.col(key).isNull()).withColumns({f.name: F.lit(None).cast(f.dataType) for f in added})
+    if not hot:
+        return keyed.join(per_key, key, "left").unionByName(none)
+    listed = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in hot], rows.select(key).schema))
+    cold = keyed.join(listed, key, "left_anti").join(per_key, key, "left")
+    warm = keyed.join(listed, key, "left_semi").join(F.broadcast(per_key.join(listed, key, "left_semi")), key, "left")
+    return cold.unionByName(warm).unionByName(none)
+
+
 BROADCAST_ROWS = 100_000
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import queue
 import re
 import string
 import threading
@@ -221,15 +222,22 @@ def _answered(scorer, prompt, attempts: int, delay: float, timeout: float | None
 def _in_thread(call, *args) -> Future:
     """The result of a call in a thread of its own, which ends with the process even if the call hangs."""
     found = Future()
+    threading.Thread(target=_settle, args=(found, call, *args), daemon=True).start()
+    return found
 
-    def run():
-        try:
-            found.set_result(call(*args))
-        except BaseException as failure:  # noqa: BLE001 - raised where the result is read
-            found.set_exception(failure)
 
-    threading.Thread(target=run, daemon=True).start()
-    return found
+def _settle(found: Future, call, *args) -> None:
+    try:
+        found.set_result(call(*args))
+    except BaseException as failure:  # noqa: BLE001 - raised where the result is read
+        found.set_exception(failure)
+
+
+def _serve(waiting: queue.SimpleQueue, call) -> None:
+    """Settles what waits, one after the other, up to a None: a thread for each prompt would cost more than a short call."""
+    while (item := waiting.get()) is not None:
+        found, prompt = item
+        _settle(found, call, prompt)
 
 
 def judge_apply(
@@ -256,13 +264,20 @@ def judge_apply(
         if calls == 1:
             yield from map(ask, prompts)
             return
-        window = deque()
-        for prompt in prompts:
-            if len(window) == calls:
+        window, waiting = deque(), queue.SimpleQueue()
+        for _ in range(calls):
+            threading.Thread(target=_serve, args=(waiting, ask), daemon=True).start()
+        try:
+            for prompt in prompts:
+                if len(window) == calls:
+                    yield window.popleft().result()
+                window.append(Future())
+                waiting.put((window[-1], prompt))
+            while window:
                 yield window.popleft().result()
-            window.append(_in_thread(ask, prompt))
-        while window:
-            yield window.popleft().result()
+        finally:
+            for _ in range(calls):
+                waiting.put(None)
 
     def answer(batches: Iterator) -> Iterator:
         for batch in batches:

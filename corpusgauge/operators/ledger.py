@@ -12,13 +12,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgauge.functions.joins import spread_join
+from corpusgauge.functions.joins import left_join_hot_keys_apart
 from corpusgauge.operators.judging import judge_apply
 from corpusgauge.session import written_once
 
 LEDGER = "digest string, raw string, model string"
 #: Prompts asked by one task, whose answers are lost if it dies.
 PROMPTS_PER_TASK = 200
+#: Most tasks of a run; beyond, each asks more prompts, and one that dies loses a thousandth of the run.
+MOST_TASKS = 1_000
 
 
 def _append(rows: DataFrame, path: str) -> None:
@@ -52,19 +54,26 @@ def judge_once(
     Only prompts without an answer of ``model`` are asked, equal ones once; ``calls`` go to
     :func:`judge_apply`.  Prompts without an answer stay out of the ledger and are asked again by the next run, null
     prompts are never asked.  Two runs at a time may both ask a prompt; the smaller answer then counts for all.
+    A run has at most ``MOST_TASKS`` tasks; below, each asks ``prompts_per_task`` prompts.
     ``requests`` must not have a column ``digest`` or ``raw``.
     """
     spark = requests.sparkSession
     asked = written_once(with_digest(requests))
     known = ledger_answers(spark, path, model)
-    todo = (
-        asked.where("digest IS NOT NULL").select("digest", "prompt").join(known, "digest", "left_anti").dropDuplicates(["digest"])
-    )
-    todo = written_once(todo)
-    tasks = -(-todo.count() // prompts_per_task)
-    if tasks:
-        answers = judge_apply(todo.repartition(tasks, "digest"), scorer, **calls).where("raw IS NOT NULL")
+    # equal prompts fold before they are exchanged; only digests are read to count what is left
+    prompts = asked.where("digest IS NOT NULL").select("digest", "prompt").dropDuplicates(["digest"])
+    left = prompts.select("digest").distinct().join(known.select("digest"), "digest", "left_anti").count()
+    if left:
+        todo = prompts.join(known.select("digest"), "digest", "left_anti")
+        dealt = todo.repartition(_tasks(left, prompts_per_task), "digest")
+        answers = judge_apply(dealt, scorer, **calls).where("raw IS NOT NULL")
         _append(answers.withColumn("model", F.lit(model)), path)
-    # equal prompts may be a third of all: the one answer is repeated and joined in parts
+    # equal prompts may be a third of all
     rest = asked.drop("prompt")
-    return spread_join(rest, ledger_answers(spark, path, model), ["digest"]).select(*[c for c in rest.columns if c != "digest"], "raw")
+    found = left_join_hot_keys_apart(rest, ledger_answers(spark, path, model), "digest")
+    return found.select(*[c for c in rest.columns if c != "digest"], "raw")
+
+
+def _tasks(prompts: int, prompts_per_task: int) -> int:
+    """Tasks for so many prompts: blocks of an exchange grow with its readers, so their number has a bound."""
+    return min(-(-prompts // prompts_per_task), MOST_TASKS)

@@ -215,6 +215,31 @@ def test_calls_at_once_keep_the_order_and_their_limit(spark, tmp_path):
     assert 2 <= most <= 5
 
 
+def test_tasks_of_a_ledger_run_are_bounded(spark, tmp_path, monkeypatch):
+    from corpusgauge.operators import ledger as G
+
+    assert (G._tasks(41, 20), G._tasks(21_500_000, G.PROMPTS_PER_TASK)) == (3, G.MOST_TASKS)
+    dealt, plain = [], G.judge_apply
+    monkeypatch.setattr(G, "MOST_TASKS", 3)
+    monkeypatch.setattr(G, "judge_apply", lambda rows, *rest, **calls: dealt.append(rows.rdd.getNumPartitions()) or plain(rows, *rest, **calls))
+    asked = spark.createDataFrame([(n, f"p{n}") for n in range(40)], "id int, prompt string")
+    got = {r.id: r.raw for r in G.judge_once(asked, str.upper, str(tmp_path / "l"), prompts_per_task=2).collect()}
+    assert got == {n: f"P{n}" for n in range(40)} and dealt == [3]
+
+
+def test_answers_of_hot_prompts_are_joined_apart(spark):
+    from corpusgauge.functions.joins import left_join_hot_keys_apart
+
+    rows = spark.createDataFrame([(n, "hot" if n < 30 else "lost" if n < 50 else None if n < 55 else f"k{n}") for n in range(60)], "n int, k string")
+    per_key = spark.createDataFrame([("hot", "a"), *[(f"k{n}", f"v{n}") for n in range(55, 58)]], "k string, v string")
+    want = {n: "a" if n < 30 else f"v{n}" if 55 <= n < 58 else None for n in range(60)}
+    for hot_rows in (5, 1000):
+        found = left_join_hot_keys_apart(rows, per_key, "k", hot_rows).collect()
+        assert len(found) == 60 and {r.n: r.v for r in found} == want
+    text = left_join_hot_keys_apart(rows, per_key, "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in text  # no copies of the answers
+
+
 def test_a_run_that_dies_leaves_its_answers(spark, tmp_path):
     import os
 
