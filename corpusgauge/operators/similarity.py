@@ -16,7 +16,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,7 +24,10 @@ from corpusgauge.functions.joins import broadcast_if_small, spread_join
 from corpusgauge.schema import BASELINE, TOP_ITEMS
 from corpusgauge.session import written_once
 
+#: Items of a block at most, unless a caller asks for more.
 BLOCK = 2048
+#: Blocks of a group up to which its blocks grow with it.
+FEW_BLOCKS = 8
 #: Most pivots of a topic and facet; beyond, what lies around a pivot is cut into blocks by id.
 PIVOTS = 64
 #: Stored vectors of a topic and facet that pivots are chosen from.
@@ -33,17 +36,24 @@ SLACK = 1e-9
 
 
 def _large_groups(queries: DataFrame, stored: DataFrame, group: list[str], size: int) -> DataFrame:
-    """Number of blocks per group on either side, where it is more than one; 0 where a side has no items."""
+    """Number of blocks per group on either side, where it is more than one; 0 where a side has no items.
+
+    ``size`` is the least size of a block: an item travels once per block that it meets, so a side of more than
+    ``FEW_BLOCKS`` such blocks has larger ones, of up to ``BLOCK`` items.
+    """
     rows = queries.select(*group, F.lit(1).alias("q"), F.lit(0).alias("s")).unionByName(
         stored.select(*group, F.lit(0).alias("q"), F.lit(1).alias("s"))
     )
     counts = rows.groupBy(*group).agg(F.sum("q").alias("q"), F.sum("s").alias("s"))
-    blocks = counts.select(
-        *group,
-        F.ceil(F.col("q") / size).cast("int").alias("q_blocks"),
-        F.ceil(F.col("s") / size).cast("int").alias("s_blocks"),
-    )
-    return blocks.filter("q_blocks > 1 OR s_blocks > 1")
+
+    def blocks(n: str) -> Column:
+        return F.ceil(F.col(n) / _block_size(F.col(n), size)).cast("int").alias(f"{n}_blocks")
+
+    return counts.select(*group, blocks("q"), blocks("s")).filter("q_blocks > 1 OR s_blocks > 1")
+
+
+def _block_size(items: Column, size: int) -> Column:
+    return F.greatest(F.lit(size), F.least(F.lit(BLOCK), F.ceil(items / FEW_BLOCKS)))
 
 
 def _pivots(stored: DataFrame, large: DataFrame, group: list[str], metric: str) -> DataFrame:
@@ -160,8 +170,9 @@ def _plan(cells: DataFrame, pivots: DataFrame, group: list[str], k: int, block:
                 blocks = {"q": int(r["q_blocks"]), "s": int(r["s_blocks"])}
                 points = {s: _points(r["_pivots"], blocks[s]) for s in "qs"}
                 open_pairs = _open_pairs(points["q"], points["s"], side["q"], side["s"], k)
-                cut = {s: np.array([-(-n // block) for _, n, _ in side[s]]) for s in "qs"}
                 number = {s: np.array([n for _, n, _ in side[s]]) for s in "qs"}
+                size = {s: max(block, min(BLOCK, -(-int(number[s].sum()) // FEW_BLOCKS))) for s in "qs"}
+                cut = {s: -(-number[s] // size[s]) for s in "qs"}
                 copies = (open_pairs * (number["q"][:, None] * cut["s"] + cut["q"][:, None] * number["s"])).sum()
                 by_id = copies > number["q"].sum() * blocks["s"] + number["s"].sum() * blocks["q"]
                 for s, t, met in (("q", "s", open_pairs), ("s", "q", open_pairs.T)):
@@ -185,20 +196,28 @@ def _dealt(
     ``stored`` has the group's columns, ``near_id`` and ``s_embedding``.  A block follows from the item's own values, so
     a repeated task rebuilds it.  A pair of blocks has a key, and so a task, of its own.
     """
-    counted = _large_groups(queries, stored, group, block)
+    counted = written_once(_large_groups(queries, stored, group, block))
     # as a rule few groups are large: their list is then broadcast, on a count
-    large = broadcast_if_small(counted)
+    listed = broadcast_if_small(counted)
     one = {c: F.lit(0) for c in PAIR}
-    if large is not counted and large.isEmpty():
+    if counted.isEmpty():
         return queries.withColumns(one), stored.withColumns(one)
-
-    def parts(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-        return items.join(large, group, "left_anti"), items.join(large, group, "left_semi")
-
-    small_q, big_q = parts(queries)
-    small_s, big_s = parts(stored)
+    # where the stored side is one block every query meets all of it, and pivots would rule nothing out
+    wide, large = counted.filter("s_blocks = 1"), listed.filter("s_blocks > 1")
+    by_id = F.pmod(F.xxhash64(*[F.col(c) for c in ids]), F.col("q_blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1))
+
+    def apart(items: DataFrame, by: list[str], q_block: Column) -> DataFrame:
+        met = spread_join(items, wide.select(*group, "q_blocks"), group, "inner", spread_by=by)
+        dealt = met.withColumns({c: F.lit(0) for c in PAIR if c != "q_block"}).withColumn("q_block", q_block)
+        return items.join(listed, group, "left_anti").withColumns(one).unionByName(dealt.select(*items.columns, *PAIR))
+
+    small_q, small_s = apart(queries, ids, by_id), apart(stored, ["near_id"], every)
+    if counted.filter("s_blocks > 1").isEmpty():
+        return small_q, small_s
+    big_q, big_s = (items.join(large, group, "left_semi") for items in (queries, stored))
     # items of large groups without any item on the other side go no further
-    pivots = written_once(_pivots(big_s, large.filter("q_blocks > 0 AND s_blocks > 0"), group, metric))
+    pivots = written_once(_pivots(big_s, large.filter("q_blocks > 0"), group, metric))
     near_q = written_once(_around_pivots(big_q, pivots, group, ids, "embedding", "q_blocks", metric))
     near_s = written_once(_around_pivots(big_s, pivots, group, ["near_id"], "s_embedding", "s_blocks", metric))
     cells = [
@@ -220,8 +239,8 @@ def _dealt(
         )
 
     return (
-        small_q.withColumns(one).unionByName(sent(near_q, queries.columns, "q", "s", ids)),
-        small_s.withColumns(one).unionByName(sent(near_s, stored.columns, "s", "q", ["near_id"])),
+        small_q.unionByName(sent(near_q, queries.columns, "q", "s", ids)),
+        small_s.unionByName(sent(near_s, stored.columns, "s", "q", ["near_id"])),
     )
 
 
@@ -241,7 +260,7 @@ def _best(queries: np.ndarray, truth: np.ndarray, ids: np.ndarray, k: int, metri
     """For each query (positions of, distances to) its ``k`` nearest, ties by id.
 
     The matrix product finds the candidates up to rounding; their distances
-    are then summed directly, so equal vectors stay equal.
+    are then summed directly, so equal vectors stay equal.  Queries without a candidate too many are done at once.
     """
     if metric == "cosine":
         scale = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(truth, axis=1)[None, :]
@@ -251,8 +270,21 @@ def _best(queries: np.ndarray, truth: np.ndarray, ids: np.ndarray, k: int, metri
     k = min(k, truth.shape[0])
     edge = np.partition(rough, k - 1, axis=1)[:, k - 1]
     scale = 1.0 + np.abs(edge)
+    close = rough <= (edge + SLACK * scale)[:, None]
+    plain = (close.sum(axis=1) == k) & (metric == "l2sq")
+    sorted_near = np.argsort(ids, kind="stable")
+    at = np.nonzero(close[plain][:, sorted_near])[1].reshape(-1, k)
+    at = sorted_near[at]  # by id, which a stable sort by distance keeps
+    away = np.empty(at.shape)
+    for j in range(k):
+        away[:, j] = np.round(((truth[at[:, j]] - queries[plain]) ** 2).sum(axis=1), 12)
+    order = np.argsort(away, axis=1, kind="stable")
+    ready = zip(np.take_along_axis(at, order, axis=1), np.take_along_axis(away, order, axis=1))
     for q in range(queries.shape[0]):
-        near = np.flatnonzero(rough[q] <= edge[q] + SLACK * scale[q])
+        if plain[q]:
+            yield next(ready)
+            continue
+        near = np.flatnonzero(close[q])
         exact = np.round(_distances(truth[near], queries[q], metric), 12)
         order = np.lexsort((ids[near], exact))[:k]
         yield near[order], exact[order]

@@ -103,6 +103,19 @@ def test_far_blocks_get_no_vectors(spark):
     assert sent(spark, items(spark, {("t", "base", "f"): 400, ("t", "a", "f"): 400}, dim=30)[1], 20) <= 800 * 20
 
 
+def test_blocks_grow_with_their_group(spark):
+    # blocks of 3 would send each of 600 vectors 100 times
+    assert sent(spark, items(spark, {("t", "base", "f"): 300, ("t", "a", "f"): 300}, dim=30)[1], 3) <= 600 * S.FEW_BLOCKS
+
+
+def test_one_stored_block_needs_no_pivots(spark, monkeypatch):
+    monkeypatch.setattr(S, "_pivots", None)
+    rows, df = items(spark, {("t", "base", "f"): 4, ("t", "a", "f"): 90, ("u", "a", "f"): 90, ("v", "base", "f"): 2, ("v", "a", "f"): 3})
+    got = {(r.topic, r.system, r.facet, r.item_no): r.score for r in S.nn_similarity(df, "base", block=10).collect()}
+    want = brute(rows, "base")
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
 def test_large_topic_without_baseline(spark):
     _, df = items(spark, {("t", "a", "f"): 60, ("u", "base", "f"): 60, ("v", "a", "f"): 2, ("v", "base", "f"): 1})
     got = S.nn_similarity(df, "base", block=10).collect()
