@@ -199,3 +199,11 @@ def test_only_stale_facets_reach_the_embedder(spark, tmp_path):
     board = {(r.system, r.type): r.Outline for r in adjusted_leaderboard(docs, scores, old).collect()}
     assert board[("b", "perfect")] == 4.5 and board[("b", "balanced")] == 4.0 and ("a", "plain") in board
     assert refreshed_similarity(docs.limit(0), old).collect() == []
+
+
+def test_letter_shares_count_letters_alone():
+    from corpusgauge.plans.evaluation import letter_shares
+
+    texts = ["", "a", "zzaäß☃a", "ABC", "the quick brown fox " * 30, "\x00a\ud800"]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    assert letter_shares(texts) == [[t.count(c) / max(len(t), 1) for c in letters] for t in texts]
