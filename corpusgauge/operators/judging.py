@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import Future
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -281,11 +282,18 @@ def judge_apply(
 
     def answer(batches: Iterator) -> Iterator:
         for batch in batches:
-            yield batch.drop(columns="prompt").assign(raw=list(raws(batch["prompt"])))
+            at = batch.schema.get_field_index("prompt")
+            # long prompts leave the batch one by one, so no second copy of them all is made
+            found = pa.array(raws(p.as_py() for p in batch.column(at)), pa.string())
+            rest = [c for n, c in enumerate(batch.columns) if n != at]
+            names = [name for n, name in enumerate(batch.schema.names) if n != at]
+            yield pa.RecordBatch.from_arrays([*rest, found], names=[*names, "raw"])
+            del batch, rest
+            pa.default_memory_pool().release_unused()
 
     kept = [f for f in requests.schema.fields if f.name != "prompt"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", raw string"
-    return requests.mapInPandas(answer, schema)
+    return requests.mapInArrow(answer, schema)
 
 
 def judge_parse(responses: DataFrame, raw: str = "raw") -> DataFrame:

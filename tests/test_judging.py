@@ -215,6 +215,15 @@ def test_calls_at_once_keep_the_order_and_their_limit(spark, tmp_path):
     assert 2 <= most <= 5
 
 
+def test_prompts_leave_their_batch_one_by_one(spark):
+    rows = [(n, f"p{n}", None if n % 3 == 0 else [n, None]) for n in range(20)] + [(20, None, None)]
+    df = spark.createDataFrame(rows, "id int, prompt string, more array<int>")
+    asked = J.judge_apply(df, str.upper, calls=3)
+    assert "MapInArrow" in asked._jdf.queryExecution().executedPlan().toString()  # a pandas frame would copy them all
+    assert asked.columns == ["id", "more", "raw"]
+    assert [tuple(r) for r in asked.orderBy("id").collect()] == [(n, m, p and p.upper()) for n, p, m in rows]
+
+
 def test_tasks_of_a_ledger_run_are_bounded(spark, tmp_path, monkeypatch):
     from corpusgauge.operators import ledger as G
 
