@@ -75,19 +75,21 @@ def claims_near_dedup(
     and rounds grow with the logarithm of the longest band.  Members whose numbers of words rule them out are not compared.
     """
     keys = list(keys)
-    order = [F.col("claim_no"), F.col("_norm")]
     folded = claims.groupBy(*keys, normalized(F.col("claim")).alias("_norm")).agg(
         F.min("claim_no").alias("claim_no"), F.min_by("claim", "claim_no").alias("claim"), F.count("*").alias("copies")
     )
     words = F.filter(F.array_distinct(F.split("_norm", " ")), lambda w: w != "")
-    nodes = written_once(folded.withColumns({"_words": words, "_id": F.monotonically_increasing_id()}))
+    # a claim's place in its document stands for (claim_no, text), so no text travels with its bands; a claim alone has no near copy
+    in_doc = Window.partitionBy(*keys)
+    placed = folded.withColumns({"_no": F.row_number().over(in_doc.orderBy("claim_no", "_norm")), "_claims": F.count("*").over(in_doc)})
+    nodes = written_once(placed.withColumns({"_words": words, "_id": F.monotonically_increasing_id()}).drop("_norm"))
     # a band is known by a hash over the document as well; the check compares both again
     own = F.xxhash64("_band", F.struct(*keys))
-    banded = nodes.where(F.size("_words") > 0).select(
-        *keys, "_id", "claim_no", "_norm", F.size("_words").alias("_size"),
+    banded = nodes.where((F.size("_words") > 0) & (F.col("_claims") > 1)).select(
+        *keys, "_id", "_no", F.size("_words").alias("_size"),
         F.explode(word_signature(F.col("_words"), bands, rows)).alias("_band"),
-    ).withColumn("_band", own)
-    by_band = Window.partitionBy("_band").orderBy(*order)
+    ).select(own.alias("_band"), "_id", "_no", "_size")
+    by_band = Window.partitionBy("_band").orderBy("_no", "_id")
     member = F.struct("_id", "_size")
     placed = banded.select(
         "_band", "_id", "_size", (F.row_number().over(by_band) - 1).alias("_at"),

@@ -332,6 +332,15 @@ def test_one_band_of_many_copies_makes_few_pairs(spark, monkeypatch):
     assert sum(pairs) < 40 * len(rows)
 
 
+def test_no_text_travels_with_a_band(spark, monkeypatch):
+    seen, plain = [], L.written_once
+    monkeypatch.setattr(L, "written_once", lambda df: seen.append(df.columns) or plain(df))
+    rows = [(1, 7, "b c d e f"), (1, 7, "a2 b c d e f"), (2, 0, "b c d e f")]
+    got = kept_claims(L.claims_near_dedup(spark.createDataFrame(rows, CLAIMS), ["doc"]))
+    assert got == [(1, 7), (2, 0)]  # of two with one number the larger text goes
+    assert all("_norm" not in c and ("_band" not in c or "doc" not in c) for c in seen)
+
+
 def test_only_open_documents_take_part_in_a_round(spark, monkeypatch):
     asked = []
 
@@ -347,6 +356,16 @@ def test_only_open_documents_take_part_in_a_round(spark, monkeypatch):
     assert asked == [[1, 2, 3], [1, 3], [3]]
 
 
+def test_finished_documents_are_written_once(spark, monkeypatch):
+    texts, plain = [], J.written_once
+    monkeypatch.setattr(J, "written_once", lambda df: texts.append("claim" in df.columns and plain(df).count()) or plain(df))
+    rows = [(1, n, f"c{n % 50}") for n in range(350)] + [(2, n, f"c{n % 3}") for n in range(10)]
+    left = J.claims_removed_by_judge(spark.createDataFrame(rows, CLAIMS), ["doc"], repeats_by_text)
+    assert left.count() == 53
+    # all, then those of the open document alone, then none
+    assert [n for n in texts if n is not False] == [360, 100, 0]
+
+
 def test_density_of_claims_that_a_judge_left(spark):
     claims = spark.createDataFrame([(1, n, f"c{n}") for n in range(6)] + [(None, 0, "x")], CLAIMS)
     kept = claims.where("claim_no < 3 AND doc = 1")
