@@ -160,19 +160,18 @@ def claims_removed_by_judge(
     become one, so in the end any two claims have been in one prompt unless one of them went before.  A group that
     meets no other is not asked again; a prompt without an answer removes nothing.  Only documents that still have
     groups to meet take part in a round: a claim is written as often as its own document needs, and what is
-    finished is not read again.  Answers are written before the next round reads them, and one row a round, whether any
+    finished is not read again.  The numbers of repeats are written before the next round reads them, and one row a round, whether any
     document is left, comes to the driver.  The last prompt of a document holds all its remaining claims.
 
     ``answers`` replaces the call of ``scorer``: rows with ``prompt`` to rows with ``raw``, as from a ledger.
     """
     keys, columns = list(keys), claims.columns
     number, last = unused("_no", columns), unused("_last", columns)
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order, "claim")) - 1
-    numbered = claims.withColumn(number, place)
+    doc = Window.partitionBy(*keys)
+    place = F.row_number().over(doc.orderBy(*order, "claim")) - 1
     names = {unused(f"_{i}", columns): k for i, k in enumerate(keys)}
-    ends = numbered.groupBy(*[F.col(k).alias(n) for n, k in names.items()]).agg(F.max(number).alias(last))
     in_doc = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(n)) for n, k in names.items()])
-    left = written_once(numbered.join(ends, in_doc).drop(*names))
+    left = written_once(claims.withColumns({number: place, last: F.count("*").over(doc) - 1}))
     ask = answers or (lambda rows: judge_apply(rows, scorer))
     finished, wide = [], size
     while True:
@@ -187,9 +186,10 @@ def claims_removed_by_judge(
         found = ask(asked)
         numbers = F.transform(listed_places(F.col("raw")), lambda p: F.when(p > 0, F.get("_numbers", p - 1)))
         gone = found.select(*[F.col(k).alias(n) for n, k in names.items()], F.explode(numbers).alias("_gone")).where("_gone IS NOT NULL")
-        kept = written_once(left.join(gone, in_doc & (F.col(number) == F.col("_gone")), "left_anti"))
+        kept = left.join(written_once(gone), in_doc & (F.col(number) == F.col("_gone")), "left_anti")
+        # claims of finished documents are not written again: who only counts them does not move their texts
         finished.append(kept.where(F.col(last) < wide).select(*columns))
-        left = kept.where(F.col(last) >= wide)
+        left = written_once(kept.where(F.col(last) >= wide))
         if left.isEmpty():
             return reduce(DataFrame.unionByName, finished)
         wide *= 2

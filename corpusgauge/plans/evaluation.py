@@ -266,7 +266,7 @@ def document_claim_density(
     sentences = D.sentence_count(F.col("section")).alias("sentences")
     asked = J.template_requests(sections, "claim_extraction", [*KEYS, "section_no", sentences])
     answers = written_once(_answers(asked, scorer, attempts, ledger, model, **calls).where("raw IS NOT NULL"))
-    claims = written_once(L.claims_parse(answers, [*KEYS, "section_no"]))
+    claims = L.claims_parse(answers, [*KEYS, "section_no"])
     kept = J.claims_removed_by_judge(
         claims, KEYS, scorer, size, ("section_no", "claim_no"),
         answers=lambda rows: _answers(rows, scorer, attempts, ledger, model, **calls),
