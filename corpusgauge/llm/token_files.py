@@ -30,7 +30,7 @@ PAGE_ROWS = 1_000
 #: and the longest word kept.
 KNOWN_BYTES, ENTRY_BYTES, LONGEST_KNOWN = 48 * 2**20, 170, 100
 #: Text encoded at a time: arrays of places and ids are several times as large.
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 4_000_000
 
 
 class Known:
@@ -45,20 +45,23 @@ class Known:
 
     def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and how many each has, as :func:`encode_words` gives them."""
-        spelt = words.cast(pa.binary()).to_pylist()
-        found = [self.new.get(w) or self.old.get(w) for w in spelt]
-        missing = [i for i, ids in enumerate(found) if ids is None]
+        spelt = words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.new.get, spelt))
+        fresh = [i for i, ids in enumerate(found) if ids is None]  # a word that the newer generation has costs no more than this
+        for i in fresh:
+            found[i] = self.old.get(spelt[i])
+        missing = [i for i in fresh if found[i] is None]
         ids, counts = encode_words(words.take(pa.array(missing, pa.int64())), self.path)
         flat, ends = ids.astype("<u4").tobytes(), np.cumsum(counts) * 4
         for i, start, end in zip(missing, (ends - 4 * counts).tolist(), ends.tolist(), strict=True):
             found[i] = flat[start:end]
-        for w, own in zip(spelt, found, strict=True):
-            if own and len(w) <= LONGEST_KNOWN and w not in self.new:
-                self.new[w] = own
-                self.size += len(w) + len(own) + ENTRY_BYTES
+        for i in fresh:
+            if len(spelt[i]) <= LONGEST_KNOWN:
+                self.new[spelt[i]] = found[i]
+                self.size += len(spelt[i]) + len(found[i]) + ENTRY_BYTES
         if self.size > KNOWN_BYTES:
             self.old, self.new, self.size = self.new, {}, 0
-        return np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found], np.int64)
+        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
 
 @functools.lru_cache(maxsize=1)

@@ -127,6 +127,27 @@ def test_known_words_are_not_encoded_again(monkeypatch):
         assert len(known.new) + len(known.old) <= 16
 
 
+def test_a_known_word_is_looked_up_once():
+    class Counting(dict):
+        looks = 0
+
+        def get(self, key, default=None):
+            Counting.looks += 1
+            return super().get(key, default)
+
+        def __contains__(self, key):
+            Counting.looks += 1
+            return super().__contains__(key)
+
+    known = token_files.Known(PATH)
+    known.new, known.old = Counting(), Counting()
+    words = pa.array([" a", " b", " é", ""])
+    first = [x.tolist() for x in known.encode(words)]
+    Counting.looks = 0
+    assert [x.tolist() for x in known.encode(words)] == first
+    assert Counting.looks == len(words)
+
+
 def test_token_files_without_rows(spark):
     out = token_files.write_token_files(empty(spark), scratch_path(spark, "tokens"))
     assert token_files.with_starts(token_files.read_checksums(spark, out), token_files.read_lengths(spark, out)).collect() == []
