@@ -164,3 +164,25 @@ def test_merged_transforms_are_the_sorted_suffixes(shards):
     for i in range(1, len(got)):
         same = next((j for j, (x, y) in enumerate(zip(got[i - 1], got[i], strict=False)) if x != y), -1)
         assert common[i] == same
+
+
+def test_families_meet_by_their_pivots_once(spark):
+    a, b = range(100, 130), range(200, 230)  # every set of either family has the tokens 1 to 5; 300 is a set alone
+    entries = [(t, s, 200, t) for s in [*a, *b, 300] for t in range(1, 6)]
+    table = spark.createDataFrame(entries, "token long, set_id long, n int, p int")
+    members = spark.createDataFrame([(s, f[0]) for f in (a, b) for s in f[1:]], "set_id long, pivot long")
+    labels = spark.createDataFrame([(s, f[0]) for f in (a, b) for s in f], "node long, label long")
+    found = jaccard.family_pairs(table, members, labels, 80)
+    assert sorted(map(tuple, found.collect())) == [(100, 200), (100, 300), (200, 300)]
+
+
+def test_members_of_two_families_link_where_their_pivots_do_not(spark):
+    words = [f"w{i}" for i in range(400)]
+
+    def text(first, last):
+        return " ".join(f"x{i}" if i < first else f"y{i}" if i >= last else words[i] for i in range(400))
+
+    rows = [(10 * n + i, text(a + 3 * i, b - 2 * i)) for n, (a, b) in enumerate([(0, 400), (28, 372), (0, 380), (60, 400)]) for i in range(6)]
+    for percent in (80, 85):
+        found = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.linked(frame(spark, rows), 5, percent).collect())
+        assert found == brute.components(rows, percent, 5)
