@@ -175,7 +175,7 @@ def supplement_scores(
     Zeros are asked for again, and so is the content of a document that lacks
     any of its grades; an answer only goes where the score is zero or absent.
     """
-    mine = scores.filter(F.col("model") == model)
+    mine = written_once(scores.filter(F.col("model") == model))  # read twice; often a plan that parses every answer
     task = F.when(F.col("work") == "Content", F.lit("content")).otherwise(F.col("work"))
     work = written_once(J.missing_scores(mine).select(*KEYS, task.alias("task")))
     fresh = _asked_again(docs, work, [*KEYS, "task"], scorer, model, attempts)

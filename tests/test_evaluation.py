@@ -90,6 +90,20 @@ def test_a_second_run_repairs_what_a_judge_failed(spark):
     assert broken != whole and got == {k: v if broken[k] == 0 else broken[k] for k, v in whole.items()}
 
 
+def test_scores_are_computed_once_to_be_supplemented(spark):
+    kinds, seen = "category string, topic string, system string, model string, metric string, value double", spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    rows = [(d.category, d.topic, d.system, "m", "Reference", 3.0) for d in docs(spark).collect()]
+    scores = spark.createDataFrame(rows, kinds).mapInPandas(counted, kinds)
+    E.supplement_scores(docs(spark), scores, fixed, "m").collect()
+    assert seen.value == len(rows)
+
+
 def test_prompts_and_items_read_the_corpus_once(spark, tmp_path):
     docs(spark).write.parquet(str(tmp_path / "corpus"))
     corpus = spark.read.parquet(str(tmp_path / "corpus"))
