@@ -176,6 +176,15 @@ def test_families_meet_by_their_pivots_once(spark):
     assert sorted(map(tuple, found.collect())) == [(100, 200), (100, 300), (200, 300)]
 
 
+def test_a_large_family_is_there_once_for_all_that_are_near_it(spark):
+    large, single = range(901, 951), range(1, 21)
+    families = [(900, s, 100, s % 4) for s in large] + [(s, s, 100, 0) for s in single] + [(30, 30, 60, 0)]
+    table = spark.createDataFrame(families, "family long, set_id long, n long, unlike long")
+    pivots = spark.createDataFrame([(s, 900, 13 + s % 2) for s in single] + [(30, 900, 80)], "a long, b long, unlike long")
+    found = sorted(map(tuple, jaccard.joint_families(pivots, table, 90).collect()))
+    assert found == sorted((900, s) for s in [*(x for x in large if x % 4 == 3), *(x for x in single if x % 2 == 0)])
+
+
 def test_members_of_two_families_link_where_their_pivots_do_not(spark):
     words = [f"w{i}" for i in range(400)]
 
