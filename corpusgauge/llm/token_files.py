@@ -9,6 +9,7 @@ the rest.  The place of a document in the whole row of ids follows from the leng
 from __future__ import annotations
 
 import functools
+import string
 import zlib
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusgauge.functions.joins import broadcast_if_small
-from corpusgauge.llm.bpe import cut_batches, default_vocabulary, encode_words, split_words, spread
+from corpusgauge.llm.bpe import cut_batches, default_vocabulary, encode_words, split_words, spread, tokenizer, word_bytes, words_from
 from corpusgauge.llm.common import gives_back, table
 from corpusgauge.session import scratch_path
 
@@ -44,7 +45,23 @@ class Known:
         self.path, self.new, self.old, self.size = path, {}, {}, 0
 
     def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in a row, and how many each has, as :func:`encode_words` gives them."""
+        """Ids of all words in a row, and how many each has, as :func:`encode_words` gives them.
+
+        Words that differ in their closing marks alone are one word here, and the marks another.
+        """
+        stems, marks = (x.dictionary_encode() for x in without_marks(words, closing_marks(self.path)))
+        spelt = pc.not_equal(marks.dictionary, "")
+        ids, counts = self.found(pa.concat_arrays([stems.dictionary, marks.dictionary.filter(spelt)]))
+        of_marks = np.zeros(len(spelt), np.int64)
+        some = spelt.to_numpy(zero_copy_only=False)
+        of_marks[some], of_marks[~some] = np.arange(len(stems.dictionary), len(counts)), len(counts)
+        counts = np.append(counts, 0)  # no marks, no ids
+        both = np.stack((stems.indices.to_numpy().astype(np.int64), of_marks[marks.indices.to_numpy()]), 1)
+        starts, sizes = np.cumsum(counts) - counts, counts[both]
+        return ids[spread(starts[both.ravel()], sizes.ravel())], sizes.sum(1)
+
+    def found(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words in a row, and how many each has."""
         spelt = words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.new.get, spelt))
         fresh = [i for i, ids in enumerate(found) if ids is None]  # a word that the newer generation has costs no more than this
@@ -55,15 +72,39 @@ class Known:
         flat, ends = ids.astype("<u4").tobytes(), np.cumsum(counts) * 4
         for i, start, end in zip(missing, (ends - 4 * counts).tolist(), ends.tolist(), strict=True):
             found[i] = flat[start:end]
-        for i in fresh:
-            if len(spelt[i]) <= LONGEST_KNOWN:
-                self.new[spelt[i]] = found[i]
-                self.size += len(spelt[i]) + len(found[i]) + ENTRY_BYTES
+        kept = {spelt[i]: found[i] for i in fresh if len(spelt[i]) <= LONGEST_KNOWN}
+        self.new.update(kept)
+        self.size += sum(map(len, kept)) + sum(map(len, kept.values())) + ENTRY_BYTES * len(kept)
         if self.size > KNOWN_BYTES:
             self.old, self.new, self.size = self.new, {}, 0
         return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
 
+@functools.lru_cache(maxsize=1)
+def closing_marks(path: str) -> str:
+    """ASCII marks before which this tokenizer always cuts a word that ends in a letter or digit.
+
+    An apostrophe may begin a word's ending, and marks of added tokens may belong to one.
+    """
+    cut, normalizer = tokenizer(path).pre_tokenizer, tokenizer(path).normalizer
+    if cut is None or normalizer is not None:
+        return ""
+    held = {"'", *(c for token in tokenizer(path).get_added_tokens_decoder().values() for c in token.content)}
+    alone = {m for m in string.punctuation if all(len(cut.pre_tokenize_str(f" {c}{m}{m}")) == 2 for c in ("a", "1", "\u00e9", "\u4e2d"))}
+    return "".join(sorted(alone - held))
+
+
+def without_marks(words: pa.Array, marks: str) -> tuple[pa.Array, pa.Array]:
+    """``words`` without the closing ``marks`` behind a letter or digit, and these marks; most words have none."""
+    cut = pc.ascii_rtrim(words, marks) if marks else words
+    whole = pc.or_(pc.match_substring_regex(words, r"<\|"), pc.invert(pc.match_substring_regex(cut, r"[\p{L}\p{N}]$")))
+    stems = pc.if_else(whole, words, cut)
+    lengths, data = word_bytes(words)
+    beyond = lengths - pc.binary_length(stems).to_numpy(zero_copy_only=False)
+    letters = np.frombuffer(data, np.uint8)
+    return stems, words_from(beyond, letters[spread(np.cumsum(lengths) - beyond, beyond)].tobytes())
+
+
 @functools.lru_cache(maxsize=1)
 def known(path: str) -> Known:
     return Known(path)

@@ -127,6 +127,28 @@ def test_known_words_are_not_encoded_again(monkeypatch):
         assert len(known.new) + len(known.old) <= 16
 
 
+def test_words_with_other_closing_marks_are_one_word(monkeypatch):
+    calls = []
+    monkeypatch.setattr(token_files, "encode_words", lambda w, p: calls.extend(w.to_pylist()) or bpe.encode_words(w, p))
+    known = token_files.Known(PATH)
+    words = [" word", " word.", " word,", "\nword...", " word?!", " don't.", " they're;", " a's", " é,", " 1.5.", " ...", ".", " x<|", " x<|endoftext|>.", " x'.", " 中文。.", " \u0301.", " a\u0301,", " ²!", ""]
+    for _ in range(2):
+        ids, counts = known.encode(pa.array(words, pa.string()))
+        ends = np.cumsum(counts)
+        assert [ids[e - c : e].tolist() for e, c in zip(ends, counts, strict=True)] == [ids_of(w) for w in words]
+    assert calls.count(" word") == 1 and not {" word.", " word,", " word?!", " é,"} & set(calls)
+    assert not set("'<|>") & set(token_files.closing_marks(PATH))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="aZé1²中\u0301'sst.,;!*<|_-", max_size=12), min_size=1, max_size=8))
+def test_marks_apart_give_the_ids_of_the_whole_word(words):
+    words = list(dict.fromkeys(" " + w for w in words))
+    ids, counts = token_files.Known(PATH).encode(pa.array(words, pa.string()))
+    ends = np.cumsum(counts)
+    assert [ids[e - c : e].tolist() for e, c in zip(ends, counts, strict=True)] == [ids_of(w) for w in words]
+
+
 def test_a_known_word_is_looked_up_once():
     class Counting(dict):
         looks = 0
