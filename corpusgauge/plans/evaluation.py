@@ -32,9 +32,9 @@ KEYS = list(DOC_KEYS)
 FACETS = tuple(FACET_METRICS)
 
 
-def parsed_documents(docs: DataFrame) -> DataFrame:
-    """Keys, ``heads``, ``main_content`` and ``ref_block``: all that the prompts are made of, in one row."""
-    return D.split_content_refs(O.headings(docs, "md", [*KEYS, "md"]), "md", [*KEYS, "heads"])
+def parsed_documents(docs: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """Keys, ``more``, ``heads``, ``main_content`` and ``ref_block``: all that the prompts are made of, in one row."""
+    return D.split_content_refs(O.headings(docs, "md", [*KEYS, *more, "md"]), "md", [*KEYS, *more, "heads"])
 
 
 def refined_outline(docs: DataFrame, scorer: Callable[[str], str], attempts: int = 3) -> DataFrame:
@@ -280,8 +280,14 @@ def similarity_items(docs: DataFrame, outline: DataFrame | None = None) -> DataF
     return _items(parsed_documents(docs), outline)
 
 
-def _items(contents: DataFrame, outline: DataFrame | None) -> DataFrame:
-    paths = O.outline_paths(O.outline_rows(contents) if outline is None else outline)
+def _items(contents: DataFrame, outline: DataFrame | None, wanted: str | None = None) -> DataFrame:
+    """Items of all facets, or of those that the array ``wanted`` of a document names; the texts of others are not cut."""
+    def of(name: str) -> DataFrame:
+        return contents if wanted is None else contents.filter(F.array_contains(wanted, name)).drop(wanted)
+
+    paths = O.outline_paths(O.outline_rows(of("outline")) if outline is None else outline)
+    if wanted is not None and outline is not None:
+        paths = paths.join(broadcast_if_small(of("outline").select(*KEYS).distinct()), KEYS, "left_semi")
 
     def facet(rows: DataFrame, name: str, number: str, text: str) -> DataFrame:
         return rows.select(
@@ -290,8 +296,8 @@ def _items(contents: DataFrame, outline: DataFrame | None) -> DataFrame:
 
     return (
         facet(paths, "outline", "path_no", "path")
-        .unionByName(facet(D.sections_by_hash(contents), "content", "section_no", "section"))
-        .unionByName(facet(P.reference_entries(contents), "reference", "ref_pos", "entry"))
+        .unionByName(facet(D.sections_by_hash(of("content")), "content", "section_no", "section"))
+        .unionByName(facet(P.reference_entries(of("reference")), "reference", "ref_pos", "entry"))
     )
 
 
@@ -364,18 +370,16 @@ def refreshed_similarity(
     fresh = ~F.coalesce(F.col("mean_score") != 0, F.lit(False))
     work = written_once(state.where(fresh).select(*facet))
     own = F.col("system") == baseline
-    topics = work.select("category", "topic", "facet").distinct()
-    open_docs = broadcast_if_small(work.select(*KEYS).distinct())
-    truth_docs = docs.filter(own).join(broadcast_if_small(topics.select("category", "topic").distinct()), ["category", "topic"], "left_semi")
-    rows = docs.filter(~own).join(open_docs, KEYS, "left_semi").unionByName(truth_docs)
-    items = _items(written_once(parsed_documents(rows)), outline)
-    wanted = items.join(broadcast_if_small(work), facet, "left_semi").unionByName(
-        # a baseline whose own facet is not stale is still compared with
-        items.filter(own).join(broadcast_if_small(topics), ["category", "topic", "facet"], "left_semi")
-        .join(broadcast_if_small(work), facet, "left_anti")
-    )
-    vectors = written_once(embed_apply(wanted, embedder))
-    asked = vectors.join(broadcast_if_small(work), facet, "left_semi")
+    # a document carries the names of the facets to embed, so items need not be looked up again; a baseline
+    # whose own facet is not stale is still compared with
+    def wanted(by: list[str], rows: DataFrame) -> DataFrame:
+        return broadcast_if_small(rows.groupBy(*by).agg(F.collect_set("facet").alias("wanted")))
+
+    others = docs.filter(~own).join(wanted(KEYS, work.filter(~own)), KEYS)
+    truth = docs.filter(own).join(wanted(["category", "topic"], work), ["category", "topic"])
+    rows = others.unionByName(truth.select(*others.columns))
+    vectors = written_once(embed_apply(_items(written_once(parsed_documents(rows, ["wanted"])), outline, "wanted"), embedder))
+    asked = vectors.filter(~own).unionByName(vectors.filter(own).join(broadcast_if_small(work.filter(own)), facet, "left_semi"))
     best = S.knn_query(asked, vectors.filter(own), 1, ("category", "topic", "facet"), ("system", "item_no"), metric)
     means = S.topn_mean_similarity(best, KEYS).select(*facet, F.col("mean_score").alias("found"))
     return state.join(means, facet, "left").select(

@@ -215,6 +215,38 @@ def test_only_stale_facets_reach_the_embedder(spark, tmp_path):
     assert refreshed_similarity(docs.limit(0), old).collect() == []
 
 
+def test_texts_are_cut_for_stale_facets_alone(spark, monkeypatch):
+    from corpusgauge.plans import evaluation as E
+
+    keys = "category string, topic string, system string"
+    rows = [("c", "t", s, f"# T\n\n## 1 One\nText of {s}.\n\n### 1.1 Part {s}\nMore.\n\n## 2 Two\n\n## References\n[1] one {s}\n[2] two") for s in ("pdfs", "a", "b", "d")]
+    rows += [("c", "u", s, rows[0][3]) for s in ("pdfs", "a")]
+    docs = spark.createDataFrame(rows, f"{keys}, md string")
+    stale = {("t", "a", "reference"), ("t", "pdfs", "content"), ("t", "b", "content"), ("u", "pdfs", "outline")}
+    stored = [(*r[:3], f, 0.0 if (*r[1:3], f) in stale else 0.5) for r in rows for f in ("outline", "content", "reference")]
+    cut = {}
+
+    def noted(module, name):
+        real = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda df, *a: cut.setdefault(name, sorted((r.topic, r.system) for r in df.select("topic", "system").collect())) and False or real(df, *a))
+
+    noted(E.O, "outline_rows")
+    noted(E.D, "sections_by_hash")
+    noted(E.P, "reference_entries")
+    old = spark.createDataFrame(stored, f"{keys}, facet string, mean_score double")
+    got = {(r.topic, r.system, r.facet): r.mean_score for r in E.refreshed_similarity(docs, old).collect()}
+    assert len(got) == 18 and {k for k, v in got.items() if v != 0.5} == stale
+    assert cut == {
+        "outline_rows": [("u", "pdfs")], "sections_by_hash": [("t", "b"), ("t", "pdfs")], "reference_entries": [("t", "a"), ("t", "pdfs")],
+    }
+    whole = {(r.topic, r.system, r.facet): r.mean_score for r in E.document_similarity(docs).collect()}
+    assert all(got[k] == whole[k] for k in stale) and whole["u", "pdfs", "outline"] == 1.0
+    monkeypatch.undo()
+    given = E.O.outline_rows(E.parsed_documents(docs))
+    again = {(r.topic, r.system, r.facet): r.mean_score for r in E.refreshed_similarity(docs, old, outline=given).collect()}
+    assert again == got
+
+
 def test_letter_shares_count_letters_alone():
     from corpusgauge.plans.evaluation import letter_shares
 
