@@ -195,3 +195,55 @@ def test_members_of_two_families_link_where_their_pivots_do_not(spark):
     for percent in (80, 85):
         found = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.linked(frame(spark, rows), 5, percent).collect())
         assert found == brute.components(rows, percent, 5)
+
+
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    from corpusgauge import session
+
+    name, seen = session.BATCH_SETTING, {}
+    monkeypatch.setattr(session, "BATCH_BYTES", 30_000)
+
+    def noted(module, fn):
+        keep = getattr(module, fn)
+
+        def note(df, *rest):
+            sizes = df.sparkSession.range(400).selectExpr("repeat('x', 1000) AS t").coalesce(1).mapInArrow(
+                lambda batches: (pa.record_batch([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long"
+            )
+            seen[fn] = max(r.n for r in sizes.collect())
+            return keep(df, *rest)
+
+        monkeypatch.setattr(module, fn, note)
+
+    noted(jaccard, "families")
+    noted(suffixes, "repeated_slots")
+    jaccard.linked(frame(spark, TEXTS)).count()
+    suffixes.without_repeats(frame(spark, TEXTS)).count()
+    assert seen.keys() == {"families", "repeated_slots"} and all(n < 40_000 for n in seen.values()), seen
+    assert spark.conf.get(name, None) is None
+    spark.conf.set(name, "50000")  # a bound of the session's own holds
+    try:
+        assert session.in_small_batches(lambda df: df.sparkSession.conf.get(name))(spark.range(1)) == "50000"
+        assert spark.conf.get(name) == "50000"
+    finally:
+        spark.conf.unset(name)
+
+
+def test_cut_texts_pass_one_worker_a_task(spark):
+    """Two functions in a chain would take two Python workers of each task."""
+    plan = suffixes.deduplicated(frame(spark, TEXTS))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 4  # a filter in three places, and the cut
+
+
+def test_pieces_take_little_memory():
+    """Arrays of a portion are some eighty times its text, and every task of an executor has its own."""
+    import tracemalloc
+
+    texts = pa.array([prose(200, n) for n in range(1500)])
+    batch = pa.record_batch([texts], names=["text"])
+    shingles.first_powers(2**18, shingles.MULTIPLIER), shingles.first_powers(2**18, suffixes.BACK)
+    tracemalloc.start()
+    n = sum(len(suffixes.Pieces(part).hash) for _, part in suffixes.portions([batch]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 0 and texts.nbytes > 1_000_000 and most < 40_000_000, most
