@@ -59,8 +59,12 @@ def _interval(low: Column, high: Column) -> Column:
 def number_intervals(sentence: Column, strict: bool = False) -> Column:
     """Cited numbers as intervals: ``[a]-[b]``, ``[n]`` and, unless ``strict``,
     lists inside one bracket such as ``[1,3,5-7]``."""
-    ranges = F.zip_with(find_all(sentence, RANGE, 1), find_all(sentence, RANGE, 2), _interval)
-    rest = F.regexp_replace(sentence, RANGE, "")
+    # most sentences have no dash, and need not be searched for ranges
+    dashed = F.contains(sentence, F.lit("-")) | F.contains(sentence, F.lit("–"))
+    ranges = F.when(dashed, F.zip_with(find_all(sentence, RANGE, 1), find_all(sentence, RANGE, 2), _interval)).otherwise(
+        F.array().cast("array<struct<low:bigint,high:bigint>>")
+    )
+    rest = F.when(dashed, F.regexp_replace(sentence, RANGE, "")).otherwise(sentence)
     if strict:
         singles = F.transform(find_all(rest, SINGLE, 1), lambda n: _interval(n, n))
     else:
@@ -179,6 +183,8 @@ def _cited(sent_no: Column, sentence: Column, strict: bool) -> Column:
             F.concat(F.replace(name, F.lit("et al."), F.lit("et al")), F.lit(", "), year).alias("other"),
         ),
     )
+    named = F.contains(sentence, F.lit("("))  # a year stands in round brackets
+    names = F.when(named, names).otherwise(F.array().cast("array<struct<key:string,other:string>>"))
     dated = F.filter(spans(sentence), is_author_year)
     keys = F.flatten(F.transform(dated, lambda s: stripped_parts(F.split(F.btrim(s, F.lit("[]")), ";"))))
     plain = F.transform(keys, lambda k: F.struct(k.alias("key"), k.alias("other")))

@@ -125,7 +125,8 @@ def sections_by_heading(
 def prose(main: Column) -> Column:
     """Main content without images and embedded HTML pages."""
     no_images = bound(main, lambda m: _replaced(m, IMAGE, up_to_last(m, "](", ")")))
-    return bound(no_images, lambda m: _replaced(m, r"(?s)<html>.*?</html>", up_to_last(m, "</html>")))
+    pages = r"(?s)<html>.*?</html>"
+    return bound(no_images, lambda m: F.when(F.contains(m, F.lit("</html>")), _replaced(m, pages, up_to_last(m, "</html>"))).otherwise(m))
 
 
 def _replaced(text: Column, pattern: str, part: Column) -> Column:

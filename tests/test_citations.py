@@ -166,3 +166,21 @@ def test_batches_and_runs(spark):
     assert batches[0].batch == "[1] r1\n[2] r2\n[3] r3"
     runs = P.ref_number_runs(P.reference_entries(df)).orderBy("first").collect()
     assert [(r.first, r.last, r.from_one) for r in runs] == [(1, 3, True), (7, 8, False), (20, 20, False)]
+
+
+def test_sentences_that_cannot_match_are_not_searched(spark):
+    """A range needs a dash, a year after a name a round bracket, a page its closing tag."""
+    from pyspark.sql import functions as F
+
+    from corpusgauge.operators.citations import _cited
+    from corpusgauge.operators.documents import prose
+
+    found = _cited(F.lit(0), F.col("s"), False)
+    plan = spark.range(1).select(F.lit("x").alias("s"), "id").select(found, prose(F.col("s")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("CASE WHEN (Contains(s") + plan.count("CASE WHEN Contains(s") >= 3, plan
+    rows = ["Lee (2020) and [1]-[3]", "in [1]–[3]", "Lee 2020 [4, 6-7]", "none"]
+    got = spark.createDataFrame([(s,) for s in rows], "s string").select(found.alias("c")).collect()
+    assert [[(i.low, i.high) for i in r.c.numbers] for r in got] == [[(1, 3)], [(1, 3)], [(4, 4), (6, 7)], []]
+    assert [[k.key for k in r.c["keys"]] for r in got] == [["Lee, 2020"], [], [], []]
+    texts = spark.createDataFrame([("a<html>b\nc</html>d",), ("a<html>b",)], "s string")
+    assert [r[0] for r in texts.select(prose(F.col("s"))).collect()] == ["ad", "a<html>b"]
