@@ -15,6 +15,7 @@ def spread_join(
     how: str = "left",
     splits: int = SPLITS,
     spread_by: list[str] | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Equi-join where one key may hold a third of ``rows``.
 
@@ -23,16 +24,30 @@ def spread_join(
     ``spread_by``, when the others are long), so the rows of a hot key go to ``splits`` tasks.  When ``per_key`` turns
     out small, adaptive execution still replaces the join by a broadcast, on
     its measured size.
+
+    That size leaves the repeats out, so the driver gets up to ``splits`` times what the session lets it broadcast.
+    With ``bounded`` the repeats are never broadcast: a ``per_key`` that the session lets be broadcast is, once and
+    without repeats, and any other is exchanged.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"cannot spread a {how} join")
+    if bounded and _may_be_broadcast(per_key):
+        return rows.join(F.broadcast(per_key), keys, how)
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by or rows.columns]), F.lit(splits)).cast("int")
     salted = rows.withColumn("_split", salt)
     repeats = F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))
     copies = per_key.withColumn("_split", repeats)
+    if bounded:
+        copies = copies.hint("shuffle_merge")
     return salted.join(copies, [*keys, "_split"], how).drop("_split")
 
 
+def _may_be_broadcast(df: DataFrame) -> bool:
+    """Whether the session's threshold lets a table of the size that the plan of ``df`` states be broadcast."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size <= df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
 #: Rows of one key that a single task may still join.
 HOT_ROWS = 10_000
 

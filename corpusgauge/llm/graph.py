@@ -12,7 +12,7 @@ from corpusgauge.session import written_once
 def _hooked(edges: DataFrame, node: str, other: str, larger_only: bool) -> DataFrame:
     """Joins every neighbour of a node to the least of its neighbours and itself."""
     least = edges.groupBy(node).agg(F.least(F.min(other), F.first(node)).alias("m"))
-    rows = spread_join(edges, least, [node], "inner", spread_by=[other])
+    rows = spread_join(edges, least, [node], "inner", spread_by=[other], bounded=True)
     moved = rows.where(F.col(other) > F.col(node)) if larger_only else rows
     return moved.select(F.col(other).alias("a"), F.col("m").alias("b"))
 

@@ -115,3 +115,22 @@ def test_hostile_texts_take_linear_time(spark, name):
     ):
         out.write.format("noop").mode("overwrite").save()
     assert time.time() - start < 60
+
+
+def test_repeats_of_a_bounded_join_are_never_broadcast(spark):
+    """A size in a plan leaves the repeats out, so sixteen times as much as the session allows would pass the driver."""
+    from corpusgauge.llm import graph
+
+    edges = spark.range(4000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))  # 64,000 bytes
+    want = None
+    for limit, kind in (("100000", "BroadcastHashJoin"), ("1000", "SortMergeJoin")):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            found = graph._hooked(edges, "a", "b", larger_only=True)
+            rows = sorted(map(tuple, found.collect()))
+            text = plan(found)
+            assert kind in text and ("Generate explode" in text) == (kind == "SortMergeJoin"), text
+            assert len(rows) == 4000 and want in (None, rows)
+            want = rows
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
