@@ -247,3 +247,22 @@ def test_pieces_take_little_memory():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n > 0 and texts.nbytes > 1_000_000 and most < 40_000_000, most
+
+
+def test_pieces_of_single_documents_stay_in_a_large_corpus(spark, monkeypatch):
+    """Pieces travel that two documents have: slots that are full by single documents' pieces let few of these through."""
+    from corpusgauge.session import written_once
+
+    rng, seen, plain = random.Random(8), [], suffixes.packed_pieces
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = noise(100)
+    found = [(i, noise(1500) + (shared if i % 100 == 0 else "")) for i in range(400)]
+    monkeypatch.setattr(suffixes, "SLOTS", 2**17)  # some 42,000 pieces
+    monkeypatch.setattr(suffixes, "packed_pieces", lambda *a: seen.append(written_once(plain(*a))) or seen[-1])
+    assert cut(spark, found) == brute.removals(found)
+    travelled = sum(len(suffixes.unpack(bytes(r.lengths))[0]) for r in seen[0].select("lengths").collect())
+    assert 0 < travelled < 1000, travelled
+
+
+def test_probes_follow_how_full_a_filter_is():
+    assert [suffixes.probes_for(n, 2**20) for n in (0, 1000, 2**15, 2**18, 2**21)] == [1, 1, 2, 3, 1]
