@@ -389,3 +389,32 @@ def test_density_of_documents(spark, tmp_path):
 
 def test_sets_of_columns_are_named_apart():
     assert J.unused("_no", ["_no", "__NO"]) == "___no"
+
+
+def test_prompts_of_a_long_run_are_asked_where_they_stand(spark, tmp_path, monkeypatch):
+    """Long prompts about one text are written once and not exchanged; equal ones are still asked once."""
+    import os
+
+    from corpusgauge.operators import ledger as G
+
+    top, plans, plain = str(tmp_path / "calls"), [], G.judge_apply
+    os.mkdir(top)
+
+    def score(prompt):
+        with open(os.path.join(top, str(prompt)), "a") as f:
+            f.write("x")
+        return prompt.upper()
+
+    monkeypatch.setattr(G, "MOST_TASKS", 3)
+    monkeypatch.setattr(G, "PROMPTS_PER_FILE", 7)
+    monkeypatch.setattr(G, "judge_apply", lambda rows, *rest, **calls: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or plain(rows, *rest, **calls))
+    rows = [(n, f"p{n % 150}") for n in range(200)] + [(n, None) for n in range(200, 210)] + [(5, "p5")]
+    asked = spark.createDataFrame(rows, "id int, prompt string").repartition(4)
+    ledger = str(tmp_path / "l")
+    G.judge_once(asked.where("id < 40"), score, ledger, prompts_per_task=2)
+    found = G.judge_once(asked, score, ledger, prompts_per_task=2)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(((n, p and p.upper()) for n, p in rows), key=str)
+    assert sorted(os.listdir(top)) == sorted({p for _, p in rows if p})
+    assert all(os.path.getsize(os.path.join(top, f)) == 1 for f in os.listdir(top))
+    assert len(plans) == 2 and not any("RepartitionByExpression" in p or "Aggregate [digest" in p for p in plans), plans
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
